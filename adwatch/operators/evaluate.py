@@ -95,14 +95,21 @@ def corpus_summary(labels: DataFrame) -> DataFrame:
     """Counts of an evaluation corpus as ``(measure, code, n)`` rows."""
     trap = F.coalesce("piege", F.lit(False))
     grouped = labels.groupBy("suspect", trap.alias("piege"), "categorie", "difficulte").agg(F.count(F.lit(1)).alias("n"))
+    suspect, trap = F.col("suspect"), F.col("piege")
+
+    def measure(name: str, code: Column, when: Column | None = None) -> Column:
+        row = F.struct(F.lit(name).alias("measure"), code.alias("code"))
+        return row if when is None else F.when(when, row)
+
+    none = F.lit("")
     measures = F.array(
-        F.struct(F.lit("total").alias("measure"), F.lit("").alias("code")),
-        F.when(F.col("suspect"), F.struct(F.lit("suspects"), F.lit(""))),
-        F.when(F.col("piege"), F.struct(F.lit("pieges"), F.lit(""))),
-        F.when(~F.col("suspect") & ~F.col("piege"), F.struct(F.lit("benignes"), F.lit(""))),
-        F.struct(F.lit("difficulte"), F.col("difficulte")),
-        F.when(F.col("suspect"), F.struct(F.lit("categorie"), F.col("categorie"))),
-    ).cast("array<struct<measure:string,code:string>>")
+        measure("total", none),
+        measure("suspects", none, suspect),
+        measure("pieges", none, trap),
+        measure("benignes", none, ~suspect & ~trap),
+        measure("difficulte", F.col("difficulte")),
+        measure("categorie", F.col("categorie"), suspect),
+    )
     return grouped.select("n", F.inline(F.array_compact(measures))).groupBy("measure", "code").agg(F.sum("n").alias("n"))
 
 

@@ -52,6 +52,11 @@ def retrieve_rules(
         best = asked.select(query_id, _top(F.col("_q"), packed.scalar(), k, threshold).alias("_best"))
     else:
         best = _retrieve_blocked(asked, prepared, query_id, k, threshold, blocks=-(-size["n"] // BLOCK_ROWS))
+    return ranked_hits(best, query_id)
+
+
+def ranked_hits(best: DataFrame, query_id: str) -> DataFrame:
+    """Best-first arrays to ranked rows."""
     ranked = best.select(query_id, F.posexplode("_best").alias("_at", "_hit"))
     cosine = -F.col("_hit")["d"]
     return ranked.select(

@@ -85,15 +85,15 @@ def _search_joined(ads: DataFrame, prepared: DataFrame, key: str, body: Column)
     plain = prepared.where((F.size("_tokens") == 0) & (F.col("_needle") != ""))
     plain = plain.select("term_id", "term", "_needle", F.left("_needle", F.lit(3)).alias("_gram"))
     sizes = plain.agg(F.collect_set(F.length("_gram")).alias("n"))
-    grams = F.flatten(
-        F.transform(
-            "_sizes",
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("_low") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_low"), i, n)
-            ),
-        )
+    # A look-ahead yields overlapping grams in one pass over the text.
+    none = F.array().cast("array<string>")
+    grams = F.concat(
+        *[
+            F.when(F.array_contains("_sizes", n), F.array_distinct(F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), 1))).otherwise(none)
+            for n in (1, 2, 3)
+        ]
     )
-    text = split.withColumn("_sizes", sizes.scalar()).select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
+    text = split.withColumn("_sizes", sizes.scalar()).select(key, F.explode(grams).alias("_gram"))
     met = text.join(plain, "_gram").select(key, "term_id", "term", "_needle")
     by_text = met.join(split.select(key, "_low"), key).where(F.contains("_low", "_needle")).select(key, "term_id", "term")
     return by_word.unionByName(by_text)
@@ -108,7 +108,7 @@ def expanded_terms(responses: DataFrame, limit: int = 0) -> DataFrame:
     """Seed answers ``(run_id, seed_no, terms)`` to distinct terms per run in first-seen order, optionally capped."""
     rows = responses.select("run_id", "seed_no", F.posexplode("terms").alias("position", "term"))
     distinct = earliest(rows, ["run_id", "term"], ["seed_no", "position"], ["seed_no", "position"])
-    return first_n(distinct, ["run_id"], ["seed_no", "position"], limit) if limit > 0 else distinct
+    return first_n(distinct, ["run_id"], ["seed_no", "position", "term"], limit) if limit > 0 else distinct
 
 
 def expanded_categories(responses: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def site_links(runs: DataFrame) -> DataFrame:
 
     The last entry of a platform wins.
     """
-    sites = F.col("config_snapshot.sites")
+    sites = F.transform("config_snapshot.sites", lambda e: F.struct(e["platform"].alias("platform"), e["base_url"].alias("base_url")))
     single = F.array(F.struct(F.col("config_snapshot.platform").alias("platform"), F.col("config_snapshot.base_url").alias("base_url")))
     rows = runs.select("run_id", F.posexplode(F.coalesce(sites, single)).alias("_i", "s")).where(
         (F.col("s.platform") != "") & (F.col("s.base_url") != "")

@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", name: str = "adwatch", **extra: str) -
     partitions = str(os.cpu_count() if cores == "*" else cores)
     local = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": partitions,
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.fallback.enabled": "false",
