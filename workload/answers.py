@@ -11,17 +11,15 @@ from adwatch.plans import collect as C
 from workload import query
 from workload import views as V
 
-_SHAPE = F.col("event_id") % 5
-
-
 def _answer():
     """Plain, fenced, wrapped in a sentence, out of range, and no JSON at all."""
+    shape = F.col("event_id") % 5
     number = (F.floor(F.col("value") * 10) / F.lit(1000.0)).cast("decimal(8,3)").cast("string")
     body = F.concat(F.lit('{"score": '), number, F.lit(', "categorie": "'), F.col("event_type"), F.lit('", "justification": " '), F.col("event_type"), F.lit(' "}'))
     quoted = F.concat(F.lit('{"score": "'), number, F.lit('", "categorie": "Contrefaçon"}'))
     return (
-        F.when(_SHAPE == 0, body).when(_SHAPE == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-        .when(_SHAPE == 2, F.concat(F.lit("Voici mon avis : "), body, F.lit(" Merci."))).when(_SHAPE == 3, quoted).otherwise("pas de JSON")
+        F.when(shape == 0, body).when(shape == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(shape == 2, F.concat(F.lit("Voici mon avis : "), body, F.lit(" Merci."))).when(shape == 3, quoted).otherwise("pas de JSON")
     )
 
 
