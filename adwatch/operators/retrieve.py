@@ -1,33 +1,57 @@
-"""Nearest rules of an ad by cosine similarity, exact at every size of the rule table."""
+"""Nearest rules of an ad by cosine similarity, exact at every size of the rule table.
+
+Vectors meet in Arrow batches as one matrix product; Spark decides which vectors meet where.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adwatch import fixed
 from adwatch.functions.numbers import round_even
 
 INLINE_FLOATS = 4_000_000
-BLOCK_ROWS = 1024
-
-
-def unit(vector: Column) -> Column:
-    """The vector as doubles scaled to length 1."""
-    wide = vector.cast("array<double>")
-    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(wide, lambda x: x / length)).otherwise(wide)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def _top(query: Column, rules: Column, k: int, threshold: float) -> Column:
-    """The ``k`` best of an array of rules as ``struct(score, rule_id)``, best first."""
-    scored = F.transform(rules, lambda r: F.struct((-dot(query, r["v"])).alias("d"), r["rule_id"].alias("rule_id")))
-    near = F.filter(scored, lambda s: s["d"] <= -threshold)
-    return F.slice(F.array_sort(near), 1, k)
+BLOCK_FLOATS = 1_000_000
+SHARD_ROWS = 50_000
+CELLS = 4_000_000
+
+
+def _matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the usable vectors, and their positions. Missing, odd-sized and zero vectors match nothing."""
+    sizes = np.asarray(vectors.value_lengths().fill_null(-1))
+    kept = np.flatnonzero(sizes == dim)
+    rows = np.asarray(vectors.take(pa.array(kept)).flatten(), dtype=np.float64).reshape(len(kept), dim)
+    length = np.sqrt((rows * rows).sum(axis=1))
+    fine = length > 0
+    return rows[fine] / length[fine, None], kept[fine]
+
+
+def _hits(queries: np.ndarray, rules: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, rule and cosine of the ``k`` best per query; equal cosines keep rule order."""
+    found = []
+    step = max(1, CELLS // max(1, len(rules)))
+    for at in range(0, len(queries), step):
+        cosine = queries[at:at + step] @ rules.T
+        row, rule = np.nonzero(cosine >= threshold)
+        value = cosine[row, rule]
+        order = np.lexsort((rule, -value, row))
+        row, rule, value = row[order], rule[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < k
+        found.append((row[best] + at, rule[best], value[best]))
+    parts = list(zip(*found)) or [(np.empty(0, int),)] * 2 + [(np.empty(0),)]
+    return tuple(np.concatenate(p) for p in parts)
+
+
+def _batch(names: list[str], ids: pa.Array, rule_ids: pa.Array, hits, kept: np.ndarray) -> pa.RecordBatch:
+    row, rule, value = hits
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(kept[row])), rule_ids.take(pa.array(rule)), pa.array(value)], names=names)
 
 
 def retrieve_rules(
@@ -36,56 +60,80 @@ def retrieve_rules(
     query_id: str = "query_id",
     k: int = fixed.RETRIEVAL_K,
     threshold: float = fixed.RETRIEVAL_MIN_COSINE,
+    inline_floats: int = INLINE_FLOATS,
+    block_floats: int = BLOCK_FLOATS,
 ) -> DataFrame:
     """``(query_id, rank, rule_id, cosine, score)`` of the ``k`` nearest rules at or above ``threshold``.
 
-    ``queries`` is ``(query_id, embedding)``, ``rules`` is ``(rule_id, embedding)``. The size of the rule table is
-    measured first. A small one becomes a single array value: no join, no shuffle, no row per pair. A larger one
-    is packed into blocks of ``BLOCK_ROWS`` rules; queries meet the blocks on an equality key that also carries a
-    shard number, so no key grows with either table, and only ``k`` rows per query and block are written.
+    ``queries`` is ``(query_id, embedding)``, ``rules`` is ``(rule_id, embedding)``. The rule table is measured first.
+    Up to ``inline_floats`` numbers it travels to the tasks whole: no shuffle, no row per pair. Beyond that, blocks
+    of rules meet shards of queries on an equality key; both sides of a meeting have a fixed size whatever the tables
+    hold, and at most ``k`` rows per query and block come out.
     """
-    prepared = rules.select("rule_id", unit(F.col("embedding")).alias("v"))
     size = rules.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")).first()
-    asked = queries.select(query_id, unit(F.col("embedding")).alias("_q"))
-    if size["n"] * size["dim"] <= INLINE_FLOATS:
-        packed = prepared.agg(F.collect_list(F.struct("rule_id", "v")).alias("r"))
-        best = asked.select(query_id, _top(F.col("_q"), packed.scalar(), k, threshold).alias("_best"))
+    n, dim = size["n"], size["dim"]
+    asked = queries.select(query_id, F.col("embedding").cast("array<double>").alias("_q"))
+    known = rules.select("rule_id", F.col("embedding").cast("array<double>").alias("_v"))
+    if n * dim <= inline_floats:
+        hits = _retrieve_inline(asked, known, query_id, k, threshold, dim)
     else:
-        best = _retrieve_blocked(asked, prepared, query_id, k, threshold, blocks=-(-size["n"] // BLOCK_ROWS))
-    return ranked_hits(best, query_id)
-
-
-def ranked_hits(best: DataFrame, query_id: str) -> DataFrame:
-    """Best-first arrays to ranked rows."""
-    ranked = best.select(query_id, F.posexplode("_best").alias("_at", "_hit"))
-    cosine = -F.col("_hit")["d"]
-    return ranked.select(
-        query_id,
-        (F.col("_at") + 1).alias("rank"),
-        F.col("_hit")["rule_id"].alias("rule_id"),
-        cosine.alias("cosine"),
-        round_even(cosine, 3).alias("score"),
-    )
+        hits = _retrieve_blocked(asked, known, query_id, k, threshold, dim, -(-n * dim // block_floats))
+    return hits.withColumn("score", round_even(F.col("cosine"), 3))
+
+
+def _schema(asked: DataFrame, known: DataFrame, query_id: str) -> T.StructType:
+    return T.StructType([asked.schema[query_id], known.schema["rule_id"], T.StructField("cosine", T.DoubleType())])
+
+
+def _ranked(hits: DataFrame, query_id: str, k: int) -> DataFrame:
+    """The ``k`` best over all blocks; tasks cut to ``k`` rows per query before the shuffle."""
+    order = Window.partitionBy(query_id).orderBy(F.desc("cosine"), "rule_id")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(query_id, "rank", "rule_id", "cosine")
+
+
+def _retrieve_inline(asked: DataFrame, known: DataFrame, query_id: str, k: int, threshold: float, dim: int) -> DataFrame:
+    table = known.orderBy("rule_id").toArrow()  # bounded by the caller's size check
+    vectors = table.column("_v").combine_chunks()
+    rules, usable = _matrix(vectors, dim)
+    rule_ids = table.column("rule_id").combine_chunks().take(pa.array(usable))
+    shared = asked.sparkSession.sparkContext.broadcast((rules, rule_ids))
+    schema = T.StructType([*_schema(asked, known, query_id).fields[:1], T.StructField("rank", T.IntegerType()), *_schema(asked, known, query_id).fields[1:]])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, rule_ids = shared.value
+        for batch in batches:
+            rows, kept = _matrix(batch.column("_q"), dim)
+            hits = _hits(rows, rules, k, threshold)
+            out = _batch(["q", "r", "c"], batch.column(query_id), rule_ids, hits, kept)
+            rank = np.arange(len(hits[0])) - np.searchsorted(hits[0], hits[0]) + 1
+            yield pa.RecordBatch.from_arrays([out.column(0), pa.array(rank.astype(np.int32)), out.column(1), out.column(2)], names=schema.names)
+
+    return asked.mapInArrow(match, schema)
 
 
 def _retrieve_blocked(
-    asked: DataFrame, prepared: DataFrame, query_id: str, k: int, threshold: float, blocks: int
+    asked: DataFrame, known: DataFrame, query_id: str, k: int, threshold: float, dim: int, blocks: int
 ) -> DataFrame:
-    shards = max(1, asked.sparkSession.sparkContext.defaultParallelism)
-    packed = (
-        prepared.withColumn("_block", F.pmod(F.xxhash64("rule_id"), F.lit(blocks)))
-        .groupBy("_block")
-        .agg(F.collect_list(F.struct("rule_id", "v")).alias("_rules"))
-        .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    )
-    spread = asked.withColumn("_shard", F.pmod(F.xxhash64(query_id), F.lit(shards)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
-    )
-    partial = spread.join(packed, ["_block", "_shard"]).select(
-        query_id, F.explode(_top(F.col("_q"), F.col("_rules"), k, threshold)).alias("_hit")
-    )
-    merged = partial.groupBy(query_id).agg(F.array_sort(F.collect_list("_hit")).alias("_best"))
-    return merged.select(query_id, F.slice("_best", 1, k).alias("_best"))
+    shards = -(-asked.count() // SHARD_ROWS) or 1
+    schema = _schema(asked, known, query_id)
+    block = F.pmod(F.xxhash64("rule_id"), F.lit(blocks)).cast("int")
+    every_shard = F.sequence(F.lit(0), F.lit(shards - 1))
+    placed = known.select(block.alias("_block"), F.explode(every_shard).alias("_shard"), "rule_id", "_v")
+    shard = F.pmod(F.xxhash64(query_id), F.lit(shards)).cast("int")
+    spread = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), shard.alias("_shard"), query_id, "_q")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("rule_id").combine_chunks()
+        rules, usable = _matrix(right.column("_v").combine_chunks(), dim)
+        rows, kept = _matrix(left.column("_q").combine_chunks(), dim)
+        rule_ids = right.column("rule_id").combine_chunks().take(pa.array(usable))
+        ids = left.column(query_id).combine_chunks()
+        return pa.Table.from_batches([_batch(schema.names, ids, rule_ids, _hits(rows, rules, k, threshold), kept)])
+
+    keys = ("_block", "_shard")
+    met = spread.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(meet, schema)
+    return _ranked(met, query_id, k)
 
 
 def rule_titles(hits: DataFrame, rules: DataFrame, query_id: str = "query_id") -> DataFrame:
@@ -95,3 +143,4 @@ def rule_titles(hits: DataFrame, rules: DataFrame, query_id: str = "query_id") -
     return named.groupBy(query_id).agg(nearest.alias("rules")).withColumn(
         "rag_refs", F.transform("rules", lambda r: r["title"])
     )
+

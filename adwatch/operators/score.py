@@ -23,6 +23,15 @@ def with_prompt(ads: DataFrame) -> DataFrame:
     return ads.withColumn("prompt", F.concat(ad, F.coalesce(rules, F.lit(""))))
 
 
+def _annotated(scorer: Scorer) -> Scorer:
+    """The scorer under the type hints that mark an iterator function."""
+
+    def answer(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from scorer(prompts)
+
+    return answer
+
+
 def score_batch(
     ads: DataFrame,
     system_prompt: str,
@@ -50,7 +59,7 @@ def score_batch(
             ),
         )
     else:
-        answer = F.pandas_udf(scorer, "string")
+        answer = F.pandas_udf(_annotated(scorer), "string")
         spread = ads.repartition(parallelism) if parallelism else ads
         scored = spread.withColumn("_raw", answer("prompt")).withColumn("_answer", score_response(F.col("_raw"))).drop("_raw")
     refs = F.coalesce("rag_refs", F.array().cast("array<string>")) if "rag_refs" in ads.columns else F.array().cast("array<string>")

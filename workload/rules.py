@@ -64,10 +64,8 @@ def rule_topk(spark, sf):
 
 @query("rule_topk_blocked", "WITH " + _RULES_SQL)
 def rule_topk_blocked(spark, sf):
-    queries = V.table(spark, sf, "embeddings").select("vec_id", retrieve.unit(F.col("embedding")).alias("_q"))
-    rules = _label_rules(spark, sf).select("rule_id", retrieve.unit(F.col("embedding")).alias("v"))
-    best = retrieve._retrieve_blocked(queries, rules, "vec_id", 3, 0.2, blocks=4)
-    return retrieve.ranked_hits(best, "vec_id").drop("cosine")
+    queries = V.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return retrieve.retrieve_rules(queries, _label_rules(spark, sf), "vec_id", 3, 0.2, inline_floats=0, block_floats=200).drop("cosine")
 
 
 @query("rule_prompts", "WITH " + _RULES_SQL.replace(
