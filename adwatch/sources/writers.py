@@ -13,9 +13,9 @@ from adwatch.sources import readers
 
 
 def write_log(entries: DataFrame, path: str) -> None:
-    """Seal whole traces and replace the log."""
+    """Seal whole traces and replace the log. Chains stay together in files; a directory per chain would not scale."""
     sealed = seal_entries(with_canonical(entries)).drop("canonical")
-    sealed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("chain").json(path)
+    sealed.write.mode("overwrite").option("partitionOverwriteMode", "static").option("ignoreNullFields", False).json(path)
 
 
 def append_log(entries: DataFrame, path: str) -> None:
@@ -27,7 +27,7 @@ def append_log(entries: DataFrame, path: str) -> None:
         "seq", F.col("seq") + F.coalesce(F.col("_top") + 1, F.lit(0))
     ).drop("_top")
     sealed = seal_entries(with_canonical(moved), heads=heads).drop("canonical")
-    sealed.write.mode("append").partitionBy("chain").json(path)
+    sealed.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
