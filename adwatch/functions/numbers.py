@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time, however often ``use`` reads it.
+
+    A column named twice in an expression is computed twice inside conditional branches; a lambda variable is not.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def to_number(text: Column) -> Column:
     """Text to double, null when it is not a plain decimal number."""
     text = text.cast("string")

@@ -14,12 +14,9 @@ _TOLERANT = fixed.TOLERANT_PRICE.replace(r"\s*", SPACE + "*")
 
 
 def _priced(text: Column, pattern: str, amount: Column) -> Column:
-    matched = text.rlike(pattern)
+    """Text without a match extracts as empty, which is neither a number nor a currency."""
     currency = F.nullif(F.upper(F.regexp_extract(text, pattern, 2)), F.lit(""))
-    return F.struct(
-        F.when(matched, to_number(amount)).alias("amount"),
-        F.when(matched, currency).alias("currency"),
-    )
+    return F.struct(amount.try_cast("double").alias("amount"), currency.alias("currency"))
 
 
 def strict_price(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adwatch import fixed
-from adwatch.functions.numbers import round_even, to_number
+from adwatch.functions.numbers import once, round_even, to_number
 from adwatch.functions.price import loose_amount
 from adwatch.functions.text import category, strip
 from adwatch.functions.url import clean_url
@@ -18,11 +18,14 @@ from adwatch.functions.url import clean_url
 
 def json_object(raw: Column) -> Column:
     """The JSON object inside a free-text answer as VARIANT, null when there is none."""
-    text = strip(F.regexp_replace(strip(raw), r"(?md)^```(?:json)?|```$", ""))
-    whole = F.try_parse_json(text)
-    outer = F.try_parse_json(F.regexp_extract(text, r"(?s)\{.*\}", 0))
-    found = F.coalesce(whole, outer)
-    return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
+
+    def parse(text: Column) -> Column:
+        return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_extract(text, r"(?s)\{.*\}", 0)))
+
+    def only_object(found: Column) -> Column:
+        return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
+
+    return once(once(strip(F.regexp_replace(strip(raw), r"(?md)^```(?:json)?|```$", "")), parse), only_object)
 
 
 def _text(v: Column, key: str) -> Column:
@@ -35,16 +38,22 @@ def _has(v: Column, key: str) -> Column:
 
 def score_response(raw: Column) -> Column:
     """``struct(ok, suspicion_score, category, rationale)``; ``ok`` is false for an unusable answer."""
-    v = json_object(raw)
+    return once(json_object(raw), _score)
+
+
+def _score(v: Column) -> Column:
     number = F.when(_has(v, "score"), to_number(_text(v, "score"))).otherwise(F.lit(0.0))
-    score = round_even(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), 3)
-    ok = v.isNotNull() & number.isNotNull()
-    return F.struct(
-        ok.alias("ok"),
-        F.when(ok, score).alias("suspicion_score"),
-        F.when(ok, category(_text(v, "categorie"))).alias("category"),
-        F.when(ok, strip(F.coalesce(_text(v, "justification"), F.lit("")))).alias("rationale"),
-    )
+
+    def row(n: Column) -> Column:
+        ok = v.isNotNull() & n.isNotNull()
+        return F.struct(
+            ok.alias("ok"),
+            F.when(ok, round_even(F.greatest(F.lit(0.0), F.least(F.lit(1.0), n)), 3)).alias("suspicion_score"),
+            F.when(ok, category(_text(v, "categorie"))).alias("category"),
+            F.when(ok, strip(F.coalesce(_text(v, "justification"), F.lit("")))).alias("rationale"),
+        )
+
+    return once(number, row)
 
 
 def _strings(v: Column, key: str) -> Column:
@@ -60,18 +69,25 @@ def _tidy(values: Column) -> Column:
 
 def terms_response(raw: Column) -> Column:
     """Search terms of an expansion answer: trimmed, lower-case, distinct, order kept."""
-    v = json_object(raw)
-    return F.when(v.isNotNull(), _tidy(F.coalesce(_strings(v, "termes"), _strings(v, "terms"))))
+
+    def terms(v: Column) -> Column:
+        return F.when(v.isNotNull(), _tidy(F.coalesce(_strings(v, "termes"), _strings(v, "terms"))))
+
+    return once(json_object(raw), terms)
 
 
 def categories_response(raw: Column) -> Column:
     """Target categories of an expansion answer: a list or one string, known codes only."""
-    v = json_object(raw)
-    single = [F.when(_text(v, k).isNotNull() & ~_text(v, k).startswith("["), F.array(_text(v, k)))
-              for k in ("categories", "categorie")]
-    found = F.coalesce(_strings(v, "categories"), single[0], _strings(v, "categorie"), single[1])
     known = F.array(*[F.lit(c) for c in fixed.TARGET_CATEGORIES])
-    return F.when(v.isNotNull(), F.array_intersect(_tidy(found), known))
+
+    def single(v: Column, key: str) -> Column:
+        return F.when(_text(v, key).isNotNull() & ~_text(v, key).startswith("["), F.array(_text(v, key)))
+
+    def codes(v: Column) -> Column:
+        found = F.coalesce(*[build(v, key) for key in ("categories", "categorie") for build in (_strings, single)])
+        return F.when(v.isNotNull(), F.array_intersect(_tidy(found), known))
+
+    return once(json_object(raw), codes)
 
 
 @F.pandas_udf(T.StringType())
@@ -140,7 +156,10 @@ def structured(v: Column) -> Column:
 
 def parsed_ad(raw: Column) -> Column:
     """Six fields of a parsed page plus ``ok`` and ``problems``."""
-    v = json_object(raw)
+    return once(json_object(raw), _parsed)
+
+
+def _parsed(v: Column) -> Column:
     amount = F.try_variant_get(v, "$.price_amount", "variant")
     is_text = F.schema_of_variant(amount) == "STRING"
     price = F.when(is_text, loose_amount(_text(v, "price_amount"))).otherwise(structured(amount))

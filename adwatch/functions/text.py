@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -89,10 +90,24 @@ def search_tokens(query: Column) -> Column:
     return F.filter(kept, lambda w: F.length(w) >= fixed.SEARCH_MIN_TOKEN)
 
 
+def tokens_of(query: str) -> list[str]:
+    """The same for a query known while planning."""
+    found = re.findall(fixed.SEARCH_WORD, query.lower())
+    return [w for w in dict.fromkeys(found) if len(w) >= fixed.SEARCH_MIN_TOKEN and w not in fixed.SEARCH_STOPWORDS]
+
+
+def starts_word(low: Column, token: str) -> Column:
+    """A word of the lower-case text starts with ``token``. The plain ``contains`` turns most texts away."""
+    return low.contains(token) & low.rlike(f"(?<!{fixed.SEARCH_WORD.removesuffix('+')}){token}")
+
+
 def contains_any(text: Column, needles: list[str]) -> Column:
-    """True when any needle is a substring. One ``contains`` per needle stays inside code generation."""
+    """True when any needle is a substring. One ``contains`` per needle stays inside code generation.
+
+    A needle that contains another one adds nothing.
+    """
     hit = F.lit(False)
-    for needle in needles:
+    for needle in [n for n in needles if not any(m in n for m in needles if m != n)]:
         hit = hit | text.contains(needle)
     return hit
 

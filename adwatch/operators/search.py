@@ -11,7 +11,7 @@ from adwatch import fixed
 from adwatch.functions import text as X
 from adwatch.operators.ordering import earliest, first_n
 
-INLINE_TERMS = 200
+INLINE_TERMS = 100
 
 
 def matching_terms(ads: DataFrame, terms: Sequence[str], title: Column, description: Column) -> DataFrame:
@@ -24,20 +24,27 @@ def matching_terms(ads: DataFrame, terms: Sequence[str], title: Column, descript
     return ads.where(X.contains_any(blob, kept))
 
 
-def prefix_match(title: Column, description: Column, query: Column) -> Column:
-    """A word of the ad starts with a meaningful word of the query; plain substring when none is left."""
-    tokens = X.search_tokens(query)
-    found = F.concat(X.words(F.coalesce(title, F.lit(""))), X.words(F.coalesce(description, F.lit(""))))
-    by_word = F.exists(F.array_distinct(found), lambda w: F.exists(tokens, lambda t: w.startswith(t)))
-    needle = F.lower(query)
-    plain = F.contains(F.lower(title), needle) | F.contains(F.lower(description), needle)
-    return F.when(F.size(tokens) > 0, by_word).otherwise(F.coalesce(plain, F.lit(False)))
+def query_match(low: Column, query: str) -> Column:
+    """A word of the lower-case text starts with a meaningful word of the query; plain substring when none is left."""
+    tokens, hit = X.tokens_of(query), F.lit(False)
+    for token in tokens:
+        hit = hit | X.starts_word(low, token)
+    return hit if tokens else low.contains(query.lower())
+
+
+def _body(title: Column, description: Column) -> Column:
+    empty = F.lit("")
+    return F.concat_ws("\n", F.coalesce(title, empty), F.coalesce(description, empty))
 
 
 def prefix_search(ads: DataFrame, query: str, title: Column, description: Column) -> DataFrame:
-    """Ads for one query. Tokens are cut once here, so each word is tested by a short ``startswith`` chain."""
-    matched = prefix_match(title, description, F.lit(query))
-    return ads.where((F.lit(query) == "") | matched)
+    """Ads for one query. Its tokens are known while planning, so the test stays inside code generation."""
+    if not query:
+        return ads
+    if X.tokens_of(query):
+        return ads.where(query_match(F.lower(_body(title, description)), query))
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in (title, description)]
+    return ads.where(query_match(low[0], query) | query_match(low[1], query))
 
 
 def _term_tokens(terms: DataFrame) -> DataFrame:
@@ -48,27 +55,26 @@ def _term_tokens(terms: DataFrame) -> DataFrame:
 def search_terms(ads: DataFrame, terms: DataFrame, key: str, title: str, description: str | None = None) -> DataFrame:
     """One search per term over all ads: ``(key, term_id, term)`` for every hit.
 
-    ``terms`` is ``(term_id, term)``. A term table that counts at most ``INLINE_TERMS`` rows becomes one array
-    value tested inside each ad's row. A larger one joins on equality: every word of an ad yields its prefixes of
-    the lengths in use, which meet the tokens without a candidate that fails; terms without tokens join on the
-    grams of their own text.
+    ``terms`` is ``(term_id, term)``. Up to ``INLINE_TERMS`` terms become conditions tested in one pass over each
+    ad. A larger table joins on equality: every word of an ad yields its prefixes of the lengths in use, which meet
+    the tokens without a candidate that fails; terms without tokens join on the grams of their own text.
     """
-    body = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))) if description else F.coalesce(title, F.lit(""))
-    prepared = _term_tokens(terms)
-    if terms.limit(INLINE_TERMS + 1).count() <= INLINE_TERMS:
-        return _search_inline(ads, prepared, key, body)
-    return _search_joined(ads, prepared, key, body)
-
-
-def _search_inline(ads: DataFrame, prepared: DataFrame, key: str, body: Column) -> DataFrame:
-    listed = prepared.agg(F.collect_list(F.struct("term_id", "term", "_needle", "_tokens")).alias("t"))
-    split = ads.select(key, F.array_distinct(X.words(body)).alias("_words"), F.lower(body).alias("_low"), listed.scalar().alias("_terms"))
-
-    def hit(t: Column) -> Column:
-        worded = F.exists("_words", lambda w: F.exists(t["_tokens"], lambda k: w.startswith(k)))
-        return F.when(F.size(t["_tokens"]) > 0, worded).otherwise(F.contains("_low", t["_needle"]))
-
-    return split.select(key, F.explode(F.filter("_terms", hit)).alias("t")).select(key, "t.term_id", "t.term")
+    body = _body(F.col(title), F.col(description)) if description else F.coalesce(title, F.lit(""))
+    listed = terms.select("term_id", "term").limit(INLINE_TERMS + 1).collect()
+    if len(listed) <= INLINE_TERMS:
+        return _search_inline(ads, terms.schema, listed, key, body)
+    return _search_joined(ads, _term_tokens(terms), key, body)
+
+
+def _search_inline(ads: DataFrame, schema, listed: list, key: str, body: Column) -> DataFrame:
+    low = F.col("_low")
+    hits = [
+        F.when(query_match(low, row["term"]), F.struct(F.lit(row["term_id"]).cast(schema["term_id"].dataType).alias("term_id"), F.lit(row["term"]).alias("term")))
+        for row in listed
+        if row["term"]
+    ]
+    split = ads.select(key, F.lower(body).alias("_low"))
+    return split.select(key, F.inline(F.array_compact(F.array(*hits))))
 
 
 def _search_joined(ads: DataFrame, prepared: DataFrame, key: str, body: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -45,3 +45,12 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 def checkpoint_folder(spark: SparkSession, default: str | None = None) -> str | None:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; ``default`` only where it is unset."""
     return spark.conf.get("spark.checkpoint.dir", None) or default
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a table that is read by fewer tasks than there are cores, before costly work per row.
+
+    A large table already has more splits than cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

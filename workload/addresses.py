@@ -128,14 +128,14 @@ links AS (
 
 @query("page_links", f"WITH {_LINKS} SELECT * FROM links")
 def page_links(spark, sf):
-    pages = V.table(spark, sf, "pages").select("page_id", "url", "html")
+    pages = V.spread(spark, sf, "pages").select("page_id", "url", "html")
     return extract.page_links(pages).select("page_id", "position", "href", "link")
 
 
 @query("next_frontier", f"""WITH {_LINKS}
 SELECT link, min(page_id) AS page_id, arg_min(position, (page_id, position)) AS position FROM links WHERE link NOT IN (SELECT url FROM pages) GROUP BY 1""")
 def next_frontier(spark, sf):
-    pages = V.table(spark, sf, "pages").select("page_id", "url", "html")
+    pages = V.spread(spark, sf, "pages").select("page_id", "url", "html")
     return extract.next_frontier(extract.page_links(pages), pages, ["page_id", "position"])
 
 

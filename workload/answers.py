@@ -28,7 +28,7 @@ SELECT event_id, event_id % 5 < 4 AS ok, CASE WHEN event_id % 5 < 4 THEN least(1
        CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN 'contrefacon' ELSE 'aucune' END AS category,
        CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN '' ELSE event_type END AS rationale FROM events""")
 def score_responses(spark, sf):
-    return V.table(spark, sf, "events").select("event_id", R.score_response(_answer()).alias("r")).select("event_id", "r.*")
+    return V.spread(spark, sf, "events").select("event_id", R.score_response(_answer()).alias("r")).select("event_id", "r.*")
 
 
 @query("terms_responses", """
@@ -40,7 +40,7 @@ def terms_responses(spark, sf):
         F.when(shape == 0, F.concat(F.lit('{"termes": [" '), F.upper("event_type"), F.lit('", "lot", "Lot ", ""], "categories": ["Arme", "autre", "tabac", "arme"]}')))
         .when(shape == 1, '{"terms": ["A b"], "categorie": "CITES"}').otherwise("{}")
     )
-    return V.table(spark, sf, "events").select(
+    return V.spread(spark, sf, "events").select(
         "event_id", F.array_join(R.terms_response(raw), ",").alias("terms"), F.array_join(R.categories_response(raw), ",").alias("categories")
     )
 
@@ -55,7 +55,7 @@ def _explored(spark, sf):
     )
     listed = F.concat(F.lit("Vu [3 pages] : "), F.to_json(F.array(ad)), F.lit(" fin [1]"))
     raw = F.when(shape == 0, listed).when(shape == 1, "Rien : []").when(shape == 2, 'Voir [{"title": ""}]').otherwise(F.translate("text", "[]", ""))
-    return V.table(spark, sf, "conversations").select(
+    return V.spread(spark, sf, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("session_id"), F.col("turn").alias("run_id"), F.col("role").alias("site"), F.lit("p").alias("platform"),
         F.lit("https://s.test").alias("base_url"), raw.alias("raw"),
     )
@@ -86,7 +86,7 @@ def parsed_ads(spark, sf):
         F.lit('Réponse ```\n{"title": "'), F.col("p_name"), F.lit('", "price_amount": '), price, F.lit(', "price_currency": '),
         F.when(F.col("p_size") % 2 == 0, '"chf"').otherwise("null"), F.lit("}"),
     )
-    return V.table(spark, sf, "part").select("p_partkey", R.parsed_ad(raw).alias("a")).select("p_partkey", "a.title", "a.price_amount", "a.price_currency")
+    return V.spread(spark, sf, "part").select("p_partkey", R.parsed_ad(raw).alias("a")).select("p_partkey", "a.title", "a.price_amount", "a.price_currency")
 
 
 @query("score_keywords", """
@@ -95,7 +95,7 @@ SELECT doc_id, category, CASE WHEN category = 'aucune' THEN 0.0::DOUBLE ELSE 1.0
     "{cases}", " ".join("WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{code}'" for code, words in fixed.KEYWORDS.items())
 ))
 def score_keywords(spark, sf):
-    ads = V.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("description"))
+    ads = V.spread(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("description"))
     return S.score_batch(ads, "system", "keywords", "score_v1").select("doc_id", "category", "suspicion_score", "prompt_hash")
 
 

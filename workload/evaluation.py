@@ -34,7 +34,7 @@ rows AS (SELECT * FROM ads JOIN truth USING (id) JOIN results USING (id))"""
 
 
 def _results(spark, sf):
-    docs = V.table(spark, sf, "documents")
+    docs = V.spread(spark, sf, "documents")
     first = F.col("source").isin("src1", "src2", "src3", "src4", "src5")
     found = E.detect_keywords(docs, F.col("text"), LISTS)
     return found.select(
@@ -67,7 +67,7 @@ def _rows(spark, sf):
 
 @query("keyword_detect", f"WITH ads AS (SELECT doc_id, lower(text) AS low FROM documents) SELECT doc_id, {_CATEGORY_SQL} AS kw_category, ({' OR '.join(_hit_sql(w) for w in LISTS.values())}) AS kw_flag FROM ads")
 def keyword_detect(spark, sf):
-    return E.detect_keywords(V.table(spark, sf, "documents"), F.col("text"), LISTS).select("doc_id", "kw_category", "kw_flag")
+    return E.detect_keywords(V.spread(spark, sf, "documents"), F.col("text"), LISTS).select("doc_id", "kw_category", "kw_flag")
 
 
 @query("eval_rows", f"WITH {_BASE} SELECT id, suspect, categorie, difficulte, llm_score, llm_category, kw_flag, kw_category FROM rows")

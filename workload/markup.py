@@ -42,7 +42,7 @@ def product_ads(spark, sf):
         F.lit('<html><script type="application/ld+json">not json</script><script type="application/ld+json">{"@type":"WebPage"}</script>'),
         F.lit("<script type='application/ld+json'>\n"), block, F.lit("\n</script></html>"),
     )
-    pages = V.table(spark, sf, "part").select("p_partkey", F.lit("https://shop.test/page").alias("url"), html.alias("html"))
+    pages = V.spread(spark, sf, "part").select("p_partkey", F.lit("https://shop.test/page").alias("url"), html.alias("html"))
     return extract.product_ads(pages)
 
 
@@ -59,7 +59,7 @@ def _detail_page():
 SELECT p_partkey, p_partkey::VARCHAR AS external_id, p_name || ' & co' AS title, floor(p_retailprice)::DOUBLE AS price_amount, 'CHF' AS price_currency, 'tutti' AS platform,
        p_brand AS seller, p_type AS location, 'Afinething' AS description FROM part""")
 def detail_ads(spark, sf):
-    pages = V.table(spark, sf, "part").select("p_partkey", _detail_page().alias("html"))
+    pages = V.spread(spark, sf, "part").select("p_partkey", _detail_page().alias("html"))
     return extract.detail_ads(pages)
 
 
@@ -76,7 +76,7 @@ def result_cards(spark, sf):
         ),
     )
     html = F.concat(F.lit("<body><div class='listing-list'>"), F.array_join(card, ""), F.lit("</div></body>"))
-    pages = V.table(spark, sf, "part").select("p_partkey", F.lit("https://m.test/search").alias("url"), html.alias("html"))
+    pages = V.spread(spark, sf, "part").select("p_partkey", F.lit("https://m.test/search").alias("url"), html.alias("html"))
     return extract.result_cards(pages).drop("page_url")
 
 
@@ -84,7 +84,7 @@ _SELECTORS = {"title": "article h1", "price": ".ad", "description": "title", "_l
 
 
 def _crawled(spark, sf):
-    return V.table(spark, sf, "pages").select(
+    return V.spread(spark, sf, "pages").select(
         "page_id", "url", "html", F.when(F.col("url").startswith("https"), "secure").otherwise("plain").alias("platform")
     )
 

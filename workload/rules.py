@@ -58,13 +58,13 @@ SELECT vec_id, rank::INTEGER AS rank, rule_id, printf('%.3f', c)::DOUBLE AS scor
 
 @query("rule_topk", "WITH " + _RULES_SQL)
 def rule_topk(spark, sf):
-    queries = V.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    queries = V.spread(spark, sf, "embeddings").select("vec_id", "embedding")
     return retrieve.retrieve_rules(queries, _label_rules(spark, sf), "vec_id", 3, 0.2).drop("cosine")
 
 
 @query("rule_topk_blocked", "WITH " + _RULES_SQL)
 def rule_topk_blocked(spark, sf):
-    queries = V.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    queries = V.spread(spark, sf, "embeddings").select("vec_id", "embedding")
     return retrieve.retrieve_rules(queries, _label_rules(spark, sf), "vec_id", 3, 0.2, inline_floats=0, block_floats=200).drop("cosine")
 
 

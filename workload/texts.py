@@ -19,13 +19,13 @@ _SPACE = X.SPACE
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'),
   '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '{_SPACE}+', ' ', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM pages""")
 def html_text(spark, sf):
-    return V.table(spark, sf, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+    return V.spread(spark, sf, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
 @query("term_filter", """
 SELECT doc_id FROM documents WHERE contains(lower(text), 'tion the') OR contains(lower(text), 'für') OR contains(lower(text), 'eauou')""")
 def term_filter(spark, sf):
-    docs = V.table(spark, sf, "documents")
+    docs = V.spread(spark, sf, "documents")
     return search.matching_terms(docs, ["Tion The", "", "für", "EAUOU"], F.lit(None).cast("string"), F.col("text")).select("doc_id")
 
 
@@ -35,13 +35,13 @@ _WORDS = f"list_distinct(regexp_extract_all(lower(text), '{fixed.SEARCH_WORD}'))
 @query("prefix_search", f"""
 SELECT doc_id FROM documents WHERE len(list_filter({_WORDS}, lambda w: starts_with(w, 'tion') OR starts_with(w, 'eauo'))) > 0""")
 def prefix_search(spark, sf):
-    docs = V.table(spark, sf, "documents")
+    docs = V.spread(spark, sf, "documents")
     return search.prefix_search(docs, "les Tion, eauo de", F.lit(""), F.col("text")).select("doc_id")
 
 
 @query("prefix_search_plain", "SELECT doc_id FROM documents WHERE contains(lower(text), 'de la')")
 def prefix_search_plain(spark, sf):
-    docs = V.table(spark, sf, "documents")
+    docs = V.spread(spark, sf, "documents")
     return search.prefix_search(docs, "De la", F.lit(""), F.col("text")).select("doc_id")
 
 
@@ -65,7 +65,7 @@ hits AS (
 
 
 def _docs(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", "text")
+    return V.spread(spark, sf, "documents").select("doc_id", "text")
 
 
 @query("search_terms", f"WITH {_TERMS_SQL} SELECT * FROM hits")
@@ -103,7 +103,7 @@ _CENTS = "lpad((round(l_extendedprice * 100)::BIGINT % 100)::VARCHAR, 2, '0')"
 @query("price_strict", f"SELECT l_orderkey, l_linenumber, l_partkey, ({_WHOLE})::DOUBLE AS amount, 'CHF' AS currency FROM lineitem")
 def price_strict(spark, sf):
     text = F.concat(F.lit("Prix : "), F.replace(F.format_number(F.floor("l_extendedprice"), 0), F.lit(","), F.lit(" ")), F.lit(" chf"))
-    return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", P.strict_price(text).alias("p")).select(
+    return V.spread(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", P.strict_price(text).alias("p")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "p.*"
     )
 
@@ -113,7 +113,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, (round(l_extendedprice * 100)::BIGIN
        CASE WHEN l_returnflag = 'A' THEN 'EUR' END AS currency FROM lineitem""")
 def price_tolerant(spark, sf):
     text = F.concat(_thousands(F.col("l_extendedprice")), F.when(F.col("l_returnflag") == "A", " EUR").otherwise(" "))
-    return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", P.tolerant_price(text).alias("p")).select(
+    return V.spread(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", P.tolerant_price(text).alias("p")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "p.*"
     )
 
@@ -123,7 +123,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, (round(l_extendedprice * 100)::BIGIN
        (round(l_extendedprice * 100)::BIGINT // 100 || '.' || {_CENTS})::DOUBLE AS structured FROM lineitem""")
 def price_loose(spark, sf):
     text = _thousands(F.col("l_extendedprice"))
-    return V.table(spark, sf, "lineitem").select(
+    return V.spread(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", P.loose_amount(F.concat(F.lit("env "), text, F.lit(" -"))).alias("loose"),
         P.structured_amount(text).alias("structured"),
     )
@@ -187,7 +187,7 @@ def record_problems(spark, sf):
 def page_titles(spark, sf):
     from adwatch.operators.extract import page_title
 
-    return V.table(spark, sf, "pages").select("page_id", page_title(F.col("html")).alias("title"))
+    return V.spread(spark, sf, "pages").select("page_id", page_title(F.col("html")).alias("title"))
 
 
 @query("expanded_terms", """

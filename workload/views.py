@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adwatch import fixed
 from adwatch.functions.hashing import content_hash
+from adwatch.session import widen
 
 
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A driver table for work that is costly per row."""
+    return widen(table(spark, sf, name))
+
+
 def stamp(c: Column | str) -> Column:
     """Timestamp as text, for comparison with other engines."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
