@@ -36,10 +36,13 @@ def verify_chains(entries: DataFrame, chain: str = "chain", seq: str = "seq", bu
     An entry is bad when its ``prev_hash`` differs from the stored hash before it or its ``entry_hash`` from the
     recomputed one. Entries are compared inside stretches of the sequence, so one global chain spreads over tasks.
     """
-    stretch = bucket if bucket is not None else F.floor(F.col(seq) / CHECK_WIDTH)
-    linked = with_previous(
-        entries.select(chain, seq, "prev_hash", "entry_hash", "canonical"), [chain], [seq], stretch, {"entry_hash": "_before"}
-    )
+    return _verify(entries, chain, [seq], bucket if bucket is not None else F.floor(F.col(seq) / CHECK_WIDTH)).drop("error")
+
+
+def _verify(entries: DataFrame, chain: str, order: list[str], stretch: Column, error: Column | None = None) -> DataFrame:
+    error = error if error is not None else F.lit(None).cast("string")
+    narrow = entries.select(chain, *order, "prev_hash", "entry_hash", "canonical", error.alias("error"))
+    linked = with_previous(narrow, [chain], order, stretch, {"entry_hash": "_before"})
     good = F.col("prev_hash").eqNullSafe(F.col("_before")) & F.col("entry_hash").eqNullSafe(
         entry_hash(F.col("_before"), F.col("canonical"))
     )
@@ -47,7 +50,18 @@ def verify_chains(entries: DataFrame, chain: str = "chain", seq: str = "seq", bu
         F.count_if(~good).alias("_bad"),
         F.min(F.when(~good, F.col("position"))).alias("first_bad"),
         F.count(F.lit(1)).alias("count"),
-    ).select(chain, (F.col("_bad") == 0).alias("ok"), "first_bad", "count")
+        F.min("error").alias("error"),
+    ).select(chain, (F.col("_bad") == 0).alias("ok"), "first_bad", "count", "error")
+
+
+def verify_logs(lines: DataFrame) -> DataFrame:
+    """Verdict per log file as read by ``read_sealed_logs``; a file with an unreadable line carries it as ``error``.
+
+    Splits of a file are the stretches, so the check runs where the lines were read in.
+    """
+    checked = _verify(with_canonical(lines, detail_is_canonical=False), "chain", ["block", "line"], F.col("block"), F.col("error"))
+    whole = F.col("error").isNull()
+    return checked.select("chain", (F.col("ok") & whole).alias("ok"), F.when(whole, F.col("first_bad")).alias("first_bad"), "count", "error")
 
 
 def seal_entries(entries: DataFrame, chain: str = "chain", seq: str = "seq", heads: DataFrame | None = None) -> DataFrame:
