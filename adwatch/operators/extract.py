@@ -21,6 +21,7 @@ from adwatch.functions.price import strict_price, structured_amount, tolerant_pr
 from adwatch.functions.text import after_colon, fold, strip, unescape, visible_html
 from adwatch.operators.checks import missing_fields
 from adwatch.operators.ordering import earliest, first_n
+from adwatch.operators.skew import lookup_join
 
 CARD_SCOPE = ".listing-card"
 CARD_FIELDS = {
@@ -143,9 +144,10 @@ def merge_candidate(broken: Column, proposed: Column) -> Column:
 def extract_fields(pages: DataFrame, versions: DataFrame) -> DataFrame:
     """Apply each platform's selector map to its pages; adds ``fields`` (map of text) and drops ``html``.
 
-    ``versions`` holds one row per platform, so Spark broadcasts it when its measured size allows.
+    ``versions`` holds one row per platform. Pages stay where they were read unless that table is large.
     """
-    paired = pages.join(versions.select("platform", F.to_json(field_selectors(F.col("selectors"))).alias("_spec")), "platform")
+    specs = versions.select("platform", F.to_json(field_selectors(F.col("selectors"))).alias("_spec"))
+    paired = lookup_join(pages, specs, ["platform"])
     return paired.select(
         *[c for c in pages.columns if c != "html"],
         F.from_json(_pick_fields("html", "_spec"), "map<string,string>").alias("fields"),
@@ -323,8 +325,7 @@ def capped_listing_links(
         .agg(F.min("page_no").alias("_stop"))
     )
     open_cards = (
-        cards.where(F.col("page_no") <= max(1, max_pages))
-        .join(stop, run, "left")
+        lookup_join(cards.where(F.col("page_no") <= max(1, max_pages)), stop, [run], "left")
         .where(F.col("_stop").isNull() | (F.col("page_no") < F.col("_stop")))
     )
     first = earliest(open_cards, [run, "link"], ["page_no", "position"], ["page_no", "position"])

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adwatch.operators.ordering import earliest, with_previous
+from adwatch.operators.ordering import earliest, time_stretch, with_previous
 
 KEY = ("platform", "external_id")
 ORDER = ("observed_at", "seq")
@@ -72,9 +72,10 @@ def content_changes(
 ) -> DataFrame:
     """Every appearance with the previous content hash and whether the content changed.
 
-    Groups are (ad, hour) by default, so an ad seen very often is still spread over tasks.
+    Groups are (ad, stretch of time) with the stretch measured on the data, so an ad seen very often is still spread
+    over tasks.
     """
-    bucket = bucket if bucket is not None else F.date_trunc("hour", order[0])
+    bucket = bucket if bucket is not None else time_stretch(observations, keys, order[0])
     seen = with_previous(observations, keys, order, bucket, {"content_hash": "previous_hash"})
     first = F.col("position") == 0
     return seen.withColumn("is_first", first).withColumn(

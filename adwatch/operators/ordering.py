@@ -68,6 +68,25 @@ def with_previous(
     )
 
 
+STRETCHES = ("day", "hour", "minute", "second")
+GROUP_ROWS = 2_000_000
+
+
+def time_stretch(df: DataFrame, keys: Sequence[str], time: str, most_rows: int = GROUP_ROWS) -> Column:
+    """The longest calendar unit in which no key has more than ``most_rows`` rows, as a bucket for ``time``.
+
+    Counted once per minute; the longer units are sums of that table.
+    """
+    counts = df.groupBy(*keys, F.date_trunc("minute", time).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    widest = []
+    for unit in ("minute", "hour", "day"):
+        counts = counts.groupBy(*keys, F.date_trunc(unit, "_t").alias("_t")).agg(F.sum("_n").alias("_n"))
+        widest.append(counts.agg(F.lit(unit).alias("unit"), F.coalesce(F.max("_n"), F.lit(0)).alias("rows")))
+    sizes = {r["unit"]: r["rows"] for r in widest[0].unionByName(widest[1]).unionByName(widest[2]).collect()}
+    unit = next((u for u in STRETCHES[:3] if sizes[u] <= most_rows), "second")
+    return F.date_trunc(unit, time)
+
+
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
     """The first ``n`` rows per key. Spark cuts every task to ``n`` rows per key before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adwatch.functions.display import tolerant_score
 from adwatch.operators.ordering import latest
+from adwatch.operators.skew import lookup_join, spread_join
 
 LISTING_COLUMNS = ("title", "price_amount", "price_currency", "url", "last_seen_at", "seller_label")
 
@@ -44,7 +45,7 @@ def _reviewed(df: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def _with_mode(df: DataFrame, runs: DataFrame) -> DataFrame:
-    return df.join(runs.select("run_id", F.col("mode").alias("run_mode")), "run_id", "left").drop("run_id")
+    return lookup_join(df, runs.select("run_id", F.col("mode").alias("run_mode")), ["run_id"], "left").drop("run_id")
 
 
 def queue_history(
@@ -76,8 +77,10 @@ def queue_run(
     """Scores of one run (or of every run) with their ads. An ad scored twice in a run stands twice."""
     asked = scores if run_id is None else scores.where(F.col("run_id") == run_id)
     asked = _wanted(asked.select("score_id", "listing_id", "run_id", "category", "suspicion_score"), min_score, category)
-    joined = _reviewed(_named(asked.join(_ad(listings), "listing_id"), platforms), feedback)
-    return joined.join(runs.select("run_id", F.col("mode").alias("run_mode")), "run_id", "left")
+    # Everything with one row per ad comes together first; the scores, where an ad may be hot, join once.
+    cards = _reviewed(_named(_ad(listings), platforms), feedback)
+    modes = runs.select("run_id", F.col("mode").alias("run_mode"))
+    return lookup_join(spread_join(asked, cards, ["listing_id"]), modes, ["run_id"], "left")
 
 
 def queue_order(order: str, last_seen: str = "last_seen_at") -> list[Column]:
@@ -107,7 +110,7 @@ def pending_cases(feedback: DataFrame, ingested: DataFrame, listings: DataFrame)
     """Confirmed decisions not ingested yet, with their ads."""
     waiting = feedback.where(F.col("decision") == "confirme").join(ingested.select("feedback_id"), "feedback_id", "left_anti")
     ads = listings.select("listing_id", "platform_id", "external_id", "title", "description", "structured")
-    return waiting.select("feedback_id", "listing_id", "score_id", "category_corrected", "decided_at").join(ads, "listing_id")
+    return spread_join(waiting.select("feedback_id", "listing_id", "score_id", "category_corrected", "decided_at"), ads, ["listing_id"])
 
 
 def confirmed_cases(feedback: DataFrame, listings: DataFrame, platforms: DataFrame, scores: DataFrame) -> DataFrame:
@@ -116,7 +119,7 @@ def confirmed_cases(feedback: DataFrame, listings: DataFrame, platforms: DataFra
     confirmed = feedback.where(F.col("decision") == "confirme").select(
         "feedback_id", "listing_id", "score_id", "decision", "category_corrected", "comment", "decided_at", "investigator_ref"
     )
-    joined = _named(confirmed.join(ads, "listing_id"), platforms, "left")
+    joined = spread_join(confirmed, _named(ads, platforms, "left"), ["listing_id"])
     return joined.join(scores.select("score_id", "category", "suspicion_score"), "score_id", "left")
 
 
@@ -127,7 +130,7 @@ def run_listings(scores: DataFrame, listings: DataFrame, platforms: DataFrame) -
         F.col("structured.location").alias("location"),
     )
     asked = scores.select("run_id", "score_id", "listing_id", "category", "suspicion_score", "rationale")
-    return _named(asked.join(ads, "listing_id"), platforms)
+    return spread_join(asked, _named(ads, platforms), ["listing_id"])
 
 
 def newest_first(df: DataFrame, time: str, tie: str, n: int | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from adwatch import fixed
 from adwatch.functions.numbers import round_even
+from adwatch.operators.skew import lookup_join
 
 INLINE_FLOATS = 4_000_000
 BLOCK_FLOATS = 1_000_000
@@ -138,7 +139,7 @@ def _retrieve_blocked(
 
 def rule_titles(hits: DataFrame, rules: DataFrame, query_id: str = "query_id") -> DataFrame:
     """Per query the retrieved rules as an array of structs, nearest first, and their titles."""
-    named = hits.join(rules.select("rule_id", "title", "category", "source", "text"), "rule_id")
+    named = lookup_join(hits, rules.select("rule_id", "title", "category", "source", "text"), ["rule_id"])
     nearest = F.array_sort(F.collect_list(F.struct("rank", "title", "category", "source", "text")))
     return named.groupBy(query_id).agg(nearest.alias("rules")).withColumn(
         "rag_refs", F.transform("rules", lambda r: r["title"])

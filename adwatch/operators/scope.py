@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from adwatch import fixed
 from adwatch.functions import url as U
 from adwatch.operators.ordering import first_n
+from adwatch.operators.skew import lookup_join
 
 
 def _domains(allowlist: Iterable[str]) -> list[str]:
@@ -71,7 +72,7 @@ def in_domain_table(pages: DataFrame, allowlist: DataFrame, url: str = "url", do
         .join(domains, "_domain", "left_semi")
         .select("_host").distinct()
     )
-    return named.join(hosts, "_host", "left_semi").drop("_host")
+    return lookup_join(named, hosts, ["_host"]).drop("_host")
 
 
 def within_budget(requests: DataFrame, session: Sequence[str], order: Sequence[str], budget: int) -> DataFrame:

@@ -14,6 +14,8 @@ from adwatch.functions.display import ad_query_text
 from adwatch.functions.hashing import content_hash
 from adwatch.functions.text import blank as blank_text
 from adwatch.operators import checks, extract, retrieve, score, scope, search
+from adwatch.operators.skew import lookup_join
+from adwatch.session import settled
 
 AD_COLUMNS = ("external_id", "url", "title", "price_amount", "price_currency", "seller", "location", "description")
 
@@ -32,10 +34,10 @@ def surveillance_ads(
     platform are held back, incomplete and nameless ones are dropped, and the terms filter what is left.
     """
     coded = F.col("platform").isin(list(json_ld))
-    checked = extract.selector_ads(extract.extract_fields(pages.where(~coded), versions))
+    checked = settled(extract.selector_ads(extract.extract_fields(pages.where(~coded), versions)))
     verdict = extract.break_rate(checked, ["page_no"], keys=("run_id", "platform"))
     sound = verdict.where(~F.col("is_broken")).select("run_id", "platform")
-    by_selectors = checked.where(F.size("missing") == 0).join(sound, ["run_id", "platform"], "left_semi")
+    by_selectors = lookup_join(checked.where(F.size("missing") == 0), sound, ["run_id", "platform"])
     columns = ["run_id", "platform", "page_no", *AD_COLUMNS]
     ads = by_selectors.select(*columns)
     if json_ld:

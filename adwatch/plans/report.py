@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from adwatch import fixed
 from adwatch.functions.display import run_narrative, tolerant_score
 from adwatch.functions.numbers import round_even
+from adwatch.operators.skew import lookup_join
 
 
 def _code() -> Column:
@@ -64,7 +65,7 @@ def report_ads(ads: DataFrame, runs: DataFrame) -> DataFrame:
     """Report lines of all runs; ``priority`` 0 marks a target category. See :func:`report_order`."""
     targeted = runs.select("run_id", F.col("params.target_categories").alias("_targets"))
     links = site_links(runs)
-    joined = ads.join(targeted, "run_id", "left").join(links, ["run_id", "platform"], "left")
+    joined = lookup_join(lookup_join(ads, targeted, ["run_id"], "left"), links, ["run_id", "platform"], "left")
     first = F.coalesce(F.array_contains("_targets", F.col("category")), F.lit(False))
     has_url = F.col("url").isNotNull() & (F.col("url") != "")
     score = tolerant_score(F.col("suspicion_score"))

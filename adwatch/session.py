@@ -12,8 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -54,3 +52,12 @@ def widen(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write a costly table once to the session's checkpoint folder before several readers use it.
+
+    The checkpoint lies in shared storage, so a lost executor does not bring the work back. Without a folder the
+    table stays lazy.
+    """
+    return df if df.sparkSession.sparkContext.getCheckpointDir() is None else df.checkpoint()

@@ -42,9 +42,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_reports(headers: DataFrame, ads: DataFrame, path: str) -> None:
     """Reports by run: ``headers/run_id=N`` holds the document head, ``ads/run_id=N`` its ordered lines."""
-    headers.write.mode("overwrite").partitionBy("run_id").json(f"{path}/headers")
+    headers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{path}/headers")
     ordered = ads.orderBy("run_id", "priority", F.desc("exact_score"), "score_id")
-    ordered.write.mode("overwrite").partitionBy("run_id").json(f"{path}/ads")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{path}/ads")
 
 
 def export_cases(cases: DataFrame, path: str) -> None:

@@ -326,3 +326,28 @@ def test_null_safe_dimension(spark):
     assert [(r.prompt_version, r.prompt_hash) for r in fresh] == [("v", None)]
     again = R.new_dimension_rows(rows.limit(2), known, R.MODEL_KEY, "model_version_id").collect()
     assert again[0].model_version_id == fresh[0].model_version_id
+
+
+# --- skew ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_plain_join(spark, how):
+    """A hot key, a null key and a key without a match."""
+    from adwatch.operators import skew
+
+    rows = [(i, "hot") for i in range(200)] + [(200 + i, f"k{i % 7}") for i in range(50)] + [(300, None), (301, "none")]
+    facts = spark.createDataFrame(rows, "id int, k string")
+    table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(9)], "k string, v int")
+    hot = {r.k: r._parts for r in skew.hot_keys(facts, ["k"], most=10, least_rows=5).collect()}
+    assert hot == {"hot": 8}
+    plain = sorted(map(tuple, facts.join(table, "k", how).select("id", "k", "v").collect()))
+    for joined in (skew.spread_join(facts, table, ["k"], how, most=10, least_rows=5), skew.lookup_join(facts, table, ["k"], how),
+                   skew.lookup_join(facts, table, ["k"], how, small_rows=3)):
+        assert sorted(map(tuple, joined.select("id", "k", "v").collect())) == plain
+
+
+def test_time_stretch_follows_the_hottest_key(spark):
+    rows = spark.range(500).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id") * 30).alias("t"))
+    names = {most: O.time_stretch(rows, ["k"], "t", most)._jc.toString() for most in (1000, 200, 3, 1)}
+    assert ["day" in names[1000], "hour" in names[200], "minute" in names[3], "second" in names[1]] == [True] * 4

@@ -47,15 +47,20 @@ def seal_continued(spark, sf):
     return A.chain_heads(A.seal_entries(entries, heads=heads))
 
 
-@query("verify_chain", "SELECT conv_id AS chain, true AS ok, NULL::BIGINT AS first_bad, count(*) AS count FROM conversations GROUP BY 1")
+def _verdict(df):
+    """-1 for no bad entry."""
+    return df.withColumn("first_bad", F.coalesce("first_bad", F.lit(-1)))
+
+
+@query("verify_chain", "SELECT conv_id AS chain, true AS ok, -1::BIGINT AS first_bad, count(*) AS count FROM conversations GROUP BY 1")
 def verify_chain(spark, sf):
-    return A.verify_chains(A.seal_entries(_entries(spark, sf)))
+    return _verdict(A.verify_chains(A.seal_entries(_entries(spark, sf))))
 
 
 @query("verify_tampered", """
 WITH n AS (SELECT conv_id AS chain, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
 SELECT chain, chain % 4 = 3 OR (chain % 4 = 2 AND max(n) <= 1) AS ok,
-       CASE chain % 4 WHEN 3 THEN NULL WHEN 0 THEN 0 WHEN 1 THEN max(n) - 1 ELSE CASE WHEN max(n) > 1 THEN least(1, max(n) - 1) END END::BIGINT AS first_bad,
+       coalesce(CASE chain % 4 WHEN 3 THEN NULL WHEN 0 THEN 0 WHEN 1 THEN max(n) - 1 ELSE CASE WHEN max(n) > 1 THEN least(1, max(n) - 1) END END, -1)::BIGINT AS first_bad,
        CASE WHEN chain % 4 = 2 AND max(n) > 2 THEN max(n) - 1 ELSE max(n) END::BIGINT AS count
 FROM n GROUP BY chain HAVING NOT (chain % 4 = 2 AND max(n) = 2)""")
 def verify_tampered(spark, sf):
@@ -70,7 +75,7 @@ def verify_tampered(spark, sf):
         rows.withColumn("canonical", F.when((kind == 0) & (F.col("seq") == F.col("_low")), F.concat("canonical", F.lit(" "))).otherwise(F.col("canonical")))
         .withColumn("entry_hash", F.when((kind == 1) & (F.col("seq") == top), F.reverse("entry_hash")).otherwise(F.col("entry_hash")))
     )
-    return A.verify_chains(changed)
+    return _verdict(A.verify_chains(changed))
 
 
 @query("verify_segments", """
@@ -129,9 +134,9 @@ def session_footer(spark, sf):
 
 
 @query("session_seal", """
-SELECT o_orderkey::VARCHAR AS chain, true AS ok, NULL::BIGINT AS first_bad, o_orderkey % 4 + 2 AS count FROM orders""")
+SELECT o_orderkey::VARCHAR AS chain, true AS ok, -1::BIGINT AS first_bad, o_orderkey % 4 + 2 AS count FROM orders""")
 def session_seal(spark, sf):
-    return A.verify_chains(A.seal_entries(A.with_canonical(A.session_entries(_sessions(spark, sf)))))
+    return _verdict(A.verify_chains(A.seal_entries(A.with_canonical(A.session_entries(_sessions(spark, sf))))))
 
 
 _ACTIONS = V.ctes(V.SCORES, V.FEEDBACK, V.INGESTED, V.RUNS, V.OBSERVATIONS) + f""",
@@ -155,9 +160,10 @@ def _actions(spark, sf):
     return A.action_events(runs, runs, marked, V.scores(spark, sf), V.feedback(spark, sf), ingested)
 
 
-@query("action_events", _ACTIONS + f"SELECT run_id, listing_id, actor, action, detail, {V.stamp_sql('moment')} AS stamp FROM actions")
+@query("action_events", _ACTIONS + f"SELECT coalesce(run_id, -1) AS run_id, coalesce(listing_id, -1) AS listing_id, actor, action, detail, {V.stamp_sql('moment')} AS stamp FROM actions")
 def action_events(spark, sf):
-    return _actions(spark, sf).select("run_id", "listing_id", "actor", "action", "detail", V.stamp("at").alias("stamp"))
+    run, ad = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("run_id", "listing_id")]
+    return _actions(spark, sf).select(run, ad, "actor", "action", "detail", V.stamp("at").alias("stamp"))
 
 
 @query("audit_tail", _ACTIONS + f"SELECT action, source_id, {V.stamp_sql('moment')} AS stamp FROM actions WHERE action = 'score' ORDER BY moment DESC, source_id DESC LIMIT 100")

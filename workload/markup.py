@@ -107,13 +107,13 @@ def selector_fields(spark, sf):
 
 @query("break_rate", """
 SELECT CASE WHEN url LIKE 'https%' THEN 'secure' ELSE 'plain' END AS platform, count(*) AS total, count(*) FILTER (WHERE url NOT LIKE 'https%') AS broken,
-       url NOT LIKE 'https%' AS is_broken, min(page_id) FILTER (WHERE url NOT LIKE 'https%') AS sample_page_id,
+       url NOT LIKE 'https%' AS is_broken, coalesce(min(page_id) FILTER (WHERE url NOT LIKE 'https%'), -1) AS sample_page_id,
        CASE WHEN url NOT LIKE 'https%' THEN 'price' END AS missing
 FROM pages GROUP BY ALL""")
 def break_rate(spark, sf):
     checked = extract.selector_ads(extract.extract_fields(_crawled(spark, sf), _versions(spark, sf)))
     return extract.break_rate(checked, ["page_id"]).select(
-        "platform", "total", "broken", "is_broken", "sample_page_id", F.array_join("sample_missing", ",").alias("missing")
+        "platform", "total", "broken", "is_broken", F.coalesce("sample_page_id", F.lit(-1)).alias("sample_page_id"), F.array_join("sample_missing", ",").alias("missing")
     )
 
 

@@ -28,10 +28,11 @@ m AS (SELECT coalesce(p.name, s.platform) AS platform, CASE WHEN p.name IS NOT N
       FROM platforms p FULL OUTER JOIN sites s ON s.platform = p.name),
 c AS (SELECT n_name FROM nation WHERE n_regionkey = 0), v AS (SELECT n_name FROM nation WHERE n_regionkey < 2)
 SELECT platform, base_url, in_db, mode_b, CASE WHEN platform IN (FROM c) THEN 'figé (code)' WHEN platform IN (FROM v) THEN 'sélecteurs (réparable)' ELSE '—' END AS kind,
-       platform IN (FROM c) OR platform IN (FROM v) AS extractor_available, CASE WHEN platform IN (FROM v) THEN true END AS active_selectors_present FROM m""")
+       platform IN (FROM c) OR platform IN (FROM v) AS extractor_available, CASE WHEN platform IN (FROM v) THEN 'yes' ELSE '' END AS active_selectors_present FROM m""")
 def registry_merge(spark, sf):
     merged = R.reconcile_registry(V.platforms(spark, sf), _sites(spark, sf), _names(spark, sf, "n_regionkey = 0"), _names(spark, sf, "n_regionkey < 2"))
-    return merged.orderBy(F.desc("extractor_available"), "platform")
+    shown = F.when(F.col("active_selectors_present"), "yes").otherwise("")
+    return merged.withColumn("active_selectors_present", shown).orderBy(F.desc("extractor_available"), "platform")
 
 
 @query("platform_available", "SELECT n_name AS name, n_regionkey = 0 OR n_regionkey = 3 AS extractor_available FROM nation")
@@ -76,11 +77,11 @@ def _dimension(spark, sf):
 
 
 @query("model_version_lookup", f"""WITH {_DIM_SQL}
-SELECT c_custkey, size FROM ({_KEYS_SQL}, c_custkey FROM customer) k LEFT JOIN dim d ON k.agent = d.agent AND k.model_name = d.model_name
+SELECT c_custkey, coalesce(size, 0) AS size FROM ({_KEYS_SQL}, c_custkey FROM customer) k LEFT JOIN dim d ON k.agent = d.agent AND k.model_name = d.model_name
   AND k.prompt_version IS NOT DISTINCT FROM d.prompt_version AND k.prompt_hash IS NOT DISTINCT FROM d.prompt_hash""")
 def model_version_lookup(spark, sf):
     rows = _keys(V.table(spark, sf, "customer"))
-    return R.null_safe_lookup(rows, _dimension(spark, sf), R.MODEL_KEY, "size").select("c_custkey", "size")
+    return R.null_safe_lookup(rows, _dimension(spark, sf), R.MODEL_KEY, "size").select("c_custkey", F.coalesce("size", F.lit(0)).alias("size"))
 
 
 @query("model_version_new", f"""WITH {_DIM_SQL}
@@ -166,11 +167,11 @@ def decided_history(spark, sf):
 
 
 @query("candidates_with_active", f"""WITH {_STATE_SQL}
-SELECT s.version_id, s.platform, a.version_id AS active_version FROM states s LEFT JOIN (SELECT * FROM states WHERE status = 'active') a USING (platform) WHERE s.status = 'rejected'""")
+SELECT s.version_id, s.platform, coalesce(a.version_id, 0) AS active_version FROM states s LEFT JOIN (SELECT * FROM states WHERE status = 'active') a USING (platform) WHERE s.status = 'rejected'""")
 def candidates_with_active(spark, sf):
     versions = _states(spark, sf).withColumn("selectors", F.col("version_id"))
     found = R.candidates_with_active(versions, "rejected")
-    return found.select("version_id", "platform", F.col("active_selectors").alias("active_version"))
+    return found.select("version_id", "platform", F.coalesce("active_selectors", F.lit(0)).alias("active_version"))
 
 
 @query("row_counts", """
