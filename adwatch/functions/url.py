@@ -19,15 +19,20 @@ def authority(url: Column) -> Column:
     return F.regexp_extract(url, _AUTHORITY, 1)
 
 
-def host(url: Column) -> Column:
-    """Lower-case host without user and port, null when there is none.
+def host_text(url: Column) -> Column:
+    """Lower-case host without user and port, empty when there is none.
 
     ``parse_url`` returns null for hosts with an underscore, hence the regex.
     """
     bare = F.regexp_replace(authority(url), "^.*@", "")
     bracketed = F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)
     name = F.when(bare.startswith("["), bracketed).otherwise(F.regexp_extract(bare, "^[^:]*", 0))
-    return F.nullif(F.lower(name), F.lit(""))
+    return F.lower(name)
+
+
+def host(url: Column) -> Column:
+    """The same, null when there is none."""
+    return F.nullif(host_text(url), F.lit(""))
 
 
 def path(url: Column) -> Column:

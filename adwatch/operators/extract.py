@@ -7,19 +7,19 @@ batches; the page text is dropped right after it, before any shuffle.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adwatch import fixed
+from adwatch import fixed, schema
 from adwatch.functions import url as U
 from adwatch.functions.display import compose_location
 from adwatch.functions.price import strict_price, structured_amount, tolerant_price
 from adwatch.functions.text import after_colon, fold, strip, unescape, visible_html
-from adwatch.operators.checks import missing_fields
+from adwatch.operators.checks import identified, missing_fields
 from adwatch.operators.ordering import earliest, first_n
 from adwatch.operators.skew import lookup_join
 
@@ -281,6 +281,22 @@ def product_ads(pages: DataFrame) -> DataFrame:
     )
 
 
+def custom_ads(pages: DataFrame, parser: Callable[[pd.Series, pd.Series], pd.DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Ads of pages no other reader covers: ``parser(urls, htmls)`` returns one ad per page in the same order.
+
+    ``keys`` are the page columns to keep. Pages whose ad has no identity drop out.
+    """
+    kept = pages.select(*keys, "url", "html")
+    out = T.StructType([*[kept.schema[k] for k in keys], *T.StructType.fromDDL(schema.LISTING).fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ads = parser(batch["url"], batch["html"]).reset_index(drop=True)
+            yield pd.concat([batch[list(keys)].reset_index(drop=True), ads], axis=1)[out.names]
+
+    return identified(kept.mapInPandas(run, out))
+
+
 def page_links(pages: DataFrame, css_class: str | None = None, attribute: str | None = None) -> DataFrame:
     """Links of every page in order, made absolute: ``(…, page_url, position, href, link)``.
 

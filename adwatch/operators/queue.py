@@ -12,14 +12,14 @@ from adwatch.operators.skew import lookup_join, spread_join
 LISTING_COLUMNS = ("title", "price_amount", "price_currency", "url", "last_seen_at", "seller_label")
 
 
-def latest_scores(scores: DataFrame) -> DataFrame:
-    """Newest score per ad."""
-    return latest(scores, ["listing_id"], ["scored_at", "score_id"])
+def latest_scores(scores: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of the newest score per ad; no others are read."""
+    return latest(scores, ["listing_id"], ["scored_at", "score_id"], columns)
 
 
-def latest_decisions(feedback: DataFrame) -> DataFrame:
-    """Newest decision per ad."""
-    return latest(feedback, ["listing_id"], ["decided_at", "feedback_id"])
+def latest_decisions(feedback: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of the newest decision per ad."""
+    return latest(feedback, ["listing_id"], ["decided_at", "feedback_id"], columns)
 
 
 def _wanted(df: DataFrame, min_score: float | None, category: str | None) -> DataFrame:
@@ -40,7 +40,7 @@ def _named(df: DataFrame, platforms: DataFrame, how: str = "inner") -> DataFrame
 
 
 def _reviewed(df: DataFrame, feedback: DataFrame) -> DataFrame:
-    decided = latest_decisions(feedback).select("listing_id", F.col("decision").alias("review_decision"))
+    decided = latest_decisions(feedback, "decision").withColumnRenamed("decision", "review_decision")
     return df.join(decided, "listing_id", "left")
 
 
@@ -58,8 +58,7 @@ def queue_history(
     category: str | None = None,
 ) -> DataFrame:
     """All ads with their latest score and latest decision. ``min_score`` also drops ads without a score."""
-    newest = latest_scores(scores.select("listing_id", "scored_at", "score_id", "category", "suspicion_score", "run_id"))
-    newest = _wanted(newest.select("listing_id", "category", "suspicion_score", "run_id"), min_score, category)
+    newest = _wanted(latest_scores(scores, "category", "suspicion_score", "run_id"), min_score, category)
     how = "left" if min_score is None and category is None else "inner"
     return _with_mode(_reviewed(_named(_ad(listings), platforms).join(newest, "listing_id", how), feedback), runs)
 
@@ -98,10 +97,10 @@ def queue_order(order: str, last_seen: str = "last_seen_at") -> list[Column]:
 def listing_detail(listings: DataFrame, platforms: DataFrame, scores: DataFrame, feedback: DataFrame) -> DataFrame:
     """Every ad with its latest score and latest decision as structs, null when there is none."""
     score_fields = ["category", "suspicion_score", "rationale", "rag_refs", "scored_at"]
-    newest = latest_scores(scores.select("listing_id", "score_id", *score_fields))
+    newest = latest_scores(scores, *score_fields)
     newest = newest.select("listing_id", F.struct(*score_fields).alias("score"))
     decision_fields = ["decision", "investigator_ref", "comment", "decided_at"]
-    decided = latest_decisions(feedback.select("listing_id", "feedback_id", *decision_fields))
+    decided = latest_decisions(feedback, *decision_fields)
     decided = decided.select("listing_id", F.struct(*decision_fields).alias("feedback"))
     return _named(listings, platforms).join(newest, "listing_id", "left").join(decided, "listing_id", "left")
 

@@ -19,11 +19,9 @@ def _domains(allowlist: Iterable[str]) -> list[str]:
 
 
 def domain_allowed(url: Column, allowlist: Iterable[str]) -> Column:
-    """Host is an allowed domain or lies below one."""
-    name, allowed = U.host(url), F.lit(False)
-    for domain in _domains(allowlist):
-        allowed = allowed | (name == domain) | name.endswith("." + domain)
-    return F.coalesce(allowed, F.lit(False))
+    """Host is an allowed domain or lies below one. One pattern reads the host once, whatever the length of the list."""
+    domains = "|".join(re.escape(d) for d in _domains(allowlist))
+    return F.coalesce(U.host_text(url).rlike(rf"(^|\.)({domains})$"), F.lit(False)) if domains else F.lit(False)
 
 
 def path_blocked(url: Column, blocklist: Iterable[str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,9 +97,18 @@ def observations(ads: DataFrame, observed_at: Column, seq: Column, source: str |
     )
 
 
-def with_rules(ads: DataFrame, vectors: DataFrame, rules: DataFrame, key: str = "ad_id") -> DataFrame:
-    """Attach the nearest rules. ``vectors`` is ``(ad_id, embedding)`` of each ad's query text."""
-    hits = retrieve.retrieve_rules(vectors, rules.select("rule_id", "embedding"), key)
+def with_rules(
+    ads: DataFrame,
+    vectors: DataFrame,
+    rules: DataFrame,
+    key: str = "ad_id",
+    retriever: Callable[[DataFrame, DataFrame, str], DataFrame] = retrieve.retrieve_rules,
+) -> DataFrame:
+    """Attach the nearest rules. ``vectors`` is ``(ad_id, embedding)`` of each ad's query text.
+
+    Any ``retriever`` that returns ``(ad_id, rank, rule_id)`` can replace the exact search.
+    """
+    hits = retriever(vectors, rules.select("rule_id", "embedding"), key)
     return ads.join(retrieve.rule_titles(hits, rules, key), key, "left")
 
 

@@ -160,3 +160,12 @@ SELECT lo::DOUBLE AS lowest_illicit, hi::DOUBLE AS highest_licit, (lo - hi)::DOU
 FROM (SELECT min(score) FILTER (WHERE suspect) AS lo, max(score) FILTER (WHERE NOT suspect) AS hi FROM scored)""")
 def score_separation(spark, sf):
     return E.separation(_scored(spark, sf))
+
+
+@query("eval_ads", "SELECT p_partkey AS id, p_name AS title, p_type AS description, floor(p_retailprice)::BIGINT AS price_amount, 'CHF' AS price_currency, p_brand AS location FROM part")
+def eval_ads(spark, sf):
+    parts = V.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.floor("p_retailprice").alias("price"),
+        F.lit("CHF").alias("currency"), F.col("p_brand").alias("location"),
+    )
+    return E.eval_ads(parts)

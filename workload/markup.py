@@ -142,3 +142,40 @@ def selector_merge(spark, sf):
     merged = F.array_sort(F.map_entries(extract.merge_candidate(broken, proposed)))
     shown = F.array_join(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return V.table(spark, sf, "supplier").select("s_suppkey", shown.alias("merged"), caps["max_pages"].alias("max_pages"), caps["max_listings"].alias("max_listings"))
+
+
+def _read_titles(urls, htmls):
+    """A stand-in page parser: the page title is the ad."""
+    import pandas as pd
+
+    from adwatch.schema import LISTING
+
+    names = [part.split()[0] for part in LISTING.split(", ")]
+    ads = pd.DataFrame({n: pd.Series([None] * len(urls), dtype="object") for n in names})
+    ads["external_id"], ads["url"] = urls.str.extract(r"/(\d+)(?:[./?#].*)?$")[0], urls
+    ads["title"] = htmls.str.extract(r"<title>(.*?)</title>")[0]
+    ads["price_amount"] = ads["price_amount"].astype("float64")
+    return ads
+
+
+@query("custom_ads", r"""
+SELECT page_id, regexp_extract(url, '/(\d+)(?:[./?#].*)?$', 1) AS external_id, url, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages
+WHERE regexp_matches(url, '/(\d+)(?:[./?#].*)?$')""")
+def custom_ads(spark, sf):
+    pages = V.spread(spark, sf, "pages")
+    return extract.custom_ads(pages, _read_titles, ["page_id"]).select("page_id", "external_id", "url", "title")
+
+
+@query("surveillance_ads", r"""
+SELECT page_id, 'secure' AS platform, CASE WHEN regexp_matches(b, '/\d+$') THEN regexp_extract(b, '/(\d+)$', 1) ELSE left(sha256(b), 16) END AS external_id,
+       trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS description
+FROM (SELECT *, regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', '') AS b FROM pages)
+WHERE url LIKE 'https://%' AND regexp_matches(url, '^https://([^/]*\.)?example\.(com|org)/') AND NOT contains(url, 'utm_source')""")
+def surveillance_ads(spark, sf):
+    """Pages in scope to ads, with the platform whose selectors broke held back."""
+    from adwatch.plans import collect
+
+    pages = collect.in_scope(_crawled(spark, sf), ["example.com", "example.org"], ["UTM_source"])
+    pages = pages.withColumn("run_id", F.lit(1)).withColumn("page_no", F.col("page_id"))
+    ads, _ = collect.surveillance_ads(pages.drop("page_id"), _versions(spark, sf))
+    return ads.select(F.col("page_no").alias("page_id"), "platform", "external_id", "description")

@@ -104,7 +104,7 @@ def queue_one_run(spark, sf):
 SELECT listing_id, score_id, category, suspicion_score::DOUBLE AS suspicion_score, {V.stamp_sql('scored_at')} AS scored FROM (
   SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY scored_at DESC, score_id DESC) AS rn FROM scores) WHERE rn = 1""")
 def latest_score(spark, sf):
-    newest = Q.latest_scores(V.scores(spark, sf).select("listing_id", "score_id", "category", "suspicion_score", "scored_at"))
+    newest = Q.latest_scores(V.scores(spark, sf), "score_id", "category", "suspicion_score", "scored_at")
     return newest.select("listing_id", "score_id", "category", F.col("suspicion_score").cast("double"), V.stamp("scored_at").alias("scored"))
 
 
