@@ -79,6 +79,13 @@ def unescape(c: Column) -> Column:
     return c
 
 
+def unescape_text(c: Column) -> Column:
+    """The same for page text, where the named entities also count without their semicolon."""
+    for entity, char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;|&#x27;", "'"), ("&amp;?", "&")):
+        c = F.regexp_replace(c, entity, char)
+    return c
+
+
 def words(c: Column) -> Column:
     """Lower-case search words in order."""
     return F.regexp_extract_all(F.lower(c), F.lit(fixed.SEARCH_WORD), 0)

@@ -140,34 +140,36 @@ def session_entries(sessions: DataFrame) -> DataFrame:
     ``sessions`` carries ``chain, started_at, result, start_url, allowed_domains, max_steps, model, prompt_version,
     prompt_hash`` and ``trace`` with parallel arrays ``urls, actions, thoughts``; a shorter array leaves nulls.
     """
+    created = iso_stamp(F.col("started_at"))
+    actions = F.coalesce("trace.actions", F.array().cast("array<string>"))
+
+    def entry(seq: Column, action: Column, detail: Column) -> Column:
+        return F.struct(seq.cast("long").alias("seq"), action.alias("action"), detail.alias("detail"))
+
+    def step(action: Column, i: Column) -> Column:
+        url, number = json_text(F.get("trace.urls", i)), (i + 1).cast("string")
+        thought = F.get("trace.thoughts", i)
+        reasoned = _detail(step=number, url=url, reasoning=canonical_thought(thought))
+        return entry(i + 1, action, F.when(thought.isNull(), _detail(step=number, url=url)).otherwise(reasoned))
+
     opening = _detail(
         **{n: json_text(F.col(n)) for n in ("start_url", "model", "prompt_version", "prompt_hash")},
         max_steps=F.coalesce(F.col("max_steps").cast("string"), F.lit("null")),
         allowed_domains=F.coalesce(F.to_json("allowed_domains"), F.lit("null")),
     )
-    actions = F.coalesce("trace.actions", F.array().cast("array<string>"))
-    url = json_text(F.get("trace.urls", F.col("_i")))
-    thought = F.get("trace.thoughts", F.col("_i"))
-    thought_json = canonical_thought(thought)
-    step = F.col("_i") + 1
-    plain = _detail(step=step.cast("string"), url=url)
-    reasoned = _detail(step=step.cast("string"), url=url, reasoning=thought_json)
-
-    base = sessions.withColumn("created_at", iso_stamp(F.col("started_at"))).withColumn("_n", F.size(actions))
-    steps = base.select("chain", "created_at", "trace", F.posexplode(actions).alias("_i", "action"))
-    closing = _detail(steps=F.col("_n").cast("string"), result_chars=F.length(F.coalesce("result", F.lit(""))).cast("string"))
-
-    def entry(df: DataFrame, seq: Column, action: Column, detail: Column) -> DataFrame:
-        return df.select(
-            "chain", seq.cast("long").alias("seq"), F.lit(None).cast("long").alias("run_id"),
-            F.lit(None).cast("long").alias("listing_id"), F.lit(fixed.BROWSE_ACTOR).alias("actor"),
-            action.alias("action"), detail.alias("detail"), "created_at",
-        )
-
-    return (
-        entry(base, F.lit(0), F.lit("browse_start"), opening)
-        .unionByName(entry(steps, step, F.col("action"), F.when(thought.isNull(), plain).otherwise(reasoned)))
-        .unionByName(entry(base, F.col("_n") + 1, F.lit("browse_done"), closing))
+    count = F.size(actions)
+    length = F.length(F.coalesce("result", F.lit("")))
+    closing = _detail(steps=count.cast("string"), result_chars=length.cast("string"))
+    # One array per session, so its wide trace is read once.
+    rows = F.concat(
+        F.array(entry(F.lit(0), F.lit("browse_start"), opening)),
+        F.transform(actions, step),
+        F.array(entry(count + 1, F.lit("browse_done"), closing)),
+    )
+    none = F.lit(None).cast("long")
+    return sessions.select("chain", created.alias("created_at"), F.explode(rows).alias("_e")).select(
+        "chain", "_e.seq", none.alias("run_id"), none.alias("listing_id"), F.lit(fixed.BROWSE_ACTOR).alias("actor"),
+        "_e.action", "_e.detail", "created_at",
     )
 
 

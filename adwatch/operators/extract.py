@@ -18,7 +18,7 @@ from adwatch import fixed, schema
 from adwatch.functions import url as U
 from adwatch.functions.display import compose_location
 from adwatch.functions.price import strict_price, structured_amount, tolerant_price
-from adwatch.functions.text import after_colon, fold, strip, unescape, visible_html
+from adwatch.functions.text import after_colon, fold, strip, unescape, unescape_text, visible_html
 from adwatch.operators.checks import identified, missing_fields
 from adwatch.operators.ordering import earliest, first_n
 from adwatch.operators.skew import lookup_join
@@ -390,4 +390,4 @@ def markdown_rules(files: DataFrame) -> DataFrame:
 
 def page_title(html: Column) -> Column:
     """Text of the ``<title>`` element."""
-    return unescape(strip(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)))
+    return unescape_text(strip(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)))

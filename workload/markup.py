@@ -97,8 +97,8 @@ def _versions(spark, sf):
     return regions.select(F.element_at(names, F.col("r_regionkey") + 1).alias("platform"), F.when(F.col("r_regionkey") == 0, maps).otherwise(broken).alias("selectors"))
 
 
-@query("selector_fields", r"""
-SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title,
+@query("selector_fields", f"""
+SELECT page_id, {V.title_sql()} AS title,
        CASE WHEN url LIKE 'https%' THEN regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1) END AS ad FROM pages""")
 def selector_fields(spark, sf):
     found = extract.extract_fields(_crawled(spark, sf), _versions(spark, sf))
@@ -166,9 +166,9 @@ def custom_ads(spark, sf):
     return extract.custom_ads(pages, _read_titles, ["page_id"]).select("page_id", "external_id", "url", "title")
 
 
-@query("surveillance_ads", r"""
+@query("surveillance_ads", rf"""
 SELECT page_id, 'secure' AS platform, CASE WHEN regexp_matches(b, '/\d+$') THEN regexp_extract(b, '/(\d+)$', 1) ELSE left(sha256(b), 16) END AS external_id,
-       trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS description
+       {V.title_sql()} AS description
 FROM (SELECT *, regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', '') AS b FROM pages)
 WHERE url LIKE 'https://%' AND regexp_matches(url, '^https://([^/]*\.)?example\.(com|org)/') AND NOT contains(url, 'utm_source')""")
 def surveillance_ads(spark, sf):

@@ -183,7 +183,7 @@ def record_problems(spark, sf):
     return found.select("c_custkey", "r.ok", F.array_join("r.problems", ",").alias("problems"))
 
 
-@query("page_titles", r"SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages")
+@query("page_titles", f"SELECT page_id, {V.title_sql()} AS title FROM pages")
 def page_titles(spark, sf):
     from adwatch.operators.extract import page_title
 

@@ -233,3 +233,11 @@ OBSERVATIONS = """observations AS (
 
 def ctes(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def title_sql(html: str = "html") -> str:
+    """Text of the title element with its entities resolved."""
+    text = f"trim(regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1))"
+    for entity, char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;|&#x27;", "''"), ("&amp;?", "&")):
+        text = f"regexp_replace({text}, '{entity}', '{char}', 'g')"
+    return text
