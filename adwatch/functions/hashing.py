@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adwatch import fixed
-from adwatch.functions.numbers import float_text
 from adwatch.functions.text import sha256
 
 
@@ -22,11 +21,14 @@ def json_text(c: Column) -> Column:
 
 
 def content_hash(fields: dict[str, Column]) -> Column:
-    """Fingerprint of an ad's content: JSON object with sorted keys, nulls kept, numbers in float form."""
+    """Fingerprint of an ad's content: JSON object with sorted keys, nulls kept.
+
+    ``price_amount`` comes as JSON text (``float_text`` of a parsed price), since 12 and 12.0 are different texts.
+    """
     parts = []
     for name in fixed.CONTENT_FIELDS:
         value = fields.get(name, F.lit(None).cast("string"))
-        text = F.coalesce(float_text(value), F.lit("null")) if name == "price_amount" else json_text(value)
+        text = F.coalesce(value, F.lit("null")) if name == "price_amount" else json_text(value)
         parts += [F.lit(("{" if not parts else ", ") + f'"{name}": '), text]
     return sha256(F.concat(*parts, F.lit("}")))
 

@@ -116,20 +116,21 @@ def first_json_array(raw: Column) -> Column:
     return _first_array(raw)
 
 
-AD_ITEM = (
-    "array<struct<title:variant,description:variant,price_amount:variant,price_currency:variant,"
-    "seller:variant,location:variant,url:variant>>"
-)
-
-
 def _as_text(v: Column) -> Column:
     """The value of a variant when it is a JSON string."""
     return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
 
 
-def explored_ads(array_text: Column) -> Column:
-    """Valid ads of a JSON array: objects with a title, fields trimmed, currency upper-case, URL cleaned."""
-    items = F.try_variant_get(F.try_parse_json(array_text), "$", "array<variant>")
+def array_items(array_text: Column) -> Column:
+    """Elements of a JSON array as VARIANT, null when the text is not an array."""
+    return F.try_variant_get(F.try_parse_json(array_text), "$", "array<variant>")
+
+
+def explored_ads(items: Column) -> Column:
+    """Valid ads among the elements of a JSON array: objects with a title, fields trimmed, currency upper-case, URL cleaned.
+
+    ``price_json`` keeps the price as it was written, for identities and content hashes.
+    """
 
     def field(item: Column, name: str) -> Column:
         return F.try_variant_get(item, f"$.{name}", "variant")
@@ -139,6 +140,7 @@ def explored_ads(array_text: Column) -> Column:
             strip(_as_text(field(item, "title"))).alias("title"),
             strip(_as_text(field(item, "description"))).alias("description"),
             structured(field(item, "price_amount")).alias("price_amount"),
+            F.to_json(field(item, "price_amount")).alias("price_json"),
             F.upper(strip(_as_text(field(item, "price_currency")))).alias("price_currency"),
             strip(_as_text(field(item, "seller"))).alias("seller"),
             strip(_as_text(field(item, "location"))).alias("location"),

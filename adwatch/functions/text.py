@@ -128,11 +128,9 @@ def keyword_category(text: Column, lists: dict[str, list[str]] | None = None) ->
     return found.otherwise(fixed.NO_CATEGORY)
 
 
-def keyword_flag(text: Column, lists: dict[str, list[str]] | None = None) -> Column:
-    low, hit = F.lower(text), F.lit(False)
-    for keywords in (lists or fixed.KEYWORDS).values():
-        hit = hit | contains_any(low, keywords)
-    return hit
+def keyword_flag(found: Column) -> Column:
+    """Whether the keyword detector found a category."""
+    return found != fixed.NO_CATEGORY
 
 
 def sha256(c: Column) -> Column:

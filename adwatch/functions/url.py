@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from adwatch import fixed
-from adwatch.functions.numbers import float_text
 from adwatch.functions.text import SPACE, sha256, strip
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
@@ -79,8 +78,8 @@ def numeric_tail_id(url: Column) -> Column:
 
 
 def fallback_identity(url: Column, title: Column, price: Column, site_url: Column) -> Column:
-    """The ad URL, or a fingerprint of title, price and site when an explored ad has no URL."""
-    basis = F.concat_ws("|", F.coalesce(title, F.lit("")), F.coalesce(float_text(price), F.lit("")), site_url)
+    """The ad URL, or a fingerprint of title, price text and site when an explored ad has no URL."""
+    basis = F.concat_ws("|", F.coalesce(title, F.lit("")), F.coalesce(price.cast("string"), F.lit("")), site_url)
     mark = F.concat(F.lit(fixed.BROWSE_ID_PREFIX), F.left(sha256(basis), F.lit(16)))
     return F.when(url.isNull() | (url == ""), mark).otherwise(url)
 

@@ -21,7 +21,9 @@ def eval_ads(ads: DataFrame) -> DataFrame:
 
 def detect_keywords(ads: DataFrame, text: Column, lists: dict[str, list[str]] | None = None) -> DataFrame:
     """Add ``kw_flag`` and ``kw_category`` of the keyword detector."""
-    return ads.withColumn("kw_category", keyword_category(text, lists)).withColumn("kw_flag", keyword_flag(text, lists))
+    return ads.withColumn("kw_category", keyword_category(text, lists)).withColumn(
+        "kw_flag", keyword_flag(F.col("kw_category"))
+    )
 
 
 def pending_evaluation(ads: DataFrame, results: DataFrame) -> DataFrame:

@@ -313,7 +313,8 @@ def page_links(pages: DataFrame, css_class: str | None = None, attribute: str |
     kept = [c for c in pages.columns if c not in ("html", "url")]
     exploded = pages.select(*kept, F.col("url").alias("page_url"), F.posexplode(anchors).alias("position", "_a"))
     quoted = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    href = F.concat(*[F.regexp_extract("_a", quoted, i) for i in (1, 2, 3)])
+    double, single, bare = (F.regexp_extract("_a", quoted, i) for i in (1, 2, 3))
+    href = F.when(double != "", double).when(single != "", single).otherwise(bare)
     links = exploded.select(*kept, "page_url", "position", unescape(href).alias("href")).where(F.col("href") != "")
     return links.withColumn("link", U.resolve_link(F.col("page_url"), F.col("href")))
 

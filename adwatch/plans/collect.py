@@ -12,6 +12,7 @@ from adwatch.functions import responses as R
 from adwatch.functions import url as U
 from adwatch.functions.display import ad_query_text
 from adwatch.functions.hashing import content_hash
+from adwatch.functions.numbers import float_text
 from adwatch.functions.text import blank as blank_text
 from adwatch.operators import checks, extract, retrieve, score, scope, search
 from adwatch.operators.skew import lookup_join
@@ -61,10 +62,10 @@ def explored_ads(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``ok``: ads found; ``empty``: no text, or an empty list; ``invalid``: no list, or a list without one valid ad.
     """
-    cut = answers.withColumn("_array", F.when(F.contains("raw", F.lit("[")), R.first_json_array(F.col("raw"))))
-    items = F.size(F.try_variant_get(F.try_parse_json("_array"), "$", "array<variant>"))
-    read = cut.withColumn("_items", items).withColumn("_ads", R.explored_ads(F.col("_array")))
-    read = read.withColumn("_blank", blank_text(F.col("raw"))).drop("raw", "_array")
+    # Only texts with a bracket travel to Python.
+    cut = answers.withColumn("_array", R.first_json_array(F.when(F.contains("raw", F.lit("[")), F.col("raw"))))
+    parsed = cut.withColumn("_blank", blank_text(F.col("raw"))).withColumn("_list", R.array_items(F.col("_array"))).drop("raw", "_array")
+    read = settled(parsed.withColumn("_items", F.size("_list")).withColumn("_ads", R.explored_ads(F.col("_list"))).drop("_list"))
     status = (
         F.when(F.col("_blank") | (F.col("_items") == 0), "empty")
         .when((F.coalesce("_items", F.lit(-1)) < 0) | (F.size("_ads") == 0), "invalid")
@@ -75,14 +76,16 @@ def explored_ads(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     ads = read.select("session_id", "run_id", "site", "platform", "base_url", F.posexplode("_ads").alias("position", "_ad"))
     ads = ads.select("session_id", "run_id", "site", "platform", "base_url", "position", "_ad.*")
-    identity = U.fallback_identity(F.col("url"), F.col("title"), F.col("price_amount"), F.col("base_url"))
+    price = F.nullif(F.regexp_replace("price_json", '^"|"$', ""), F.lit("null"))
+    identity = U.fallback_identity(F.col("url"), F.col("title"), price, F.col("base_url"))
     return ads.withColumn("external_id", identity), sessions
 
 
 def observations(ads: DataFrame, observed_at: Column, seq: Column, source: str | None = None, tag: Column | None = None) -> DataFrame:
     """Ads of a run as appearances with a content hash, ready to append."""
     none = F.lit(None).cast("string")
-    hashed = content_hash({n: F.col(n) for n in fixed.CONTENT_FIELDS})
+    price = F.col("price_json") if "price_json" in ads.columns else float_text(F.col("price_amount"))
+    hashed = content_hash({**{n: F.col(n) for n in fixed.CONTENT_FIELDS}, "price_amount": price})
     return ads.select(
         "platform", "external_id", "run_id", "url", "title", "description", "price_amount", "price_currency",
         F.col("seller").alias("seller_label"),

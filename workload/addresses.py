@@ -57,10 +57,10 @@ def external_id(spark, sf):
 
 @query("fallback_identity", """
 SELECT c_custkey, CASE WHEN c_acctbal >= 5000 THEN 'https://x.test/' || c_custkey
-  ELSE 'browse:' || left(sha256(c_name || '|' || floor(c_acctbal)::BIGINT || '.0|https://x.test'), 16) END AS identity FROM customer""")
+  ELSE 'browse:' || left(sha256(c_name || '|' || floor(c_acctbal)::BIGINT || '|https://x.test'), 16) END AS identity FROM customer""")
 def fallback_identity(spark, sf):
     url = F.when(F.col("c_acctbal") >= 5000, F.concat(F.lit("https://x.test/"), F.col("c_custkey").cast("string")))
-    identity = U.fallback_identity(url, F.col("c_name"), F.floor("c_acctbal").cast("double"), F.lit("https://x.test"))
+    identity = U.fallback_identity(url, F.col("c_name"), F.floor("c_acctbal"), F.lit("https://x.test"))
     return V.table(spark, sf, "customer").select("c_custkey", identity.alias("identity"))
 
 

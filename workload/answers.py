@@ -50,7 +50,7 @@ def _explored(spark, sf):
     shape = (F.col("conv_id") + F.col("turn")) % 4
     ad = F.struct(
         F.concat(F.lit(" Ad "), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(" ")).alias("title"),
-        F.col("text").alias("description"), F.col("turn").cast("double").alias("price_amount"), F.lit(" chf ").alias("price_currency"),
+        F.col("text").alias("description"), F.col("turn").alias("price_amount"), F.lit(" chf ").alias("price_currency"),
         F.when(F.col("turn") % 2 == 0, F.concat(F.lit("https://s.test/"), F.col("conv_id").cast("string"))).otherwise("https://s.test/x (approx)").alias("url"),
     )
     listed = F.concat(F.lit("Vu [3 pages] : "), F.to_json(F.array(ad)), F.lit(" fin [1]"))
@@ -71,7 +71,7 @@ def explored_sessions(spark, sf):
 @query("explored_ads", """
 SELECT conv_id || '-' || turn AS session_id, 'Ad ' || conv_id || '-' || turn AS title, trim(text, chr(9) || chr(10) || chr(13) || ' ') AS description, turn::DOUBLE AS price_amount,
        'CHF' AS price_currency, CASE WHEN turn % 2 = 0 THEN 'https://s.test/' || conv_id END AS url,
-       CASE WHEN turn % 2 = 0 THEN 'https://s.test/' || conv_id ELSE 'browse:' || left(sha256('Ad ' || conv_id || '-' || turn || '|' || turn || '.0|https://s.test'), 16) END AS external_id
+       CASE WHEN turn % 2 = 0 THEN 'https://s.test/' || conv_id ELSE 'browse:' || left(sha256('Ad ' || conv_id || '-' || turn || '|' || turn || '|https://s.test'), 16) END AS external_id
 FROM conversations WHERE (conv_id + turn) % 4 = 0""")
 def explored_ads(spark, sf):
     return C.explored_ads(_explored(spark, sf))[0].select("session_id", "title", "description", "price_amount", "price_currency", "url", "external_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adwatch import fixed
 from adwatch.functions.hashing import content_hash
+from adwatch.functions.numbers import float_text
 from adwatch.session import widen
 
 
@@ -215,7 +216,7 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("title"),
         price.alias("price_amount"),
         F.when(F.col("value") < 60, F.col("props")).alias("description"),
-        content_hash({"title": F.col("event_type"), "price_amount": price}).alias("content_hash"),
+        content_hash({"title": F.col("event_type"), "price_amount": float_text(price)}).alias("content_hash"),
         F.col("ts").alias("observed_at"),
         F.col("event_id").alias("seq"),
     )
