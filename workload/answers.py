@@ -47,14 +47,15 @@ def terms_responses(spark, sf):
 
 def _explored(spark, sf):
     """Conversation turns as exploration reports: a list in a sentence, an empty list, a useless list, or no list."""
-    shape = (F.col("conv_id") + F.col("turn")) % 4
+    role, late = F.col("role"), F.col("turn") > 3
     ad = F.struct(
         F.concat(F.lit(" Ad "), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(" ")).alias("title"),
         F.col("text").alias("description"), F.col("turn").alias("price_amount"), F.lit(" chf ").alias("price_currency"),
         F.when(F.col("turn") % 2 == 0, F.concat(F.lit("https://s.test/"), F.col("conv_id").cast("string"))).otherwise("https://s.test/x (approx)").alias("url"),
     )
     listed = F.concat(F.lit("Vu [3 pages] : "), F.to_json(F.array(ad)), F.lit(" fin [1]"))
-    raw = F.when(shape == 0, listed).when(shape == 1, "Rien : []").when(shape == 2, 'Voir [{"title": ""}]').otherwise(F.translate("text", "[]", ""))
+    none = F.when(late, "Rien : []").otherwise('Voir [{"title": ""}]')
+    raw = F.when(role == "user", listed).when(role == "assistant", none).otherwise(F.translate("text", "[]", ""))
     return V.spread(spark, sf, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("session_id"), F.col("turn").alias("run_id"), F.col("role").alias("site"), F.lit("p").alias("platform"),
         F.lit("https://s.test").alias("base_url"), raw.alias("raw"),
@@ -62,8 +63,8 @@ def _explored(spark, sf):
 
 
 @query("explored_sessions", """
-SELECT conv_id || '-' || turn AS session_id, CASE (conv_id + turn) % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'empty' ELSE 'invalid' END AS status,
-       CASE (conv_id + turn) % 4 WHEN 0 THEN 1 ELSE 0 END::INTEGER AS ads FROM conversations""")
+SELECT conv_id || '-' || turn AS session_id, CASE WHEN role = 'user' THEN 'ok' WHEN role = 'assistant' AND turn > 3 THEN 'empty' ELSE 'invalid' END AS status,
+       CASE role WHEN 'user' THEN 1 ELSE 0 END::INTEGER AS ads FROM conversations""")
 def explored_sessions(spark, sf):
     return C.explored_ads(_explored(spark, sf))[1].select("session_id", "status", "ads")
 
@@ -72,7 +73,7 @@ def explored_sessions(spark, sf):
 SELECT conv_id || '-' || turn AS session_id, 'Ad ' || conv_id || '-' || turn AS title, trim(text, chr(9) || chr(10) || chr(13) || ' ') AS description, turn::DOUBLE AS price_amount,
        'CHF' AS price_currency, CASE WHEN turn % 2 = 0 THEN 'https://s.test/' || conv_id END AS url,
        CASE WHEN turn % 2 = 0 THEN 'https://s.test/' || conv_id ELSE 'browse:' || left(sha256('Ad ' || conv_id || '-' || turn || '|' || turn || '|https://s.test'), 16) END AS external_id
-FROM conversations WHERE (conv_id + turn) % 4 = 0""")
+FROM conversations WHERE role = 'user'""")
 def explored_ads(spark, sf):
     return C.explored_ads(_explored(spark, sf))[0].select("session_id", "title", "description", "price_amount", "price_currency", "url", "external_id")
 

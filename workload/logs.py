@@ -59,18 +59,18 @@ def verify_chain(spark, sf):
 
 @query("verify_tampered", """
 WITH n AS (SELECT conv_id AS chain, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-SELECT chain, chain % 4 = 3 OR (chain % 4 = 2 AND max(n) <= 1) AS ok,
-       coalesce(CASE chain % 4 WHEN 3 THEN NULL WHEN 0 THEN 0 WHEN 1 THEN max(n) - 1 ELSE CASE WHEN max(n) > 1 THEN least(1, max(n) - 1) END END, -1)::BIGINT AS first_bad,
-       CASE WHEN chain % 4 = 2 AND max(n) > 2 THEN max(n) - 1 ELSE max(n) END::BIGINT AS count
-FROM n GROUP BY chain HAVING NOT (chain % 4 = 2 AND max(n) = 2)""")
+SELECT chain, chain % 4 = 3 OR (chain % 4 = 2 AND max(n) <= 2) AS ok,
+       coalesce(CASE chain % 4 WHEN 3 THEN NULL WHEN 0 THEN 0 WHEN 1 THEN max(n) - 1 ELSE CASE WHEN max(n) > 2 THEN 1 END END, -1)::BIGINT AS first_bad,
+       CASE WHEN chain % 4 = 2 AND max(n) > 1 THEN max(n) - 1 ELSE max(n) END::BIGINT AS count
+FROM n GROUP BY chain""")
 def verify_tampered(spark, sf):
     """Chains by number: content changed at the start, hash changed at the end, second entry removed, untouched."""
     sealed = A.seal_entries(_entries(spark, sf))
     kind, top = F.col("chain") % 4, F.col("_top")
-    size = sealed.groupBy("chain").agg(F.max("seq").alias("_top"), F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_low"))
+    size = sealed.groupBy("chain").agg(F.max("seq").alias("_top"), F.min("seq").alias("_low"))
     second = sealed.join(size.select("chain", "_low"), "chain").where(F.col("seq") > F.col("_low")).groupBy("chain").agg(F.min("seq").alias("_second"))
-    rows = sealed.join(size, "chain").join(second, "chain", "left").where(~((kind == 2) & (F.col("_n") == 2)))
-    rows = rows.where(F.coalesce(~((kind == 2) & (F.col("_n") > 2) & (F.col("seq") == F.col("_second"))), F.lit(True)))
+    rows = sealed.join(size, "chain").join(second, "chain", "left")
+    rows = rows.where(F.coalesce((kind != 2) | (F.col("seq") != F.col("_second")), F.lit(True)))
     changed = (
         rows.withColumn("canonical", F.when((kind == 0) & (F.col("seq") == F.col("_low")), F.concat("canonical", F.lit(" "))).otherwise(F.col("canonical")))
         .withColumn("entry_hash", F.when((kind == 1) & (F.col("seq") == top), F.reverse("entry_hash")).otherwise(F.col("entry_hash")))
@@ -89,9 +89,9 @@ def verify_segments(spark, sf):
 
 
 def _sessions(spark, sf):
-    """One exploration session per region key and order status: actions from the customers' segments."""
+    """One exploration session per order; the weekday gives the number of actions."""
     orders = V.table(spark, sf, "orders")
-    size = (F.col("o_orderkey") % 4).cast("int")
+    size = F.dayofweek("o_orderdate") - 1
     steps = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     text = F.col("o_orderkey").cast("string")
     thought = F.struct(F.lit(None).cast("string").alias("eval"), F.col("o_orderpriority").alias("memory"), F.lit("next").alias("next_goal"))
@@ -112,8 +112,8 @@ _SESSION_SQL = """entries AS (
     '{"allowed_domains":["s.test"],"max_steps":15,"model":"m","prompt_hash":null,"prompt_version":"browse_v1","start_url":"https://s.test/' || o_orderkey || '"}' AS detail, o_orderdate FROM orders
   UNION ALL SELECT o_orderkey::VARCHAR, i, 'act' || i,
     '{' || CASE WHEN i = 1 THEN '"reasoning":{"eval":null,"memory":"' || o_orderpriority || '","next_goal":"next"},' ELSE '' END || '"step":' || i || ',"url":' ||
-    CASE WHEN i <= 2 THEN '"https://s.test/' || i || '"' ELSE 'null' END || '}', o_orderdate FROM orders, range(1, 4) t(i) WHERE i <= o_orderkey % 4
-  UNION ALL SELECT o_orderkey::VARCHAR, o_orderkey % 4 + 1, 'browse_done', '{"result_chars":' || length(o_orderpriority) || ',"steps":' || (o_orderkey % 4) || '}', o_orderdate FROM orders)"""
+    CASE WHEN i <= 2 THEN '"https://s.test/' || i || '"' ELSE 'null' END || '}', o_orderdate FROM orders, range(1, 7) t(i) WHERE i <= dayofweek(o_orderdate)
+  UNION ALL SELECT o_orderkey::VARCHAR, dayofweek(o_orderdate) + 1, 'browse_done', '{"result_chars":' || length(o_orderpriority) || ',"steps":' || dayofweek(o_orderdate) || '}', o_orderdate FROM orders)"""
 
 
 @query("session_log", f"WITH {_SESSION_SQL} SELECT chain, seq, action, detail, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS created_at, 'LLM-BROWSE' AS actor FROM entries")
@@ -128,13 +128,13 @@ def session_lines(spark, sf):
     return A.log_lines(A.session_entries(_sessions(spark, sf)))
 
 
-@query("session_footer", "SELECT o_orderkey::VARCHAR AS chain, (o_orderkey % 4)::INTEGER AS steps, length(o_orderpriority)::INTEGER AS result_chars FROM orders")
+@query("session_footer", "SELECT o_orderkey::VARCHAR AS chain, dayofweek(o_orderdate)::INTEGER AS steps, length(o_orderpriority)::INTEGER AS result_chars FROM orders")
 def session_footer(spark, sf):
     return A.session_footer(_sessions(spark, sf))
 
 
 @query("session_seal", """
-SELECT o_orderkey::VARCHAR AS chain, true AS ok, -1::BIGINT AS first_bad, o_orderkey % 4 + 2 AS count FROM orders""")
+SELECT o_orderkey::VARCHAR AS chain, true AS ok, -1::BIGINT AS first_bad, dayofweek(o_orderdate) + 2 AS count FROM orders""")
 def session_seal(spark, sf):
     return _verdict(A.verify_chains(A.seal_entries(A.with_canonical(A.session_entries(_sessions(spark, sf))))))
 

@@ -18,7 +18,7 @@ _URL_SQL = "'https://shop.test/fr/vi/' || lower(p_type) || '/' || p_partkey"
 
 @query("product_ads", f"""
 SELECT p_partkey, p_partkey::VARCHAR AS external_id, {_URL_SQL} AS url, p_name AS title, p_type AS description, p_retailprice AS price_amount, 'CHF' AS price_currency,
-       p_brand AS seller, p_size || ' ' || p_type AS location FROM part WHERE p_size % 10 <> 0""")
+       p_brand AS seller, p_size || ' ' || p_type AS location FROM part WHERE p_type <> 'ECONOMY'""")
 def product_ads(spark, sf):
     """Structured data in every shape a page may hold: one object, a list, a graph, a list of offers."""
     seller = F.struct(
@@ -28,7 +28,7 @@ def product_ads(spark, sf):
     offer = F.struct(F.col("p_retailprice").cast("string").alias("price"), F.lit("CHF").alias("priceCurrency"), seller.alias("seller"))
     one = F.col("p_size") % 2 == 0
     offers = F.when(one, F.to_json(offer)).otherwise(F.to_json(F.array(offer)))
-    kind = F.when(F.col("p_size") % 10 == 0, '"Offer"').when(one, '"Product"').otherwise('["Thing","Product"]')
+    kind = F.when(F.col("p_type") == "ECONOMY", '"Offer"').when(one, '"Product"').otherwise('["Thing","Product"]')
     product = F.concat(
         F.lit('{"@type":'), kind, F.lit(',"name":"'), F.col("p_name"), F.lit('","description":"'), F.col("p_type"), F.lit('","url":"'), _url(),
         F.lit('","offers":'), offers, F.lit("}"),

@@ -78,16 +78,16 @@ def stream_confirmed(spark, sf):
 
 
 @query("resumed_evaluation", """
-SELECT doc_id::VARCHAR AS id, printf('%.3f', least(1.0::DOUBLE, n_chars / 3000.0::DOUBLE))::DOUBLE AS llm_score FROM documents WHERE n_chars % 7 <> 0""")
+SELECT doc_id::VARCHAR AS id, printf('%.3f', least(1.0::DOUBLE, n_chars / 3000.0::DOUBLE))::DOUBLE AS llm_score FROM documents WHERE lang <> 'es'""")
 def resumed_evaluation(spark, sf):
     """Two sittings over the same ads; failing ads stay open, finished ones are not scored again."""
     root = work_folder(spark)
-    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "lang")
 
     def score(ads):
         return ads.select(
             F.col("id").cast("string").alias("id"), round_even(F.least(F.lit(1.0), F.col("n_chars") / F.lit(3000.0)), 3).alias("llm_score"),
-            F.lit("autre").alias("llm_category"), (F.col("n_chars") % 7 != 0).alias("ok"),
+            F.lit("autre").alias("llm_category"), (F.col("lang") != "es").alias("ok"),
         )
 
     ingest.evaluate_rest(docs.where("n_chars < 500"), f"{root}/results", f"{root}/errors", score)
