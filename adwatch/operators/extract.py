@@ -253,9 +253,10 @@ def _is_product(v: Column) -> Column:
 
 def product_ads(pages: DataFrame) -> DataFrame:
     """Ads from the first schema.org Product of each page; pages without one drop out."""
-    product = F.try_element_at(F.filter(_ld_objects(F.col("html")), _is_product), F.lit(1))
+    first = F.slice(F.filter(_ld_objects(F.col("html")), _is_product), 1, 1)
     kept = [c for c in pages.columns if c not in ("html", "url")]
-    found = pages.select(*kept, F.col("url").alias("_page"), product.alias("_p")).where(F.col("_p").isNotNull())
+    # Exploding none or one object drops pages without a product; a filter would parse every page again.
+    found = pages.select(*kept, F.col("url").alias("_page"), F.explode(first).alias("_p"))
     p = F.col("_p")
     offers = F.try_variant_get(p, "$.offers", "array<variant>")
     offer = F.when(offers.isNotNull(), F.try_element_at(offers, F.lit(1))).otherwise(
@@ -311,11 +312,15 @@ def page_links(pages: DataFrame, css_class: str | None = None, attribute: str |
     if attribute:
         anchors = F.filter(anchors, lambda a: a.rlike(rf"(?i)\s{attribute}[\s=>]"))
     kept = [c for c in pages.columns if c not in ("html", "url")]
-    exploded = pages.select(*kept, F.col("url").alias("page_url"), F.posexplode(anchors).alias("position", "_a"))
     quoted = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    double, single, bare = (F.regexp_extract("_a", quoted, i) for i in (1, 2, 3))
-    href = F.when(double != "", double).when(single != "", single).otherwise(bare)
-    links = exploded.select(*kept, "page_url", "position", unescape(href).alias("href")).where(F.col("href") != "")
+
+    def link(anchor: Column, i: Column) -> Column:
+        double, single, bare = (F.regexp_extract(anchor, quoted, g) for g in (1, 2, 3))
+        href = F.when(double != "", double).when(single != "", single).otherwise(bare)
+        return F.struct(i.alias("position"), unescape(href).alias("href"))
+
+    found = F.filter(F.transform(anchors, link), lambda a: a["href"] != "")
+    links = pages.select(*kept, F.col("url").alias("page_url"), F.inline(found))
     return links.withColumn("link", U.resolve_link(F.col("page_url"), F.col("href")))
 
 

@@ -31,13 +31,17 @@ def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, carried: dict[str, str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, carried: dict[str, str]
 ) -> DataFrame:
     """Add the previous row's values and the 0-based ``position`` per key.
 
     ``carried`` maps a column to the name of its previous value. ``bucket`` must not decrease along ``order``;
-    each (key, bucket) is one window group.
+    each (key, bucket) is one window group. Without a bucket a key is one group.
     """
+    if bucket is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        before = [F.lag(c).over(whole).alias(name) for c, name in carried.items()]
+        return df.select(*df.columns, *before, (F.row_number().over(whole) - 1).cast("long").alias("position"))
     values = F.struct(*[F.col(c).alias(name) for c, name in carried.items()])
     marked = df.withColumn("_bucket", bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
@@ -72,11 +76,13 @@ STRETCHES = ("day", "hour", "minute", "second")
 GROUP_ROWS = 2_000_000
 
 
-def time_stretch(df: DataFrame, keys: Sequence[str], time: str, most_rows: int = GROUP_ROWS) -> Column:
+def time_stretch(df: DataFrame, keys: Sequence[str], time: str, most_rows: int = GROUP_ROWS) -> Column | None:
     """The longest calendar unit in which no key has more than ``most_rows`` rows, as a bucket for ``time``.
 
-    Counted once per minute; the longer units are sums of that table.
+    Nothing when the whole table has no more. Counted once per minute; the longer units are sums of that table.
     """
+    if df.count() <= most_rows:
+        return None
     counts = df.groupBy(*keys, F.date_trunc("minute", time).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
     widest = []
     for unit in ("minute", "hour", "day"):

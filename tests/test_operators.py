@@ -28,6 +28,7 @@ def test_previous_row_across_buckets(spark):
     rows = [("hot", s) for s in draw.sample(range(-500, 5000), 300)] + [("cold", 3), ("cold", 4000)]
     df = spark.createDataFrame([(k, s, f"v{s}" if s % 5 else None) for k, s in rows], "k string, s long, v string")
     got = {(r.k, r.s): (r.before, r.position) for r in O.with_previous(df, ["k"], ["s"], F.floor(F.col("s") / 100), {"v": "before"}).collect()}
+    assert got == {(r.k, r.s): (r.before, r.position) for r in O.with_previous(df, ["k"], ["s"], None, {"v": "before"}).collect()}
     for key in ("hot", "cold"):
         seen = sorted(s for k, s in rows if k == key)
         for i, s in enumerate(seen):
@@ -348,6 +349,7 @@ def test_spread_join_equals_plain_join(spark, how):
 
 
 def test_time_stretch_follows_the_hottest_key(spark):
-    rows = spark.range(500).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id") * 30).alias("t"))
-    names = {most: O.time_stretch(rows, ["k"], "t", most)._jc.toString() for most in (1000, 200, 3, 1)}
-    assert ["day" in names[1000], "hour" in names[200], "minute" in names[3], "second" in names[1]] == [True] * 4
+    rows = spark.range(500).select(F.lit("a").alias("k"), F.timestamp_seconds(86400 * 301 - 7200 + F.col("id") * 30).alias("t"))
+    names = {most: O.time_stretch(rows, ["k"], "t", most)._jc.toString() for most in (499, 200, 3, 1)}
+    assert ["day" in names[499], "hour" in names[200], "minute" in names[3], "second" in names[1]] == [True] * 4
+    assert O.time_stretch(rows, ["k"], "t", 500) is None
