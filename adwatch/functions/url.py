@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from adwatch import fixed
+from adwatch.functions.numbers import once
 from adwatch.functions.text import SPACE, sha256, strip
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
@@ -101,7 +102,7 @@ def page_url(list_url: Column, page_param: Column, page: Column) -> Column:
 
 
 def _without_dots(segments: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments in one fold."""
+    """Path text of segments, ``.`` and ``..`` resolved in one fold, with a leading slash."""
     empty = F.array().cast("array<string>")
     folded = F.aggregate(
         segments,
@@ -110,36 +111,37 @@ def _without_dots(segments: Column) -> Column:
         .when(s == ".", done)
         .otherwise(F.concat(done, F.array(s))),
     )
-    last = F.element_at(segments, -1)
-    return F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(empty)
+    return once(
+        F.array_join(F.concat(folded, tail), "/"), lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
+    )
+
+
+def _without_gaps(segments: Column) -> Column:
+    """Drop empty segments between the first and the last."""
+    inner = F.filter(F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0))), lambda s: s != "")
+    ends = [F.slice(segments, at, F.lit(1)) for at in (F.lit(1), F.size(segments))]
+    return F.when(F.size(segments) > 1, F.concat(ends[0], inner, ends[1])).otherwise(segments)
 
 
 def resolve_link(base: Column, href: Column) -> Column:
-    """Absolute address of a link found on page ``base`` (RFC 3986 joining)."""
-    scheme = F.regexp_extract(base, _SCHEME, 1)
+    """Absolute address of a link found on page ``base`` (RFC 3986 joining). Rooted links without dots take a short way."""
     root = site(base)
     base_path = F.regexp_extract(F.regexp_replace(base, _AUTHORITY, ""), r"^[^?#]*", 0)
     base_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1)
     link_path = F.regexp_extract(href, r"^[^?#]*", 0)
     link_tail = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
-
-    rooted = F.split(link_path, "/")
-    folder = F.split(F.regexp_replace(base_path, "[^/]*$", ""), "/")
-    joined = F.concat(F.slice(folder, F.lit(1), F.size(folder) - 1), rooted)
-    inner = F.filter(F.slice(joined, F.lit(2), F.greatest(F.size(joined) - 2, F.lit(0))), lambda s: s != "")
-    relative = F.concat(F.slice(joined, F.lit(1), F.lit(1)), inner, F.slice(joined, F.size(joined), F.lit(1)))
-    relative = F.when(F.size(joined) > 1, relative).otherwise(joined)
-    segments = F.when(link_path.startswith("/"), rooted).otherwise(relative)
-    merged = F.array_join(_without_dots(segments), "/")
-    merged = F.when(merged.startswith("/"), merged).otherwise(F.concat(F.lit("/"), merged))
-
+    folder = once(F.split(F.regexp_replace(base_path, "[^/]*$", ""), "/"), lambda f: F.slice(f, F.lit(1), F.size(f) - 1))
+    below = once(F.concat(folder, F.split(link_path, "/")), _without_gaps)
+    segments = F.when(href.startswith("/"), F.split(link_path, "/")).otherwise(below)
     return (
         F.when(href.isNull() | (href == ""), base)
+        .when(href.rlike("^/(?!/)") & ~href.contains("/."), F.concat(root, href))
         .when(href.rlike(_SCHEME), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, _SCHEME, 1), F.lit(":"), href))
         .when(href.startswith("#"), F.concat(root, base_path, base_query, href))
         .when(href.startswith("?"), F.concat(root, base_path, href))
-        .otherwise(F.concat(root, merged, link_tail))
+        .otherwise(F.concat(root, once(segments, _without_dots), link_tail))
     )
 
 
