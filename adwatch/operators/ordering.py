@@ -72,25 +72,27 @@ def with_previous(
     )
 
 
-STRETCHES = ("day", "hour", "minute", "second")
-GROUP_ROWS = 2_000_000
+GROUP_ROWS = 500_000
 
 
 def time_stretch(df: DataFrame, keys: Sequence[str], time: str, most_rows: int = GROUP_ROWS) -> Column | None:
     """The longest calendar unit in which no key has more than ``most_rows`` rows, as a bucket for ``time``.
 
-    Nothing when the whole table has no more. Counted once per minute; the longer units are sums of that table.
+    Nothing when no key has more at all. Sizes are looked up from long to short, each in one aggregate that is
+    combined before its shuffle, and the search ends at the first unit that fits.
     """
-    if df.count() <= most_rows:
+    if df.count() <= most_rows or _largest(df, keys, F.lit(0)) <= most_rows:
         return None
-    counts = df.groupBy(*keys, F.date_trunc("minute", time).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    widest = []
-    for unit in ("minute", "hour", "day"):
-        counts = counts.groupBy(*keys, F.date_trunc(unit, "_t").alias("_t")).agg(F.sum("_n").alias("_n"))
-        widest.append(counts.agg(F.lit(unit).alias("unit"), F.coalesce(F.max("_n"), F.lit(0)).alias("rows")))
-    sizes = {r["unit"]: r["rows"] for r in widest[0].unionByName(widest[1]).unionByName(widest[2]).collect()}
-    unit = next((u for u in STRETCHES[:3] if sizes[u] <= most_rows), "second")
-    return F.date_trunc(unit, time)
+    for unit in ("day", "hour", "minute"):
+        if _largest(df, keys, F.date_trunc(unit, time)) <= most_rows:
+            return F.date_trunc(unit, time)
+    return F.date_trunc("second", time)
+
+
+def _largest(df: DataFrame, keys: Sequence[str], part: Column) -> int:
+    """Rows of the largest (key, part) group."""
+    sizes = df.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:

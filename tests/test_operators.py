@@ -353,3 +353,5 @@ def test_time_stretch_follows_the_hottest_key(spark):
     names = {most: O.time_stretch(rows, ["k"], "t", most)._jc.toString() for most in (499, 200, 3, 1)}
     assert ["day" in names[499], "hour" in names[200], "minute" in names[3], "second" in names[1]] == [True] * 4
     assert O.time_stretch(rows, ["k"], "t", 500) is None
+    two = rows.withColumn("k", F.when(F.second("t") == 0, "a").otherwise("b"))
+    assert O.time_stretch(two, ["k"], "t", 250) is None and O.time_stretch(two, ["k"], "t", 249) is not None
