@@ -142,3 +142,31 @@ def report_headers(ads: DataFrame, runs: DataFrame, generated_at: Column | None
 def run_list(runs: DataFrame) -> DataFrame:
     """Runs with their statistics, for the run filter; order by ``started_at`` descending."""
     return runs.select("run_id", "mode", "status", "stats", "started_at")
+
+
+NESTED_ADS = 10_000
+
+
+def report_documents(headers: DataFrame, ads: DataFrame, most_ads: int = NESTED_ADS) -> DataFrame:
+    """One nested document per run: header, counts and ordered ads in one row.
+
+    Runs with more than ``most_ads`` ads have null ``annonces``; their lines are in the flat table, which holds every
+    run. No row gathers more than ``most_ads`` ads.
+    """
+    fitting = headers.where(F.col("analysed") <= most_ads).select("run_id")
+    columns = [c for c in ads.columns if c not in ("run_id", "priority", "exact_score", "score_id")]
+    line = F.struct(F.col("priority"), (-F.col("exact_score")).alias("rank"), F.col("score_id"), F.struct(*columns).alias("ad"))
+    nested = lookup_join(ads, fitting, ["run_id"]).groupBy("run_id").agg(
+        F.transform(F.array_sort(F.collect_list(line)), lambda e: e["ad"]).alias("annonces")
+    )
+    counts = F.map_from_entries("par_categorie")
+    empty = F.when(F.col("analysed") == 0, F.array().cast(nested.schema["annonces"].dataType))
+    return headers.join(nested, "run_id", "left").select(
+        "run_id",
+        F.struct("run_id", "mode", "status").alias("run"),
+        "generated_at", "prompt", "duree_s",
+        F.struct(F.col("seuil_revision").alias("revision"), F.col("seuil_surveillance").alias("surveillance")).alias("seuils"),
+        "deroule", "categorie_demandee", "autres_detectees",
+        F.struct(F.col("analysed").alias("analysees"), "revision", "surveillance", "normal", counts.alias("par_categorie")).alias("synthese"),
+        F.coalesce("annonces", empty).alias("annonces"),
+    )

@@ -47,6 +47,11 @@ def write_reports(headers: DataFrame, ads: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{path}/ads")
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Nested reports, one JSON file per run under ``run_id=N``."""
+    documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
+
+
 def export_cases(cases: DataFrame, path: str) -> None:
     """Confirmed cases as JSON lines, and beside them one row with export time and count."""
     cases.write.mode("overwrite").option("partitionOverwriteMode", "static").json(f"{path}/cases")

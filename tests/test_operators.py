@@ -274,6 +274,11 @@ def test_report(spark):
     assert head.autres_detectees == ["alcool", "tabac"] and head.prompt == "x; y"
     assert [tuple(c) for c in head.par_categorie] == [("arme", 2), ("alcool", 1), ("tabac", 1)]
     assert "14 termes" in head.deroule and "41 annonces" in head.deroule and "5 signal" in head.deroule and "(3 Arme, 2 Tabac)" in head.deroule
+    lines = report.report_ads(ads, runs)
+    document = report.report_documents(report.report_headers(ads, runs), lines).first()
+    assert [a.score for a in document.annonces] == [0.85, 0.75, 0.9, 0.65, 0.0] and document.synthese.par_categorie == {"arme": 2, "alcool": 1, "tabac": 1}
+    assert document.seuils.revision == 0.7 and document.run.run_id == 1
+    assert report.report_documents(report.report_headers(ads, runs), lines, most_ads=4).first().annonces is None
     ads, runs = report_tables(spark, [])
     assert [r.score for r in report.report_ads(ads, runs).orderBy(*report.report_order()).collect()] == [0.9, 0.85, 0.75, 0.65, 0.0]
     assert report.report_headers(ads, runs).first().autres_detectees == []

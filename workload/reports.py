@@ -110,3 +110,17 @@ def report_headers(spark, sf):
 @query("site_links", V.ctes(V.RUNS) + "SELECT run_id, site_platform AS platform, site_url FROM runs")
 def site_links(spark, sf):
     return R.site_links(V.runs(spark, sf))
+
+
+@query("report_documents", _BASE + """
+SELECT run_id, count(*) AS analysees, count(*)::INTEGER AS lines,
+       arg_min(listing_id, (CASE WHEN list_contains(targets, category) THEN 0 ELSE 1 END, -suspicion_score, score_id)) AS first_ad,
+       arg_max(listing_id, (CASE WHEN list_contains(targets, category) THEN 0 ELSE 1 END, -suspicion_score, score_id)) AS last_ad
+FROM ads JOIN runs USING (run_id) GROUP BY 1""")
+def report_documents(spark, sf):
+    ads, runs = _ads(spark, sf), V.runs(spark, sf)
+    documents = R.report_documents(R.report_headers(ads, runs), R.report_ads(ads, runs))
+    return documents.select(
+        "run_id", "synthese.analysees", F.size("annonces").alias("lines"), F.element_at("annonces", 1)["id"].alias("first_ad"),
+        F.element_at("annonces", -1)["id"].alias("last_ad"),
+    )
