@@ -33,9 +33,10 @@ def partial_state(observations: DataFrame, keys: Sequence[str] = KEY, order: Seq
     )
 
 
-def merge_states(parts: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Merge partial states of the same ads."""
+def merge_states(parts: DataFrame, keys: Sequence[str] = KEY, smallest: Sequence[str] = ()) -> DataFrame:
+    """Merge partial states of the same ads; ``smallest`` names further columns that keep their minimum."""
     return parts.groupBy(*keys).agg(
+        *[F.min(c).alias(c) for c in smallest],
         F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_seen_at").alias("last_seen_at"),
         F.sum("observation_count").alias("observation_count"),

@@ -34,34 +34,14 @@ def _put(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def append_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """Store one batch of observations, its partial state, and which ads it saw first."""
+    """Store one batch of observations and its partial state. Nothing stored earlier is read.
+
+    The state remembers the first batch of each ad, which tells new ads from known ones when asked.
+    """
     usable = batch.where(F.col("external_id").isNotNull() & (F.col("external_id") != ""))
     _put(usable, f"{root}/observations", batch_id)
-    stored = usable.sparkSession.read.parquet(f"{root}/observations/batch_id={batch_id}")
-    part = I.partial_state(stored)
-    known = known_keys(usable.sparkSession, root, batch_id)
-    keys = list(I.KEY)
-    if known is None:
-        part = part.withColumn("is_new", F.lit(True))
-    else:
-        # The batch's own keys cut the stored side down before the join back.
-        seen = known.join(part.select(*keys), keys, "left_semi").distinct().withColumn("_seen", F.lit(True))
-        part = part.join(seen, keys, "left").withColumn("is_new", F.col("_seen").isNull()).drop("_seen")
-    _put(part, f"{root}/parts", batch_id)
-
-
-def known_keys(spark: SparkSession, root: str, before: int) -> DataFrame | None:
-    """Keys stored by earlier batches. Only key columns are read."""
-    sides = []
-    base, upto = newest_base(spark, root, before)
-    if base is not None:
-        sides.append(base.select(*I.KEY))
-    parts = _stored(spark, f"{root}/parts")
-    if parts is not None:
-        sides.append(parts.where((F.col("batch_id") < before) & (F.col("batch_id") > upto)).select(*I.KEY))
-    if not sides:
-        return None
-    return sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+    stored = usable.sparkSession.read.schema(usable.schema).parquet(f"{root}/observations/batch_id={batch_id}")
+    _put(I.partial_state(stored).withColumn("first_batch", F.lit(batch_id).cast("long")), f"{root}/parts", batch_id)
 
 
 def newest_base(spark: SparkSession, root: str, before: int | None = None) -> tuple[DataFrame | None, int]:
@@ -80,8 +60,8 @@ def merged_state(spark: SparkSession, root: str, upto: int | None = None) -> Dat
     parts = spark.read.parquet(f"{root}/parts").where(F.col("batch_id") > done)
     if upto is not None:
         parts = parts.where(F.col("batch_id") <= upto)
-    fresh = parts.drop("batch_id", "is_new")
-    return I.merge_states(fresh if base is None else base.unionByName(fresh))
+    fresh = parts.drop("batch_id")
+    return I.merge_states(fresh if base is None else base.unionByName(fresh), smallest=("first_batch",))
 
 
 def current_state(spark: SparkSession, root: str) -> DataFrame:
@@ -95,12 +75,18 @@ def compact(spark: SparkSession, root: str, upto: int) -> None:
     state.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{root}/base/upto={upto}")
 
 
+def new_ads(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """Keys of the ads that a batch saw first."""
+    return merged_state(spark, root).where(F.col("first_batch") == batch_id).select(*I.KEY)
+
+
 def batch_balance(spark: SparkSession, root: str) -> DataFrame:
-    """Per batch: ads seen for the first time and observations of known ads."""
-    parts = spark.read.parquet(f"{root}/parts")
-    fresh = F.count_if("is_new")
-    return parts.groupBy("batch_id").agg(
-        F.sum("observation_count").alias("total"), fresh.alias("inserted"), (F.sum("observation_count") - fresh).alias("observed")
+    """Per stored batch: observations, ads seen for the first time and observations of known ads."""
+    totals = spark.read.parquet(f"{root}/parts").groupBy("batch_id").agg(F.sum("observation_count").alias("total"))
+    fresh = merged_state(spark, root).groupBy(F.col("first_batch").alias("batch_id")).agg(F.count(F.lit(1)).alias("_new"))
+    inserted = F.coalesce("_new", F.lit(0))
+    return totals.join(fresh, "batch_id", "left").select(
+        "batch_id", "total", inserted.alias("inserted"), (F.col("total") - inserted).alias("observed")
     )
 
 

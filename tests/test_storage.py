@@ -111,6 +111,7 @@ def test_a_repeated_batch_changes_nothing(spark, folder):
     whole = I.current_listings(one.unionByName(two).unionByName(three).where("external_id is not null"))
     assert {tuple(r) for r in ingest.current_state(spark, folder).collect()} == {tuple(r) for r in whole.collect()}
     assert {r.batch_id: r.inserted for r in ingest.batch_balance(spark, folder).collect()} == {0: 2, 1: 1, 2: 1}
+    assert [(r.platform, r.external_id) for r in ingest.new_ads(spark, folder, 2).collect()] == [("q", "a")]
 
 
 def test_stream_resumes_from_its_checkpoint(spark, folder):
