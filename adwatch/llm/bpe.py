@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adwatch.llm.common import settle, with_outputs
+from adwatch.llm.common import with_outputs
 
 #: Bytes of text whose distinct words one block lists; bounds what a task holds.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def vocabulary_path(name: str) -> str:
@@ -73,44 +73,46 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _blocks(carried: pa.Schema, text: str, buckets: int, schema: pa.Schema):
-    """Rows of documents as codes into their block's word list, and the list's parts by hash bucket."""
+def _blocks(carried: pa.Schema, text: str, buckets: int, schema: pa.Schema, listing: bool):
+    """Blocks of documents: their word lists by hash bucket (``listing``), or the rows with codes into those lists.
+
+    Both are made from the texts, in two runs over the same splits; ``check`` is the hash of a block's texts, so lists and
+    codes can only meet if they come from the same rows in the same order.
+    """
+
+    def cut(batches: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
+        import xxhash
+        import zstandard
 
-    def cut(batches: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches).combine_chunks()
         texts = pc.fill_null(rows.column(text).cast(pa.large_string()), "").combine_chunks()
+        seal = xxhash.xxh3_64(np.asarray(pc.binary_length(texts)).tobytes())
+        seal.update(texts.buffers()[2] or b"")
+        check = seal.intdigest() - (1 << 63)
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        names = pc.binary_length(coded.dictionary)
-        keep = np.asarray(names) > 0  # leading and trailing white space leave empty words
         listed = coded.dictionary.to_pylist()
-        import xxhash
-
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in listed), np.int64, len(listed))
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in listed), np.int32, len(listed))
         order = np.argsort(bucket, kind="stable")
-        order = order[keep[order]]
-        code = np.full(len(listed), -1, np.int64)
-        code[order] = np.arange(len(order))
-        codes = code[np.asarray(coded.indices)] if len(listed) else np.empty(0, np.int64)
-        ends = np.asarray(words.offsets)
-        packed = []
-        for a, b in zip(ends[:-1], ends[1:]):
-            own = codes[a:b]
-            packed.append(_packed(own[own >= 0]))
-        documents = {f.name: rows.column(f.name).combine_chunks() for f in carried}
-        n = rows.num_rows
-        columns = [pa.array([block] * n, pa.int64()), *documents.values(), pa.array(packed, pa.binary()),
-                   pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))]
-        yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
-        if len(order):
+        order = order[np.asarray(pc.binary_length(coded.dictionary))[order] > 0]  # white space at the ends leaves empty words
+        if listing:
             in_order = bucket[order]
-            starts = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
-            offsets = pa.array(np.r_[starts, len(order)], pa.int32())
-            taken = coded.dictionary.take(pa.array(order)).cast(pa.string())
+            starts = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]]) if len(order) else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(order)] if len(order) else [0], pa.int32()),
+                                             coded.dictionary.take(pa.array(order)).cast(pa.string()))
+            pack = zstandard.ZstdCompressor(level=3)
+            packed = [pack.compress(x.as_py().encode()) for x in pc.binary_join(lists, "\n")]
             n = len(starts)
-            columns = [pa.array([block] * n, pa.int64()), *[pa.nulls(n, f.type) for f in carried], pa.nulls(n, pa.binary()),
-                       pa.array(in_order[starts], pa.int32()), pa.ListArray.from_arrays(offsets, taken)]
-            yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            columns = [pa.array([block] * n, pa.int64()), pa.array([check] * n, pa.int64()), pa.array(in_order[starts], pa.int32()), pa.array(packed, pa.binary())]
+        else:
+            code = np.full(len(listed), -1, np.int64)
+            code[order] = np.arange(len(order))
+            codes = code[np.asarray(coded.indices)] if len(listed) else np.empty(0, np.int64)
+            ends, n = np.asarray(words.offsets), rows.num_rows
+            packed = [_packed((own := codes[a:b])[own >= 0]) for a, b in zip(ends[:-1], ends[1:])]
+            columns = [pa.array([block] * n, pa.int64()), pa.array([check] * n, pa.int64()),
+                       *[rows.column(f.name).combine_chunks() for f in carried], pa.array(packed, pa.binary())]
+        return pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -120,10 +122,10 @@ def _blocks(carried: pa.Schema, text: str, buckets: int, schema: pa.Schema):
             held.append(batch)
             size += batch.nbytes
             if size >= BLOCK_BYTES:
-                yield from cut(held, block)
+                yield cut(held, block)
                 block, held, size = block + 1, [], 0
         if held:
-            yield from cut(held, block)
+            yield cut(held, block)
 
     return run
 
@@ -132,7 +134,11 @@ def _encoder(path: str):
     """Encode the distinct words of one hash bucket once, for all blocks that list them."""
 
     def run(rows: pa.Table) -> pa.Table:
-        lists = rows.column("words").combine_chunks()
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        listed = pa.array([unpack.decompress(x).decode() for x in rows.column("words").to_pylist()], pa.large_string())
+        lists = pc.split_pattern(listed, "\n")
         coded = lists.flatten().dictionary_encode()
         distinct, own = coded.dictionary.to_pylist(), tokenizer(path)
         ids = [e.ids for a in range(0, len(distinct), 5000) for e in own.encode_batch_fast(distinct[a:a + 5000], add_special_tokens=False)]
@@ -144,7 +150,7 @@ def _encoder(path: str):
         for a, b in zip(ends[:-1], ends[1:]):
             sizes.append(_packed(lengths[places[a:b]]))
             found.append(_packed(np.asarray(per_word.take(pa.array(places[a:b])).flatten())))
-        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"),
+        return pa.table({"block": rows.column("block"), "check": rows.column("check"), "bucket": rows.column("bucket"),
                          "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(found, pa.binary())})
 
     return run
@@ -154,11 +160,15 @@ def _assembler(carried: list[str], schema: pa.Schema):
     """Put the words' ids in the places of the words' codes."""
 
     def run(documents: pa.Table, words: pa.Table) -> pa.Table:
+        if not documents.num_rows:
+            if words.num_rows:
+                raise RuntimeError("a block's words have no documents: the input gave other rows when it was read again")
+            return schema.empty_table()
         words = words.sort_by("bucket")
         sizes = [_unpacked(x) for x in words.column("sizes").to_pylist()]
         values = [_unpacked(x) for x in words.column("ids").to_pylist()]
         ends = np.r_[0, np.cumsum(np.concatenate(sizes or [np.empty(0, np.uint32)]), dtype=np.int64)]
-        per_word = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values or [np.empty(0, np.uint32)])))
+        per_word = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(values or [np.empty(0, np.uint32)])))
         found = [np.asarray(per_word.take(pa.array(_unpacked(x))).flatten()).astype("<u4").tobytes() for x in documents.column("codes").to_pylist()]
         columns = [documents.column(c).combine_chunks() for c in carried] + [pa.array(found, pa.binary())]
         return pa.table([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -179,16 +189,15 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
     inner = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(carried)]  # names that can't clash with this table's own
     rows = df.select(*[F.col(f"`{f.name}`").alias(g.name) for f, g in zip(carried, inner)], F.col(f"`{text}`").cast("string").alias("text"))
     parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block_schema = T.StructType([T.StructField("block", T.LongType()), *inner, T.StructField("codes", T.BinaryType()),
-                                 T.StructField("bucket", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
-    arrow = to_arrow_schema(block_schema)
-    own = pa.schema([arrow.field(g.name) for g in inner])
-    blocks = settle(rows.mapInArrow(_blocks(own, "text", parts, arrow), block_schema))
-    words = blocks.where("words IS NOT NULL").select("block", "bucket", "words")
-    encoded = words.groupBy("bucket").applyInArrow(_encoder(path), "block long, bucket int, sizes binary, ids binary")
-    documents = blocks.where("codes IS NOT NULL").select("block", *[g.name for g in inner], "codes")
+    own = pa.schema([to_arrow_schema(T.StructType([g])).field(0) for g in inner])
+    key = [T.StructField("block", T.LongType()), T.StructField("check", T.LongType())]
+    listed = T.StructType([*key, T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
+    coded = T.StructType([*key, *inner, T.StructField("codes", T.BinaryType())])
+    words = rows.mapInArrow(_blocks(own, "text", parts, to_arrow_schema(listed), True), listed)
+    encoded = words.groupBy("bucket").applyInArrow(_encoder(path), "block long, check long, bucket int, sizes binary, ids binary")
+    documents = rows.mapInArrow(_blocks(own, "text", parts, to_arrow_schema(coded), False), coded)
     result = T.StructType([*inner, T.StructField("token_ids", T.BinaryType())])
-    joined = documents.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(
+    joined = documents.groupBy("block", "check").cogroup(encoded.groupBy("block", "check")).applyInArrow(
         _assembler([g.name for g in inner], to_arrow_schema(result)), result)
     return joined.select(*[F.col(g.name).alias(f.name) for f, g in zip(carried, inner)], F.col("token_ids").alias(ids))
 

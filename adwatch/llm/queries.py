@@ -32,3 +32,27 @@ def op8_token_ids(spark, sf_dir):
         table(spark, sf_dir, "documents"), folder, bpe.vocabulary_path("byte_bpe_50k.json"), bpe.vocabulary_path("byte_bpe_50k.tiktoken"))
     return tokenids.read_token_files(manifest, folder).select(
         "doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
+@query("op6_secrets")
+def op6_secrets(spark, sf_dir):
+    from adwatch.llm import bpe, secretscan
+
+    batch_bytes(spark)
+    found = secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary_path("byte_bpe_50k.tiktoken"))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    base = secretscan.joined(F.filter("secrets", lambda s: s["kind"] != "random"))
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(base, 256).alias("base_sha256"), secretscan.joined("secrets").alias("spans"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    from adwatch.llm import toxicity
+
+    batch_bytes(spark)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(documents, model, out="score").select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
