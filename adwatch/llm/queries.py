@@ -56,3 +56,48 @@ def op10_toxicity(spark, sf_dir):
     model = toxicity.train(documents, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(documents, model, out="score").select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op3_quality", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (VALUES (0), (1), (2)) AS v(o) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN c USING (doc_id))
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept
+FROM m""")
+def op3_quality(spark, sf_dir):
+    from adwatch.llm import quality
+
+    entries = quality.apply_policies(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality.passes(quality.BASE_MASK)).alias("base_failed"), F.col("kept")[2].alias("kept"))
+
+
+LINE_SQL = r"""
+WITH d AS (SELECT doc_id, text, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, site, i, ls[i] AS raw, trim(ls[i], E' \t\x0b\x0c\r') AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+b AS (SELECT line, min((doc_id, i)) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
+f AS (SELECT l.*, b.line IS NOT NULL AS hit, b.line IS NOT NULL AND b.first <> (l.doc_id, l.i) AS lost FROM l LEFT JOIN b USING (line)),
+s AS (SELECT doc_id, count(*) FILTER (WHERE lost) AS n_lost, coalesce(sum(length(line)) FILTER (WHERE hit), 0) * 2 <= sum(length(line)) AS takes,
+             string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT lost) AS shorter FROM f GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN takes THEN n_lost ELSE 0 END AS n_removed_lines,
+       CASE WHEN takes AND n_lost > 0 THEN coalesce(shorter, '') ELSE d.text END AS text
+FROM d LEFT JOIN s USING (doc_id)"""
+
+
+@query("op7_line_dedup", f"SELECT doc_id, n_removed_lines, md5(text) AS text_md5 FROM ({LINE_SQL})")
+def op7_line_dedup(spark, sf_dir):
+    from adwatch.llm import linededup
+
+    found = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "n_removed_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
