@@ -29,7 +29,7 @@ from adwatch.llm.common import with_outputs
 
 BUCKETS, DIM, WINDOW = 1 << 16, 8, 8
 SHORTEST, LONGEST = 3, 5
-MAX_TOXIC, MAX_CLEAN = 4_000, 6_000
+MAX_TOXIC, MAX_CLEAN = 2_000, 3_000
 #: Words whose score a worker keeps; beyond it the table starts afresh.
 CACHED_WORDS = 500_000
 STRIPPED = ".,;:!?\"'()[]{}«»„“”…*_-"
@@ -99,7 +99,7 @@ def top_logit(scores: np.ndarray, bias: float, codes: np.ndarray | None = None)
     return bias + float((sums[WINDOW:] - sums[:-WINDOW]).max()) / WINDOW
 
 
-def _train(texts: list[list[int]], labels: np.ndarray, ids: np.ndarray, ends: np.ndarray, rounds: int = 4, seed: int = 7):
+def _train(arrays: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, ends: np.ndarray, rounds: int = 4, seed: int = 7):
     """Joint gradient steps on n-gram vectors and softmax over passages."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -140,7 +140,6 @@ def _train(texts: list[list[int]], labels: np.ndarray, ids: np.ndarray, ends: np
         weights = current()[ids]
         return np.add.reduceat(weights, ends[:-1]) / counts if len(ids) else np.empty(0)
 
-    arrays = [np.asarray(t, np.int64) for t in texts]
     for turn in range(rounds):
         passages, ys = [], []
         scores = by_word() if turn else None
@@ -176,16 +175,18 @@ def fit(rows: list[tuple[str | None, int]]) -> Model | None:
     if not len(rows) or labels.min() == labels.max():
         return None
     known: dict[str, int] = {}
-    texts = [[known.setdefault(w, len(known)) for w in words_of(t)] for t, _ in rows]
+    arrays = [np.array([known.setdefault(w, len(known)) for w in words_of(t)], np.int32) for t, _ in rows]
     if not known:
         return None
-    ids, owner = ngrams(list(known))
-    order = np.argsort(owner, kind="stable")
-    ids, owner = ids[order], owner[order]
-    ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(known)))]
-    weights, bias = _train(texts, labels, ids, ends)
+    words, parts, counts = list(known), [], []
+    for a in range(0, len(words), 20_000):  # in parts, since n-grams are many times the words
+        ids, owner = ngrams(words[a:a + 20_000])
+        parts.append(ids[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner))
+    ids, ends = np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(counts))]
+    del known, words, parts
+    weights, bias = _train(arrays, labels, ids, ends)
     scores = np.add.reduceat(weights[ids], ends[:-1]) / np.diff(ends)
-    arrays = [np.asarray(t, np.int64) for t in texts]
     tops = np.array([top_logit(scores[a], bias, a) for a in arrays])
     scale, shift = _line(tops, labels)
     return Model(weights, bias, scale, shift)
