@@ -101,3 +101,11 @@ def op7_line_dedup(spark, sf_dir):
 
     found = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "n_removed_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("op1_ngram_jaccard")
+def op1_ngram_jaccard(spark, sf_dir):
+    from adwatch.llm import ngramjoin
+
+    batch_bytes(spark)
+    return ngramjoin.link(table(spark, sf_dir, "documents"), words=4, percent=85)
