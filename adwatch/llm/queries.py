@@ -109,3 +109,11 @@ def op1_ngram_jaccard(spark, sf_dir):
 
     batch_bytes(spark)
     return ngramjoin.link(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark, sf_dir):
+    from adwatch.llm import suffixdedup
+
+    batch_bytes(spark)
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"), width=400).drop("kept")
