@@ -117,3 +117,20 @@ def op2_suffix_dedup(spark, sf_dir):
 
     batch_bytes(spark)
     return suffixdedup.dedup(table(spark, sf_dir, "documents"), width=400).drop("kept")
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    from adwatch.llm import decontaminate
+
+    batch_bytes(spark)
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), "lcs_share", "answer_share")
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark, sf_dir):
+    from adwatch.llm import licensescan
+
+    batch_bytes(spark)
+    return licensescan.scan(table(spark, sf_dir, "documents"))
