@@ -40,13 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write a table once to the shared folder and read it back, so that its readers share one computation.
 
+    ``files`` joins the last partitions to so many at most, for narrow tables.
+
     The files outlive executors; a task that is run again replaces its own file through Spark's commit protocol.
     """
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(folder)
+    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from adwatch.llm.common import settle
 
+#: Files of an edge table; a file has edges alone and is read by as many tasks as its size asks for.
+FILES = 24
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it reaches) for every node of the edges ``a``, ``b``; any order, repeats allowed.
@@ -15,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     aggregates, combined before the shuffle, so a node of many edges is no one's problem. Rounds grow with the logarithm
     of the longest path. An empty table gives an empty result; an edge from a node to itself gives nothing.
     """
-    held = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    held = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), FILES)
     before = None
     while True:
         now = held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -27,4 +30,4 @@ def components(edges: DataFrame) -> DataFrame:
         above = both.join(smallest, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         roots = above.groupBy("a").agg(F.min("b").alias("m"))
         below = above.join(roots, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        held = settle(below.union(roots.select("a", "m")).distinct())
+        held = settle(below.union(roots.select("a", "m")).distinct(), FILES)

@@ -7,10 +7,13 @@ from a count sketch of fixed size over all texts; it orders elements and so deci
 the size up to which subsets are fewer than what the lists would cost, from the histogram of sizes; sets just below it
 enter the lists too, so that small and large ones meet.
 
-A list of up to ``LIST_ALL`` nodes proposes all its pairs. A longer one proposes its first node with each other one and
-neighbours in order of size; when those links are joined to components, only nodes of different components are compared
-further, at growing distances, until a list is one component or every pair has been compared. So a group of thousands of
-near copies costs its own size, and no link that joins two components is lost. Every proposal is verified on whole sets.
+Every set has a parity sketch, one bit flipped per element; the bits in which two sketches differ are a lower bound of the
+elements in which the sets differ, so pairs beyond what a link allows are left out for certain before a text moves. A list
+of up to ``LIST_ALL`` nodes proposes all its pairs. A longer one proposes its first node with each other one and neighbours
+in order of size; when those links are joined to components, only nodes of different components are compared further: each
+proposes the few that its sketch is nearest to, then more, until a list is one component or every possible link between
+components has been verified. So a group of thousands of near copies proposes a few pairs a node, and no link that joins
+two components is lost. Every proposal is verified on whole sets.
 
 * Null texts, empty ones and those without words have an empty set and link with nothing. Rows without an id can link, and
   have the smallest id they reach, or null. Repeated rows are equal sets. An empty table gives an empty result. Of other
@@ -35,6 +38,8 @@ from adwatch.llm.components import components
 
 #: Bins of the count sketch, and of one of the parts in which it travels.
 SKETCH_BINS, PART_BINS = 1 << 22, 1 << 16
+#: Bits of a parity sketch.
+BITS = 1024
 #: Lists up to this length propose all their pairs.
 LIST_ALL = 32
 #: Largest set for which subsets are thought of at all.
@@ -88,6 +93,12 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
     return (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
 
 
+def _parity(values: np.ndarray) -> bytes:
+    """Which bins of ``BITS`` an odd number of elements falls into."""
+    odd = np.bincount((values >> np.uint64(22)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _measure(words: int):
     """Per row: size and digest of its set; per task: its part of the count sketch."""
 
@@ -95,8 +106,8 @@ def _measure(words: int):
         import zstandard
 
         counts, any_rows = np.zeros(SKETCH_BINS, np.int64), False
-        names = ["doc_id", "tie", "n", "hi", "lo", "part", "shard", "counts"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "tie", "n", "hi", "lo", "bits", "part", "shard", "counts"]
+        types = [pa.int64()] * 5 + [pa.binary(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -107,12 +118,12 @@ def _measure(words: int):
             n = batch.num_rows
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                                    pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                                   *[pa.nulls(n, t) for t in types[5:]]], names=names)
+                                   pa.array([_parity(s) for s in sets], pa.binary()), *[pa.nulls(n, t) for t in types[6:]]], names=names)
         if any_rows:
             pack, parts = zstandard.ZstdCompressor(level=1), SKETCH_BINS // PART_BINS
             shard = TaskContext.get().partitionId() % 256
             packed = [pack.compress(counts[p * PART_BINS:(p + 1) * PART_BINS].tobytes()) for p in range(parts)]
-            yield pa.record_batch([*[pa.nulls(parts, t) for t in types[:5]], pa.array(range(parts), pa.int32()),
+            yield pa.record_batch([*[pa.nulls(parts, t) for t in types[:6]], pa.array(range(parts), pa.int32()),
                                    pa.array([shard] * parts, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return run
@@ -254,24 +265,66 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["a", "b", "key", "place", "size"])
 
 
-def _further(percent: int, near: int, far: int):
-    """From long lists in order of key and place: pairs of different components at distances from ``near`` + 1 to ``far``."""
+def _possible(percent: int):
+    """Of pairs with sizes and sketches, those that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (4, 5))
+            differ = np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
+            total = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            kept = batch.filter(pa.array(differ * (100 + percent) <= (100 - percent) * total))
+            yield pa.record_batch([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    return run
+
+
+def _further(percent: int, most: int):
+    """From long lists in order of key: for every node its ``most`` nearest possible partners in other components.
+
+    A list's nodes are held with 160 bytes each. A row without nodes says that some node has more partners than ``most``.
+    """
+
+    def one_list(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(rows)
+        node, size, root = (held.column(i).to_numpy() for i in (1, 2, 3))
+        bits = np.frombuffer(b"".join(held.column(4).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        n, found, cut = len(node), [], False
+        step = max(1, (1 << 20) // (n * (BITS // 64)))
+        _, where, times = np.unique(root, return_inverse=True, return_counts=True)
+        # every pair of components has a side outside the largest one, which asks
+        asking = np.flatnonzero(where != times.argmax())
+        for a in range(0, len(asking), step):
+            own = asking[a:a + step]
+            differ = np.bitwise_count(bits[own][:, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int64)
+            small, large = np.minimum(size[own][:, None], size[None, :]), np.maximum(size[own][:, None], size[None, :])
+            fits = (differ * (100 + percent) <= (100 - percent) * (small + large)) & (root[own][:, None] != root[None, :]) & (100 * small >= percent * large)
+            for i, row in zip(own.tolist(), range(len(own))):
+                partners = np.flatnonzero(fits[row])
+                if len(partners) > most:
+                    cut = True
+                    partners = partners[np.lexsort((node[partners], differ[row][partners]))[:most]]
+                found += [(min(node[i], node[j]), max(node[i], node[j])) for j in partners.tolist()]
+        if cut:
+            found.append((None, None))
+        if found:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, window = None, np.empty((0, 3), np.int64)
+        key, held = None, []
         for batch in batches:
-            rows = np.stack([np.asarray(batch.column(i)) for i in range(4)], 1)  # key, node, size, root
-            starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else []
-            for a, b in zip(starts, np.r_[starts[1:], len(rows)] if len(rows) else []):
-                if key is None or rows[a, 0] != key:
-                    key, window = rows[a, 0], np.empty((0, 3), np.int64)
-                joined, base = np.r_[window, rows[a:b, 1:]], len(window)
-                for i in range(base, len(joined)):
-                    other = joined[max(0, i - far):max(0, i - near)]
-                    fits = other[(other[:, 2] != joined[i, 2]) & (100 * other[:, 1] >= percent * joined[i, 1])]
-                    if len(fits):
-                        yield pa.record_batch([pa.array(fits[:, 0]), pa.array(np.full(len(fits), joined[i, 0]))], names=["a", "b"])
-                window = joined[-far:]
+            keys = np.asarray(batch.column(0))
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+            for a, b in zip(starts, np.r_[starts[1:], len(keys)] if len(keys) else []):
+                if held and keys[a] != key:
+                    yield from one_list(held)
+                    held = []
+                key = keys[a]
+                held.append(batch.slice(int(a), int(b - a)))
+        if held:
+            yield from one_list(held)
 
     return run
 
@@ -320,8 +373,8 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tie"),
                      F.col(f"`{text}`").cast("string").alias("text"))
     measured = settle(rows.mapInArrow(
-        _measure(words), "doc_id long, tie long, n long, hi long, lo long, part int, shard int, counts binary"))
-    ids = measured.where("n IS NOT NULL").select("doc_id", "tie", "n", "hi", "lo")
+        _measure(words), "doc_id long, tie long, n long, hi long, lo long, bits binary, part int, shard int, counts binary"))
+    ids = measured.where("n IS NOT NULL").select("doc_id", "tie", "n", "hi", "lo", "bits")
     levels = _levels(measured.where("part IS NOT NULL").select("part", "shard", "counts"))
     shared = spark.sparkContext.broadcast(levels)
     sizes = ids.where("n > 0").groupBy(F.least("n", F.lit(1000)).cast("int").alias("s")).count().collect()  # at most 1,000 rows
@@ -329,14 +382,17 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     postings = rows.select("text").mapInArrow(_postings(words, percent, small, shared), "key long, node long, size int")
     lists = postings.repartition("key").sortWithinPartitions("key", "size", "node")
     proposed = settle(lists.mapInArrow(_proposals(percent), "a long, b long, key long, place long, size int"))
-    pairs = proposed.where("a IS NOT NULL").select("a", "b").distinct()
-    long = proposed.where("key IS NOT NULL").select("key", "place", F.col("b").alias("node"), "size")
+    long = proposed.where("key IS NOT NULL").select("key", F.col("b").alias("node"), F.col("size").cast("long").alias("size"))
 
     classes = ids.where("n > 0").groupBy("hi", "lo").agg(
         F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "tie")).alias("rep"), F.count(F.lit(1)).alias("n_rows"))
-    asked = settle(pairs)
-    nodes = asked.select("a").union(asked.select("b")).distinct().withColumnRenamed("a", "lo")
-    reps = classes.join(nodes, "lo").select("hi", "lo", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tie").alias("tie"))
+    sketches = ids.where("n > 0").groupBy("lo").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    ends = [sketches.select(F.col("lo").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in ("a", "b")]
+    pairs = proposed.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    asked = settle(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+                   .mapInArrow(_possible(percent), "a long, b long"))
+    open_nodes = asked.select("a").union(asked.select("b")).union(long.select("node")).distinct().withColumnRenamed("a", "lo")
+    reps = classes.join(open_nodes, "lo").select("hi", "lo", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tie").alias("tie"))
     packed = rows.select("doc_id", "tie", "text").mapInArrow(_packed_text, "doc_id long, tie long, data binary")
     texts = settle(reps.join(packed, reps["doc_id"].eqNullSafe(packed["doc_id"]) & (reps["tie"] == packed["tie"]))
                    .select("hi", "lo", "data").dropDuplicates(["hi", "lo"]))
@@ -349,25 +405,22 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
         return settle(both.mapInArrow(_verify(words, percent), "a string, b string"))
 
     edges = verified(asked)
-    reached = settle(components(edges))
-    longest = long.agg(F.max("place")).first()[0]
-    near, far = 1, 8
-    while longest is not None and near < longest:
+    reached = components(edges)
+    most, tested, waiting = 2, asked, not long.isEmpty()
+    sketched = settle(long.join(sketches.withColumnRenamed("lo", "node"), "node").select("key", "node", "size", "bits")) if waiting else None
+    while waiting:
         # lists whose nodes are not yet of one component; a node that no link has reached is its own
         roots = reached.select(F.split_part("node", F.lit(":"), F.lit(2)).cast("long").alias("node"), F.xxhash64("root").alias("root"))
-        marked = long.join(roots.dropDuplicates(["node"]), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        marked = sketched.join(roots.dropDuplicates(["node"]), "node", "left").withColumn("root", F.coalesce("root", "node"))
         undone = marked.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        open_lists = settle(marked.join(undone, "key", "left_semi"))
-        if open_lists.isEmpty():
-            break
-        order = open_lists.select("key", "node", F.col("size").cast("long").alias("size"), "root", "place")
-        more = (order.repartition("key").sortWithinPartitions("key", "place").select("key", "node", "size", "root")
-                .mapInArrow(_further(percent, near, far), "a long, b long").distinct())
-        fresh = verified(more)
+        order = marked.join(undone, "key", "left_semi").repartition("key").sortWithinPartitions("key", "node")
+        found = settle(order.select("key", "node", "size", "root", "bits").mapInArrow(_further(percent, most), "a long, b long"))
+        waiting = not found.where("a IS NULL").isEmpty()
+        fresh = settle(found.where("a IS NOT NULL").distinct().join(tested, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
-            edges = edges.union(fresh)
-            reached = settle(components(edges))
-        near, far = far, far * 8
+            edges, tested = edges.union(verified(fresh)), tested.union(fresh)
+            reached = components(edges)
+        most *= 8
 
     name = F.concat_ws(":", "hi", "lo")
     rooted = classes.withColumn("node", name).join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
