@@ -19,7 +19,6 @@ COHERENCE_HIGH = 0.5
 BREAK_THRESHOLD = 0.5
 RETRIEVAL_K = 3
 RETRIEVAL_MIN_COSINE = 0.80
-PROMPT_TEXT_CHARS = 6000
 FOCUS_TERM_LIMIT = 10
 DEPTH_STEPS = {"rapide": 8, "standard": 15, "approfondie": 25}
 DEFAULT_DEPTH = "standard"
@@ -62,7 +61,6 @@ SEARCH_STOPWORDS = [
     "der", "die", "das", "und", "mit", "für", "den", "dem",
 ]
 SEARCH_MIN_TOKEN = 3
-SEARCH_PAGE_SIZE = 20
 
 # --- fixed values: formats ------------------------------------------------------
 STRICT_PRICE = r"(\d[\d'’.,\s]*)\s*([A-Za-z]{3})"

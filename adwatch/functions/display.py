@@ -106,11 +106,13 @@ def exploration_brief(
     terms: Column,
     focus_text: str = "\nObjet prioritaire : {focus}\n{examples}",
     examples_text: str = "Exemples, sans s'y limiter : {terms}.\n",
+    most_terms: int | None = None,
 ) -> Column:
-    """Fill ``{start_url}`` and ``{focus_block}`` of a brief; no block without a focus."""
+    """Fill ``{start_url}`` and ``{focus_block}`` of a brief; no block without a focus. All terms, or the first ``most_terms``."""
     focus = strip(F.coalesce(focus, F.lit("")))
     kept = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: t != "")
-    kept = F.slice(kept, 1, fixed.FOCUS_TERM_LIMIT)
+    if most_terms is not None:
+        kept = F.slice(kept, 1, most_terms)
     examples = F.when(F.size(kept) > 0, _fill(examples_text, terms=F.array_join(kept, ", "))).otherwise("")
     block = F.when(focus != "", _fill(focus_text, focus=focus, examples=examples)).otherwise("")
     return _fill(template, start_url=start_url, focus_block=block)

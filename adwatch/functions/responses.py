@@ -98,11 +98,9 @@ def _first_array(raw: pd.Series) -> pd.Series:
         at = text.find("[") if text else -1
         while at >= 0:
             try:
-                decode(text, at)
-            except ValueError:
+                return text[at:decode(text, at)[1]]
+            except (ValueError, RecursionError):  # no array starts here, or one deeper than any answer
                 at = text.find("[", at + 1)
-                continue
-            return text[at:decode(text, at)[1]]
         return None
 
     return raw.map(cut, na_action="ignore")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,24 +67,55 @@ def visible_html(html: Column) -> Column:
     return F.regexp_replace(html, "(?is)<style[^>]*>.*?</style>", " ")
 
 
-def html_text(html: Column, max_chars: int | None = None) -> Column:
-    """Readable text of a page. ``max_chars`` is for prompts only; tables keep the whole text."""
-    text = strip(squeeze(F.regexp_replace(visible_html(html), "<[^>]+>", " ")))
-    return text if max_chars is None else F.substring(text, 1, max_chars)
+def html_text(html: Column) -> Column:
+    """Readable text of a page, whole."""
+    return strip(squeeze(F.regexp_replace(visible_html(html), "<[^>]+>", " ")))
+
+
+# Names that also count without their semicolon, longest first, so that the longest one is taken.
+_LOOSE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_NUMERIC = r"&#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; codes that no text can hold give the replacement character, as in a browser."""
+    fits = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    # 0x80 to 0x9f are read as windows-1252
+    windows = F.element_at(F.array(*[F.lit(bytes([i]).decode("cp1252", "replace")) for i in range(0x80, 0xA0)]), (code - 0x7F).cast("int"))
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(~fits | code.isNull(), F.lit("\ufffd")).when(code.between(0x80, 0x9F), windows).otherwise(plain)
+
+
+def _resolved(c: Column, loose: str) -> Column:
+    """Every character reference of the text resolved, once; other text and unknown names stay."""
+    named = F.create_map(*[F.lit(x) for pair in html5.items() for x in pair])
+    pattern = rf"(?s){_NUMERIC}|&[A-Za-z][A-Za-z0-9]{{1,31}};|{loose}&|[^&]+"
+
+    def one(token: Column) -> Column:
+        hexadecimal = token.rlike("^&#[xX]")
+        digits = F.regexp_extract(token, "([0-9a-fA-F]+);?$", 1)
+        # more digits than a code point can have are beyond every character
+        number = F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 7, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
+        name = F.substr(token, F.lit(2))
+        known = F.try_element_at(named, name)
+        prefix = F.regexp_extract(token, f"^&({'|'.join(_LOOSE)})", 1)
+        by_prefix = F.when(prefix != "", F.concat(F.try_element_at(named, prefix), F.substr(token, F.length(prefix) + 2)))
+        return F.when(token.rlike(f"^{_NUMERIC}$"), _character(F.coalesce(number, F.lit(0x110000)))).otherwise(
+            F.coalesce(known, by_prefix if loose else F.lit(None), token))
+
+    tokens = F.regexp_extract_all(c, F.lit(pattern), 0)
+    joined = F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("&"), one(t)).otherwise(t)), "")
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 
 def unescape(c: Column) -> Column:
-    """The five predefined entities plus the numeric apostrophes, ``&amp;`` last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Character references of an attribute: numeric ones and all names, with their semicolon."""
+    return _resolved(c, "")
 
 
 def unescape_text(c: Column) -> Column:
-    """The same for page text, where the named entities also count without their semicolon."""
-    for entity, char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;|&#x27;", "'"), ("&amp;?", "&")):
-        c = F.regexp_replace(c, entity, char)
-    return c
+    """The same for page text, where old names also count without their semicolon."""
+    return _resolved(c, f"&(?:{'|'.join(_LOOSE)})|")
 
 
 def words(c: Column) -> Column:

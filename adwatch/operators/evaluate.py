@@ -133,7 +133,7 @@ def score_groups(rows: DataFrame) -> DataFrame:
 
 
 def score_stats(grouped: DataFrame) -> DataFrame:
-    """n, min, max, mean and upper median per group.
+    """n, min, max, mean (three places) and upper median per group.
 
     A score has three decimals, so a group has at most 1,001 distinct values. Counting those first leaves a table
     of bounded size, from which the median follows by a running count; no group is ever sorted as a whole.
@@ -147,7 +147,7 @@ def score_stats(grouped: DataFrame) -> DataFrame:
         F.max("n").alias("n"),
         F.min("score").cast("double").alias("min"),
         F.max("score").cast("double").alias("max"),
-        (F.sum(F.col("score").cast("decimal(20,3)") * F.col("c")).cast("double") / F.max("n")).alias("mean"),
+        round_even(F.sum(F.col("score").cast("decimal(20,3)") * F.col("c")).cast("double") / F.max("n"), 3).alias("mean"),
         F.min(F.when(above, F.col("score"))).cast("double").alias("median"),
     )
 

@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from adwatch.functions.display import compose_location
 from adwatch.functions.price import strict_price, structured_amount, tolerant_price
 from adwatch.functions.text import after_colon, fold, strip, unescape, unescape_text, visible_html
 from adwatch.operators.checks import identified, missing_fields
-from adwatch.operators.ordering import earliest, first_n
+from adwatch.operators.ordering import earliest
 from adwatch.operators.skew import lookup_join
 
 CARD_SCOPE = ".listing-card"
@@ -331,13 +331,14 @@ def next_frontier(links: DataFrame, visited: DataFrame, order: Sequence[str]) ->
 
 
 def capped_listing_links(
-    cards: DataFrame, pages: DataFrame, run: str = "run_id", max_pages: int = 1, max_listings: int = 0
+    cards: DataFrame, pages: DataFrame, run: str = "run_id", caps: DataFrame | None = None
 ) -> DataFrame:
     """Ad links a run may open.
 
     ``pages`` is ``(run, page_no)`` of fetched result pages, ``cards`` is ``(run, page_no, position, link)``.
-    A run stops at its first empty page after page 1, at ``max_pages``, and after ``max_listings`` distinct links
-    (0 = no limit).
+    A run stops at its first empty page after page 1. ``caps`` is ``(run, max_pages, max_listings)``, as
+    :func:`cap_settings` reads them from the selectors of the run's platform: a run stops at ``max_pages`` and after
+    ``max_listings`` distinct links; 0, null, or no row mean no limit.
     """
     filled = cards.groupBy(run, "page_no").agg(F.lit(True).alias("_filled"))
     stop = (
@@ -346,16 +347,24 @@ def capped_listing_links(
         .groupBy(run)
         .agg(F.min("page_no").alias("_stop"))
     )
-    open_cards = (
-        lookup_join(cards.where(F.col("page_no") <= max(1, max_pages)), stop, [run], "left")
-        .where(F.col("_stop").isNull() | (F.col("page_no") < F.col("_stop")))
-    )
-    first = earliest(open_cards, [run, "link"], ["page_no", "position"], ["page_no", "position"])
-    return first_n(first, [run], ["page_no", "position", "link"], max_listings) if max_listings > 0 else first
+    open_cards = lookup_join(cards, stop, [run], "left").where(F.col("_stop").isNull() | (F.col("page_no") < F.col("_stop")))
+    if caps is None:
+        return earliest(open_cards, [run, "link"], ["page_no", "position"], ["page_no", "position"])
+    limits = caps.select(run, F.nullif("max_pages", F.lit(0)).alias("_pages"), F.nullif("max_listings", F.lit(0)).alias("_ads"))
+    within = lookup_join(open_cards, limits, [run], "left").where(F.col("_pages").isNull() | (F.col("page_no") <= F.col("_pages")))
+    first = earliest(within, [run, "link"], ["page_no", "position"], ["page_no", "position", "_ads"])
+    free = first.where(F.col("_ads").isNull()).drop("_ads")
+    # runs of one cap are cut together, before their rows are shuffled whole
+    rank = F.row_number().over(Window.partitionBy(run).orderBy("page_no", "position", "link"))
+    cut = first.where(F.col("_ads").isNotNull()).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_ads"))
+    return free.unionByName(cut.drop("_ads", "_rank"))
 
 
 def cap_settings(selectors: Column, default_pages: int = 1, default_listings: int = 0) -> Column:
-    """``struct(max_pages, max_listings)`` of a selector map; unusable values fall back to the defaults."""
+    """``struct(max_pages, max_listings)`` of a selector map; unusable values fall back to the defaults.
+
+    A selector set without ``_max_pages`` reads one page, as the reader of such sets does.
+    """
     pages = F.coalesce(F.try_element_at(selectors, F.lit("_max_pages")).try_cast("int"), F.lit(default_pages))
     ads = F.coalesce(F.try_element_at(selectors, F.lit("_max_listings")).try_cast("int"), F.lit(default_listings))
     return F.struct(F.greatest(F.lit(1), pages).alias("max_pages"), F.greatest(F.lit(0), ads).alias("max_listings"))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Largest page a request may ask for.
+MOST = 500
+
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """``limit`` rows after ``offset`` of an ordered table (1-500 rows, offset 0 or more)."""
-    return df.orderBy(*order).offset(max(0, offset)).limit(min(500, max(1, limit)))
+    """``limit`` rows after ``offset`` of an ordered table; a page has 1 to ``MOST`` rows, other requests are refused."""
+    if not 1 <= limit <= MOST or offset < 0:
+        raise ValueError(f"a page has 1 to {MOST} rows from offset 0 on, not {limit} from {offset}")
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def page_after(df: DataFrame, column: str, last: object, key: str, last_key: object, limit: int) -> DataFrame:

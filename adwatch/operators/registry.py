@@ -30,10 +30,14 @@ def null_safe_lookup(rows: DataFrame, dimension: DataFrame, keys: Sequence[str],
 
 
 def new_dimension_rows(incoming: DataFrame, existing: DataFrame, keys: Sequence[str], id_column: str) -> DataFrame:
-    """Keys of ``incoming`` that ``existing`` lacks, with an id that depends on the key alone."""
+    """Keys of ``incoming`` that ``existing`` lacks, with an id that depends on the key alone.
+
+    The id is a 128-bit hash, in hex, of the key as JSON with its nulls, so a null that moves gives another id.
+    """
     fresh = incoming.select(*keys).distinct()
     missing = fresh.join(existing, _same(fresh, existing, keys), "left_anti")
-    return missing.select(F.xxhash64(*keys).alias(id_column), *keys)
+    text = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+    return missing.select(F.md5(text).alias(id_column), *keys)
 
 
 def platform_availability(platforms: DataFrame, coded: DataFrame, selector_platforms: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adwatch import fixed
 from adwatch.functions import text as X
 from adwatch.operators.ordering import earliest, first_n
 
@@ -53,16 +52,17 @@ def _term_tokens(terms: DataFrame) -> DataFrame:
 
 
 def search_terms(ads: DataFrame, terms: DataFrame, key: str, title: str, description: str | None = None) -> DataFrame:
-    """One search per term over all ads: ``(key, term_id, term)`` for every hit.
+    """One search per term over all ads: the distinct ``(key, term_id, term)`` of all hits.
 
-    ``terms`` is ``(term_id, term)``. Up to ``INLINE_TERMS`` terms become conditions tested in one pass over each
+    ``terms`` is ``(term_id, term)``; terms that are null or empty find nothing. Rows of one key count as one ad, also
+    those without a key. The result does not depend on the number of terms: up to ``INLINE_TERMS`` terms become conditions tested in one pass over each
     ad. A larger table joins on equality: every word of an ad yields its prefixes of the lengths in use, which meet
     the tokens without a candidate that fails; terms without tokens join on the grams of their own text.
     """
     body = _body(F.col(title), F.col(description)) if description else F.coalesce(title, F.lit(""))
     listed = terms.select("term_id", "term").limit(INLINE_TERMS + 1).collect()
     if len(listed) <= INLINE_TERMS:
-        return _search_inline(ads, terms.schema, listed, key, body)
+        return _search_inline(ads, terms.schema, listed, key, body).distinct()
     return _search_joined(ads, _term_tokens(terms), key, body)
 
 
@@ -101,8 +101,9 @@ def _search_joined(ads: DataFrame, prepared: DataFrame, key: str, body: Column)
     )
     text = split.withColumn("_sizes", sizes.scalar()).select(key, F.explode(grams).alias("_gram"))
     met = text.join(plain, "_gram").select(key, "term_id", "term", "_needle")
-    by_text = met.join(split.select(key, "_low"), key).where(F.contains("_low", "_needle")).select(key, "term_id", "term")
-    return by_word.unionByName(by_text)
+    whole = split.select(F.col(key).alias("_key"), "_low")
+    by_text = met.join(whole, F.col(key).eqNullSafe(F.col("_key"))).where(F.contains("_low", "_needle")).select(key, "term_id", "term")
+    return by_word.unionByName(by_text.distinct())
 
 
 def first_hits(hits: DataFrame, key: str) -> DataFrame:
@@ -127,5 +128,3 @@ def site_labels_like(sites: DataFrame, typed: str) -> DataFrame:
     """Sites whose label contains the typed text, case ignored."""
     return sites.where(F.lower("label").contains(typed.lower()))
 
-
-SEARCH_PAGE_SIZE = fixed.SEARCH_PAGE_SIZE

@@ -6,7 +6,7 @@ sorted rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adwatch import fixed
@@ -144,25 +144,41 @@ def run_list(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", "mode", "status", "stats", "started_at")
 
 
-NESTED_ADS = 10_000
+PART_ADS = 10_000
 
 
-def report_documents(headers: DataFrame, ads: DataFrame, most_ads: int = NESTED_ADS) -> DataFrame:
-    """One nested document per run: header, counts and ordered ads in one row.
+def _placed(ads: DataFrame) -> DataFrame:
+    """Report lines with ``place``, their rank in the run from 0.
 
-    Runs with more than ``most_ads`` ads have null ``annonces``; their lines are in the flat table, which holds every
-    run. No row gathers more than ``most_ads`` ads.
+    Lines are counted by cells of the order, a priority and a score of three places, of which a run has a bounded number;
+    a line's place is the count of the cells before plus its rank in its cell and a hash slice of it.
+    """
+    cell = ads.withColumn("_cell", F.struct(F.col("priority"), (-F.col("exact_score")).alias("s")))
+    cell = cell.withColumn("_slice", F.col("score_id").cast("long").bitwiseAND(F.lit(-4096)))
+    sizes = cell.groupBy("run_id", "_cell", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("run_id").orderBy("_cell", "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("run_id", "_cell", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("run_id", "_cell", "_slice").orderBy("score_id")) - 1
+    joined = cell.withColumn("_in", inside).join(starts, ["run_id", "_cell", "_slice"])
+    return joined.withColumn("place", F.col("_start") + F.col("_in")).drop("_cell", "_slice", "_start", "_in")
+
+
+def report_documents(headers: DataFrame, ads: DataFrame, part_ads: int = PART_ADS) -> DataFrame:
+    """Nested documents: header, counts and ordered ads, in parts of at most ``part_ads`` ads.
+
+    ``part`` counts from 0; every ad of a run is in exactly one part, in the run's order, and every part carries the
+    header. A run without ads is one part with an empty list.
     """
-    fitting = headers.where(F.col("analysed") <= most_ads).select("run_id")
     columns = [c for c in ads.columns if c not in ("run_id", "priority", "exact_score", "score_id")]
-    line = F.struct(F.col("priority"), (-F.col("exact_score")).alias("rank"), F.col("score_id"), F.struct(*columns).alias("ad"))
-    nested = lookup_join(ads, fitting, ["run_id"]).groupBy("run_id").agg(
+    line = F.struct(F.col("place"), F.struct(*columns).alias("ad"))
+    nested = _placed(ads).groupBy("run_id", F.floor(F.col("place") / part_ads).cast("int").alias("part")).agg(
         F.transform(F.array_sort(F.collect_list(line)), lambda e: e["ad"]).alias("annonces")
     )
     counts = F.map_from_entries("par_categorie")
-    empty = F.when(F.col("analysed") == 0, F.array().cast(nested.schema["annonces"].dataType))
+    empty = F.array().cast(nested.schema["annonces"].dataType)
     return headers.join(nested, "run_id", "left").select(
         "run_id",
+        F.coalesce("part", F.lit(0)).alias("part"),
         F.struct("run_id", "mode", "status").alias("run"),
         "generated_at", "prompt", "duree_s",
         F.struct(F.col("seuil_revision").alias("revision"), F.col("seuil_surveillance").alias("surveillance")).alias("seuils"),

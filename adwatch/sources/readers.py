@@ -51,15 +51,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sealed_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Sealed JSON-lines logs, one chain per file.
+    """Sealed JSON-lines logs (``*.jsonl``), one chain per file: ``chain`` is its whole path, ``log`` its bare name.
 
     ``block`` and ``line`` give the order inside a file: a split of a file is read by one task in line order, so
     the row number orders lines within it. Unreadable lines stay, marked by ``error``.
     """
     columns = schema.AUDIT.replace("seq bigint, ", "")
-    lines = spark.read.schema(f"{columns}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    reader = spark.read.schema(f"{columns}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT)
+    lines = reader.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).json(path)
     return lines.select(
-        F.col("_metadata.file_name").alias("chain"),
+        F.col("_metadata.file_path").alias("chain"),
+        F.col("_metadata.file_name").alias("log"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         *[c.split()[0] for c in columns.split(", ")],

@@ -48,8 +48,8 @@ def write_reports(headers: DataFrame, ads: DataFrame, path: str) -> None:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Nested reports, one JSON file per run under ``run_id=N``."""
-    documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
+    """Nested reports as JSON under ``run_id=N/part=M``."""
+    documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "part").json(path)
 
 
 def export_cases(cases: DataFrame, path: str) -> None:
@@ -59,10 +59,16 @@ def export_cases(cases: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").option("partitionOverwriteMode", "static").json(f"{path}/summary")
 
 
-def upsert_rules(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rule vectors after an ingest: the incoming rule replaces the stored one with the same id."""
-    marked = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    return latest(marked, ["rule_id"], ["_new"]).drop("_new")
+def upsert_rules(stored: DataFrame, incoming: DataFrame, position: str | None = None) -> DataFrame:
+    """Rule vectors after an ingest: the incoming rule replaces the stored one with the same id.
+
+    ``position`` is the incoming column of ingest order, by which the last of several rules with one id wins; it is not
+    stored. Without it, rules of one id must be equal, and any of them stands for all.
+    """
+    placed = incoming.withColumn("_at", F.col(position) if position else F.lit(0)).withColumn("_new", F.lit(1))
+    placed = placed.drop(position) if position and position not in stored.columns else placed
+    kept = stored.withColumn("_new", F.lit(0)).withColumn("_at", F.lit(None).cast(placed.schema["_at"].dataType))
+    return latest(kept.unionByName(placed), ["rule_id"], ["_new", "_at"]).drop("_new", "_at")
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from adwatch import fixed
@@ -103,13 +105,14 @@ def test_listing_caps(spark):
     cards = spark.createDataFrame(cards, "run_id int, page_no int, position int, link string")
     pages = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2)], "run_id int, page_no int")
 
-    def links(**caps):
-        return [r.link for r in X.capped_listing_links(cards, pages, **caps).where("run_id = 1").orderBy("page_no", "position").collect()]
+    def links(*caps, run=1):
+        table = spark.createDataFrame(list(caps), "run_id int, max_pages int, max_listings int") if caps else None
+        return [r.link for r in X.capped_listing_links(cards, pages, caps=table).where(f"run_id = {run}").orderBy("page_no", "position").collect()]
 
-    assert links(max_pages=9) == ["a", "b", "c"]
-    assert links() == ["a", "b"]
-    assert links(max_pages=9, max_listings=2) == ["a", "b"]
-    assert [r.link for r in X.capped_listing_links(cards, pages, max_pages=9).where("run_id = 2").collect()] == ["q"]
+    assert links() == ["a", "b", "c"]
+    assert links((1, 1, 0)) == ["a", "b"]
+    assert links((1, 9, 2), (2, 9, 1)) == ["a", "b"]
+    assert links((1, 1, 0), run=2) == ["q"] and links((2, 1, 0), run=2) == []
 
 
 def test_frontier(spark):
@@ -156,3 +159,29 @@ def test_exploration_job(spark):
     assert {s.session_id: (s.status, s.ads) for s in sessions.collect()} == {
         "s1": ("ok", 2), "s2": ("empty", 0), "s3": ("empty", 0), "s4": ("invalid", 0), "s5": ("invalid", 0), "s6": ("empty", 0)}
     assert sorted(a.external_id[:7] for a in ads.collect()) == ["browse:", "https:/"]
+
+
+PAGE = """<html><body><div class="c price-box" id="one" lang="fr-CH"><h1>Lamp</h1><p>first</p><p class="pricey">second</p><span>s</span><p>third</p></div>
+<ul><li>a</li><li>b</li><li class="x">c</li><li>d</li></ul><section><div><h2>Deep</h2></div></section></body></html>"""
+
+
+@pytest.mark.parametrize("selector,want", [
+    ("div > h1", ["Lamp"]), ("div.c>h1", ["Lamp"]), ("h2, h1", ["Lamp", "Deep"]), ("h1 + p", ["first"]), ("h1 ~ p", ["first", "second", "third"]),
+    ("p:nth-child(2)", ["first"]), ("[class^=pri]", ["second"]), ("[class~=price-box] > span", ["s"]), ("[class$='box'] h1", ["Lamp"]),
+    ("[class*=ice] > h1", ["Lamp"]), ("div[lang|=fr] h1", ["Lamp"]), ("li:nth-child(odd)", ["a", "c"]), ("li:nth-child(2n)", ["b", "d"]),
+    ("li:nth-child(-n+2)", ["a", "b"]), ("li:first-child", ["a"]), ("li:last-child", ["d"]), ("li:not(.x):not(:first-child)", ["b", "d"]),
+    ("p:nth-of-type(2)", ["second"]), ("section > h2", []), ("section h2", ["Deep"]), ("#one > p:last-of-type", ["third"]), ("UL > li.x", ["c"]),
+    ("li:nth-last-child(2)", ["c"]), ("*:is(h1, h2)", ["Lamp", "Deep"]), ("body div:not(#one) h2", ["Deep"]),
+])
+def test_selectors(selector, want):
+    from adwatch.functions import markup
+
+    assert [e.text() for e in markup.select(markup.parse(PAGE), selector)] == want
+
+
+@pytest.mark.parametrize("selector", ["p::before", "p:hover", "div >", "> p", "p:nth-child(x)", "p[", "a:has(b)", "p,,q", "p !x"])
+def test_unsupported_selectors_raise(selector):
+    from adwatch.functions import markup
+
+    with pytest.raises(markup.UnsupportedSelector):
+        list(markup.select(markup.parse(PAGE), selector))

@@ -103,7 +103,6 @@ def test_search_urls(column):
 def test_html_text(column):
     page = "<html><style>p{}</style><h1>Titre</h1> \n<script>alert(1)</script><p>Texte</p></html>"
     assert column(X.html_text, [page]) == ["Titre Texte"]
-    assert column(lambda c: X.html_text(c, 5), [page]) == ["Titre"]
 
 
 def test_labels_and_bands(column):
@@ -209,6 +208,21 @@ def test_prompts(column):
     assert got == ["\n" + fixed.PROMPT_RULES + "\n- [tabac] t (s) : x", ""]
     brief = column(lambda f: D.exploration_brief("go {start_url}{focus_block}", F.lit("http://a"), f, F.array(F.lit("x"), F.lit("y"))), ["ivoire", " "])
     assert "ivoire" in brief[0] and "x, y" in brief[0] and brief[1] == "go http://a"
+    many = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("t"), i.cast("string")))
+    whole = column(lambda f: D.exploration_brief("{focus_block}", F.lit("u"), f, many), ["x"])[0]
+    first = column(lambda f: D.exploration_brief("{focus_block}", F.lit("u"), f, many, most_terms=10), ["x"])[0]
+    assert "t30" in whole and "t10" in first and "t11" not in first
+
+
+def test_character_references(column):
+    import html
+
+    texts = ["Caf&eacute; &amp; th&#233; &nbsp;&laquo;x&raquo; &#x20AC; &#128512; &unknown; &#0; &#x110000; &#150; plain", "a & b &amp;lt; &#39;", None, "none",
+             "&#99999999999999999999;", "&NotEqualTilde; &fjlig;"]
+    assert column(X.unescape, texts) == [t if t is None else html.unescape(t) for t in texts]
+    loose = ["&copy 2024 &ltx &notit; &AMP&amp", "?a=1&copy=2"]
+    assert column(X.unescape_text, loose) == [html.unescape(t) for t in loose]
+    assert column(X.unescape, ["?a=1&copy=2&lt"]) == ["?a=1&copy=2&lt"]
 
 
 def test_keyword_detector_is_ordered_and_by_substring(column):

@@ -1,6 +1,7 @@
 """Readers, writers and incremental jobs on files."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -38,7 +39,12 @@ def test_foreign_logs(spark, folder):
     entries[2]["action"] = "changed"
     put(f"{folder}/bad.jsonl", "\n".join(json.dumps(e, ensure_ascii=False) for e in entries))
     put(f"{folder}/torn.jsonl", "\n".join(lines[:2]) + "\n{broken")
-    got = {r.chain: (r.ok, r.first_bad, r["count"], r.error) for r in A.verify_logs(readers.read_sealed_logs(spark, folder)).collect()}
+    os.makedirs(f"{folder}/other")
+    put(f"{folder}/other/good.jsonl", "\n".join(lines[:2]))
+    put(f"{folder}/notes.txt", "no log")
+    verdicts = A.verify_logs(readers.read_sealed_logs(spark, folder)).collect()
+    got = {r.chain.split(os.path.basename(folder) + "/")[1]: (r.ok, r.first_bad, r["count"], r.error) for r in verdicts}
+    assert got["other/good.jsonl"] == (True, None, 2, None) and len(got) == 4
     assert got["good.jsonl"] == (True, None, 6, None) and got["bad.jsonl"] == (False, 2, 6, None)
     assert got["torn.jsonl"][0] is False and "broken" in got["torn.jsonl"][3]
 
@@ -63,6 +69,8 @@ def test_rule_upsert_and_versions(spark, folder):
     stored, number = writers.read_newest(spark, f"{folder}/rules")
     writers.write_version(writers.upsert_rules(stored, new), f"{folder}/rules", number + 1)
     writers.write_version(writers.upsert_rules(writers.read_newest(spark, f"{folder}/rules")[0], new), f"{folder}/rules", 3)
+    twice = spark.createDataFrame([("b", [5.0], "first", 1), ("b", [6.0], "last", 2)], "rule_id string, embedding array<float>, title string, at int")
+    assert [r.title for r in writers.upsert_rules(old, twice, "at").where("rule_id = 'b'").collect()] == ["last"]
     newest, number = writers.read_newest(spark, f"{folder}/rules")
     assert number == 3 and sorted((r.rule_id, r.title) for r in newest.collect()) == [("a", "x"), ("b", "z"), ("c", "w")]
 

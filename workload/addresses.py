@@ -140,19 +140,25 @@ def next_frontier(spark, sf):
 
 
 @query("capped_links", """
-WITH cards AS (SELECT l_suppkey AS run_id, l_linenumber AS page_no, l_orderkey AS position, l_partkey AS link FROM lineitem WHERE l_discount > 0.05),
-fetched AS (SELECT DISTINCT l_suppkey AS run_id, l_linenumber AS page_no FROM lineitem),
+WITH cards AS (SELECT l_suppkey AS run_id, l_linenumber AS page_no, l_orderkey AS position, l_partkey AS link FROM lineitem),
+fetched AS (SELECT s_suppkey AS run_id, unnest(range(1, 10)) AS page_no FROM supplier),
+caps AS (SELECT s_suppkey AS run_id, s_nationkey % 5 + 1 AS max_pages, CASE WHEN s_nationkey % 3 = 0 THEN NULL ELSE s_nationkey + 5 END AS max_listings FROM supplier),
 stops AS (SELECT f.run_id, min(f.page_no) AS stop FROM fetched f LEFT JOIN (SELECT DISTINCT run_id, page_no FROM cards) c USING (run_id, page_no) WHERE c.run_id IS NULL AND f.page_no > 1 GROUP BY 1),
-firsts AS (SELECT c.run_id, c.link, min((c.page_no, c.position)) AS seen FROM cards c LEFT JOIN stops s USING (run_id) WHERE c.page_no <= 5 AND (s.stop IS NULL OR c.page_no < s.stop) GROUP BY 1, 2)
-SELECT run_id, link FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seen, link) AS rn FROM firsts) WHERE rn <= 25""")
+firsts AS (SELECT c.run_id, c.link, min((c.page_no, c.position)) AS seen FROM cards c LEFT JOIN stops s USING (run_id) JOIN caps k USING (run_id) WHERE c.page_no <= k.max_pages AND (s.stop IS NULL OR c.page_no < s.stop) GROUP BY 1, 2)
+SELECT run_id, link FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seen, link) AS rn FROM firsts) JOIN caps USING (run_id) WHERE max_listings IS NULL OR rn <= max_listings""")
 def capped_links(spark, sf):
     items = V.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("run_id"), F.col("l_linenumber").alias("page_no"), F.col("l_orderkey").alias("position"),
-        F.col("l_partkey").alias("link"), "l_discount",
+        F.col("l_partkey").alias("link"),
     )
-    cards = items.where(F.col("l_discount") > 0.05)
-    fetched = items.select("run_id", "page_no").distinct()
-    return extract.capped_listing_links(cards, fetched, max_pages=5, max_listings=25).select("run_id", "link")
+    sites = V.table(spark, sf, "supplier")
+    fetched = sites.select(F.col("s_suppkey").alias("run_id"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("page_no"))
+    key = F.col("s_nationkey")
+    selectors = F.create_map(
+        F.lit("_max_pages"), (key % 5 + 1).cast("string"),
+        F.lit("_max_listings"), F.when(key % 3 == 0, F.lit("many")).otherwise((key + 5).cast("string")))
+    caps = sites.select(F.col("s_suppkey").alias("run_id"), extract.cap_settings(selectors).alias("c")).select("run_id", "c.*")
+    return extract.capped_listing_links(items, fetched, caps=caps).select("run_id", "link")
 
 
 @query("public_links", "SELECT page_id, regexp_replace(url, '^[a-z]+://[^/?#]*', 'http://localhost:8001') AS link FROM pages")

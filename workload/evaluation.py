@@ -141,7 +141,7 @@ def _scored(spark, sf):
 g AS (SELECT score, CASE WHEN suspect THEN 'illicites' ELSE 'licites' END AS grp FROM scored UNION ALL
       SELECT score, 'pieges' FROM scored WHERE piege UNION ALL SELECT score, 'niveau:' || difficulte FROM scored),
 o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM g)
-SELECT grp, count(*) AS n, min(score)::DOUBLE AS min, max(score)::DOUBLE AS max, sum(score)::DOUBLE / count(*)::DOUBLE AS mean,
+SELECT grp, count(*) AS n, min(score)::DOUBLE AS min, max(score)::DOUBLE AS max, round_even(sum(score)::DOUBLE / count(*)::DOUBLE, 3) AS mean,
        max(score) FILTER (WHERE i = n // 2)::DOUBLE AS median
 FROM o GROUP BY grp""")
 def score_stats(spark, sf):

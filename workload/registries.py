@@ -85,10 +85,11 @@ def model_version_lookup(spark, sf):
 
 
 @query("model_version_new", f"""WITH {_DIM_SQL}
-SELECT DISTINCT agent, model_name, prompt_version, prompt_hash FROM ({_KEYS_SQL} FROM customer) EXCEPT SELECT agent, model_name, prompt_version, prompt_hash FROM dim""")
+SELECT md5('[' || concat_ws(',', '"' || agent || '"', '"' || model_name || '"', coalesce('"' || prompt_version || '"', 'null'), coalesce('"' || prompt_hash || '"', 'null')) || ']') AS model_version_id, *
+FROM (SELECT DISTINCT agent, model_name, prompt_version, prompt_hash FROM ({_KEYS_SQL} FROM customer) EXCEPT SELECT agent, model_name, prompt_version, prompt_hash FROM dim)""")
 def model_version_new(spark, sf):
     rows = _keys(V.table(spark, sf, "customer"))
-    return R.new_dimension_rows(rows, _dimension(spark, sf), R.MODEL_KEY, "model_version_id").drop("model_version_id")
+    return R.new_dimension_rows(rows, _dimension(spark, sf), R.MODEL_KEY, "model_version_id")
 
 
 # --- runs -------------------------------------------------------------------------------------------------------

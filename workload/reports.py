@@ -113,14 +113,15 @@ def site_links(spark, sf):
 
 
 @query("report_documents", _BASE + """
-SELECT run_id, count(*) AS analysees, count(*)::INTEGER AS lines,
-       arg_min(listing_id, (CASE WHEN list_contains(targets, category) THEN 0 ELSE 1 END, -suspicion_score, score_id)) AS first_ad,
-       arg_max(listing_id, (CASE WHEN list_contains(targets, category) THEN 0 ELSE 1 END, -suspicion_score, score_id)) AS last_ad
-FROM ads JOIN runs USING (run_id) GROUP BY 1""")
+, placed AS (SELECT run_id, listing_id, count(*) OVER (PARTITION BY run_id) AS analysees,
+       row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN list_contains(targets, category) THEN 0 ELSE 1 END, suspicion_score DESC, score_id) - 1 AS place
+       FROM ads JOIN runs USING (run_id))
+SELECT run_id, (place // 20)::INTEGER AS part, any_value(analysees) AS analysees, count(*)::INTEGER AS lines,
+       string_agg(listing_id, ',' ORDER BY place) AS ads FROM placed GROUP BY 1, 2""")
 def report_documents(spark, sf):
     ads, runs = _ads(spark, sf), V.runs(spark, sf)
-    documents = R.report_documents(R.report_headers(ads, runs), R.report_ads(ads, runs))
+    documents = R.report_documents(R.report_headers(ads, runs), R.report_ads(ads, runs), part_ads=20)
     return documents.select(
-        "run_id", "synthese.analysees", F.size("annonces").alias("lines"), F.element_at("annonces", 1)["id"].alias("first_ad"),
-        F.element_at("annonces", -1)["id"].alias("last_ad"),
+        "run_id", "part", "synthese.analysees", F.size("annonces").alias("lines"),
+        F.array_join(F.transform("annonces", lambda a: a["id"].cast("string")), ",").alias("ads"),
     )

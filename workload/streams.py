@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -18,15 +17,16 @@ from workload.history import STATE_SQL, known, state_shown
 
 
 def work_folder(spark) -> str:
-    """A new folder in the shared checkpoint folder; a local one only where the session names none."""
-    shared = checkpoint_folder(spark)
-    return f"{shared.rstrip('/')}/adwatch-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="adwatch-")
+    """A new folder in the shared checkpoint folder; where the session names none, in the warehouse, which is shared too."""
+    shared = checkpoint_folder(spark, spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{shared.rstrip('/')}/adwatch-{uuid.uuid4().hex}"
 
 
 def _arriving(spark, df, root: str):
-    """The rows as files that arrive one by one."""
-    df.repartition(4, "seq").write.parquet(f"{root}/landing")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
+    """The rows as files that arrive in a few batches; as many files as the table has splits, four at least."""
+    files = max(4, df.rdd.getNumPartitions())
+    df.repartition(files, "seq").write.parquet(f"{root}/landing")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{root}/landing")
 
 
 def _ingested(spark, sf) -> str:
