@@ -34,6 +34,8 @@ GRAM = 64
 #: Bytes of text that are searched for anchors at once; places in them must fit 24 bits.
 PIECE = 4 << 20
 MAX_SHARD = 20_000
+#: Contexts up to which a shard's are compared one with another instead of by rank.
+FEW = 48
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = _RNG.integers(0, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,16 +126,20 @@ def _contexts(width: int):
 CONTEXTS = "gram long, doc_id long, tie long, first long, before int, starts int, digest binary, context binary, large boolean"
 
 
-def _common(sorted_parts: list[bytes], most: int) -> np.ndarray:
-    """Bytes that each part shares with the one before it in order; the first shares none."""
-    n = len(sorted_parts)
-    lengths = np.fromiter(map(len, sorted_parts), np.int64, n)
-    table = np.zeros((n, most + 1), np.uint8)
-    for i, part in enumerate(sorted_parts):
-        table[i, :len(part)] = np.frombuffer(part, np.uint8)
-    differs = table[1:] != table[:-1]
-    differs[:, most] = True
-    return np.r_[0, np.minimum(differs.argmax(1), np.minimum(lengths[1:], lengths[:-1]))]
+def _table(parts: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts as rows of bytes, one column more than the longest may have, and their lengths."""
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    table = np.zeros((len(parts), most + 1), np.uint8)
+    held = np.arange(most + 1) < lengths[:, None]
+    table[held] = np.frombuffer(b"".join(parts), np.uint8)
+    return table, lengths
+
+
+def _shared(one: np.ndarray, two: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Leading bytes that rows have in common."""
+    differs = one != two
+    differs[:, -1] = True
+    return np.minimum(differs.argmax(1), lengths)
 
 
 def shard(members: list[tuple[bytes, int, int]], width: int) -> list[np.ndarray]:
@@ -143,22 +149,34 @@ def shard(members: list[tuple[bytes, int, int]], width: int) -> list[np.ndarray]
     """
     n = len(members)
     found = [np.zeros(m[2], bool) for m in members]
-    right = [m[0][m[1]:] for m in members]
-    left = [m[0][:m[1]][::-1] for m in members]
-    by_right, by_left = sorted(range(n), key=right.__getitem__), sorted(range(n), key=left.__getitem__)
-    shared_right, shared_left = _common([right[i] for i in by_right], width), _common([left[i] for i in by_left], width)
+    right, right_lengths = _table([m[0][m[1]:m[1] + width] for m in members], width)
+    left, left_lengths = _table([m[0][:m[1]][::-1] for m in members], width)
     most = np.fromiter((m[1] for m in members), np.int64, n)  # bytes before the anchor: of the first string
     fewest = most - np.fromiter((m[2] for m in members), np.int64, n) + 1
+    if n <= FEW:
+        for i in range(n - 1):
+            after = _shared(right[i + 1:], right[i], np.minimum(right_lengths[i + 1:], right_lengths[i]))
+            before = _shared(left[i + 1:], left[i], np.minimum(left_lengths[i + 1:], left_lengths[i]))
+            low = np.maximum(np.maximum(fewest[i + 1:], fewest[i]), width - after)
+            high = np.minimum(np.minimum(most[i + 1:], most[i]), before)
+            for j in np.flatnonzero(low <= high).tolist():
+                a, b = int(low[j]), int(high[j])
+                for m in (i, i + 1 + j):
+                    found[m][most[m] - b:most[m] - a + 1] = True
+        return found
+    by_right, by_left = (np.array(sorted(range(n), key=[row.tobytes() for row in t].__getitem__)) for t in (right, left))
+    shared_right, shared_left = (np.r_[0, _shared(t[o][1:], t[o][:-1], np.minimum(k[o][1:], k[o][:-1]))]
+                                 for t, o, k in ((right, by_right, right_lengths), (left, by_left, left_lengths)))
     rank_right, rank_left = np.empty(n, np.int64), np.empty(n, np.int64)
     # a step to the left asks one byte more of the left tuples and one less of the right ones
     for k in range(max(0, int(fewest.min()), width - int(shared_right.max())), min(int(most.max()), int(shared_left.max())) + 1):
         rank_right[by_right] = np.cumsum(shared_right < width - k)
         rank_left[by_left] = np.cumsum(shared_left < k)
         own = np.flatnonzero((fewest <= k) & (k <= most))
-        if len(own) < 2:
-            continue
-        _, where, times = np.unique(rank_right[own] * (n + 1) + rank_left[own], return_inverse=True, return_counts=True)
-        for i in own[times[where] > 1].tolist():
+        classes = rank_right[own] * (n + 1) + rank_left[own]
+        order = np.argsort(classes)
+        same = classes[order][1:] == classes[order][:-1]
+        for i in own[order[np.r_[False, same] | np.r_[same, False]]].tolist():
             found[i][most[i] - k] = True
     return found
 

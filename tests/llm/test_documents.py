@@ -263,9 +263,10 @@ def brute_spans(rows, width):
     return want
 
 
-@pytest.mark.parametrize("largest", [20_000, 3])
-def test_suffix_dedup(spark, monkeypatch, largest):
+@pytest.mark.parametrize("largest,few", [(20_000, 48), (20_000, 1), (3, 48)])
+def test_suffix_dedup(spark, monkeypatch, largest, few):
     monkeypatch.setattr(suffixdedup, "MAX_SHARD", largest)
+    monkeypatch.setattr(suffixdedup, "FEW", few)
     monkeypatch.setattr(suffixdedup, "PIECE", 3000)
     rng, width = random.Random(4), 120
     passages = [prose(rng, n) for n in (12, 25, 40, 200)]
