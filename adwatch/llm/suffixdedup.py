@@ -173,6 +173,8 @@ def shard(members: list[tuple[bytes, int, int]], width: int) -> list[np.ndarray]
         rank_right[by_right] = np.cumsum(shared_right < width - k)
         rank_left[by_left] = np.cumsum(shared_left < k)
         own = np.flatnonzero((fewest <= k) & (k <= most))
+        if len(own) < 2:
+            continue
         classes = rank_right[own] * (n + 1) + rank_left[own]
         order = np.argsort(classes)
         same = classes[order][1:] == classes[order][:-1]
