@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from html.entities import html5
@@ -88,23 +89,26 @@ def _character(code: Column) -> Column:
 
 def _resolved(c: Column, loose: str) -> Column:
     """Every character reference of the text resolved, once; other text and unknown names stay."""
-    named = F.create_map(*[F.lit(x) for pair in html5.items() for x in pair])
+    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")  # constant, folded while planning
     pattern = rf"(?s){_NUMERIC}|&[A-Za-z][A-Za-z0-9]{{1,31}};|{loose}&|[^&]+"
 
-    def one(token: Column) -> Column:
-        hexadecimal = token.rlike("^&#[xX]")
-        digits = F.regexp_extract(token, "([0-9a-fA-F]+);?$", 1)
+    def coded(token: Column) -> Column:
+        digits = F.regexp_extract(token, "0*([0-9a-fA-F]+);?$", 1)
         # more digits than a code point can have are beyond every character
-        number = F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 7, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
-        name = F.substr(token, F.lit(2))
-        known = F.try_element_at(named, name)
+        value = F.when(F.length(digits) > 7, "110000").when(token.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
+        return F.struct(token.alias("t"), F.when(token.startswith("&#") & (F.length(token) > 2), F.conv(value, 16, 10).cast("long")).alias("code"))
+
+    def by_name(token: Column) -> Column:
+        known = F.try_element_at(named, F.substr(token, F.lit(2)))
         prefix = F.regexp_extract(token, f"^&({'|'.join(_LOOSE)})", 1)
         by_prefix = F.when(prefix != "", F.concat(F.try_element_at(named, prefix), F.substr(token, F.length(prefix) + 2)))
-        return F.when(token.rlike(f"^{_NUMERIC}$"), _character(F.coalesce(number, F.lit(0x110000)))).otherwise(
-            F.coalesce(known, by_prefix if loose else F.lit(None), token))
+        return F.coalesce(known, by_prefix if loose else F.lit(None), token)
+
+    def one(x: Column) -> Column:
+        return F.when(x["code"].isNotNull(), _character(x["code"])).when(x["t"].startswith("&"), by_name(x["t"])).otherwise(x["t"])
 
     tokens = F.regexp_extract_all(c, F.lit(pattern), 0)
-    joined = F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("&"), one(t)).otherwise(t)), "")
+    joined = F.array_join(F.transform(F.transform(tokens, coded), one), "")
     return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 

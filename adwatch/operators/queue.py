@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adwatch.functions.display import tolerant_score
 from adwatch.operators.ordering import latest
+from adwatch.operators.paging import page
 from adwatch.operators.skew import lookup_join, spread_join
 
 LISTING_COLUMNS = ("title", "price_amount", "price_currency", "url", "last_seen_at", "seller_label")
@@ -63,6 +64,25 @@ def queue_history(
     return _with_mode(_reviewed(_named(_ad(listings), platforms).join(newest, "listing_id", how), feedback), runs)
 
 
+def queue_page(
+    listings: DataFrame, platforms: DataFrame, scores: DataFrame, feedback: DataFrame, runs: DataFrame, order: str, limit: int, offset: int = 0
+) -> DataFrame:
+    """One page of the unfiltered queue by ``recent`` or ``price_desc``, keys that the ads themselves hold.
+
+    The page is cut before anything is joined to it, and scores, decisions and runs are read for its ads only.
+    """
+    if order not in ("recent", "price_desc"):
+        raise ValueError(f"the order {order} needs the scores of all ads")
+    spark = listings.sparkSession
+    cut = page(_named(_ad(listings), platforms), queue_order(order), limit, offset)
+    cards = spark.createDataFrame(cut.collect(), cut.schema)  # at most paging.MOST rows
+    ids = F.broadcast(cards.select("listing_id"))
+    newest = latest_scores(scores.join(ids, "listing_id", "left_semi"), "category", "suspicion_score", "run_id")
+    found = _reviewed(cards.join(newest, "listing_id", "left"), feedback.join(ids, "listing_id", "left_semi"))
+    modes = runs.join(F.broadcast(newest.select("run_id")), "run_id", "left_semi").select("run_id", F.col("mode").alias("run_mode"))
+    return found.join(modes, "run_id", "left").drop("run_id").orderBy(*queue_order(order))
+
+
 def queue_run(
     listings: DataFrame,
     platforms: DataFrame,

@@ -48,6 +48,21 @@ def platform_availability(platforms: DataFrame, coded: DataFrame, selector_platf
     ).drop("_yes")
 
 
+def pending_versions(candidates: DataFrame) -> DataFrame:
+    """Selector candidates as extractor versions that wait for a decision.
+
+    ``candidates`` is ``(platform, selectors, source, repair_history, validation, created_at)``; history and validation may
+    be any structure and are kept as JSON. The id depends on the row's content, so a repeated insert gives the same rows.
+    """
+    as_text = lambda c: F.col(c) if dict(candidates.dtypes)[c] == "string" else F.to_json(c, {"ignoreNullFields": "false"})
+    rows = candidates.withColumn("repair_history", as_text("repair_history")).withColumn("validation", as_text("validation"))
+    content = F.to_json(F.array("platform", F.to_json("selectors"), "source", "repair_history", "validation", F.col("created_at").cast("string")))
+    return rows.select(
+        F.conv(F.substring(F.sha2(content, 256), 1, 15), 16, 10).cast("long").alias("version_id"), "platform", "selectors",
+        F.lit("pending").alias("status"), "source", "repair_history", "validation", "created_at",
+        F.lit(None).cast("timestamp").alias("decided_at"), F.lit(None).cast("string").alias("decided_by"))
+
+
 def extractor_names(coded: DataFrame, selector_platforms: DataFrame) -> DataFrame:
     """All platform names that have an extractor."""
     return coded.select("name").union(selector_platforms.select("name")).distinct()

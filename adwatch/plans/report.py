@@ -96,13 +96,22 @@ def report_order() -> list[Column]:
 
 def report_headers(ads: DataFrame, runs: DataFrame, generated_at: Column | None = None) -> DataFrame:
     """One row per run: narrative, thresholds, counts, categories and targets."""
-    signals = signals_by_category(ads)
-    counts = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("d"), "category")))
-    found = signals.groupBy("run_id").agg(
-        F.transform(counts, lambda e: F.struct(e["category"].alias("category"), (-e["d"]).alias("n"))).alias("par_categorie")
+    score = tolerant_score(F.col("suspicion_score"))
+    review = score >= fixed.ALERT_THRESHOLD
+    watch = (score >= fixed.WATCH_THRESHOLD) & ~review
+    # one pass over the ads, to a row per run and category
+    cells = ads.groupBy("run_id", _code().alias("category")).agg(
+        F.count(F.lit(1)).alias("analysed"), F.count_if(review).alias("revision"), F.count_if(watch).alias("surveillance"))
+    strong = F.col("revision") + F.col("surveillance")
+    listed = F.array_sort(F.collect_list(F.when(strong > 0, F.struct((-strong).alias("d"), "category"))))
+    found = cells.groupBy("run_id").agg(
+        *[F.sum(c).alias(c) for c in ("analysed", "revision", "surveillance")],
+        F.sum(F.col("analysed") - strong).alias("normal"),
+        F.transform(listed, lambda e: F.struct(e["category"].alias("category"), (-e["d"]).alias("n"))).alias("par_categorie"),
     )
-    targets = runs.select("run_id", F.coalesce("params.target_categories", F.array().cast("array<string>")).alias("target_categories"))
-    others = other_categories(signals, targets)
+    wanted = F.coalesce("params.target_categories", F.array().cast("array<string>"))
+    beside = F.filter("par_categorie", lambda e: ~F.array_contains(wanted, e["category"]) & (e["category"] != fixed.NO_CATEGORY))
+    others = F.when(F.size(wanted) > 0, F.transform(beside, lambda e: e["category"]))
     none = F.array().cast("array<string>")
     steps = F.col("stats.etapes")
     mode = F.upper(F.coalesce("params.mode", F.lit("")))
@@ -120,7 +129,7 @@ def report_headers(ads: DataFrame, runs: DataFrame, generated_at: Column | None
     )
     zero = F.lit(0)
     return (
-        runs.join(synthesis(ads), "run_id", "left").join(found, "run_id", "left").join(others, "run_id", "left")
+        runs.join(found, "run_id", "left").withColumn("other_categories", others)
         .select(
             "run_id",
             "mode",

@@ -22,6 +22,12 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("labels").alias("id", "_l")).select("id", "_l.*")
 
 
+def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Ground truth as JSON lines with ``id`` and the label's fields, split over tasks; the form for large sets."""
+    fields = schema.EVAL_LABEL.removeprefix("struct<").removesuffix(">")
+    return spark.read.schema(f"id string, {fields.replace(':', ' ')}").json(path)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Earlier evaluation results (JSON lines with ``id``); empty when there are none yet."""
     columns = f"id string, {schema.EVAL_RESULT_COLUMNS}"

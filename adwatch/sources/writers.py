@@ -1,4 +1,4 @@
-"""Sinks. Every write is repeatable: a lost job runs again and leaves the same table."""
+"""Sinks. Writes replace what they wrote before, so a lost job runs again; plain appends say so where they do not."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def write_log(entries: DataFrame, path: str) -> None:
 
 
 def append_log(entries: DataFrame, path: str) -> None:
-    """Continue every chain of an existing log."""
+    """Continue every chain of an existing log. A repeated call appends again: call it once per set of entries."""
     spark = entries.sparkSession
     written = read_log(spark, path)
     heads = written.groupBy("chain").agg(F.max_by("entry_hash", "seq").alias("entry_hash"), F.max("seq").alias("_top"))
@@ -83,9 +83,15 @@ def read_newest(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return versions.where(F.col("version") == number).drop("version"), number
 
 
-def append_rows(df: DataFrame, root: str, name: str) -> None:
-    """Append facts to a table of the store."""
-    df.write.mode("append").parquet(f"{root}/{name}")
+def append_rows(df: DataFrame, root: str, name: str, batch: str | None = None) -> None:
+    """Append facts to a table of the store.
+
+    With ``batch``, the rows are the whole of that batch: a repeated append replaces them, so the write is repeatable.
+    """
+    if batch is None:
+        df.write.mode("append").parquet(f"{root}/{name}")
+    else:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{root}/{name}/batch={batch}")
 
 
 def reset_operational(spark: SparkSession, root: str, reset_extractors: bool = False) -> DataFrame:

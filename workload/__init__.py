@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 MODULES = (
-    "queue", "history", "reports", "evaluation", "addresses", "texts", "markup", "answers", "rules", "logs", "registries", "streams",
+    "queue", "history", "reports", "evaluation", "addresses", "texts", "markup", "answers", "rules", "logs", "registries", "streams", "storage",
 )
 
 

@@ -42,6 +42,12 @@ def _history(spark, sf, **filters):
     )
 
 
+def _page(spark, sf, order, limit, offset=0):
+    return Q.queue_page(
+        V.listings(spark, sf), V.platforms(spark, sf), V.scores(spark, sf), V.feedback(spark, sf), V.runs(spark, sf), order, limit, offset
+    )
+
+
 @query("queue_history", _QUEUE_SQL)
 def queue_history(spark, sf):
     return _shown(_history(spark, sf))
@@ -59,12 +65,12 @@ def queue_category(spark, sf):
 
 @query("queue_page", _QUEUE_SQL + "ORDER BY l.last_seen_at DESC, l.listing_id LIMIT 50 OFFSET 100")
 def queue_page(spark, sf):
-    return _shown(paging.page(_history(spark, sf), Q.queue_order("recent"), 50, 100))
+    return _shown(_page(spark, sf, "recent", 50, 100))
 
 
 @query("queue_by_price", _QUEUE_SQL + "ORDER BY coalesce(l.price_amount, 0) DESC, l.listing_id LIMIT 50")
 def queue_by_price(spark, sf):
-    return _shown(paging.page(_history(spark, sf), Q.queue_order("price_desc"), 50))
+    return _shown(_page(spark, sf, "price_desc", 50))
 
 
 _RUN_SQL = V.ctes(V.PLATFORMS, V.LISTINGS, V.SCORES, V.FEEDBACK, V.RUNS, _DECIDED) + """
