@@ -177,7 +177,7 @@ def test_line_dedup(spark):
         lost = [i for i in hit if first[lines[i].strip(blank)] != (doc, text, i)]
         takes = lost and 2 * sum(len(lines[i].strip(blank)) for i in hit) <= sum(len(x.strip(blank)) for x in lines)
         want[doc, "\n".join(x for i, x in enumerate(lines) if i not in lost) if takes else text, len(lost) if takes else 0] += 1
-    assert boiler == {"Share this page", "Terms of use"} | ({"Only here"} if len(sites["Only here"]) >= 6 else set())
+    assert boiler == {"Share this page", "Only here"}  # on six sites and eight; "Terms of use" is on four
     assert Counter((r.doc_id, r.text, r.n_removed_lines) for r in got.collect()) == want
     assert got.columns == ["doc_id", "text", "source", "line", "n_removed_lines"]
     assert linededup.dedup(df.limit(0)).count() == 0
@@ -324,7 +324,7 @@ def test_secrets(spark):
     }
     df = spark.createDataFrame(list(cases.items()), "doc_id long, text string").withColumn("secrets", F.lit(3))
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secretscan.scan(df, RANKS).collect()}
-    assert got[1] == [("assign", 2, 29)]
+    assert got[1] == [("assign", 2, 28)]
     assert got[2] == [("access", 0, 20), ("hex", 28, 46)]
     assert got[3] == [("random", 4, 4 + len(key))]
     assert [k for k, _, _ in got[4]] == ["hex"]
