@@ -1,8 +1,8 @@
 """Sealed logs: hash chains that show any later change.
 
 Checking needs only the stored hash before an entry, so every entry is checked in parallel. Sealing is sequential
-inside a chain by definition; it runs as one sorted pass per chain that holds one hash in memory. A log too large
-for one pass is sealed in segments of bounded size plus a short chain over the segments' last hashes.
+inside a chain by definition; it runs as one sorted pass per chain that holds one hash in memory. A global log is sealed
+in parts of bounded size plus a short chain over the parts' last hashes.
 """
 
 from __future__ import annotations
@@ -121,6 +121,30 @@ def seal_segments(entries: DataFrame, chain: str = "chain", seq: str = "seq", si
     return sealed, seal_entries(tips, chain, "segment")
 
 
+def seal_parts(entries: DataFrame, part: Column, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Seal a global log as bounded sub-chains and a short chain of their heads; the form for logs of any length.
+
+    A single chain is sequential: one task hashes it from end to end. ``part`` cuts the log into chains that are sealed side
+    by side, a run or a day say, and must leave parts of a size that one task can pass through. Returns the sealed entries
+    (``chain`` names the part) and the heads (``log``, ``part``), sealed in order of the part. ``verify_chains`` checks both:
+    a changed entry breaks its part, and a part that is changed and sealed anew no longer fits the heads.
+    """
+    sealed = seal_entries(entries.withColumn("chain", part.cast("string")), "chain", seq)
+    tips = sealed.groupBy("chain").agg(F.max_by("entry_hash", seq).alias("tip"), F.count(F.lit(1)).alias("entries"))
+    heads = tips.select(
+        F.lit("heads").alias("log"), F.col("chain").alias("part"),
+        F.to_json(F.struct("entries", F.col("chain").alias("part"), "tip")).alias("canonical"))
+    return sealed, seal_entries(heads, "log", "part")
+
+
+def heads_fit(sealed: DataFrame, heads: DataFrame, seq: str = "seq") -> DataFrame:
+    """Per part: whether its last hash and number of entries are those that the heads have sealed."""
+    tips = sealed.groupBy("chain").agg(F.max_by("entry_hash", seq).alias("tip"), F.count(F.lit(1)).alias("entries"))
+    now = tips.select(F.col("chain").alias("part"), F.to_json(F.struct("entries", F.col("chain").alias("part"), "tip")).alias("now"))
+    both = now.join(heads.select("part", "canonical"), "part", "full")
+    return both.select("part", F.col("now").eqNullSafe(F.col("canonical")).alias("fits"))
+
+
 def chain_heads(sealed: DataFrame, chain: str = "chain", seq: str = "seq") -> DataFrame:
     """Last hash of every chain."""
     return sealed.groupBy(chain).agg(F.max_by("entry_hash", seq).alias("entry_hash"))

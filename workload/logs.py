@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from adwatch.functions.hashing import iso_stamp
 from adwatch.operators import audit as A
 from adwatch.operators import queue as Q
+from adwatch.session import settled
 from workload import query
 from workload import views as V
 
@@ -166,6 +167,33 @@ def action_events(spark, sf):
     return _actions(spark, sf).select(run, ad, "actor", "action", "detail", V.stamp("at").alias("stamp"))
 
 
+_PART = "coalesce(run_id::VARCHAR, strftime(moment, '%Y-%m-%d'))"
+
+
+@query("sealed_actions", _ACTIONS + f"""
+SELECT {_PART} AS part, count(*) AS entries, true AS ok, true AS fits, NOT bool_or(action = 'score' AND source_id % 50 = 0) AS tampered_ok,
+       NOT bool_or(action = 'score' AND source_id % 50 = 0) AS resealed_fits FROM actions GROUP BY 1""")
+def sealed_actions(spark, sf):
+    """All audit rows sealed by run (without a run: by day) and by heads; changed rows break their part, sealed anew its head."""
+    rows = _actions(spark, sf).withColumn("seq", F.struct("at", "action", "source_id")).withColumn("created_at", V.stamp("at"))
+    part = F.coalesce(F.col("run_id").cast("string"), F.substring("created_at", 1, 10))
+    entries = settled(A.with_canonical(rows.drop("at", "source_id")))
+    sealed, heads = A.seal_parts(entries, part)
+    sealed = settled(sealed)
+    heads = settled(heads)
+    whole = F.lit(0)
+    changed = (F.col("action") == "score") & (F.col("seq.source_id") % 50 == 0)
+    tampered = A.with_canonical(sealed.withColumn("actor", F.when(changed, "someone").otherwise(F.col("actor"))))
+    again = A.seal_parts(tampered.drop("prev_hash", "entry_hash", "chain"), part)[0]
+    heads_ok = A.verify_chains(heads, "log", "part", whole).select("ok")
+    found = A.verify_chains(sealed, "chain", "seq", whole).select(F.col("chain").alias("part"), F.col("count").alias("entries"), "ok")
+    found = found.join(A.heads_fit(sealed, heads), "part")
+    found = found.join(A.verify_chains(tampered, "chain", "seq", whole).select(F.col("chain").alias("part"), F.col("ok").alias("tampered_ok")), "part")
+    found = found.join(A.heads_fit(again, heads).withColumnRenamed("fits", "resealed_fits"), "part")
+    return found.crossJoin(F.broadcast(heads_ok.withColumnRenamed("ok", "_heads"))).select(  # one row
+        "part", "entries", (F.col("ok") & F.col("_heads")).alias("ok"), "fits", "tampered_ok", "resealed_fits")
+
+
 @query("audit_tail", _ACTIONS + f"SELECT action, source_id, {V.stamp_sql('moment')} AS stamp FROM actions WHERE action = 'score' ORDER BY moment DESC, source_id DESC LIMIT 100")
 def audit_tail(spark, sf):
     tail = Q.newest_first(_actions(spark, sf).where(F.col("action") == "score"), "at", "source_id", 100)
