@@ -19,7 +19,10 @@ from adwatch.operators.skew import lookup_join
 
 INLINE_FLOATS = 4_000_000
 BLOCK_FLOATS = 1_000_000
-SHARD_ROWS = 50_000
+SHARD_FLOATS = 4_000_000
+CLUSTERS = 1_024
+#: Places to which a cosine is rounded before it is compared, so that the order of a sum's terms decides nothing.
+PLACES = 12
 CELLS = 4_000_000
 
 
@@ -38,7 +41,7 @@ def _hits(queries: np.ndarray, rules: np.ndarray, k: int, threshold: float) -> t
     found = []
     step = max(1, CELLS // max(1, len(rules)))
     for at in range(0, len(queries), step):
-        cosine = queries[at:at + step] @ rules.T
+        cosine = np.round(queries[at:at + step] @ rules.T, PLACES)
         row, rule = np.nonzero(cosine >= threshold)
         value = cosine[row, rule]
         order = np.lexsort((rule, -value, row))
@@ -67,9 +70,10 @@ def retrieve_rules(
     """``(query_id, rank, rule_id, cosine, score)`` of the ``k`` nearest rules at or above ``threshold``.
 
     ``queries`` is ``(query_id, embedding)``, ``rules`` is ``(rule_id, embedding)``. The rule table is measured first.
-    Up to ``inline_floats`` numbers it travels to the tasks whole: no shuffle, no row per pair. Beyond that, blocks
-    of rules meet shards of queries on an equality key; both sides of a meeting have a fixed size whatever the tables
-    hold, and at most ``k`` rows per query and block come out.
+    Up to ``inline_floats`` numbers it travels to the tasks whole: no shuffle, no row per pair. Beyond that, rules are
+    clustered and a query goes only to the clusters that can hold a rule within reach. Clusters in parts of
+    ``block_floats`` numbers meet shards of queries of ``SHARD_FLOATS`` numbers on an equality key, and at most ``k`` rows
+    per query and part come out. Both ways give the same rows.
     """
     size = rules.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")).first()
     n, dim = size["n"], size["dim"]
@@ -78,7 +82,7 @@ def retrieve_rules(
     if n * dim <= inline_floats:
         hits = _retrieve_inline(asked, known, query_id, k, threshold, dim)
     else:
-        hits = _retrieve_blocked(asked, known, query_id, k, threshold, dim, -(-n * dim // block_floats))
+        hits = _retrieve_blocked(asked, known, query_id, k, threshold, dim, -(-n * dim // block_floats), block_floats)
     return hits.withColumn("score", round_even(F.col("cosine"), 3))
 
 
@@ -113,16 +117,76 @@ def _retrieve_inline(asked: DataFrame, known: DataFrame, query_id: str, k: int,
     return asked.mapInArrow(match, schema)
 
 
+def _unit_angles(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(rows @ centers.T, -1.0, 1.0))
+
+
+def cluster_rules(known: DataFrame, dim: int, clusters: int) -> tuple[DataFrame, np.ndarray, dict[int, tuple[float, int]]]:
+    """Rules with the nearest of ``clusters`` centres, the centres, and per cluster the largest angle and the rule count.
+
+    Centres are rules drawn by hash; they decide cost only. Rules without a usable vector drop out.
+    """
+    drawn = known.where(F.size("_v") == dim).orderBy(F.xxhash64("rule_id")).limit(clusters).select("_v").toArrow()  # bounded
+    centers, _ = _matrix(drawn.column("_v").combine_chunks(), dim)
+    schema = T.StructType([T.StructField("_cluster", T.IntegerType()), T.StructField("_angle", T.DoubleType()), known.schema["rule_id"], known.schema["_v"]])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = _matrix(batch.column("_v"), dim)
+            if len(rows):
+                angles = _unit_angles(rows, centers)
+                nearest = angles.argmin(1)
+                own = batch.take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nearest.astype(np.int32)), pa.array(angles[np.arange(len(rows)), nearest]), own.column("rule_id"), own.column("_v")],
+                    names=schema.names)
+
+    placed = known.select("rule_id", "_v").mapInArrow(assign, schema)
+    sized = placed.groupBy("_cluster").agg(F.max("_angle").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # a row per cluster
+    return placed, centers, {row["_cluster"]: (row["r"], row["n"]) for row in sized}
+
+
+def route_queries(
+    asked: DataFrame, query_id: str, dim: int, threshold: float, centers: np.ndarray, sizes: dict[int, tuple[float, int]]
+) -> DataFrame:
+    """Queries with each cluster that can hold a rule within reach.
+
+    A rule is at least as far from a query as the centre's angle less the cluster's radius, so all other clusters are
+    ruled out for certain.
+    """
+    reach = np.arccos(np.clip(threshold, -1.0, 1.0))
+    listed = np.array(sorted(sizes), dtype=np.int64)
+    radius = np.array([sizes[c][0] for c in listed.tolist()])
+    schema = T.StructType([T.StructField("_cluster", T.IntegerType()), asked.schema[query_id], asked.schema["_q"]])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = _matrix(batch.column("_q"), dim)
+            if len(rows) and len(listed):
+                row, cluster = np.nonzero(_unit_angles(rows, centers[listed]) - radius <= reach + 1e-6)
+                own = batch.take(pa.array(kept[row]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(listed[cluster].astype(np.int32)), own.column(query_id), own.column("_q")], names=schema.names)
+
+    return asked.select(query_id, "_q").mapInArrow(route, schema)
+
+
 def _retrieve_blocked(
-    asked: DataFrame, known: DataFrame, query_id: str, k: int, threshold: float, dim: int, blocks: int
+    asked: DataFrame, known: DataFrame, query_id: str, k: int, threshold: float, dim: int, blocks: int, block_floats: int
 ) -> DataFrame:
-    shards = -(-asked.count() // SHARD_ROWS) or 1
     schema = _schema(asked, known, query_id)
-    block = F.pmod(F.xxhash64("rule_id"), F.lit(blocks)).cast("int")
+    placed, centers, sizes = cluster_rules(known, dim, min(CLUSTERS, blocks))
+    if not sizes:
+        return asked.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0)).select(query_id, "rank", "rule_id", "cosine")
+    # a cluster of more than a block is cut into parts, each of which all its queries meet
+    parts = F.element_at(F.create_map(*[F.lit(x) for c, (_, n) in sizes.items() for x in (c, max(1, -(-n * dim // block_floats)))]), F.col("_cluster"))
+    shards = -(-asked.count() * dim // SHARD_FLOATS) or 1
+    part = F.pmod(F.xxhash64("rule_id"), parts).cast("int").alias("_part")
     every_shard = F.sequence(F.lit(0), F.lit(shards - 1))
-    placed = known.select(block.alias("_block"), F.explode(every_shard).alias("_shard"), "rule_id", "_v")
+    stored = placed.select("_cluster", part, F.explode(every_shard).alias("_shard"), "rule_id", "_v")
     shard = F.pmod(F.xxhash64(query_id), F.lit(shards)).cast("int")
-    spread = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), shard.alias("_shard"), query_id, "_q")
+    routed = route_queries(asked, query_id, dim, threshold, centers, sizes)
+    spread = routed.select("_cluster", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("_part"), shard.alias("_shard"), query_id, "_q")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("rule_id").combine_chunks()
@@ -132,8 +196,8 @@ def _retrieve_blocked(
         ids = left.column(query_id).combine_chunks()
         return pa.Table.from_batches([_batch(schema.names, ids, rule_ids, _hits(rows, rules, k, threshold), kept)])
 
-    keys = ("_block", "_shard")
-    met = spread.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(meet, schema)
+    keys = ("_cluster", "_part", "_shard")
+    met = spread.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(meet, schema)
     return _ranked(met, query_id, k)
 
 

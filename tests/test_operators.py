@@ -367,3 +367,24 @@ def test_time_stretch_follows_the_hottest_key(spark):
     assert O.time_stretch(rows, ["k"], "t", 500) is None
     two = rows.withColumn("k", F.when(F.second("t") == 0, "a").otherwise("b"))
     assert O.time_stretch(two, ["k"], "t", 250) is None and O.time_stretch(two, ["k"], "t", 249) is not None
+
+
+def test_routing_is_exact_and_spares_pairs(spark):
+    import numpy as np
+
+    from adwatch.operators import retrieve
+
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(12, 16))
+    rules = [(i, (middles[i % 12] + 0.15 * rng.normal(size=16)).tolist()) for i in range(240)] + [(900, [0.0] * 16), (901, None), (902, [1.0])]
+    queries = [(i, (middles[i % 12] + 0.15 * rng.normal(size=16)).tolist()) for i in range(150)] + [(900, None), (901, [0.0] * 16)]
+    known = spark.createDataFrame(rules, "rule_id long, embedding array<double>")
+    asked = spark.createDataFrame(queries, "query_id long, embedding array<double>")
+    one = retrieve.retrieve_rules(asked, known, k=4, threshold=0.8)
+    two = retrieve.retrieve_rules(asked, known, k=4, threshold=0.8, inline_floats=0, block_floats=200)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.rule_id, r.cosine) for r in df.collect())
+    assert rows(one) == rows(two) and len(rows(one)) > 400
+    vectors = known.select("rule_id", F.col("embedding").alias("_v"))
+    _, centers, sizes = retrieve.cluster_rules(vectors, 16, 20)
+    routed = retrieve.route_queries(asked.select("query_id", F.col("embedding").alias("_q")), "query_id", 16, 0.8, centers, sizes)
+    assert routed.count() < 0.6 * len(sizes) * 150
