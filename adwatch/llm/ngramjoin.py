@@ -149,7 +149,7 @@ def _levels(parts: DataFrame) -> np.ndarray:
     by_shard = parts.groupBy("part", "shard").applyInArrow(_summed(("part", "shard")), "part int, shard int, counts binary")
     whole = by_shard.groupBy("part").applyInArrow(_summed(("part",)), "part int, counts binary")
     unpack, levels = zstandard.ZstdDecompressor(), np.zeros(SKETCH_BINS, np.uint8)
-    for row in whole.toLocalIterator():  # SKETCH_BINS / PART_BINS rows
+    for row in whole.collect():  # SKETCH_BINS / PART_BINS rows
         counts = np.frombuffer(unpack.decompress(bytes(row["counts"])), np.int64)
         levels[row["part"] * PART_BINS:(row["part"] + 1) * PART_BINS] = np.minimum(255, np.round(4 * np.log2(1.0 + counts)))
     return levels
