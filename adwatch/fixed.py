@@ -126,3 +126,26 @@ PROMPT_DESCRIPTION = "Description : "
 PROMPT_PRICE = "Prix : "
 PROMPT_PLACE = "Lieu : "
 PROMPT_RULES = "Règles douanières potentiellement applicables (appuie-toi dessus si elles sont pertinentes) :"
+
+# Scopes and fields of the default result and detail pages.
+CARD_SCOPE = ".listing-card"
+CARD_FIELDS = {
+    "url": "a.listing-link@href",
+    "title": ".listing-title",
+    "price": ".listing-price",
+    "platform": ".listing-platform",
+}
+DETAIL_SCOPE = ".listing-detail"
+DETAIL_FIELDS = {
+    "external_id": ".external-id",
+    "title": ".title",
+    "price": ".price",
+    "platform": ".platform",
+    "seller": ".seller",
+    "location": ".location",
+    "description": ".description",
+}
+
+# A field line of a rule file, and the fences around a model's answer.
+RULE_FIELD_LINE = r"^-\s*\*\*(.+?)\*\*\s*:\s*(.*)$"
+ANSWER_FENCE = r"(?md)^```(?:json)?|```$"

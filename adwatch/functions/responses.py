@@ -25,7 +25,7 @@ def json_object(raw: Column) -> Column:
     def only_object(found: Column) -> Column:
         return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
 
-    return once(once(strip(F.regexp_replace(strip(raw), r"(?md)^```(?:json)?|```$", "")), parse), only_object)
+    return once(once(strip(F.regexp_replace(strip(raw), fixed.ANSWER_FENCE, "")), parse), only_object)
 
 
 def _text(v: Column, key: str) -> Column:

@@ -23,25 +23,6 @@ from adwatch.operators.checks import identified, missing_fields
 from adwatch.operators.ordering import earliest
 from adwatch.operators.skew import lookup_join
 
-CARD_SCOPE = ".listing-card"
-CARD_FIELDS = {
-    "url": "a.listing-link@href",
-    "title": ".listing-title",
-    "price": ".listing-price",
-    "platform": ".listing-platform",
-}
-DETAIL_SCOPE = ".listing-detail"
-DETAIL_FIELDS = {
-    "external_id": ".external-id",
-    "title": ".title",
-    "price": ".price",
-    "platform": ".platform",
-    "seller": ".seller",
-    "location": ".location",
-    "description": ".description",
-}
-
-
 @F.pandas_udf(T.StringType())
 def _pick_fields(html: pd.Series, selectors: pd.Series) -> pd.Series:
     """JSON object of selected texts, one page with its own selectors per row."""
@@ -81,9 +62,9 @@ def _record_type(fields: dict[str, str]) -> str:
     return "array<struct<" + ",".join(f"{n}:string" for n in fields) + ">>"
 
 
-def result_cards(pages: DataFrame, scope: str = CARD_SCOPE, fields: dict[str, str] | None = None) -> DataFrame:
+def result_cards(pages: DataFrame, scope: str = fixed.CARD_SCOPE, fields: dict[str, str] | None = None) -> DataFrame:
     """Result pages to one row per card, with the card's position on its page."""
-    fields = fields or CARD_FIELDS
+    fields = fields or fixed.CARD_FIELDS
     kept = [c for c in pages.columns if c not in ("html", "url")]
     cards = pages.select(*kept, F.col("url").alias("page_url"), _scoped(scope, fields, True)("html").alias("_cards"))
     cards = cards.select(*kept, "page_url", F.posexplode(F.from_json("_cards", _record_type(fields))).alias("position", "_card"))
@@ -102,9 +83,9 @@ def result_cards(pages: DataFrame, scope: str = CARD_SCOPE, fields: dict[str, st
     )
 
 
-def detail_ads(pages: DataFrame, scope: str = DETAIL_SCOPE, fields: dict[str, str] | None = None) -> DataFrame:
+def detail_ads(pages: DataFrame, scope: str = fixed.DETAIL_SCOPE, fields: dict[str, str] | None = None) -> DataFrame:
     """Detail pages to one ad each; labelled values lose their label."""
-    fields = fields or DETAIL_FIELDS
+    fields = fields or fixed.DETAIL_FIELDS
     kept = [c for c in pages.columns if c not in ("html", "platform")]
     cut = pages.select(*kept, F.from_json(_scoped(scope, fields, False)("html"), _record_type(fields))[0].alias("_ad"))
     ad, empty = F.col("_ad"), F.lit("")
@@ -370,9 +351,6 @@ def cap_settings(selectors: Column, default_pages: int = 1, default_listings: in
     return F.struct(F.greatest(F.lit(1), pages).alias("max_pages"), F.greatest(F.lit(0), ads).alias("max_listings"))
 
 
-_FIELD_LINE = r"^-\s*\*\*(.+?)\*\*\s*:\s*(.*)$"
-
-
 def markdown_rules(files: DataFrame) -> DataFrame:
     """Rule files (``path, value``) to rules; a ``###`` line starts one, rules without text drop out."""
     text = F.concat(F.lit("\n"), F.regexp_replace("value", "\r\n?", "\n"))
@@ -380,9 +358,9 @@ def markdown_rules(files: DataFrame) -> DataFrame:
     blocks = blocks.where(F.col("position") > 0)
     lines = F.transform(F.split("_block", "\n"), strip)
     pairs = F.transform(
-        F.filter(lines, lambda s: s.rlike(_FIELD_LINE)),
+        F.filter(lines, lambda s: s.rlike(fixed.RULE_FIELD_LINE)),
         lambda s: F.struct(
-            fold(F.regexp_extract(s, _FIELD_LINE, 1)).alias("k"), strip(F.regexp_extract(s, _FIELD_LINE, 2)).alias("v")
+            fold(F.regexp_extract(s, fixed.RULE_FIELD_LINE, 1)).alias("k"), strip(F.regexp_extract(s, fixed.RULE_FIELD_LINE, 2)).alias("v")
         ),
     )
 

@@ -19,6 +19,7 @@ HEADLINE = [
     "rule_topk", "rule_topk_blocked", "markdown_rules",
     "seal_chain", "verify_chain", "session_log",
     "registry_merge", "extractor_states", "stream_state",
+    "report_documents", "search_terms_joined", "surveillance_ads", "action_events", "sealed_actions",
 ]
 
 

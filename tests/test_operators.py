@@ -83,18 +83,17 @@ def test_nearest_rules_equal_brute_force(spark, sizes):
     assert [got[0][1][0], got[0][2][0]] == [3, 7]
 
 
-def brute_search(docs, terms):
+def reads(term, body):
+    """Whether a text answers a term: a word begins with a useful word of it, or it stands there when it has none."""
     import re
 
-    hits = set()
-    for d, title, text in docs:
-        low = f"{title or ''}\n{text or ''}".lower()
-        words = re.findall(fixed.SEARCH_WORD, low)
-        for t, term in terms:
-            tokens = [w for w in re.findall(fixed.SEARCH_WORD, term.lower()) if len(w) >= 3 and w not in fixed.SEARCH_STOPWORDS]
-            if any(w.startswith(k) for w in words for k in tokens) if tokens else term.lower() in low:
-                hits.add((d, t))
-    return hits
+    useful = tuple(w for w in re.findall(fixed.SEARCH_WORD, term.lower()) if len(w) > 2 and w not in fixed.SEARCH_STOPWORDS)
+    return any(w.startswith(useful) for w in re.findall(fixed.SEARCH_WORD, body)) if useful else term.lower() in body
+
+
+def hits_by_reading(docs, terms):
+    bodies = {d: "\n".join(part or "" for part in parts).lower() for d, *parts in docs}
+    return {(d, t) for d, body in bodies.items() for t, term in terms if reads(term, body)}
 
 
 def test_search_paths_equal_brute_force(spark):
@@ -103,7 +102,7 @@ def test_search_paths_equal_brute_force(spark):
     terms = [(0, "cartouche"), (1, "d"), (2, "de la"), (3, "Vin d'été"), (4, "écaille lot"), (5, "angle"), (6, "gle"), (7, "e-")]
     df = spark.createDataFrame(docs, "id long, title string, text string")
     t = spark.createDataFrame(terms, "term_id long, term string")
-    want = brute_search(docs, terms)
+    want = hits_by_reading(docs, terms)
     assert {(r.id, r.term_id) for r in H.search_terms(df, t, "id", "title", "text").collect()} == want
     body = H._body(F.col("title"), F.col("text"))
     joined = [(r.id, r.term_id) for r in H._search_joined(df, H._term_tokens(t), "id", body).collect()]
@@ -180,15 +179,17 @@ def test_corpus_summary(spark):
 # --- sealed logs --------------------------------------------------------------------------------------------------
 
 
-def python_chain(entries, prev=None):
-    out = []
-    for e in entries:
-        payload = {k: e.get(k) for k in fixed.SEALED_FIELDS}
-        text = json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        own = hashlib.sha256(((prev or "") + text).encode()).hexdigest()
-        out.append({**e, "prev_hash": prev, "entry_hash": own})
-        prev = own
-    return out
+def sealed_text(entry):
+    """The text of an entry that its hash covers."""
+    return json.dumps({name: entry.get(name) for name in sorted(fixed.SEALED_FIELDS)}, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def chained(entries, head=None):
+    """The entries, each with the hash before it and its own."""
+    links = [head]
+    for entry in entries:
+        links.append(hashlib.sha256(f"{links[-1] or ''}{sealed_text(entry)}".encode()).hexdigest())
+    return [{**e, "prev_hash": a, "entry_hash": b} for e, a, b in zip(entries, links, links[1:])]
 
 
 ENTRY = "chain string, seq long, run_id long, listing_id long, actor string, action string, detail string, created_at string"
@@ -208,7 +209,7 @@ def test_seal_equals_the_definition(spark):
     df = A.with_canonical(spark.createDataFrame(as_rows(entries) + as_rows(entries[:3], "d"), ENTRY))
     sealed = A.seal_entries(df)
     got = {(r.chain, r.seq): (r.prev_hash, r.entry_hash) for r in sealed.collect()}
-    for i, e in enumerate(python_chain(entries)):
+    for i, e in enumerate(chained(entries)):
         assert got["c", i] == (e["prev_hash"], e["entry_hash"])
         if i < 3:
             assert got["d", i] == (e["prev_hash"], e["entry_hash"])
@@ -226,7 +227,7 @@ def test_seal_equals_the_definition(spark):
 ])
 @pytest.mark.parametrize("width", [1, 2, 65536])
 def test_tampering(spark, change, first_bad, width):
-    entries = python_chain(sample(5))
+    entries = chained(sample(5))
     change(entries)
     df = spark.createDataFrame(as_rows(entries, extra=("prev_hash", "entry_hash")), f"{ENTRY}, prev_hash string, entry_hash string")
     got = A.verify_chains(A.with_canonical(df), bucket=F.floor(F.col("seq") / width)).first()

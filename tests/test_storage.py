@@ -11,7 +11,7 @@ from adwatch.operators import checks
 from adwatch.operators import identity as I
 from adwatch.sources import readers, writers
 from adwatch.streaming import ingest
-from test_operators import python_chain, sample
+from test_operators import chained, sample
 
 
 def put(path, text):
@@ -33,7 +33,7 @@ def test_evaluation_files(spark, folder):
 
 def test_foreign_logs(spark, folder):
     """Logs with the writer's own spacing and key order, blank lines, float values and a broken line."""
-    entries = python_chain([{**e, "detail": {"z": 1.0, "suspicion_score": 0.95, "b": {"y": None, "x": "é"}}} for e in sample(6)])
+    entries = chained([{**e, "detail": {"z": 1.0, "suspicion_score": 0.95, "b": {"y": None, "x": "é"}}} for e in sample(6)])
     lines = [json.dumps(e, ensure_ascii=False) for e in entries]
     put(f"{folder}/good.jsonl", "\n".join(lines[:3]) + "\n\n" + "\n".join(lines[3:]) + "\n")
     entries[2]["action"] = "changed"
@@ -58,7 +58,7 @@ def test_written_logs_continue(spark, folder):
     writers.append_log(rows("c", "e"), f"{folder}/log")
     log = writers.read_log(spark, f"{folder}/log")
     assert {r.chain: (r.ok, r["count"]) for r in A.verify_chains(log).collect()} == {"c": (True, 8), "d": (True, 4), "e": (True, 4)}
-    whole = python_chain([dict(run_id=None, listing_id=i, actor="a", action=f"x{i}", detail={"n": 1}, created_at="t") for _ in range(2) for i in range(4)])
+    whole = chained([dict(run_id=None, listing_id=i, actor="a", action=f"x{i}", detail={"n": 1}, created_at="t") for _ in range(2) for i in range(4)])
     assert {r.chain: r.entry_hash for r in A.chain_heads(log).collect()}["c"] == whole[-1]["entry_hash"]
 
 

@@ -49,14 +49,14 @@ def product_ads(spark, sf):
 def _detail_page():
     return F.concat(
         F.lit("<html><article class='x listing-detail'><h1 class='title'>"), F.col("p_name"), F.lit(" &amp; co</h1><div class='price'>"),
-        F.floor("p_retailprice").cast("string"), F.lit(" CHF</div><div class='platform'>tutti</div><div class='seller'>Vendeur : "), F.col("p_brand"),
-        F.lit("</div><div class='location'>Lieu : "), F.col("p_type"), F.lit("</div><div class='description'>A <b>fine</b> thing<script>x()</script></div><div class='external-id'>Référence : "),
+        F.floor("p_retailprice").cast("string"), F.lit(" CHF</div><div class='platform'>marche</div><div class='seller'>Par : "), F.col("p_brand"),
+        F.lit("</div><div class='location'>Ville : "), F.col("p_type"), F.lit("</div><div class='description'>A <b>fine</b> thing<script>x()</script></div><div class='external-id'>Numéro : "),
         F.col("p_partkey").cast("string"), F.lit("</div></article></html>"),
     )
 
 
 @query("detail_ads", """
-SELECT p_partkey, p_partkey::VARCHAR AS external_id, p_name || ' & co' AS title, floor(p_retailprice)::DOUBLE AS price_amount, 'CHF' AS price_currency, 'tutti' AS platform,
+SELECT p_partkey, p_partkey::VARCHAR AS external_id, p_name || ' & co' AS title, floor(p_retailprice)::DOUBLE AS price_amount, 'CHF' AS price_currency, 'marche' AS platform,
        p_brand AS seller, p_type AS location, 'Afinething' AS description FROM part""")
 def detail_ads(spark, sf):
     pages = V.spread(spark, sf, "part").select("p_partkey", _detail_page().alias("html"))
@@ -65,14 +65,14 @@ def detail_ads(spark, sf):
 
 @query("result_cards", """
 SELECT p_partkey, i::INTEGER AS position, (p_partkey * 10 + i)::VARCHAR AS external_id, '/listing/' || (p_partkey * 10 + i) AS url, p_name || ' ' || i AS title,
-       (p_size + i)::DOUBLE AS price_amount, 'CHF' AS price_currency, 'anibis' AS card_platform FROM part, range(3) t(i)""")
+       (p_size + i)::DOUBLE AS price_amount, 'CHF' AS price_currency, 'foire' AS card_platform FROM part, range(3) t(i)""")
 def result_cards(spark, sf):
     card = F.transform(
         F.array(F.lit(0), F.lit(1), F.lit(2)),
         lambda i: F.concat(
             F.lit("<div class='listing-card'><a class='listing-link' href='/listing/"), (F.col("p_partkey") * 10 + i).cast("string"),
             F.lit("'><h2 class='listing-title'>"), F.col("p_name"), F.lit(" "), i.cast("string"), F.lit("</h2></a><span class='listing-price'>"),
-            (F.col("p_size") + i).cast("string"), F.lit(" CHF</span><span class='listing-platform'>anibis</span></div>"),
+            (F.col("p_size") + i).cast("string"), F.lit(" CHF</span><span class='listing-platform'>foire</span></div>"),
         ),
     )
     html = F.concat(F.lit("<body><div class='listing-list'>"), F.array_join(card, ""), F.lit("</div></body>"))
