@@ -13,9 +13,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from adwatch.session import local_session
 
-    session = local_session(4, "adwatch-tests")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="adwatch-checkpoint-"))
+    session = local_session(4, "adwatch-tests", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="adwatch-checkpoint-")})
     yield session
     session.stop()
 
