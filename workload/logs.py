@@ -194,9 +194,9 @@ def sealed_actions(spark, sf):
         "part", "entries", (F.col("ok") & F.col("_heads")).alias("ok"), "fits", "tampered_ok", "resealed_fits")
 
 
-@query("audit_tail", _ACTIONS + f"SELECT action, source_id, {V.stamp_sql('moment')} AS stamp FROM actions WHERE action = 'score' ORDER BY moment DESC, source_id DESC LIMIT 100")
+@query("audit_tail", _ACTIONS + f"SELECT action, source_id, {V.stamp_sql('moment')} AS stamp FROM actions ORDER BY moment DESC, source_id DESC, action DESC LIMIT 100")
 def audit_tail(spark, sf):
-    tail = Q.newest_first(_actions(spark, sf).where(F.col("action") == "score"), "at", "source_id", 100)
+    tail = Q.newest_first(_actions(spark, sf).withColumn("tie", F.struct("source_id", "action")), "at", "tie", 100)
     return tail.select("action", "source_id", V.stamp("at").alias("stamp"))
 
 

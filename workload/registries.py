@@ -57,10 +57,10 @@ _KEYS_SQL = """SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'LLM-SCORE' ELSE 'L
   CASE WHEN c_nationkey % 2 = 0 THEN 'v' || (c_nationkey % 3) END AS prompt_version, CASE WHEN c_nationkey % 3 = 0 THEN sha256(c_nationkey::VARCHAR) END AS prompt_hash"""
 
 
-def _keys(df):
+def _keys(df, *more):
     nation = F.col("c_nationkey")
     return df.select(
-        *[c for c in df.columns if c == "c_custkey"],
+        "c_custkey", *more,
         F.when(F.col("c_mktsegment") == "BUILDING", "LLM-SCORE").otherwise("LLM-PARSE").alias("agent"),
         F.concat(F.lit("m"), (nation % 5).cast("string")).alias("model_name"),
         F.when(nation % 2 == 0, F.concat(F.lit("v"), (nation % 3).cast("string"))).alias("prompt_version"),
@@ -68,11 +68,14 @@ def _keys(df):
     )
 
 
-_DIM_SQL = f"dim AS (SELECT agent, model_name, prompt_version, prompt_hash, count(*) AS size FROM ({_KEYS_SQL} FROM customer WHERE c_acctbal > 5000 AND c_nationkey < 20) GROUP BY ALL)"
+_DIM_SQL = f"""dim AS (SELECT CASE WHEN c_acctbal > 5000 AND c_nationkey < 20 THEN agent ELSE agent || '-old' END AS agent, model_name, prompt_version, prompt_hash, count(*) AS size
+  FROM ({_KEYS_SQL}, c_acctbal, c_nationkey FROM customer) GROUP BY ALL)"""
 
 
 def _dimension(spark, sf):
-    known = _keys(V.table(spark, sf, "customer").where("c_acctbal > 5000 and c_nationkey < 20").drop("c_custkey"))
+    customers = V.table(spark, sf, "customer")
+    listed = F.expr("c_acctbal > 5000 AND c_nationkey < 20")
+    known = _keys(customers, listed.alias("listed")).withColumn("agent", F.when(F.col("listed"), F.col("agent")).otherwise(F.concat("agent", F.lit("-old"))))
     return known.groupBy(*R.MODEL_KEY).agg(F.count(F.lit(1)).alias("size"))
 
 
@@ -97,7 +100,7 @@ def model_version_new(spark, sf):
 
 @query("run_state", f"""
 WITH s AS (SELECT o_orderkey AS run_id, o_orderdate AS started_at FROM orders),
-e AS (SELECT l_orderkey AS run_id, l_linestatus AS status, l_shipdate AS finished_at, l_partkey * 1000000000 + l_suppkey * 100000 + l_quantity::BIGINT * 100 + l_linenumber AS event_id FROM lineitem WHERE l_discount < 0.03),
+e AS (SELECT CASE WHEN l_discount < 0.03 THEN l_orderkey ELSE -l_orderkey END AS run_id, l_linestatus AS status, l_shipdate AS finished_at, l_partkey * 1000000000 + l_suppkey * 100000 + l_quantity::BIGINT * 100 + l_linenumber AS event_id FROM lineitem),
 l AS (SELECT run_id, arg_max(status, (finished_at, event_id, status)) AS status, max(finished_at) AS finished_at FROM e GROUP BY 1)
 SELECT run_id, coalesce(status, 'running') AS status, {V.stamp_sql('finished_at')} AS finished FROM s LEFT JOIN l USING (run_id)""")
 def run_state(spark, sf):
@@ -105,8 +108,9 @@ def run_state(spark, sf):
         F.col("o_orderkey").alias("run_id"), F.lit("A").alias("mode"), F.lit("api").alias("trigger"), F.col("o_orderdate").alias("started_at")
     )
     number = F.col("l_partkey") * 1000000000 + F.col("l_suppkey") * 100000 + F.col("l_quantity").cast("long") * 100 + F.col("l_linenumber")
-    ends = V.table(spark, sf, "lineitem").where("l_discount < 0.03").select(
-        F.col("l_orderkey").alias("run_id"), F.col("l_linestatus").alias("status"), F.lit(None).cast("string").alias("error"),
+    # events of runs that never started match nothing
+    ends = V.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_discount") < 0.03, F.col("l_orderkey")).otherwise(-F.col("l_orderkey")).alias("run_id"), F.col("l_linestatus").alias("status"), F.lit(None).cast("string").alias("error"),
         F.col("l_shipdate").alias("finished_at"), F.struct(number.alias("n"), "l_linestatus").alias("event_id"),
     )
     return R.run_state(starts, ends).select("run_id", "status", V.stamp("finished_at").alias("finished"))
@@ -115,7 +119,7 @@ def run_state(spark, sf):
 # --- extractor versions ------------------------------------------------------------------------------------------
 
 _STATE_SQL = """decisions AS (SELECT event_id AS decision_id, floor(value)::BIGINT * 1000 + user_id AS version_id, CASE WHEN event_type IN ('purchase', 'click') THEN 'approve' ELSE 'reject' END AS decision, ts AS decided_at, event_type AS decided_by FROM events),
-versions AS (SELECT DISTINCT floor(value)::BIGINT * 1000 + user_id AS version_id, 'P' || (user_id % 40) AS platform, false AS initial FROM events WHERE value < 200
+versions AS (SELECT DISTINCT floor(value)::BIGINT * 1000 + user_id + CASE WHEN value < 200 THEN 0 ELSE 1000000000 END AS version_id, 'P' || (user_id % 40) AS platform, false AS initial FROM events
   UNION ALL SELECT -1 - n_nationkey::BIGINT, 'P' || n_nationkey, true FROM nation),
 firsts AS (SELECT d.version_id, any_value(v.platform) AS platform, arg_min(decision, (decided_at, decision_id)) AS decision, arg_min(decided_by, (decided_at, decision_id)) AS decided_by, min((decided_at, decision_id)) AS moment
   FROM decisions d JOIN versions v USING (version_id) WHERE NOT v.initial GROUP BY 1),
@@ -138,8 +142,9 @@ def _states(spark, sf):
     decisions = events.select(
         F.col("event_id").alias("decision_id"), _version_id().alias("version_id"), decision.alias("decision"), F.col("ts").alias("decided_at"), F.col("event_type").alias("decided_by")
     )
-    candidates = events.where("value < 200").select(
-        _version_id().alias("version_id"), F.concat(F.lit("P"), (F.col("user_id") % 40).cast("string")).alias("platform"), F.lit(False).alias("initial")
+    # candidates of high value are versions that no one has decided on
+    candidates = events.select(
+        (_version_id() + F.when(F.col("value") < 200, 0).otherwise(1000000000)).alias("version_id"), F.concat(F.lit("P"), (F.col("user_id") % 40).cast("string")).alias("platform"), F.lit(False).alias("initial")
     ).distinct()
     seeds = V.table(spark, sf, "nation").select(
         (F.lit(-1) - F.col("n_nationkey").cast("long")).alias("version_id"), F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("platform"), F.lit(True).alias("initial")

@@ -32,11 +32,10 @@ def run_stats(spark, sf):
 
 
 @query("ads_per_site", V.ctes(V.PLATFORMS, V.LISTINGS) + """
-SELECT p.name AS site, count(l.listing_id) AS ads FROM platforms p LEFT JOIN (SELECT * FROM listings WHERE price_amount > 9000) l USING (platform_id) GROUP BY 1""")
+SELECT p.name AS site, count(l.listing_id) AS ads FROM platforms p LEFT JOIN listings l USING (platform_id) GROUP BY 1""")
 def ads_per_site(spark, sf):
     sites = V.platforms(spark, sf).select("platform_id", F.col("name").alias("site"))
-    ads = V.listings(spark, sf).where(F.col("price_amount") > 9000)
-    return S.ads_per_site(ads, sites, ("platform_id",)).select("site", "ads")
+    return S.ads_per_site(V.listings(spark, sf), sites, ("platform_id",)).select("site", "ads")
 
 
 @query("report_synthesis", V.ctes(V.SCORES) + """

@@ -154,11 +154,12 @@ def ad_prompts(spark, sf):
     return V.table(spark, sf, "customer").select("c_custkey", prompt.alias("prompt"))
 
 
-@query("embedding_texts", "SELECT doc_id, 'passage: ' || source || '. ' || trim(lang) AS rule, 'query: ' || source || ' ' || lang AS ad FROM documents")
+@query("embedding_texts", r"""
+SELECT doc_id, 'passage: ' || trim(source || '. ' || text, E' \t\n\r') AS rule, 'query: ' || trim(source || ' ' || text, E' \t\n\r') AS ad FROM documents""")
 def embedding_texts(spark, sf):
     return V.table(spark, sf, "documents").select(
-        "doc_id", D.rule_text(F.col("source"), F.col("lang"), fixed.PASSAGE_PREFIX).alias("rule"),
-        D.ad_query_text(F.col("source"), F.col("lang"), fixed.QUERY_PREFIX).alias("ad"),
+        "doc_id", D.rule_text(F.col("source"), F.col("text"), fixed.PASSAGE_PREFIX).alias("rule"),
+        D.ad_query_text(F.col("source"), F.col("text"), fixed.QUERY_PREFIX).alias("ad"),
     )
 
 
