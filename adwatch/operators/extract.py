@@ -25,8 +25,27 @@ from adwatch.operators.skew import lookup_join
 
 @F.pandas_udf(T.StringType())
 def _pick_fields(html: pd.Series, selectors: pd.Series) -> pd.Series:
-    """JSON object of selected texts, one page with its own selectors per row."""
-    from adwatch.functions.markup import parse, pick
+    """JSON object of selected texts, one page with its own selectors per row; a selector that is not understood raises."""
+    return _picked(html, selectors, False)
+
+
+@F.pandas_udf(T.StringType())
+def _try_fields(html: pd.Series, selectors: pd.Series) -> pd.Series:
+    """The same for proposed selectors: one that is not understood picks nothing."""
+    return _picked(html, selectors, True)
+
+
+def _picked(html: pd.Series, selectors: pd.Series, lenient: bool) -> pd.Series:
+    from adwatch.functions.markup import UnsupportedSelector, parse
+    from adwatch.functions.markup import pick as strict
+
+    def pick(root, path: str) -> str | None:
+        try:
+            return strict(root, path)
+        except UnsupportedSelector:
+            if not lenient:
+                raise
+            return None
 
     parsed: dict[str, dict] = {}
 
@@ -182,13 +201,14 @@ def trial_candidates(
 ) -> DataFrame:
     """Try every candidate selector map on its platform's sample pages.
 
-    Adds ``missing`` (fields blank on any sample), ``complete`` and ``chosen``: the first complete candidate by
+    A selector that is not understood counts as missing. Adds ``missing`` (fields blank on any sample), ``complete`` and ``chosen``: the first complete candidate by
     ``attempt``, or the one with fewest missing fields.
     """
-    spec = candidates.select("platform", "attempt", F.to_json(field_selectors(F.col("selectors"))).alias("_spec"))
-    tried = samples.select("platform", "html").join(spec, "platform").select(
-        "platform", "attempt", F.from_json(_pick_fields("html", "_spec"), "map<string,string>").alias("f")
-    )
+    spec = F.struct("attempt", F.to_json(field_selectors(F.col("selectors"))).alias("spec"))
+    specs = candidates.groupBy("platform").agg(F.collect_list(spec).alias("_specs"))  # a handful of candidates per platform
+    # one narrow row per platform goes to the pages, which stay where they are read
+    paired = lookup_join(samples.select("platform", "html"), specs, ["platform"]).select("platform", "html", F.inline("_specs"))
+    tried = paired.select("platform", "attempt", F.from_json(_try_fields("html", "spec"), "map<string,string>").alias("f"))
     tried = tried.withColumn("missing", missing_fields({n: F.col("f")[n] for n in required}))
     outcome = tried.groupBy("platform", "attempt").agg(
         *[F.max(F.array_contains("missing", n)).alias(f"_no_{n}") for n in required]

@@ -52,6 +52,8 @@ def test_candidate_trials(spark):
     tried = X.trial_candidates(spark.createDataFrame(rows, "platform string, attempt long, selectors map<string,string>"), samples)
     assert [(r.attempt, r.missing, r.complete, r.chosen) for r in tried.orderBy("attempt").collect()] == [
         (0, ["title", "price", "description"], False, False), (1, ["price", "description"], False, False), (2, [], True, True), (3, [], True, False)]
+    odd = spark.createDataFrame([("shop", 0, {**V2_SELECTORS, "title": "h2::before"})], "platform string, attempt long, selectors map<string,string>")
+    assert X.trial_candidates(odd, samples).first().missing == ["title"]
     partial = X.trial_candidates(spark.createDataFrame(rows[:2], "platform string, attempt long, selectors map<string,string>"), samples)
     assert [r.chosen for r in partial.orderBy("attempt").collect()] == [False, True]
 
