@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from adwatch.llm.common import with_outputs
 
 #: Bytes of text whose distinct words one block lists; bounds what a task holds.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def vocabulary_path(name: str) -> str:
@@ -141,9 +141,13 @@ def _encoder(path: str):
         lists = pc.split_pattern(listed, "\n")
         coded = lists.flatten().dictionary_encode()
         distinct, own = coded.dictionary.to_pylist(), tokenizer(path)
-        ids = [e.ids for a in range(0, len(distinct), 5000) for e in own.encode_batch_fast(distinct[a:a + 5000], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        values = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        parts, sizes = [], []
+        for a in range(0, len(distinct), 2000):  # few objects of the library at a time
+            ids = [e.ids for e in own.encode_batch_fast(distinct[a:a + 2000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+            parts.append(np.fromiter((i for x in ids for i in x), np.uint32, int(sizes[-1].sum())))
+        lengths = np.concatenate(sizes or [np.empty(0, np.int32)])
+        values = np.concatenate(parts or [np.empty(0, np.uint32)])
         per_word = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values))
         ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         places, sizes, found = np.asarray(coded.indices), [], []
