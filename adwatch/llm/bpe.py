@@ -124,8 +124,10 @@ def _blocks(carried: pa.Schema, text: str, buckets: int, schema: pa.Schema, list
             if size >= BLOCK_BYTES:
                 yield cut(held, block)
                 block, held, size = block + 1, [], 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield cut(held, block)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -31,7 +31,7 @@ BUCKETS, DIM, WINDOW = 1 << 16, 8, 8
 SHORTEST, LONGEST = 3, 5
 MAX_TOXIC, MAX_CLEAN = 2_000, 3_000
 #: Words whose score a worker keeps; beyond it the table starts afresh.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 STRIPPED = ".,;:!?\"'()[]{}«»„“”…*_-"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
