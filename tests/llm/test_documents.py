@@ -423,6 +423,15 @@ def test_latent_search_recall(spark):
     assert (full & latent).sum() / full.sum() >= 0.9
 
 
+def test_decontamination_long_items(spark):
+    """250 items of 200 words over one vocabulary, each verbatim in a document of its own."""
+    rng = random.Random(31)
+    items = [(i, " ".join(f"z{rng.randrange(20000)}" for _ in range(200))) for i in range(250)]
+    documents = spark.createDataFrame([(i, prose(rng, 60) + " " + t + " " + prose(rng, 60)) for i, t in items], "doc_id long, text string").repartition(4)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i) for i, _ in items} <= found
+
+
 def test_registered_queries_have_whole_results(spark):
     from adwatch.llm import queries
 
