@@ -432,6 +432,32 @@ def test_decontamination_long_items(spark):
     assert {(i, i) for i, _ in items} <= found
 
 
+def test_decontamination_equals_the_rule_everywhere(spark):
+    """Short items and paraphrases within ordinary text, against the rule asked of every segment and item."""
+    rng = random.Random(41)
+    body = lambda n: [f"w{int(rng.paretovariate(0.6)) % 400}x" for _ in range(n)]
+    items = [(i, " ".join(body(rng.choice([2, 4, 6, 12, 30, 50])) + [f"k{rng.randrange(90)}."] + body(4))) for i in range(60)]
+    items += [(60 + i, " ".join(body(rng.choice([6, 8, 10])))) for i in range(20)] + [(90, " ".join(body(64))), (91, " ".join(body(150)) + ". the end of it")]
+    rows = []
+    for i in range(90):
+        own = items[i % len(items)][1].split(" ")
+        if i % 3:
+            own = [w if rng.random() > 0.15 * (i % 3) else f"syn{rng.randrange(999)}" for w in own[:-4]] + own[-4:]
+        rows.append((i, " ".join(body(rng.randint(0, 90)) + own + body(rng.randint(0, 90)))))
+    passages = [p for item in items for p in decontaminate.item_passages(*item)]
+    want = set()
+    for doc, text in rows:
+        words = decontaminate.bare_words(text)
+        for a in range(0, max(1, len(words) - 24), 8):
+            segment = words[max(0, a - 24):a + 56]
+            for item, own, answer in passages:
+                share = decontaminate.common_words(own, segment) / len(own)
+                if share >= 0.8 or share >= 0.5 and len(answer & set(segment)) >= 0.8 * len(answer):
+                    want.add((doc, item))
+    df, benchmark = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, benchmark).collect()} == want and len(want) > 90
+
+
 def test_registered_queries_have_whole_results(spark):
     from adwatch.llm import queries
 
