@@ -450,14 +450,25 @@ def test_decontamination_equals_the_rule_everywhere(spark):
         words = decontaminate.bare_words(text)
         for a in range(0, max(1, len(words) - 24), 8):
             segment = words[max(0, a - 24):a + 56]
-            for item, own, answer in passages:
+            for item, own, answer, several in passages:
                 share = decontaminate.common_words(own, segment) / len(own)
-                if share >= 0.8 or share >= 0.5 and len(answer & set(segment)) >= 0.8 * len(answer):
+                there = answer & set(words if several else segment)
+                if share >= (0.8 if answer else 0.65) or answer and share >= 0.5 and len(there) >= 0.8 * len(answer):
                     want.add((doc, item))
     df, benchmark = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, benchmark).collect()} == want and len(want) > 90
 
 
+def test_decontamination_answers(spark):
+    """A paraphrase of a one-sentence item, and of the body of a long item whose answer stands elsewhere in the document."""
+    one, long = [f"o{i}" for i in range(20)], [f"l{i}" for i in range(160)]
+    items = [(1, " ".join(one) + "."), (2, " ".join(long) + ". final words of answer")]
+    changed = lambda words, every: " ".join("other" if i % every == 0 else w for i, w in enumerate(words))
+    rows = [(1, changed(one, 4)), (2, changed(one, 2)), (3, changed(long[:64], 3) + " pad" * 100 + " final words of answer"), (4, changed(long[:64], 3) + " pad" * 100)]
+    df, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, benchmark).collect()} == {(1, 1), (3, 2)}
+
+
 def test_registered_queries_have_whole_results(spark):
     from adwatch.llm import queries
 
