@@ -109,7 +109,7 @@ def scan_words(words: list[str], template: list[str], coverage: float) -> list[t
     size, need = len(template), -(-int(coverage * 1000) * len(template) // 1000)
     own = Counter(template)
     found: list[tuple[int, int, int]] = []
-    for a in range(0, max(1, len(words) - size), max(1, size)):
+    for a in range(0, max(1, len(words) - size + 1), max(1, size)):
         part = words[a:a + 2 * size]
         if sum(min(n, own[w]) for w, n in Counter(w for w in part if w in own).items()) < need:
             continue

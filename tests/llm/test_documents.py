@@ -362,6 +362,12 @@ def test_license_scan(spark):
     assert licensescan.scan(df.limit(0)).count() == 0
 
 
+def test_license_copies_back_to_back():
+    notice = "released under the mit license".split()
+    for n in (1, 2, 3, 5):
+        assert licensescan.scan_words(notice * n, notice, 0.8) == [(5 * i, 5 * i + 5, 5) for i in range(n)]
+
+
 def test_common_words():
     def plain(a, b):
         row = [0] * (len(b) + 1)
