@@ -57,9 +57,10 @@ def with_outputs(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in names if c in df.columns])
 
 
-def batch_bytes(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches small where single rows may be long documents."""
+def batch_bytes(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Keep Arrow batches small where single rows may be long documents: by rows and by bytes, one row at least."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def utf8(column: str = "text"):

@@ -134,3 +134,29 @@ def op4_license_scan(spark, sf_dir):
 
     batch_bytes(spark)
     return licensescan.scan(table(spark, sf_dir, "documents"))
+
+
+def _planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document as ``op13`` takes them: those from ``a`` on repeat the ``p`` words there, for a tenth of the ids."""
+    import zlib
+
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    from adwatch.llm import periods
+
+    batch_bytes(spark)
+    found = periods.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=_planted, key="doc_id")
+    best = periods.greatest()
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periods.listed(), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
