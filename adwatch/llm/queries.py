@@ -160,3 +160,11 @@ def op13_periodic_runs(spark, sf_dir):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(periods.listed(), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op11_collocations")
+def op11_collocations(spark, sf_dir):
+    from adwatch.llm import phrases
+
+    batch_bytes(spark)
+    return phrases.collocations(table(spark, sf_dir, "documents"))
