@@ -168,3 +168,12 @@ def op11_collocations(spark, sf_dir):
 
     batch_bytes(spark)
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_html_text")
+def op12_html_text(spark, sf_dir):
+    from adwatch.llm import htmltext
+
+    batch_bytes(spark, 200, "2m")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
