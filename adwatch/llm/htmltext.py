@@ -302,7 +302,9 @@ def extract(df: DataFrame, page: str = "html", url: str = "url", page_id: str =
     order = ("_host", "_path", "_key", "_tie")
     dealt = rows.select(*[F.col(f"`{c}`") for c in rows.columns], host.alias("_host"), path.alias("_path"), F.col(f"`{page_id}`").alias("_key"),
                         F.xxhash64(F.col(f"`{page}`")).alias("_tie"))
-    dealt = dealt.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    # the ranges are read twice, so their number is fixed: pages at their ends must be the same both times
+    ranges = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // (16 * REACH)))
+    dealt = dealt.repartitionByRange(ranges, *[F.col(c) for c in order]).sortWithinPartitions(*order)
     carried = T.StructType(schema.fields[:-1])
 
     def line(words: str) -> int:
