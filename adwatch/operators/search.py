@@ -46,7 +46,13 @@ def prefix_search(ads: DataFrame, query: str, title: Column, description: Column
     return ads.where(query_match(low[0], query) | query_match(low[1], query))
 
 
-def _term_tokens(terms: DataFrame) -> DataFrame:
+def search_body(title: str, description: str | None = None) -> Column:
+    """The text that searches read."""
+    return _body(F.col(title), F.col(description)) if description else F.coalesce(title, F.lit(""))
+
+
+def term_tokens(terms: DataFrame) -> DataFrame:
+    """Terms with their lower-case text and their useful words."""
     tokens = X.search_tokens(F.col("term"))
     return terms.select("term_id", "term", F.lower("term").alias("_needle"), tokens.alias("_tokens"))
 
@@ -59,11 +65,11 @@ def search_terms(ads: DataFrame, terms: DataFrame, key: str, title: str, descrip
     ad. A larger table joins on equality: every word of an ad yields its prefixes of the lengths in use, which meet
     the tokens without a candidate that fails; terms without tokens join on the grams of their own text.
     """
-    body = _body(F.col(title), F.col(description)) if description else F.coalesce(title, F.lit(""))
+    body = search_body(title, description)
     listed = terms.select("term_id", "term").limit(INLINE_TERMS + 1).collect()
     if len(listed) <= INLINE_TERMS:
         return _search_inline(ads, terms.schema, listed, key, body).distinct()
-    return _search_joined(ads, _term_tokens(terms), key, body)
+    return _search_joined(ads, term_tokens(terms), key, body)
 
 
 def _search_inline(ads: DataFrame, schema, listed: list, key: str, body: Column) -> DataFrame:

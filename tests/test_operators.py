@@ -105,7 +105,7 @@ def test_search_paths_equal_brute_force(spark):
     want = hits_by_reading(docs, terms)
     assert {(r.id, r.term_id) for r in H.search_terms(df, t, "id", "title", "text").collect()} == want
     body = H._body(F.col("title"), F.col("text"))
-    joined = [(r.id, r.term_id) for r in H._search_joined(df, H._term_tokens(t), "id", body).collect()]
+    joined = [(r.id, r.term_id) for r in H._search_joined(df, H.term_tokens(t), "id", body).collect()]
     assert set(joined) == want and len(joined) == len(want)
     for n, term in terms:
         found = {r.id for r in H.prefix_search(df, term, F.col("title"), F.col("text")).collect()}

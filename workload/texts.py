@@ -8,9 +8,10 @@ from adwatch import fixed
 from adwatch.functions import display as D
 from adwatch.functions import price as P
 from adwatch.functions import text as X
-from adwatch.operators import checks, search
+from adwatch.operators import checks, postings, search
 from workload import query
 from workload import views as V
+from workload.streams import work_folder
 
 _SPACE = X.SPACE
 
@@ -76,7 +77,39 @@ def search_terms(spark, sf):
 @query("search_terms_joined", f"WITH {_TERMS_SQL} SELECT * FROM hits")
 def search_terms_joined(spark, sf):
     body = F.coalesce("text", F.lit(""))
-    return search._search_joined(_docs(spark, sf), search._term_tokens(_terms(spark, sf)), "doc_id", body)
+    return search._search_joined(_docs(spark, sf), search.term_tokens(_terms(spark, sf)), "doc_id", body)
+
+
+def _indexed(spark, sf):
+    """An index that is updated twice: all documents with an outdated text, then the English ones, a merge, then the others."""
+    root = work_folder(spark)
+    docs = V.spread(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    outdated = docs.withColumn("text", F.concat(F.coalesce("source", F.lit("")), F.lit(" tion the eaure für conre de la ")))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    postings.write_segment(outdated, root, 0, "doc_id", "text")
+    postings.write_segment(docs.where(english), root, 1, "doc_id", "text")
+    postings.merge_segments(spark, root, 1)
+    postings.write_segment(docs.where(~english), root, 2, "doc_id", "text")
+    return root
+
+
+@query("indexed_search", f"WITH {_TERMS_SQL} SELECT * FROM hits")
+def indexed_search(spark, sf):
+    return postings.search_index(spark, _indexed(spark, sf), _terms(spark, sf)).withColumnRenamed("key", "doc_id")
+
+
+@query("indexed_search_joined", f"""WITH firsts AS (SELECT DISTINCT left(regexp_extract(lower(text), '{fixed.SEARCH_WORD}'), 4) AS term FROM documents),
+terms AS (SELECT term FROM firsts WHERE length(term) >= 3 AND NOT list_contains({fixed.SEARCH_STOPWORDS}, term)),
+words AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents)
+SELECT DISTINCT doc_id, term FROM words JOIN terms ON starts_with(w, term)""")
+def indexed_search_joined(spark, sf):
+    """As many terms as first words of documents have openings."""
+    terms = V.table(spark, sf, "documents").select(F.left(F.regexp_extract(F.lower("text"), fixed.SEARCH_WORD, 0), F.lit(4)).alias("term")).distinct()
+    terms = terms.where((F.length("term") >= 3) & ~F.col("term").isin(*fixed.SEARCH_STOPWORDS)).withColumn("term_id", F.xxhash64("term"))
+    index = postings.Index(spark, _indexed(spark, sf))
+    worded = postings.term_tokens(terms).select("term_id", "term", F.explode("_tokens").alias("prefix"))
+    hits = index.current(postings._found_joined(index, worded).distinct())
+    return hits.select(F.col("key").alias("doc_id"), "term").distinct()
 
 
 @query("first_hits", f"WITH {_TERMS_SQL} SELECT doc_id, min(term_id) AS term_id, arg_min(term, term_id) AS term FROM hits GROUP BY 1")
