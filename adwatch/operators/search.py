@@ -80,6 +80,8 @@ def _search_inline(ads: DataFrame, schema, listed: list, key: str, body: Column)
         if row["term"]
     ]
     split = ads.select(key, F.lower(body).alias("_low"))
+    if not hits:
+        return split.where("false").select(key, *[F.lit(None).cast(schema[n].dataType).alias(n) for n in ("term_id", "term")])
     return split.select(key, F.inline(F.array_compact(F.array(*hits))))
 
 
