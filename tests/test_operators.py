@@ -389,3 +389,35 @@ def test_routing_is_exact_and_spares_pairs(spark):
     _, centers, sizes = retrieve.cluster_rules(vectors, 16, 20)
     routed = retrieve.route_queries(asked.select("query_id", F.col("embedding").alias("_q")), "query_id", 16, 0.8, centers, sizes)
     assert routed.count() < 0.6 * len(sizes) * 150
+    first = retrieve.route_queries(asked.select("query_id", F.col("embedding").alias("_q")), "query_id", 16, 0.8, centers, sizes, 4, first=True)
+    assert first.count() < 0.3 * len(sizes) * 150
+
+
+@pytest.mark.parametrize("shard_floats, block_floats", [(4_000_000, 1_000_000), (16 * 20, 16 * 7)])
+def test_two_rounds_over_stored_clusters(spark, folder, monkeypatch, shard_floats, block_floats):
+    """Rows equal the plain search; a grown bound spares visits; rules are copied once a shard of their own cluster."""
+    monkeypatch.setattr(T, "SHARD_FLOATS", shard_floats)
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(15, 16))
+    near = lambda i: (middles[i % 15 if i % 3 else 0] + 0.3 * rng.normal(size=16)).tolist()  # noqa: E731 - a third around one centre
+    rules = spark.createDataFrame([(i, near(i)) for i in range(300)] + [(900, None), (901, [1.0]), (902, [0.0] * 16)], "rule_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, near(i)) for i in range(200)] + [(900, None)], "query_id long, embedding array<double>")
+    T.store_clusters(rules, folder, 25)
+    table = T.open_clusters(spark, folder)
+    assert len(table.sizes) == len(table.centers) == 25 and sum(n for _, n in table.sizes.values()) == 300
+    rows = lambda df: sorted((r.query_id, r["rank"], r.rule_id, r.cosine) for r in df.collect())
+    want = rows(T.retrieve_rules(asked, rules, k=3, threshold=0.3))
+    assert rows(T.retrieve_clustered(asked, table, k=3, threshold=0.3, block_floats=block_floats)) == want and len(want) == 600
+    q = asked.select("query_id", F.col("embedding").alias("_q"))
+    route = lambda df, **more: T.route_queries(df, "query_id", 16, 0.3, table.centers, table.sizes, **more)
+    bounds = spark.createDataFrame([(i, c) for i, r, _, c in want if r == 3], "query_id long, _bound double")
+    plain, first = route(q).count(), route(q, k=3, first=True)
+    rest = route(q.join(bounds, "query_id"), k=3).count()
+    assert first.count() + rest < 0.6 * plain
+    shards = T.copies(first, 16, 16 * 20)
+    visits = {r["_cluster"]: r["count"] for r in first.groupBy("_cluster").count().collect()}
+    assert shards == {c: -(-n // 20) for c, n in visits.items()}
+    copied = sum(table.sizes[c][1] * n for c, n in shards.items())
+    assert copied < 0.5 * 300 * -(-200 // 20)  # every rule to every shard
+    T.store_clusters(rules.limit(0), f"{folder}/none", 25)
+    assert T.retrieve_clustered(asked, T.open_clusters(spark, f"{folder}/none")).collect() == []

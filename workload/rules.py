@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from adwatch.functions.display import rules_prompt
 from adwatch.functions.hashing import rule_id
+from adwatch.functions.numbers import round_even
 from adwatch.operators import extract, retrieve
 from adwatch.sources.writers import upsert_rules
 from workload import query
 from workload import views as V
+from workload.streams import work_folder
 
 
 def _rule_files(spark, sf):
@@ -68,6 +70,17 @@ def rule_topk_blocked(spark, sf):
     return retrieve.retrieve_rules(queries, _label_rules(spark, sf), "vec_id", 3, 0.2, inline_floats=0, block_floats=200).drop("cosine")
 
 
+@query("rule_topk_stored", "WITH " + _RULES_SQL.replace("rules AS (SELECT label AS rule_id, list(x ORDER BY i) AS r FROM sums GROUP BY 1)", "rules AS (SELECT vec_id AS rule_id, embedding::DOUBLE[] AS r FROM embeddings)").replace(
+    "c >= 0.2", "c >= 0.6"))
+def rule_topk_stored(spark, sf):
+    """Every vector against all, through a table of clusters that is written once."""
+    path = f"{work_folder(spark)}/clusters"
+    vectors = V.spread(spark, sf, "embeddings").select("vec_id", "embedding")
+    retrieve.store_clusters(vectors.withColumnRenamed("vec_id", "rule_id"), path, 32)
+    hits = retrieve.retrieve_clustered(vectors, retrieve.open_clusters(spark, path), "vec_id", 3, 0.6)
+    return hits.withColumn("score", round_even(F.col("cosine"), 3)).drop("cosine")
+
+
 @query("rule_prompts", "WITH " + _RULES_SQL.replace(
     "SELECT vec_id, rank::INTEGER AS rank, rule_id, printf('%.3f', c)::DOUBLE AS score FROM best WHERE rank <= 3",
     """SELECT vec_id, string_agg('L' || rule_id, ',' ORDER BY rank) AS refs, chr(10) || 'Règles douanières potentiellement applicables (appuie-toi dessus si elles sont pertinentes) :'
