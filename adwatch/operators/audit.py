@@ -17,10 +17,7 @@ from pyspark.sql import types as T
 
 from adwatch import fixed
 from adwatch.functions.hashing import canonical_detail, canonical_entry, entry_hash, iso_stamp, json_text
-from adwatch.operators.ordering import with_previous
-
-CHECK_WIDTH = 65_536
-
+from adwatch.operators.ordering import previous_by_scan, with_previous
 
 def with_canonical(entries: DataFrame, detail_is_canonical: bool = True) -> DataFrame:
     """Add the text that is sealed: compact sorted JSON of the sealed fields."""
@@ -34,15 +31,17 @@ def verify_chains(entries: DataFrame, chain: str = "chain", seq: str = "seq", bu
     """Per chain: ``ok``, the position of the first bad entry and the number of entries.
 
     An entry is bad when its ``prev_hash`` differs from the stored hash before it or its ``entry_hash`` from the
-    recomputed one. Entries are compared inside stretches of the sequence, so one global chain spreads over tasks.
+    recomputed one. Entries are compared in sorted ranges, or inside the stretches of ``bucket`` where they are known, so one
+    global chain spreads over tasks.
     """
-    return _verify(entries, chain, [seq], bucket if bucket is not None else F.floor(F.col(seq) / CHECK_WIDTH)).drop("error")
+    return _verify(entries, chain, [seq], bucket).drop("error")
 
 
-def _verify(entries: DataFrame, chain: str, order: list[str], stretch: Column, error: Column | None = None) -> DataFrame:
+def _verify(entries: DataFrame, chain: str, order: list[str], stretch: Column | None, error: Column | None = None) -> DataFrame:
     error = error if error is not None else F.lit(None).cast("string")
     narrow = entries.select(chain, *order, "prev_hash", "entry_hash", "canonical", error.alias("error"))
-    linked = with_previous(narrow, [chain], order, stretch, {"entry_hash": "_before"})
+    carried = {"entry_hash": "_before"}
+    linked = previous_by_scan(narrow, [chain], order, carried) if stretch is None else with_previous(narrow, [chain], order, stretch, carried)
     good = F.col("prev_hash").eqNullSafe(F.col("_before")) & F.col("entry_hash").eqNullSafe(
         entry_hash(F.col("_before"), F.col("canonical"))
     )

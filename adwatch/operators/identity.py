@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adwatch.operators.ordering import earliest, time_stretch, with_previous
+from adwatch.operators.ordering import earliest, previous_by_scan
 
 KEY = ("platform", "external_id")
 ORDER = ("observed_at", "seq")
@@ -69,19 +69,17 @@ def persist_balance(observations: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def content_changes(
-    observations: DataFrame, bucket: Column | None = None, keys: Sequence[str] = KEY, order: Sequence[str] = ORDER
+    observations: DataFrame, keys: Sequence[str] = KEY, order: Sequence[str] = ORDER, parts: int | None = None
 ) -> DataFrame:
     """Every appearance with the previous content hash and whether the content changed.
 
-    Groups are (ad, stretch of time) with the stretch measured on the data, so an ad seen very often is still spread
-    over tasks.
+    One pass over sorted ranges of (ad, time), so an ad seen very often is spread over tasks as evenly as all others.
     """
-    bucket = bucket if bucket is not None else time_stretch(observations, keys, order[0])
-    seen = with_previous(observations, keys, order, bucket, {"content_hash": "previous_hash"})
-    first = F.col("position") == 0
-    return seen.withColumn("is_first", first).withColumn(
-        "changed", ~first & ~F.col("content_hash").eqNullSafe(F.col("previous_hash"))
-    )
+    seen = previous_by_scan(observations, keys, order, {"content_hash": "previous_hash"}, parts)
+    first = ~F.col("has_previous")
+    return seen.select(
+        *observations.columns, "previous_hash", "position", first.alias("is_first"),
+        (~first & ~F.col("content_hash").eqNullSafe(F.col("previous_hash"))).alias("changed"))
 
 
 def unique_ads(ads: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -2,16 +2,23 @@
 
 ``row_number()`` and ``lag()`` send a whole key to one task. Latest and first rows are ``max_by`` / ``min_by``
 aggregates instead, which reduce each key inside every map task before the shuffle. Previous rows and positions
-come from windows over (key, bucket), where a bucket is a bounded stretch of the ordering column, plus a
-one-row-per-bucket table that carries values across bucket edges.
+come from a scan over sorted ranges, with one row per range that carries values across their edges; where rows already
+lie in known stretches (splits of a file, say), windows over (key, stretch) and a row per stretch do the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _rest(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None) -> list[str]:
@@ -72,27 +79,92 @@ def with_previous(
     )
 
 
-GROUP_ROWS = 500_000
+def _changes(batch: pa.RecordBatch, keys: Sequence[str], last: list | None) -> np.ndarray:
+    """Whether a row has the keys of the row before it; ``last`` holds the keys before the batch."""
+    same = np.ones(batch.num_rows, bool)
+    for i, key in enumerate(keys):
+        column = batch.column(key)
+        now, before = column.slice(1), column.slice(0, len(column) - 1)
+        equal = pc.or_kleene(pc.equal(now, before), pc.and_(pc.is_null(now), pc.is_null(before)))
+        same[1:] &= np.asarray(pc.fill_null(equal, False))
+        same[0] &= last is not None and column[0].as_py() == last[i]
+    return same
 
 
-def time_stretch(df: DataFrame, keys: Sequence[str], time: str, most_rows: int = GROUP_ROWS) -> Column | None:
-    """The longest calendar unit in which no key has more than ``most_rows`` rows, as a bucket for ``time``.
+def previous_by_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], carried: dict[str, str], parts: int | None = None) -> DataFrame:
+    """Add the previous row's values, whether there is one (``has_previous``) and the 0-based ``position`` per key.
 
-    Nothing when no key has more at all. Sizes are looked up from long to short, each in one aggregate that is
-    combined before its shuffle, and the search ends at the first unit that fits.
+    A prefix scan over partitions: rows are dealt by range of key and order, so a key of any size is spread evenly; each task
+    passes once through its sorted range and keeps one row; a row per range then tells every range what the ranges before
+    it hold of its first key, and the rows of that key are moved on. ``parts`` is the number of ranges, by default that of
+    shuffle partitions. Ranges are read twice and must be the same both times, so exchanges must be reused.
     """
-    if df.count() <= most_rows or _largest(df, keys, F.lit(0)) <= most_rows:
-        return None
-    for unit in ("day", "hour", "minute"):
-        if _largest(df, keys, F.date_trunc(unit, time)) <= most_rows:
-            return F.date_trunc(unit, time)
-    return F.date_trunc("second", time)
-
-
-def _largest(df: DataFrame, keys: Sequence[str], part: Column) -> int:
-    """Rows of the largest (key, part) group."""
-    sizes = df.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first()["n"]
+    spark, keys, order = df.sparkSession, list(keys), list(order)
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        raise ValueError("a distributed scan needs spark.sql.exchange.reuse")
+    dealt = df.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, *order).sortWithinPartitions(*keys, *order)
+    names, kept = list(carried), dealt.schema.fields
+    extra = T.StructType.fromDDL("has_previous boolean, position long, _part int, _lead boolean")
+    before = [T.StructField(f"_b{i}", dealt.schema[c].dataType) for i, c in enumerate(names)]
+    inner = T.StructType([*kept, *before, *extra.fields])
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Each batch with: same key as before, place in the key's rows of this range, row of the range's first key."""
+        last, count, lead = None, 0, True
+        for batch in batches:
+            if batch.num_rows:
+                same = _changes(batch, keys, last)
+                starts = np.flatnonzero(~same)
+                run = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))
+                place = np.where(run < 0, np.arange(len(same)) + count, np.arange(len(same)) - run)
+                fresh = starts[1:] if last is None else starts  # the first row of a range begins its first key
+                leading = np.arange(len(same)) < (fresh[0] if len(fresh) else len(same)) if lead else np.zeros(len(same), bool)
+                lead, count = lead and not len(fresh), int(place[-1]) + 1
+                last = [batch.column(k)[-1].as_py() for k in keys]
+                yield batch, same, place, leading
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), None
+        for batch, same, place, leading in passed(batches):
+            mask, shifted = pa.array(same), []
+            for i, name in enumerate(names):
+                column = batch.column(name)
+                head = pa.nulls(1, column.type) if held is None else held[i]
+                shifted.append(pc.if_else(mask, pa.concat_arrays([head, column.slice(0, len(column) - 1)]), pa.nulls(len(column), column.type)))
+            held = [pa.concat_arrays([batch.column(n).slice(batch.num_rows - 1)]) for n in names]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, *shifted, mask, pa.array(place), pa.array(np.full(n, part, np.int32)), pa.array(leading)], names=inner.names)
+
+    ends = T.StructType([T.StructField("_part", T.IntegerType()),
+                         *[T.StructField(f"_{at}{i}", dealt.schema[k].dataType) for at in "fl" for i, k in enumerate(keys)],
+                         *[T.StructField(f"_v{i}", dealt.schema[c].dataType) for i, c in enumerate(names)], *T.StructType.fromDDL("_tail long, _whole boolean").fields])
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for batch, same, place, leading in passed(batches):
+            first = first or [batch.column(k).slice(0, 1) for k in keys]
+            end = batch.num_rows - 1
+            row = [*first, *[batch.column(c).slice(end) for c in (*keys, *names)], pa.array([int(place[-1]) + 1]), pa.array([bool(leading[-1])])]
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *row], names=ends.names)
+
+    across = Window.orderBy("_part")  # one row per range
+    same_key = reduce(and_, [F.col(f"_f{i}").eqNullSafe(F.lag(f"_l{i}").over(across)) for i in range(len(keys))])
+    known = F.lag("_part").over(across).isNotNull()
+    linked = dealt.mapInArrow(end, ends).select("*", (known & same_key).alias("_on"), F.struct(F.lit(1), *[F.col(f"_v{i}") for i in range(len(names))]).alias("_last"))
+    # a new stretch of one key begins where a range holds more than the key it goes on with
+    stretch = linked.withColumn("_stretch", F.sum(F.when(F.col("_whole") & F.col("_on"), 0).otherwise(1)).over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    held = stretch.withColumn("_held", F.sum("_tail").over(Window.partitionBy("_stretch").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)))
+    carry = held.select("_part", F.when(F.col("_on"), F.lag("_held").over(across)).alias("_offset"), F.when(F.col("_on"), F.lag("_last").over(across)).alias("_carry"))
+
+    scanned = dealt.mapInArrow(scan, inner).join(F.broadcast(carry), "_part", "left")
+    edge = F.col("_lead") & (F.col("position") == 0) & F.col("_offset").isNotNull()
+    return scanned.select(
+        *[F.col(f"`{f.name}`") for f in kept],
+        *[F.when(edge, F.col("_carry")[f"_v{i}"]).otherwise(F.col(f"_b{i}")).alias(carried[c]) for i, c in enumerate(names)],
+        (F.col("has_previous") | edge).alias("has_previous"),
+        F.when(F.col("_lead"), F.col("position") + F.coalesce("_offset", F.lit(0))).otherwise(F.col("position")).alias("position"),
+    )
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:

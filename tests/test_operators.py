@@ -361,13 +361,32 @@ def test_spread_join_equals_plain_join(spark, how):
         assert sorted(map(tuple, joined.select("id", "k", "v").collect())) == plain
 
 
-def test_time_stretch_follows_the_hottest_key(spark):
-    rows = spark.range(500).select(F.lit("a").alias("k"), F.timestamp_seconds(86400 * 301 - 7200 + F.col("id") * 30).alias("t"))
-    names = {most: O.time_stretch(rows, ["k"], "t", most)._jc.toString() for most in (499, 200, 3, 1)}
-    assert ["day" in names[499], "hour" in names[200], "minute" in names[3], "second" in names[1]] == [True] * 4
-    assert O.time_stretch(rows, ["k"], "t", 500) is None
-    two = rows.withColumn("k", F.when(F.second("t") == 0, "a").otherwise("b"))
-    assert O.time_stretch(two, ["k"], "t", 250) is None and O.time_stretch(two, ["k"], "t", 249) is not None
+@pytest.mark.parametrize("parts", [1, 2, 5, 16])
+def test_previous_row_by_scan(spark, parts):
+    """Keys over many ranges, over two, within one, null keys and values, ranges of one row, and ties of the whole order."""
+    draw = random.Random(parts)
+    rows = [("hot", s) for s in draw.sample(range(-500, 5000), 300)] + [("cold", 3), ("cold", 4000), (None, 1), (None, 2), ("one", 7)]
+    rows += [(f"k{i % 9}", i) for i in range(60)]
+    data = [(k, s, f"v{s}" if s % 5 else None, s % 3) for k, s in rows]
+    df = spark.createDataFrame(data, "k string, s long, v string, w int").repartition(3)
+    got = O.previous_by_scan(df, ["k"], ["s"], {"v": "before", "w": "_b"}, parts)
+    assert got.columns == ["k", "s", "v", "w", "before", "_b", "has_previous", "position"]
+    want = {}
+    for key in {k for k, _ in rows}:
+        seen = sorted((s, v, w) for k, s, v, w in data if k == key)
+        for i, (s, v, w) in enumerate(seen):
+            want[key, s] = (v, w, *(seen[i - 1][1:] if i else (None, None)), i > 0, i)
+    assert {(r.k, r.s): tuple(r)[2:] for r in got.collect()} == want
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+    assert O.previous_by_scan(df.limit(0), ["k"], ["s"], {"v": "before"}, parts).collect() == []
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert parts < 5 or max(sizes) < 3.5 * sum(sizes) / parts
+    with pytest.raises(ValueError):
+        spark.conf.set("spark.sql.exchange.reuse", "false")
+        try:
+            O.previous_by_scan(df, ["k"], ["s"], {"v": "before"})
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
 
 
 def test_routing_is_exact_and_spares_pairs(spark):
