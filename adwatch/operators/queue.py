@@ -73,13 +73,12 @@ def queue_page(
     """
     if order not in ("recent", "price_desc"):
         raise ValueError(f"the order {order} needs the scores of all ads")
-    spark = listings.sparkSession
-    cut = page(_named(_ad(listings), platforms), queue_order(order), limit, offset)
-    cards = spark.createDataFrame(cut.collect(), cut.schema)  # at most paging.MOST rows
-    ids = F.broadcast(cards.select("listing_id"))
-    newest = latest_scores(scores.join(ids, "listing_id", "left_semi"), "category", "suspicion_score", "run_id")
-    found = _reviewed(cards.join(newest, "listing_id", "left"), feedback.join(ids, "listing_id", "left_semi"))
-    modes = runs.join(F.broadcast(newest.select("run_id")), "run_id", "left_semi").select("run_id", F.col("mode").alias("run_mode"))
+    cards = F.broadcast(page(_named(_ad(listings), platforms), queue_order(order), limit, offset))  # at most paging.MOST rows
+    ids = cards.select("listing_id")
+    semi = lambda facts: facts.join(F.broadcast(ids), "listing_id", "left_semi")
+    newest = latest_scores(semi(scores), "category", "suspicion_score", "run_id")
+    found = _reviewed(cards.join(F.broadcast(newest), "listing_id", "left"), semi(feedback))
+    modes = runs.select("run_id", F.col("mode").alias("run_mode"))
     return found.join(modes, "run_id", "left").drop("run_id").orderBy(*queue_order(order))
 
 

@@ -317,6 +317,39 @@ def test_pages(spark):
     assert P.numbered_page(df.where("id < 0"), [F.col("id")], 1, 20)[1]["pages"] == 1
 
 
+@pytest.mark.parametrize("order", [[("v", True), ("id", True)], [("v", False), ("id", True)], [("w", True), ("v", False), ("id", False)]])
+def test_page_map(spark, folder, order):
+    """Every page of every size equals the sorted table's; ties and nulls span ranges."""
+    draw = random.Random(2)
+    rows = [(i, draw.choice([None, 1, 1, 1, 2, 5, 9]), draw.choice(["a", "b", None])) for i in range(230)]
+    df = spark.createDataFrame(rows, "id long, v int, w string").repartition(3)
+    whole = [r.id for r in df.orderBy(*[F.col(n).asc() if up else F.col(n).desc() for n, up in order]).collect()]
+    P.PageMap.of(df, order, 20).store(spark, folder)
+    pages = P.PageMap.load(spark, folder)
+    assert pages.total == 230 and len(pages.ranges) >= 8
+    for offset, limit in ((0, 10), (15, 30), (113, 7), (200, 100), (229, 5), (230, 5)):
+        assert [r.id for r in pages.page(df, limit, offset).collect()] == whole[offset:offset + limit]
+    rows, flags = pages.numbered(df, 99, 50)
+    assert [r.id for r in rows.collect()] == whole[200:] and flags["page"] == 5 and not flags["has_next"]
+    with pytest.raises(ValueError):
+        pages.page(df, 501)
+    assert P.PageMap.of(df.limit(0), order).numbered(df.limit(0), 1, 10)[1]["pages"] == 1
+
+
+def test_deep_page_reads_one_range(spark, folder):
+    """Sorted files: the scan skips all row groups but those of the page's range."""
+    spark.range(20_000).withColumn("v", F.col("id") * 3).repartitionByRange(10, "v").sortWithinPartitions("v").write.parquet(f"{folder}/t")
+    df = spark.read.parquet(f"{folder}/t")
+    pages = P.PageMap.of(df, [("v", True), ("id", True)], 2_000)
+    found = pages.page(df, 20, 15_100)
+    assert [r.id for r in found.collect()] == list(range(15_100, 15_120))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(v," in pushed and "LessThan(v," in pushed
+    for n, first, last in pages.ranges:
+        assert df.where(P._from(pages.order, first, True) & P._from(pages.order, last, False)).count() == n < 3_000
+
+
 def test_extractor_decisions(spark):
     versions = spark.createDataFrame([(1, "p", True), (2, "p", False), (3, "p", False), (4, "p", False), (5, "q", False), (6, "q", False)], "version_id long, platform string, initial boolean")
     decisions = [(1, 2, "approve", 10), (2, 2, "reject", 20), (3, 3, "reject", 30), (4, 3, "approve", 40), (5, 4, "approve", 50), (6, 1, "reject", 60), (7, 9, "approve", 70)]

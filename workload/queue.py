@@ -9,6 +9,7 @@ from adwatch.operators import checks, ordering, paging
 from adwatch.operators import queue as Q
 from workload import query
 from workload import views as V
+from workload.streams import work_folder
 
 _LATEST = """latest_score AS (
   SELECT listing_id, arg_max(category, (scored_at, score_id)) AS category,
@@ -216,6 +217,18 @@ def orders_page(spark, sf):
     return rows.select("o_orderkey", "o_totalprice")
 
 
+@query("orders_middle_page", """
+WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, o_totalprice FROM o WHERE rn // 20 = ((n + 19) // 20) // 2 - 1""")
+def orders_middle_page(spark, sf):
+    """The page in the middle, through a map of ranges that is written and read again."""
+    orders, path = V.table(spark, sf, "orders"), f"{work_folder(spark)}/map"
+    paging.PageMap.of(orders, [("o_totalprice", False), ("o_orderkey", True)], 4_096).store(spark, path)
+    pages = paging.PageMap.load(spark, path)
+    rows, _ = pages.numbered(orders, -(-pages.total // 20) // 2, 20)
+    return rows.select("o_orderkey", "o_totalprice")
+
+
 @query("orders_keyset_page", """
 WITH last AS (SELECT o_totalprice, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1 OFFSET 19)
 SELECT o.o_orderkey, o.o_totalprice FROM orders o, last
