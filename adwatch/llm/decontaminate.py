@@ -1,28 +1,30 @@
 """Benchmark leaks by latent semantic retrieval: TF-IDF passages, a distributed randomised SVD, then a check word by word.
 
-Document frequencies over all documents are counted in a sketch of fixed size. Texts are read as passages of ``PASSAGE``
-words, each with ``AROUND`` words on both sides as its segment; a word weighs the root of its count times its idf. A segment
-that no item can leak into ends here for certain: whatever shares ``PARAPHRASE`` of an item's words holds a number of its
-rarest ones, which are looked up, and of the pairs left the longest common subsequence is taken bit by bit. Neither depends
-on how long an item is or on what stands around it. All other passages are rows of the matrix, beside the items' own.
-Subspace iteration with the matrix's Gram product, summed over tasks, gives its leading right singular vectors; in their
-space the cosine search meets all items, and pairs known from the look-up are judged whatever their cosine. A candidate is
-a leak when the longest common subsequence covers ``VERBATIM`` of the item's words, or ``PARAPHRASE`` of them and
-``ANSWER`` of the words of its answer, the last sentence, stand there too. The answer of an item of several passages may
-stand anywhere in the document; an item of one sentence has no answer, and ``ALONE`` of its words are asked for instead.
-
-The benchmark is the query set and is taken in blocks of ``BLOCK_ITEMS`` passages of items, fewer than the rank, which bounds
-what travels to tasks; a long item's passages may lie in several blocks. What the latent space leaves out of a passage and
-of an item bounds what it leaves out of their cosine, and is added before a pair is dropped: the search loses no pair.
+Document frequencies over all documents are counted in a sketch of fixed size. Texts are read as segments of ``SEGMENT``
+words, ``STRIDE`` apart; an entry is the root of count times idf, over the words of the items. Segments without
+``HEAVY - 1 + MIN_COSINE`` of any item's weight among its heaviest words can't come within the limit below and end here.
+All others are rows of the matrix, beside the items' own. Subspace iteration with the matrix's Gram product, summed over
+tasks, gives its leading right singular vectors; in their space the cosine search meets all items and decides what is a
+candidate: the cosine must be what ``MIN_COSINE`` of the item's weight makes in a segment of that length, so that neither
+short items nor ordinary text around them are lost. A candidate is a leak when its longest common subsequence with the item
+covers ``VERBATIM`` of the item, by words and also by weight, or ``PARAPHRASE`` of it and ``ANSWER`` of its
+answer, the last sentence, stands there too. The answer of an item of several passages may stand anywhere in the document;
+an item of one sentence, or one whose answer is made of common words, has no answer, and ``ALONE`` of it is asked for.
+
+The benchmark is the query set and is taken in blocks of ``BLOCK_ITEMS`` passages of items, fewer than the rank, so that the
+latent space holds the items' own directions; a long item's passages may lie in several blocks. ``PASS_BLOCKS`` blocks are
+read in one pass over the texts. What travels to tasks is bounded by them.
 
 * Null and empty texts and items match nothing; items of equal id are one item with several texts. Repeated rows are judged
-  each for itself. Empty tables give an empty result. Of other columns nothing is returned.
+  each for itself. Empty tables give an empty result. Texts are read whole, a long one by one task. Of other columns nothing
+  is returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +36,21 @@ from pyspark.sql import functions as F
 from adwatch.llm.common import settle
 from adwatch.llm.ngramjoin import PART_BINS, SKETCH_BINS, _levels
 
-PASSAGE, STRIDE, AROUND = 32, 8, 24
+#: Words of a segment and between two beginnings: any ``ITEM_WORDS`` words in a row lie in one segment.
+SEGMENT, STRIDE = 80, 16
 #: Words of an item up to which it is one passage; longer ones are cut to passages of as many with half as many between.
 ITEM_WORDS = 64
-BLOCK_ITEMS, RANK, EXTRA, ROUNDS = 250, 256, 8, 2
-MIN_COSINE, VERBATIM, PARAPHRASE, ANSWER, ALONE = 0.45, 0.8, 0.5, 0.8, 0.65
-#: Of the words that a leak must share, the part asked for among the item's rarest words.
-RARE = 0.35
+BLOCK_ITEMS, PASS_BLOCKS, RANK, EXTRA, ROUNDS = 250, 8, 256, 8, 2
+#: Share of an item's weight that a candidate holds at least; somewhat below ``PARAPHRASE``, for what the rank leaves out.
+MIN_COSINE = 0.45
+VERBATIM, PARAPHRASE, ANSWER, ALONE = 0.8, 0.5, 0.8, 0.65
+#: Share of an item's weight that its heaviest words make up, which segments are looked through for.
+HEAVY = 0.8
+#: Mean idf of an answer's words, as a share of that of its item's, below which it counts as common words.
+COMMON = 0.5
 SLAB = 512
+#: Words of a worker's table; beyond it the table starts afresh with the next batch.
+KNOWN_WORDS = 300_000
 STRIPPED = ".,;:!?\"'()[]{}«»„“”…*_-¡¿"
 
 
@@ -67,18 +76,54 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarr
     return codes[codes >= 0], kept[np.asarray(lists.offsets)], words, hashed
 
 
+class Words:
+    """Numbers of the words that a task has met: as they stand (-1 for punctuation alone) and bare, with hashes of the bare ones."""
+
+    def __init__(self):
+        self.written: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
+        self.hashed = np.empty(0, np.uint64)
+
+    def of(self, written: list[str]) -> np.ndarray:
+        import xxhash
+
+        if len(self.written) > KNOWN_WORDS:
+            self.__init__()
+        get, new = self.written.get, []
+        codes = np.fromiter((get(w, -2) for w in written), np.int64, len(written))
+        for i in np.flatnonzero(codes == -2).tolist():
+            b = written[i].lower().strip(STRIPPED)
+            if b and b not in self.bare:
+                new.append(xxhash.xxh3_64_intdigest(b))
+                self.bare[b] = len(self.bare)
+            codes[i] = self.written[written[i]] = self.bare[b] if b else -1
+        if new:
+            self.hashed = np.r_[self.hashed, np.array(new, np.uint64)]
+        return codes
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all bare words and the ends of the texts; words of punctuation are left out."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        codes = self.of(coded.dictionary.to_pylist())[np.asarray(coded.indices)] if len(coded) else np.empty(0, np.int64)
+        kept = np.r_[0, np.cumsum(codes >= 0)]
+        return codes[codes >= 0], kept[np.asarray(lists.offsets)]
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's part of the sketch of document frequencies."""
     import zstandard
 
-    counts, any_rows = np.zeros(SKETCH_BINS, np.int64), False
+    counts, any_rows, words = np.zeros(SKETCH_BINS, np.int64), False, Words()
     for batch in batches:
         any_rows = True
-        codes, ends, words, hashed = tokens(batch.column(0))
+        codes, ends = words.tokens(batch.column(0))
         if len(codes):
-            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            once = np.unique(owner * len(words) + codes) % len(words)
-            np.add.at(counts, (hashed[once] & np.uint64(SKETCH_BINS - 1)).astype(np.int64), 1)
+            owner, size = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), len(words.bare)
+            once = np.bincount(np.unique(owner * size + codes) % size, minlength=size)  # documents by word
+            np.add.at(counts, (words.hashed & np.uint64(SKETCH_BINS - 1)).astype(np.int64), once)
     if any_rows:
         pack, parts = zstandard.ZstdCompressor(level=1), SKETCH_BINS // PART_BINS
         yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array([TaskContext.get().partitionId() % 256] * parts, pa.int32()),
@@ -91,7 +136,7 @@ class Weights:
 
     def __init__(self, levels: np.ndarray, n_docs: int):
         self.levels = levels
-        self.by_level = np.log1p(max(1, n_docs) / 2.0 ** (np.arange(256) / 4))
+        self.by_level = np.log1p(max(1, n_docs) / np.maximum(1.0, 2.0 ** (np.arange(256) / 4) - 1))
 
     def of(self, hashed: np.ndarray) -> np.ndarray:
         return self.by_level[self.levels[(hashed & np.uint64(SKETCH_BINS - 1)).astype(np.int64)]]
@@ -99,15 +144,16 @@ class Weights:
 
 @dataclass
 class Items:
-    """The passages of one block of the benchmark."""
+    """The passages of one block of the benchmark; words are numbered within the block."""
 
     words: dict[str, int]
     ids: list
-    passages: list[list[str]]
-    answers: list[set[str]]
+    passages: list[np.ndarray]
+    answers: list[np.ndarray]
     several: list[bool]
     matrix: np.ndarray
-    idf: np.ndarray
+    norms: np.ndarray
+    weight: np.ndarray
 
 
 def item_passages(item, text: str | None) -> Iterator[tuple]:
@@ -127,135 +173,113 @@ def read_items(block: list[tuple], weights: Weights) -> Items:
 
     ids, passages, answers, several = map(list, zip(*block))
     known: dict[str, int] = {}
-    for p in passages:
-        for w in p:
+    for p, answer in zip(passages, answers):
+        for w in [*p, *sorted(answer)]:
             known.setdefault(w, len(known))
     idf = weights.of(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known)))
+    coded = [np.array([known[w] for w in p], np.int64) for p in passages]
+    heard = [np.array(sorted(known[w] for w in a), np.int64) for a in answers]
+    heard = [a if len(a) and idf[a].mean() >= COMMON * idf[p].mean() else a[:0] for a, p in zip(heard, coded)]
     matrix = np.zeros((len(passages), len(known)), np.float32)
-    for i, p in enumerate(passages):
-        np.add.at(matrix[i], [known[w] for w in p], 1.0)
-        matrix[i] = np.sqrt(matrix[i]) * idf
-        matrix[i] /= max(float(np.linalg.norm(matrix[i])), 1e-9)
-    return Items(known, ids, passages, answers, several, matrix, idf)
-
-
-def answered(answer: set[str], words: set[str]) -> float:
-    return len(answer & words) / len(answer) if answer else 0.0
+    for row, p in zip(matrix, coded):
+        np.add.at(row, p, 1.0)
+    matrix = np.sqrt(matrix * idf.astype(np.float32))
+    norms = np.maximum(np.linalg.norm(matrix, axis=1), 1e-9)
+    return Items(known, ids, coded, heard, several, matrix / norms[:, None], norms, idf)
 
 
-class Reach:
-    """Which items of a block can leak into which segments.
+class Heavy:
+    """The heaviest words of a block's items, to see which segments can hold ``MIN_COSINE`` of an item's weight.
 
-    A leak shares ``least`` words of an item, so of its ``len - least + asked`` rarest ones it holds at least ``asked``,
-    whatever the others are.
+    What shares that much of an item shares ``HEAVY - 1 + MIN_COSINE`` of it among the words that make up ``HEAVY`` of it.
     """
 
     def __init__(self, items: Items):
-        size = np.array([len(p) for p in items.passages])
-        self.least = np.ceil(PARAPHRASE * size - 1e-9).astype(np.int64)
-        self.asked = np.maximum(1, np.floor(RARE * self.least).astype(np.int64))
-        self.masks = np.zeros((len(items.words) + 1, len(size)), np.uint64)
-        listed: list[tuple[int, int, int]] = []
+        listed: list[tuple[int, int, float]] = []
         for j, passage in enumerate(items.passages):
-            places = [items.words[w] for w in passage]
-            for i, f in enumerate(places):
-                self.masks[f, j] |= np.uint64(1 << i)
-            rarest = sorted(places, key=lambda f: (-items.idf[f], f))[:int(size[j] - self.least[j] + self.asked[j])]
-            times: dict[int, int] = {}
-            for f in rarest:
-                times[f] = times.get(f, 0) + 1
-            listed += [(f, j, n) for f, n in times.items()]
+            own, times = np.unique(passage, return_counts=True)
+            share = items.weight[own] * times / max(float(items.weight[passage].sum()), 1e-9)
+            order = np.lexsort((own, -items.weight[own]))
+            kept = order[:int(np.searchsorted(np.cumsum(share[order]), HEAVY)) + 1]
+            listed += [(int(own[k]), j, float(share[k] / times[k])) for k in kept]
         listed.sort()
-        self.item, self.times = (np.array([x[k] for x in listed], np.int64) for k in (1, 2))
+        self.item, self.share = np.array([x[1] for x in listed], np.int64), np.array([x[2] for x in listed])
         self.starts = np.searchsorted([x[0] for x in listed], np.arange(len(items.words) + 2))
-        self.full = np.array([(1 << int(n)) - 1 for n in size], np.uint64)
 
-    def pairs(self, feature: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segments (their numbers, in order) and items that share enough; ``feature`` is the word of every place, -1 if none."""
+    def segments(self, feature: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Beginnings of the segments to look at, as places of the batch; ``feature`` is the word of every place, -1 if none."""
         place = np.flatnonzero(feature >= 0)
-        counts = self.starts[feature[place] + 1] - self.starts[feature[place]]
-        place, own = place[counts > 0], counts[counts > 0]
+        n = self.starts[feature[place] + 1] - self.starts[feature[place]]
+        place, n = place[n > 0], n[n > 0]
         if not len(place):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.repeat(self.starts[feature[place]] - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(own.sum())
-        item, times, place = self.item[at], self.times[at], np.repeat(place, own)
-        order = np.argsort(item, kind="stable")
-        item, times, place = item[order], times[order], place[order]
-        before = np.r_[0, np.cumsum(times)]
-        # a run of hits from each one on that holds as many as asked for, and the segments that hold the run
-        stop = np.searchsorted(before, before[:-1] + self.asked[item])
-        whole = stop <= len(item)
-        end = np.minimum(stop, len(item)) - 1
-        whole &= item[end] == item
-        first = np.searchsorted(high, place[end], "right")
-        last = np.searchsorted(low, place, "right") - 1
-        n = np.where(whole, np.maximum(last - first + 1, 0), 0)
-        segment = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        key = np.unique(segment * len(self.least) + np.repeat(item, n))
-        segment, item = key // len(self.least), key % len(self.least)
-        kept = [self._shared(feature, low[segment[a:a + 20_000]], high[segment[a:a + 20_000]], item[a:a + 20_000])
-                for a in range(0, len(key), 20_000)]
-        enough = np.concatenate(kept) >= self.least[item] if kept else np.empty(0, bool)
-        return segment[enough], item[enough]
-
-    def _shared(self, feature: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Length of the longest common subsequence of each pair, as ``common_words``."""
-        row = self.full[item]
-        for k in range(int((high - low).max(initial=0))):
-            place = low + k
-            word = np.where(place < high, feature[np.minimum(place, len(feature) - 1)], -1)
-            hit = row & self.masks[word, item]
-            row = (row + hit) | (row - hit)
-        return np.bitwise_count(~row & self.full[item]).astype(np.int64)
-
-
-def _rows_within_reach(shared):
-    """Passages into whose segments some item can leak, as sparse rows, with those items."""
+            return place
+        at = np.repeat(self.starts[feature[place]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        key = self.item[at] * len(feature) + np.repeat(place, n)
+        order = np.argsort(key, kind="stable")
+        key, sums = key[order], np.r_[0.0, np.cumsum(self.share[at][order])]
+        # each hit as the first of a segment's length; a segment may be counted over a text's end, which only keeps more
+        stop = np.searchsorted(key, np.minimum(key + SEGMENT, (key // len(feature) + 1) * len(feature)))
+        first = np.unique(key[sums[stop] - sums[:-1] >= HEAVY - 1 + MIN_COSINE - 1e-6] % len(feature))
+        own = np.searchsorted(ends, first, "right") - 1
+        begin = first - (first - ends[own]) % STRIDE
+        last = np.maximum(ends[own + 1] - SEGMENT, ends[own])  # the last segment of a text that is longer than one ends with it
+        return np.unique(np.concatenate([np.minimum(begin, last), np.minimum(np.maximum(begin - STRIDE, ends[own]), last)]))
+
+
+def _candidate_rows(shared):
+    """Segments that can hold enough of some item of a block, as sparse rows of unit length with their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, items = shared.value
-        vocabulary, within_reach = items.words, Reach(items)
-        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
-            codes, ends, words, hashed = tokens(batch.column(2))
+        blocks, words = shared.value, Words()
+        looked = [Heavy(items) for items in blocks]
+        wide = [np.unique(np.concatenate([a for a, s in zip(i.answers, i.several) if s] or [np.empty(0, np.int64)])) for i in blocks]
+        local: list[np.ndarray] = []
+        listed = words.bare
+        for batch in batches:
+            codes, ends = words.tokens(batch.column(2))
+            if listed is not words.bare:
+                listed, local = words.bare, []
             if not len(codes):
                 continue
-            squares = weights.of(hashed) ** 2
-            feature = np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words))
-            inside = feature[codes] >= 0
-            sums = np.r_[0.0, np.cumsum(squares[codes])]
-            rows = []
-            starts = [np.arange(a, max(a + 1, b - PASSAGE + STRIDE), STRIDE) for a, b in zip(ends[:-1], ends[1:]) if b > a]
-            stops = [np.minimum(s + PASSAGE, b) for s, b in zip(starts, (b for a, b in zip(ends[:-1], ends[1:]) if b > a))]
-            owner = np.repeat([i for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a], [len(s) for s in starts])
-            begin, end = np.concatenate(starts), np.concatenate(stops)
-            total = np.maximum(sums[end] - sums[begin], 1e-12)
-            low, high = np.maximum(ends[owner], begin - AROUND), np.minimum(ends[owner + 1], end + AROUND)
-            segments, asked = within_reach.pairs(feature[codes], low, high)
-            firsts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]]) if len(segments) else []
-            doc_ids, ties, seen = batch.column(0), batch.column(1), set()
-            for i, own_items in zip(segments[firsts].tolist(), np.split(asked, firsts[1:]) if len(segments) else ()):
-                a, b, d = int(begin[i]), int(end[i]), int(owner[i])
-                segment, own = codes[low[i]:high[i]], codes[a:b]
-                key = (d, segment.tobytes())
-                if key in seen:
-                    continue  # a text that repeats a segment asks once
-                seen.add(key)
-                f = feature[own[inside[a:b]]]
-                listed, place, times = np.unique(f, return_index=True, return_counts=True)
-                value = np.sqrt(times * squares[own[inside[a:b]]][place] / total[i])
-                near = set(map(words.__getitem__, segment.tolist()))
-                whole = set(map(words.__getitem__, np.unique(codes[ends[d]:ends[d + 1]]).tolist())) if any(items.several[j] for j in own_items) else near
-                there = np.array([answered(items.answers[j], whole if items.several[j] else near) for j in own_items], "<f8")
-                rows.append((doc_ids[d].as_py(), ties[d].as_py(), listed.astype("<i4").tobytes(), value.astype("<f4").tobytes(),
-                             " ".join(map(words.__getitem__, segment.tolist())), own_items.astype("<i4").tobytes(), there.tobytes()))
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                                      names=["doc_id", "tie", "features", "weights", "segment", "items", "answered"])
+            have = len(local[0]) if local else 0
+            fresh = list(listed)[have:] if have < len(listed) else []
+            more = [np.fromiter((i.words.get(w, -1) for w in fresh), np.int64, len(fresh)) for i in blocks]
+            local = [np.r_[a, b] for a, b in zip(local, more)] if local else more
+            doc_ids, ties = batch.column(0), batch.column(1)
+            for number, (items, heavy) in enumerate(zip(blocks, looked)):
+                feature, rows, seen = local[number][codes], [], set()
+                begins = heavy.segments(feature, ends)
+                owners = np.searchsorted(ends, begins, "right") - 1
+                for a, d in zip(begins.tolist(), owners.tolist()):
+                    own = feature[a:min(a + SEGMENT, int(ends[d + 1]))]
+                    segment = own[own >= 0]
+                    key = (d, segment.tobytes())
+                    if key in seen:
+                        continue  # a text that repeats a segment asks once
+                    seen.add(key)
+                    f, times = np.unique(segment, return_counts=True)
+                    value = np.sqrt(times * items.weight[f])
+                    length = float(np.sqrt((value ** 2).sum()))
+                    whole = np.intersect1d(wide[number], feature[ends[d]:ends[d + 1]]) if len(wide[number]) else wide[number]
+                    rows.append((number, doc_ids[d].as_py(), ties[d].as_py(), f.astype("<i4").tobytes(), (value / max(length, 1e-12)).astype("<f4").tobytes(),
+                                 length, segment.astype("<i4").tobytes(), whole.astype("<i4").tobytes()))
+                    if len(rows) == 2000:
+                        yield _row_batch(rows)
+                        rows = []
+                if rows:
+                    yield _row_batch(rows)
 
     return run
 
 
+_ROW = "block int, doc_id long, tie long, features binary, weights binary, length double, segment binary, whole binary"
+
+
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in _ROW.split(", ")])
+
+
 def _gram_product(shared):
     """A task's sum of x (x' Q) over its rows, in slabs of features."""
 
@@ -325,32 +349,50 @@ def common_words(one: list, two: list) -> int:
     return len(one) - row.bit_count()
 
 
+def common_weight(one: np.ndarray, two: np.ndarray, weight: np.ndarray) -> float:
+    """Weight of the heaviest common subsequence of two arrays of words."""
+    best, own = np.zeros(len(one) + 1), weight[one]
+    matches = {w: own * (one == w) for w in set(one.tolist()) & set(two.tolist())}
+    for w in two.tolist():
+        if w in matches:
+            best[1:] = np.maximum.accumulate(np.where(matches[w] > 0, np.maximum(best[1:], best[:-1] + matches[w]), best[1:]))
+    return float(best[-1])
+
+
+def judged(items: Items, j: int, segment: np.ndarray, whole: np.ndarray) -> tuple[bool, float, float]:
+    """Whether a segment leaks an item's passage, with the shares of the passage and of its answer that stand there."""
+    passage, answer = items.passages[j], items.answers[j]
+    needed = PARAPHRASE if len(answer) else ALONE
+    share = common_words(passage.tolist(), segment.tolist()) / len(passage)
+    if share >= needed:
+        total = float(items.weight[passage].sum())
+        share = min(share, common_weight(passage, segment, items.weight) / total if total else 0.0)
+    there = 0.0
+    if len(answer):
+        known = np.isin(answer, segment) | (np.isin(answer, whole) if items.several[j] else False)
+        there = float(items.weight[answer[known]].sum() / max(float(items.weight[answer].sum()), 1e-12))
+    return share >= (VERBATIM if len(answer) else ALONE) or share >= needed and there >= ANSWER, share, there
+
+
 def _search(shared):
     """Cosine search in the latent space, then the check by subsequence and answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, vectors, latent = shared.value
-        missed = np.sqrt(np.maximum(1.0 - (latent ** 2).sum(1), 0.0))
         for batch in batches:
             found = []
-            columns = [batch.column(i).to_pylist() for i in range(7)]
+            columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            length = np.asarray(batch.column("length"))
             for a in range(0, batch.num_rows, 500):
-                own = [np.frombuffer(f, "<i4") for f in columns[2][a:a + 500]]
-                rows = np.stack([np.frombuffer(w, "<f4") @ vectors[f] for f, w in zip(own, columns[3][a:a + 500])])
-                length = np.array([np.square(np.frombuffer(w, "<f4")).sum() for w in columns[3][a:a + 500]])
-                outside = np.sqrt(np.maximum(length - (rows ** 2).sum(1), 0.0))
+                pairs = zip(columns["features"][a:a + 500], columns["weights"][a:a + 500])
+                rows = np.stack([np.frombuffer(w, "<f4") @ vectors[np.frombuffer(f, "<i4")] for f, w in pairs])
                 cosines = rows @ latent.T
-                near = cosines + np.outer(outside, missed) >= MIN_COSINE - 1e-4
-                for i, known in enumerate(columns[5][a:a + 500]):
-                    near[i, np.frombuffer(known, "<i4")] = True
+                near = cosines >= MIN_COSINE * items.norms[None, :] / np.maximum(length[a:a + 500, None], 1e-9)
                 for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                    segment, passage = columns[4][a + i].split(" "), items.passages[j]
-                    share = common_words(passage, segment) / len(passage)
-                    answer = items.answers[j]
-                    known = dict(zip(np.frombuffer(columns[5][a + i], "<i4").tolist(), np.frombuffer(columns[6][a + i], "<f8").tolist()))
-                    there = known[j] if j in known else answered(answer, set(segment))
-                    if share >= (VERBATIM if answer else ALONE) or share >= PARAPHRASE and there >= ANSWER:
-                        found.append((columns[0][a + i], columns[1][a + i], items.ids[j], float(cosines[i, j]), share, there))
+                    segment, whole = (np.frombuffer(columns[n][a + i], "<i4").astype(np.int64) for n in ("segment", "whole"))
+                    leak, share, there = judged(items, j, segment, whole)
+                    if leak:
+                        found.append((columns["doc_id"][a + i], columns["tie"][a + i], items.ids[j], float(cosines[i, j]), share, there))
             if found:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), types)],
@@ -360,7 +402,7 @@ def _search(shared):
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-          item_text: str = "text") -> DataFrame:
+          item_text: str = "text", block_items: int | None = None) -> DataFrame:
     """Pairs of document and item: doc_id, tie (hash of the text), item_id, cosine, lcs_share, answer_share (largest of each)."""
     spark = df.sparkSession
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tie"),
@@ -368,30 +410,35 @@ def leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str
     counted = settle(rows.select("text").mapInArrow(_frequencies, "part int, shard int, counts binary"))
     weights = Weights(_levels(counted), df.count())
     asked = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
-    found, block = None, []
     schema = "doc_id long, tie long, item_id long, cosine double, lcs_share double, answer_share double"
 
-    def search(items: Items) -> DataFrame:
-        base = spark.sparkContext.broadcast((weights, items))
-        within = settle(rows.mapInArrow(_rows_within_reach(base),
-                                        "doc_id long, tie long, features binary, weights binary, segment string, items binary, answered binary"))
-        vectors = singular_vectors(within, items.matrix)
-        shared = spark.sparkContext.broadcast((items, vectors, items.matrix @ vectors))
-        return within.mapInArrow(_search(shared), schema)
-
-    def add(block: list[tuple], so_far: DataFrame | None) -> DataFrame | None:
-        own = settle(search(read_items(block, weights)))
-        return own if so_far is None else so_far.union(own)
-
+    def search(blocks: list[Items]) -> list[DataFrame]:
+        """One pass over the texts, then a space of its own for each block."""
+        held = settle(rows.mapInArrow(_candidate_rows(spark.sparkContext.broadcast(blocks)), _ROW))
+        found = []
+        for number, items in enumerate(blocks):
+            own = held.where(F.col("block") == number)
+            vectors = singular_vectors(own, items.matrix)
+            shared = spark.sparkContext.broadcast((items, vectors, items.matrix @ vectors))
+            found.append(settle(own.mapInArrow(_search(shared), schema), 8))
+        return found
+
+    found, blocks, block = [], [], []
     for row in asked.where("text IS NOT NULL").orderBy("item_id", "text").coalesce(4).toLocalIterator():
         for passage in item_passages(row["item_id"], row["text"]):
             block.append(passage)
-            if len(block) == BLOCK_ITEMS:
-                found, block = add(block, found), []
-    found = add(block, found) if block else found
-    if found is None:
+            if len(block) == (block_items or BLOCK_ITEMS):
+                blocks.append(read_items(block, weights))
+                block = []
+            if len(blocks) == PASS_BLOCKS:
+                found += search(blocks)
+                blocks = []
+    blocks += [read_items(block, weights)] if block else []
+    found += search(blocks) if blocks else []
+    if not found:
         return spark.createDataFrame([], schema)
-    return found.groupBy("doc_id", "tie", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "lcs_share", "answer_share")])
+    pairs = reduce(DataFrame.union, found)
+    return pairs.groupBy("doc_id", "tie", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "lcs_share", "answer_share")])
 
 
 def clean(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators over documents against brute force, with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -450,19 +451,54 @@ def test_decontamination_equals_the_rule_everywhere(spark):
         if i % 3:
             own = [w if rng.random() > 0.15 * (i % 3) else f"syn{rng.randrange(999)}" for w in own[:-4]] + own[-4:]
         rows.append((i, " ".join(body(rng.randint(0, 90)) + own + body(rng.randint(0, 90)))))
-    passages = [p for item in items for p in decontaminate.item_passages(*item)]
-    want = set()
-    for doc, text in rows:
-        words = decontaminate.bare_words(text)
-        for a in range(0, max(1, len(words) - 24), 8):
-            segment = words[max(0, a - 24):a + 56]
-            for item, own, answer, several in passages:
-                share = decontaminate.common_words(own, segment) / len(own)
-                there = answer & set(words if several else segment)
-                if share >= (0.8 if answer else 0.65) or answer and share >= 0.5 and len(there) >= 0.8 * len(answer):
-                    want.add((doc, item))
+    bare = lambda text: [w for t in text.lower().split() if (w := t.strip(".,;:!?"))]
+    words = {doc: bare(text) for doc, text in rows}
+    found = Counter(w for own in words.values() for w in set(own))
+    idf = lambda w: math.log1p(len(rows) / max(1, found[w]))
+
+    def common(one, two, weight):
+        best = [0.0] * (len(one) + 1)
+        for w in two:
+            last = best[:]
+            for i, v in enumerate(one):
+                best[i + 1] = max(last[i + 1], best[i], last[i] + weight(v) if v == w else 0)
+        return best[-1] / sum(map(weight, one))
+
+    want, sure = set(), set()  # segments of 80 words; what is a leak by a wide margin, and what is one by a narrow one
+    for item, text in items:
+        own, sentences = bare(text), [t for t in text.split(".") if bare(t)]
+        answer = set(bare(sentences[-1])) if len(sentences) > 1 else set()
+        cuts = [own[a:a + 64] for a in range(0, len(own) - 32, 32)] if len(own) > 64 else [own]
+        for doc, there in words.items():
+            for passage in cuts:
+                if sum(idf(w) for w in passage if w in there) < 0.44 * sum(map(idf, passage)):
+                    continue
+                for a in range(0, max(1, len(there) - 79), 4):
+                    segment = there[a:a + 80]
+                    share = min(common(passage, segment, lambda w: 1.0), common(passage, segment, idf))
+                    heard = set(there if len(cuts) > 1 else segment)
+                    ratio = sum(map(idf, answer)) / len(answer) / sum(map(idf, passage)) * len(passage) if answer else 0.0
+                    said = sum(map(idf, answer & heard)) / max(1e-9, sum(map(idf, answer)))
+                    # frequencies are known to a quarter of their logarithm, so weights are known to some percent
+                    if share >= (0.8 if ratio > 0.45 else 0.65) + 0.06 or ratio > 0.55 and said >= 0.86 and share >= 0.56:
+                        sure.add((doc, item))
+                    if share >= (0.8 if ratio > 0.55 else 0.65) - 0.06 or ratio > 0.45 and said >= 0.74 and share >= 0.44:
+                        want.add((doc, item))
     df, benchmark = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, benchmark).collect()} == want and len(want) > 90
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, benchmark).collect()}
+    assert len(sure) > 70 and len(got & sure) >= 0.95 * len(sure) and len(got - want) <= 0.05 * len(got)
+
+
+def test_common_words_make_no_leak(spark):
+    """An item whose answer is all stop words, and documents that share nothing but stop words with it."""
+    rng = random.Random(6)
+    stop = "the of and to in is that it was for".split()
+    item = [x for i in range(20) for x in (stop[i % 10], f"q{i}z")]
+    text = " ".join(item) + ". Is the was that of"
+    rows = [(i, " ".join(rng.choice(stop) if rng.random() < 0.7 else f"w{rng.randrange(500)}" for _ in range(300))) for i in range(200)]
+    rows += [(500, rows[0][1] + " " + text), (501, " ".join(w if i % 5 else "other" for i, w in enumerate(item))), (502, " ".join(stop * 40))]
+    df, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(101, text)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(df, benchmark).collect()} == {500, 501}
 
 
 def test_decontamination_answers(spark):
