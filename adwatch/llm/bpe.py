@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adwatch.llm.common import with_outputs
+from adwatch.llm.common import kept, tidy, with_outputs
 
 #: Bytes of text whose distinct words one block lists; bounds what a task holds.
 BLOCK_BYTES = 8 << 20
@@ -36,7 +35,7 @@ def vocabulary_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-@lru_cache(maxsize=2)
+@kept
 def tokenizer(path: str):
     """One tokenizer per Python worker, without truncation and padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,7 +47,7 @@ def tokenizer(path: str):
     return loaded
 
 
-@lru_cache(maxsize=2)
+@kept
 def pieces(path: str) -> pa.Array:
     """The id-to-piece table, by position; ids that have no piece are null."""
     vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
@@ -199,9 +198,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
     key = [T.StructField("block", T.LongType()), T.StructField("check", T.LongType())]
     listed = T.StructType([*key, T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
     coded = T.StructType([*key, *inner, T.StructField("codes", T.BinaryType())])
-    words = rows.mapInArrow(_blocks(own, "text", parts, to_arrow_schema(listed), True), listed)
+    words = rows.mapInArrow(tidy(_blocks(own, "text", parts, to_arrow_schema(listed), True)), listed)
     encoded = words.groupBy("bucket").applyInArrow(_encoder(path), "block long, check long, bucket int, sizes binary, ids binary")
-    documents = rows.mapInArrow(_blocks(own, "text", parts, to_arrow_schema(coded), False), coded)
+    documents = rows.mapInArrow(tidy(_blocks(own, "text", parts, to_arrow_schema(coded), False)), coded)
     result = T.StructType([*inner, T.StructField("token_ids", T.BinaryType())])
     joined = documents.groupBy("block", "check").cogroup(encoded.groupBy("block", "check")).applyInArrow(
         _assembler([g.name for g in inner], to_arrow_schema(result)), result)
@@ -229,7 +228,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
                 found.append(pc.binary_join(row, " ")[0].as_py() or "")
             yield pa.record_batch([*[batch.column(i) for i in range(len(kept))], pa.array(found, pa.string())], names=[*kept, text])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(tidy(run), schema)
 
 
 def unpack_ids(ids: str = "token_ids"):

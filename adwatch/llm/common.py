@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +71,46 @@ def batch_bytes(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None
 def utf8(column: str = "text"):
     """The text column as bytes, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+#: Bytes a Python worker may go on holding after a task; beyond it the tables it keeps for later tasks are dropped.
+WORKER_BYTES = 256 << 20
+_KEPT: list[Callable[[], None]] = []
+
+
+def kept(function):
+    """A function whose last two results a worker keeps for its next tasks, unless memory is short."""
+    cached = lru_cache(maxsize=2)(function)
+    _KEPT.append(cached.cache_clear)
+    return cached
+
+
+def tidy(run):
+    """The task function ``run``, after which the worker hands the memory it no longer needs back to the system."""
+
+    @wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return own
+
+
+def hand_back() -> None:
+    """Return unused memory; a worker that still holds more than ``WORKER_BYTES`` also drops what it has kept."""
+    def trim() -> int:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+            with open("/proc/self/statm") as sizes:
+                return int(sizes.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+        except (AttributeError, OSError):  # not Linux
+            return 0
+
+    if trim() > WORKER_BYTES:
+        for drop in _KEPT:
+            drop()
+        trim()

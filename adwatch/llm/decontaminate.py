@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adwatch.llm.common import settle
+from adwatch.llm.common import settle, tidy
 from adwatch.llm.ngramjoin import PART_BINS, SKETCH_BINS, _levels
 
 #: Words of a segment and between two beginnings: any ``ITEM_WORDS`` words in a row lie in one segment.
@@ -324,7 +324,7 @@ def singular_vectors(rows: DataFrame, items: np.ndarray, seed: int = 11) -> np.n
     product, weight = q, 1.0 + rows.count()
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(q.astype(np.float32))
-        parts = rows.select("features", "weights").mapInArrow(_gram_product(shared), "slab int, shard int, data binary")
+        parts = rows.select("features", "weights").mapInArrow(tidy(_gram_product(shared)), "slab int, shard int, data binary")
         once = parts.groupBy("slab", "shard").applyInArrow(_added(("slab", "shard")), "slab int, shard int, data binary")
         summed = once.groupBy("slab").applyInArrow(_added(("slab",)), "slab int, data binary")
         product = weight * (items.T.astype(np.float64) @ (items @ q))
@@ -407,20 +407,20 @@ def leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str
     spark = df.sparkSession
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tie"),
                      F.col(f"`{text}`").cast("string").alias("text"))
-    counted = settle(rows.select("text").mapInArrow(_frequencies, "part int, shard int, counts binary"))
+    counted = settle(rows.select("text").mapInArrow(tidy(_frequencies), "part int, shard int, counts binary"))
     weights = Weights(_levels(counted), df.count())
     asked = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
     schema = "doc_id long, tie long, item_id long, cosine double, lcs_share double, answer_share double"
 
     def search(blocks: list[Items]) -> list[DataFrame]:
         """One pass over the texts, then a space of its own for each block."""
-        held = settle(rows.mapInArrow(_candidate_rows(spark.sparkContext.broadcast(blocks)), _ROW))
+        held = settle(rows.mapInArrow(tidy(_candidate_rows(spark.sparkContext.broadcast(blocks))), _ROW))
         found = []
         for number, items in enumerate(blocks):
             own = held.where(F.col("block") == number)
             vectors = singular_vectors(own, items.matrix)
             shared = spark.sparkContext.broadcast((items, vectors, items.matrix @ vectors))
-            found.append(settle(own.mapInArrow(_search(shared), schema), 8))
+            found.append(settle(own.mapInArrow(tidy(_search(shared)), schema), 8))
         return found
 
     found, blocks, block = [], [], []

@@ -24,19 +24,19 @@ MIN_SITES = 10
 #: Base-2 logarithm of the sketch's buckets, and the share around the threshold in which sketches are not trusted:
 #: over ten standard errors (1.04 / sqrt(4096)) of an estimate.
 SKETCH_BITS, MARGIN = 12, 0.25
-#: Share of a text's characters up to which boilerplate is taken out of it.
-MAX_SHARE = 0.5
+#: Places of one line, and share of all places, from which a line is hot: its places are dealt over several tasks.
+HOT_PLACES, HOT_SHARE = 100_000, 1 / 50_000
 BLANK = " \t\x0b\f\r"
 
 
 def places(df: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
-    """One row per line with a word: doc_id, key (hash of the text), site, place, size, line (hash)."""
+    """One row per line with a word: doc_id, key (hash of the text), site, place, line (hash)."""
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), _hash(F.col(f"`{text}`")).alias("key"),
                      F.coalesce(F.col(f"`{site}`").cast("string"), F.lit("\x00")).alias("site"),
                      F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("place", "line"))
     bare = F.btrim("line", F.lit(BLANK))
     return rows.where(F.length(bare) > 0).select(
-        "doc_id", "key", "site", "place", F.length(bare).cast("long").alias("size"), _hash(bare).alias("line"))
+        "doc_id", "key", "site", "place", _hash(bare).alias("line"))
 
 
 def _hash(text):
@@ -60,29 +60,38 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return found.where(F.col("n_sites") >= min_sites)
 
 
+def _met(lines: DataFrame, boilerplate: DataFrame) -> DataFrame:
+    """The places of boilerplate lines. Hot lines, fewer than ``1 / HOT_SHARE``, are cut into parts."""
+    limit = F.greatest(F.lit(HOT_PLACES), boilerplate.agg(F.sum("n_places") * HOT_SHARE).scalar())
+    parts = F.ceil(F.col("n_places") / limit).cast("int")
+    hot = F.broadcast(boilerplate.where(F.col("n_places") > limit).select("line", parts.alias("_parts")))
+    dealt = lines.join(hot, "line", "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "key", "place"), F.col("_parts"))).otherwise(0).cast("int"))
+    every = boilerplate.select("line", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return dealt.drop("_parts").join(every, ["line", "_part"]).drop("_part")
+
+
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES,
           removed: str = "n_removed_lines") -> DataFrame:
     """The table with boilerplate lines taken out of ``text`` and ``removed``, the number of lines each row has lost.
 
-    A text that is boilerplate for the larger part (``MAX_SHARE`` of the characters in its lines) is a copy of another
-    text rather than one with boilerplate in it: it stays whole, for near-duplicate removal to judge.
+    A text with no line of its own is a copy of others rather than one with boilerplate in it: it stays whole, for
+    near-duplicate removal to judge.
     """
     rows = with_outputs(df, removed)
     kept = rows.columns
     lines = places(rows, doc_id, text, site)
-    boilerplate = settle(spread(lines, min_sites)).select("line", "first")
+    boilerplate = settle(spread(lines, min_sites)).select("line", "first", "n_places")
     stays = F.col("first").eqNullSafe(F.struct("doc_id", "key", "place"))
-    hits = (lines.drop("site").join(boilerplate, "line").groupBy("doc_id", "key")
-            .agg(F.collect_set(F.struct("place", "size", stays.alias("stays"))).alias("hits")))
+    hits = (_met(lines.drop("site"), boilerplate).groupBy("doc_id", "key")
+            .agg(F.collect_set(F.struct("place", stays.alias("stays"))).alias("hits")))
     lost = hits.select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"),
-        F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["size"]).alias("_size"),
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.size("hits").alias("_hits"),
         F.transform(F.filter("hits", lambda h: ~h["stays"]), lambda h: h["place"]).alias("_lost")).where(F.size("_lost") > 0)
     own = F.col(f"`{text}`")
     joined = rows.join(lost, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (_hash(own) == F.col("_key")), "left")
     parts = joined.withColumn("_parts", F.when(F.col("_lost").isNotNull(), F.split(own, "\n")))
-    total = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, x: a + F.length(F.btrim(x, F.lit(BLANK))))
-    takes = F.col("_lost").isNotNull() & (F.col("_size") <= total * MAX_SHARE)
+    worded = F.size(F.filter("_parts", lambda x: F.length(F.btrim(x, F.lit(BLANK))) > 0))
+    takes = F.col("_lost").isNotNull() & (F.col("_hits") < worded)
     left = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_lost"))
     shorter = F.array_join(F.transform(left, lambda i: F.get("_parts", i)), "\n")
     flagged = parts.withColumn("_takes", F.coalesce(takes, F.lit(False)))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adwatch.llm.common import settle
+from adwatch.llm.common import settle, tidy
 from adwatch.llm.components import components
 
 #: Bins of the count sketch, and of one of the parts in which it travels.
@@ -373,15 +373,15 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tie"),
                      F.col(f"`{text}`").cast("string").alias("text"))
     measured = settle(rows.mapInArrow(
-        _measure(words), "doc_id long, tie long, n long, hi long, lo long, bits binary, part int, shard int, counts binary"))
+        tidy(_measure(words)), "doc_id long, tie long, n long, hi long, lo long, bits binary, part int, shard int, counts binary"))
     ids = measured.where("n IS NOT NULL").select("doc_id", "tie", "n", "hi", "lo", "bits")
     levels = _levels(measured.where("part IS NOT NULL").select("part", "shard", "counts"))
     shared = spark.sparkContext.broadcast(levels)
     sizes = ids.where("n > 0").groupBy(F.least("n", F.lit(1000)).cast("int").alias("s")).count().collect()  # at most 1,000 rows
     small = boundary({r["s"]: r["count"] for r in sizes}, _mean_list(levels), percent)
-    postings = rows.select("text").mapInArrow(_postings(words, percent, small, shared), "key long, node long, size int")
+    postings = rows.select("text").mapInArrow(tidy(_postings(words, percent, small, shared)), "key long, node long, size int")
     lists = postings.repartition("key").sortWithinPartitions("key", "size", "node")
-    proposed = settle(lists.mapInArrow(_proposals(percent), "a long, b long, key long, place long, size int"))
+    proposed = settle(lists.mapInArrow(tidy(_proposals(percent)), "a long, b long, key long, place long, size int"))
     long = proposed.where("key IS NOT NULL").select("key", F.col("b").alias("node"), F.col("size").cast("long").alias("size"))
 
     classes = ids.where("n > 0").groupBy("hi", "lo").agg(
@@ -390,10 +390,10 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     ends = [sketches.select(F.col("lo").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in ("a", "b")]
     pairs = proposed.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     asked = settle(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
-                   .mapInArrow(_possible(percent), "a long, b long"))
+                   .mapInArrow(tidy(_possible(percent)), "a long, b long"))
     open_nodes = asked.select("a").union(asked.select("b")).union(long.select("node")).distinct().withColumnRenamed("a", "lo")
     reps = classes.join(open_nodes, "lo").select("hi", "lo", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tie").alias("tie"))
-    packed = rows.select("doc_id", "tie", "text").mapInArrow(_packed_text, "doc_id long, tie long, data binary")
+    packed = rows.select("doc_id", "tie", "text").mapInArrow(tidy(_packed_text), "doc_id long, tie long, data binary")
     texts = settle(reps.join(packed, reps["doc_id"].eqNullSafe(packed["doc_id"]) & (reps["tie"] == packed["tie"]))
                    .select("hi", "lo", "data").dropDuplicates(["hi", "lo"]))
 
@@ -402,7 +402,7 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
         one = texts.select(F.col("lo").alias("a"), name.alias("na"), F.col("data").alias("da"))
         two = texts.select(F.col("lo").alias("b"), name.alias("nb"), F.col("data").alias("db"))
         both = found.join(one, "a").join(two, "b").select("na", "nb", "da", "db")
-        return settle(both.mapInArrow(_verify(words, percent), "a string, b string"))
+        return settle(both.mapInArrow(tidy(_verify(words, percent)), "a string, b string"))
 
     edges = verified(asked)
     reached = components(edges)
@@ -414,7 +414,7 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
         marked = sketched.join(roots.dropDuplicates(["node"]), "node", "left").withColumn("root", F.coalesce("root", "node"))
         undone = marked.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         order = marked.join(undone, "key", "left_semi").repartition("key").sortWithinPartitions("key", "node")
-        found = settle(order.select("key", "node", "size", "root", "bits").mapInArrow(_further(percent, most), "a long, b long"))
+        found = settle(order.select("key", "node", "size", "root", "bits").mapInArrow(tidy(_further(percent, most)), "a long, b long"))
         waiting = not found.where("a IS NULL").isEmpty()
         fresh = settle(found.where("a IS NOT NULL").distinct().join(tested, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():

@@ -88,7 +88,7 @@ WITH d AS (SELECT doc_id, text, coalesce(source, chr(0)) AS site, string_split(t
 l AS (SELECT doc_id, site, i, ls[i] AS raw, trim(ls[i], E' \t\x0b\x0c\r') AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 b AS (SELECT line, min((doc_id, i)) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
 f AS (SELECT l.*, b.line IS NOT NULL AS hit, b.line IS NOT NULL AND b.first <> (l.doc_id, l.i) AS lost FROM l LEFT JOIN b USING (line)),
-s AS (SELECT doc_id, count(*) FILTER (WHERE lost) AS n_lost, coalesce(sum(length(line)) FILTER (WHERE hit), 0) * 2 <= sum(length(line)) AS takes,
+s AS (SELECT doc_id, count(*) FILTER (WHERE lost) AS n_lost, count(*) FILTER (WHERE NOT hit AND line <> '') > 0 AS takes,
              string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT lost) AS shorter FROM f GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN takes THEN n_lost ELSE 0 END AS n_removed_lines,
        CASE WHEN takes AND n_lost > 0 THEN coalesce(shorter, '') ELSE d.text END AS text

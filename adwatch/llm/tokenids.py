@@ -13,18 +13,20 @@ folder's name; the manifest has one row per file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adwatch.llm.bpe import tokenizer
-from adwatch.llm.common import settle, shared_folder
+from adwatch.llm.common import kept, settle, tidy
 
 #: Fixed values of the seekable layout.
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -45,7 +47,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None):
-        self.own, self.words, self.fast = tokenizer(path), {}, None
+        self.own, self.fast = tokenizer(path), None
+        self.forget()
         if ranks:
             import base64
 
@@ -56,44 +59,82 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: str) -> list[int]:
         # ranks and file are one vocabulary; where pattern classes of the two libraries could differ, the library decides
         if self.fast is not None and "<|" not in word and max(word) < "ɐ":
-            ids = self.fast.encode_ordinary(word)
-        else:
-            ids = self.own.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def text(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.odd(text):
-            return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        found, known = [self.word(first)], self.words
-        for w in rest:
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                ids = known[w] = self.word(" " + w)
-            found.append(ids)
-        return b"".join(found)
+            return self.fast.encode_ordinary(word)
+        return self.own.encode(word, add_special_tokens=False).ids
+
+    def places(self, words: list[str], lead: str) -> np.ndarray:
+        """Places of words in the table; ``lead`` stands before each, and new ones are encoded once."""
+        found, new = np.empty(len(words), np.int64), []
+        known, size = self.words, len(self.starts) - 1
+        for i, w in enumerate(words):
+            at = known.get(lead + w)
+            if at is None:
+                at = known[lead + w] = size + len(new)
+                new.append(self.word(lead + w) if lead + w else [])
+            found[i] = at
+        if new:
+            lengths = np.fromiter(map(len, new), np.int64, len(new))
+            self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(lengths)]
+            self.ids = np.concatenate([self.ids, np.fromiter((x for own in new for x in own), "<u4", int(lengths.sum()))])
+        return found
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of all texts of a batch: its distinct words are looked up once, their ids gathered by position."""
+        out = [b""] * len(texts)
+        plain = []
+        for i, text in enumerate(texts):
+            if text and self.odd(text):
+                out[i] = np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            elif text:
+                plain.append(i)
+        if not plain:
+            return out
+        if len(self.words) >= CACHED_WORDS:
+            self.forget()
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        ends = np.asarray(lists.offsets)
+        coded = lists.flatten().dictionary_encode()
+        codes = np.asarray(coded.indices)
+        inner = np.ones(len(codes), bool)
+        inner[ends[:-1]] = False  # the first word has no space before it
+        listed = coded.dictionary.to_pylist()
+        used = np.zeros(len(listed), bool)
+        used[codes[inner]] = True
+        table = np.full(len(listed), -1, np.int64)
+        table[used] = self.places([listed[i] for i in np.flatnonzero(used).tolist()], " ")
+        place = table[codes]
+        place[ends[:-1]] = self.places([listed[i] for i in codes[ends[:-1]].tolist()], "")
+        lengths = (self.starts[1:] - self.starts[:-1])[place]
+        after = np.cumsum(lengths)
+        at = np.repeat(self.starts[place] - (after - lengths), lengths) + np.arange(int(after[-1]))
+        data, stops = self.ids[at].tobytes(), 4 * np.r_[0, after][ends]
+        for i, a, b in zip(plain, stops[:-1].tolist(), stops[1:].tolist()):
+            out[i] = data[a:b]
+        return out
+
+    def forget(self) -> None:
+        self.words, self.starts, self.ids = {}, np.zeros(1, np.int64), np.empty(0, "<u4")
 
     @staticmethod
     def odd(text: str) -> bool:
-        import re
+        return _ODD.search(text) is not None
 
-        return re.search(r"^ | $| [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] ", text) is not None
 
-
-_ENCODERS: dict = {}
+_ODD = re.compile(r"^ | $| [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] ")
 
 
+@kept
 def encoder(path: str, ranks: str | None) -> Encoder:
-    if (path, ranks) not in _ENCODERS:
-        _ENCODERS[path, ranks] = Encoder(path, ranks)
-    return _ENCODERS[path, ranks]
+    return Encoder(path, ranks)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as the cluster's default file system has it; tasks must not take it for a local one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
 def open_store(uri: str):
@@ -203,6 +244,7 @@ def write_token_files(df: DataFrame, folder: str, path: str, ranks: str | None =
     their texts' hashes, and rows that are equal throughout are interchangeable. An empty table gives an empty manifest.
     """
     spark = df.sparkSession
+    folder = qualified(spark, folder)
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
                      F.xxhash64(F.col(f"`{text}`")).alias("tie"))
     order = ("doc_id", "tie")
@@ -214,11 +256,11 @@ def write_token_files(df: DataFrame, folder: str, path: str, ranks: str | None =
         context, own, out = TaskContext.get(), encoder(path, ranks), None
         name, count, total, first = f"ids-{context.partitionId():06d}.zst", 0, 0, None
         for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, ids in zip(batch.column(0).to_pylist(), own.batch(batch.column(1).to_pylist())):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out, first = Writer(store, f"{root}/{name}", f"{context.taskAttemptId()}.part"), doc
-                ids = own.text(value or "") + ending
+                ids = ids + ending
                 out.add(doc, ids)
                 count, total = count + 1, total + len(ids) // 4
         if out is not None:
@@ -227,7 +269,7 @@ def write_token_files(df: DataFrame, folder: str, path: str, ranks: str | None =
                                    pa.array([total], pa.int64()), pa.array([first], pa.int64())],
                                   names=["part", "file", "documents", "ids", "first_id"])
 
-    written = settle(dealt.sortWithinPartitions(*order).mapInArrow(run, "part int, file string, documents long, ids long, first_id long"))
+    written = settle(dealt.sortWithinPartitions(*order).mapInArrow(tidy(run), "part int, file string, documents long, ids long, first_id long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return written.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -238,6 +280,7 @@ def read_token_files(manifest: DataFrame, folder: str, wanted: list[int] | None
     Every frame read is held against its checksum; a file that fails raises.
     """
     asked = None if wanted is None else set(wanted)
+    folder = qualified(manifest.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
@@ -254,7 +297,7 @@ def read_token_files(manifest: DataFrame, folder: str, wanted: list[int] | None
                     yield _rows(rows)
 
     spread = manifest.select("file", "start").repartition(max(1, manifest.count()))
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, token_ids binary")
+    return spread.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, token_ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adwatch.llm.common import with_outputs
+from adwatch.llm.common import tidy, with_outputs
 
 BUCKETS, DIM, WINDOW = 1 << 16, 8, 8
 SHORTEST, LONGEST = 3, 5
@@ -79,8 +79,13 @@ def words_of(text: str | None) -> list[str]:
 
 
 def word_logits(model_weights: np.ndarray, words: list[str]) -> np.ndarray:
-    ids, owner = ngrams(words)
-    return np.bincount(owner, model_weights[ids], len(words)) / np.maximum(np.bincount(owner, minlength=len(words)), 1)
+    """The mean of every word's n-grams; made in parts, since n-grams are many times the words."""
+    found = [np.empty(0)]
+    for a in range(0, len(words), 20_000):
+        part = words[a:a + 20_000]
+        ids, owner = ngrams(part)
+        found.append(np.bincount(owner, model_weights[ids], len(part)) / np.maximum(np.bincount(owner, minlength=len(part)), 1))
+    return np.concatenate(found)
 
 
 def top_logit(scores: np.ndarray, bias: float, codes: np.ndarray | None = None) -> float:
@@ -215,7 +220,24 @@ def sample(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     return [(r["text"], r["y"]) for r in rows]
 
 
-_SCORES: dict = {}
+class _Scored:
+    """Logits of the words a task has met, at most ``CACHED_WORDS`` and those of one batch."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.places, self.logits, self.size = weights, {}, np.empty(1 << 14), 0
+
+    def look_up(self, texts: list[list[str]]) -> None:
+        if len(self.places) > CACHED_WORDS:
+            self.__init__(self.weights)
+        new = list({w for t in texts for w in t if w not in self.places})
+        bare = list(dict.fromkeys(b for w in new if (b := w.strip(STRIPPED))))
+        place = {b: self.size + i for i, b in enumerate(bare)}
+        if self.size + len(bare) > len(self.logits):
+            self.logits = np.resize(self.logits, 2 * (self.size + len(bare)))
+        self.logits[self.size:self.size + len(bare)] = word_logits(self.weights, bare)
+        self.size += len(bare)
+        for w in new:
+            self.places[w] = place.get(w.strip(STRIPPED), -1)
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -228,31 +250,20 @@ def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "to
     shared = df.sparkSession.sparkContext.broadcast(model)  # one number per bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, key = shared.value, id(shared)
-        if _SCORES.get("key") != key:
-            _SCORES.clear()
-            _SCORES.update(key=key, words={}, logits=np.empty(0))
+        own = shared.value
+        scored = _Scored(own.weights)
         for batch in batches:
             texts = [(t or "").lower().split() for t in batch.column(kept.index(text)).to_pylist()]
-            if len(_SCORES["words"]) > CACHED_WORDS:
-                _SCORES.update(words={}, logits=np.empty(0))
-            known = _SCORES["words"]
-            new = list({w for t in texts for w in t if w not in known})
-            bare = list(dict.fromkeys(b for w in new if (b := w.strip(STRIPPED))))
-            place = {b: len(_SCORES["logits"]) + i for i, b in enumerate(bare)}
-            _SCORES["logits"] = np.r_[_SCORES["logits"], word_logits(own.weights, bare) if bare else np.empty(0)]
-            for w in new:
-                b = w.strip(STRIPPED)
-                known[w] = place[b] if b else -1
-            logits, tops = _SCORES["logits"], []
+            scored.look_up(texts)
+            tops = []
             for t in texts:
-                codes = np.fromiter(map(known.__getitem__, t), np.int64, len(t))
+                codes = np.fromiter(map(scored.places.__getitem__, t), np.int64, len(t))
                 codes = codes[codes >= 0]
-                tops.append(top_logit(logits[codes], own.bias, codes))
+                tops.append(top_logit(scored.logits[codes], own.bias, codes))
             values = 1 / (1 + np.exp(-np.clip(own.scale * np.array(tops) + own.shift, -30, 30)))
             yield pa.record_batch([*batch.columns, pa.array(values, pa.float64())], names=[*kept, out])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
