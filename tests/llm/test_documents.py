@@ -384,6 +384,25 @@ def test_common_words():
         assert decontaminate.common_words(a, b) == plain(a, b)
 
 
+def test_random_strings_are_found():
+    """Recall by kind of key, alone and joined to words; names, paths, dates and digests are left alone."""
+    rng, letters = random.Random(1), "abcdefghijklmnopqrstuvwxyz"
+    key = lambda n, chars=letters + letters.upper() + "0123456789": "".join(rng.choice(chars) for _ in range(n))
+    kinds = [lambda n=n: key(n) for n in (16, 20, 24, 40)] + [
+        lambda: "/services/documents/customers/sessions/account/" + key(24), lambda: "secret_service_account_production_" + key(20),
+        lambda: "userTokenValue" + key(32), lambda: key(24, letters + "0123456789"), lambda: key(24, letters.upper() + "0123456789"),
+        lambda: ".".join(key(n) for n in (20, 40, 27)), lambda: key(10) + "+" + key(14) + "/" + key(17) + "="]
+    for kind in kinds:
+        found = [any(s[0] == "random" for s in secretscan.find(f"see {kind()} there", RANKS)) for _ in range(300)]
+        assert sum(found) >= 0.9 * len(found)
+    names = ["/usr/local/lib/python3.11/site-packages/numpy/core", "0f8fad5b-d9cb-469f-a165-70867728950e", "AbstractSingletonProxyFactoryBean",
+             "get_user_account_by_identifier_v2", "2024-05-17T12-30-45Z-backup-file-name", "da39a3ee5e6b4b0d3255bfef95601890afd80709",
+             "products/category-12/item-20394", "ThisIsAVeryLongCamelCaseIdentifierName", "onthationthererthin_inghandthethere_2"]
+    assert [s for n in names for s in secretscan.find(n, RANKS) if s[0] == "random"] == []
+    text = f"start /path/to/words/{key(24)} and " + "word " * 60_000 + key(32)
+    assert [text[a:b] for k, a, b in secretscan.find(text, RANKS) if k == "random"] == [text.split()[1].split("/")[-1], text.split()[-1]]
+
+
 def test_decontamination(spark, monkeypatch):
     rng = random.Random(12)
     items = [(i, " ".join(f"q{rng.randrange(5000)}z" for _ in range(rng.choice([18, 30, 45]))) + ". " + " ".join(f"ans{rng.randrange(5000)}" for _ in range(4)))
