@@ -90,7 +90,7 @@ class Words:
         if len(self.written) > KNOWN_WORDS:
             self.__init__()
         get, new = self.written.get, []
-        codes = np.fromiter((get(w, -2) for w in written), np.int64, len(written))
+        codes = np.fromiter([get(w, -2) for w in written], np.int64, len(written))
         for i in np.flatnonzero(codes == -2).tolist():
             b = written[i].lower().strip(STRIPPED)
             if b and b not in self.bare:
@@ -107,7 +107,7 @@ class Words:
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
         coded = lists.flatten().dictionary_encode()
-        codes = self.of(coded.dictionary.to_pylist())[np.asarray(coded.indices)] if len(coded) else np.empty(0, np.int64)
+        codes = self.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(coded.indices)] if len(coded) else np.empty(0, np.int64)
         kept = np.r_[0, np.cumsum(codes >= 0)]
         return codes[codes >= 0], kept[np.asarray(lists.offsets)]
 
@@ -122,7 +122,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, ends = words.tokens(batch.column(0))
         if len(codes):
             owner, size = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), len(words.bare)
-            once = np.bincount(np.unique(owner * size + codes) % size, minlength=size)  # documents by word
+            once = np.bincount(np.asarray(pc.unique(pa.array(owner * size + codes))) % size, minlength=size)  # documents by word
             np.add.at(counts, (words.hashed & np.uint64(SKETCH_BINS - 1)).astype(np.int64), once)
     if any_rows:
         pack, parts = zstandard.ZstdCompressor(level=1), SKETCH_BINS // PART_BINS

@@ -13,10 +13,10 @@ folder's name; the manifest has one row per file.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,24 +61,25 @@ class Encoder:
 
     def word(self, word: str) -> list[int]:
         # ranks and file are one vocabulary; where pattern classes of the two libraries could differ, the library decides
-        if self.fast is not None and "<|" not in word and max(word) < "ɐ":
+        if self.fast is not None and (word.isascii() or max(word) < "ɐ") and "<|" not in word:
             return self.fast.encode_ordinary(word)
         return self.own.encode(word, add_special_tokens=False).ids
 
     def places(self, words: list[str], lead: str) -> np.ndarray:
         """Places of words in the table; ``lead`` stands before each, and new ones are encoded once."""
-        found, new = np.empty(len(words), np.int64), []
-        known, size = self.words, len(self.starts) - 1
-        for i, w in enumerate(words):
-            at = known.get(lead + w)
-            if at is None:
-                at = known[lead + w] = size + len(new)
+        known, size, new = self.words[lead], len(self.starts) - 1, []
+        get = known.get
+        found = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
+        for i in np.flatnonzero(found < 0).tolist():
+            w = words[i]
+            if w not in known:  # a first word may stand in several texts
+                known[w] = size + len(new)
                 new.append(self.word(lead + w) if lead + w else [])
-            found[i] = at
+            found[i] = known[w]
         if new:
             lengths = np.fromiter(map(len, new), np.int64, len(new))
             self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(lengths)]
-            self.ids = np.concatenate([self.ids, np.fromiter((x for own in new for x in own), "<u4", int(lengths.sum()))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), "<u4", int(lengths.sum()))])
         return found
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
@@ -92,7 +93,7 @@ class Encoder:
                 plain.append(i)
         if not plain:
             return out
-        if len(self.words) >= CACHED_WORDS:
+        if sum(map(len, self.words.values())) >= CACHED_WORDS:
             self.forget()
         lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
         ends = np.asarray(lists.offsets)
@@ -100,7 +101,7 @@ class Encoder:
         codes = np.asarray(coded.indices)
         inner = np.ones(len(codes), bool)
         inner[ends[:-1]] = False  # the first word has no space before it
-        listed = coded.dictionary.to_pylist()
+        listed = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         used = np.zeros(len(listed), bool)
         used[codes[inner]] = True
         table = np.full(len(listed), -1, np.int64)
@@ -116,14 +117,15 @@ class Encoder:
         return out
 
     def forget(self) -> None:
-        self.words, self.starts, self.ids = {}, np.zeros(1, np.int64), np.empty(0, "<u4")
+        self.words, self.starts, self.ids = {"": {}, " ": {}}, np.zeros(1, np.int64), np.empty(0, "<u4")
 
     @staticmethod
     def odd(text: str) -> bool:
-        return _ODD.search(text) is not None
+        """Whether a space stands at an end or beside other white space."""
+        return text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _SPACES)
 
 
-_ODD = re.compile(r"^ | $| [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] ")
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
 @kept
