@@ -29,13 +29,17 @@ def _pick_fields(html: pd.Series, selectors: pd.Series) -> pd.Series:
     return _picked(html, selectors, False)
 
 
-@F.pandas_udf(T.StringType())
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _try_fields(html: pd.Series, selectors: pd.Series) -> pd.Series:
-    """The same for proposed selectors: one that is not understood picks nothing."""
-    return _picked(html, selectors, True)
+    """The same for all proposed selectors of a page, which is parsed once; a selector that is not understood picks nothing."""
+    return _picked_all(html, selectors, True)
 
 
 def _picked(html: pd.Series, selectors: pd.Series, lenient: bool) -> pd.Series:
+    return _picked_all(html, selectors.map(lambda spec: [spec]), lenient).map(lambda found: found[0])
+
+
+def _picked_all(html: pd.Series, selectors: pd.Series, lenient: bool) -> pd.Series:
     from adwatch.functions.markup import UnsupportedSelector, parse
     from adwatch.functions.markup import pick as strict
 
@@ -49,13 +53,16 @@ def _picked(html: pd.Series, selectors: pd.Series, lenient: bool) -> pd.Series:
 
     parsed: dict[str, dict] = {}
 
-    def one(page: str | None, spec: str | None) -> str:
+    def fields(root, spec: str | None) -> str:
         if spec not in parsed:
             parsed[spec] = json.loads(spec) if spec else {}
-        root = parse(page or "")
         return json.dumps({name: pick(root, path or "") for name, path in parsed[spec].items()}, ensure_ascii=False)
 
-    return pd.Series([one(page, spec) for page, spec in zip(html, selectors)])
+    def one(page: str | None, specs) -> list[str]:
+        root = parse(page or "")
+        return [fields(root, spec) for spec in specs]
+
+    return pd.Series([one(page, specs) for page, specs in zip(html, selectors)])
 
 
 def _scoped(scope: str, fields: dict[str, str], every: bool):
@@ -207,8 +214,11 @@ def trial_candidates(
     spec = F.struct("attempt", F.to_json(field_selectors(F.col("selectors"))).alias("spec"))
     specs = candidates.groupBy("platform").agg(F.collect_list(spec).alias("_specs"))  # a handful of candidates per platform
     # one narrow row per platform goes to the pages, which stay where they are read
-    paired = lookup_join(samples.select("platform", "html"), specs, ["platform"]).select("platform", "html", F.inline("_specs"))
-    tried = paired.select("platform", "attempt", F.from_json(_try_fields("html", "spec"), "map<string,string>").alias("f"))
+    paired = lookup_join(samples.select("platform", "html"), specs, ["platform"])
+    # a page is parsed once for all candidates
+    found = paired.select("platform", "_specs", _try_fields("html", F.col("_specs")["spec"]).alias("_found"))
+    zipped = found.select("platform", F.explode(F.arrays_zip(F.col("_specs")["attempt"].alias("attempt"), F.col("_found").alias("f"))).alias("_t"))
+    tried = zipped.select("platform", "_t.attempt", F.from_json("_t.f", "map<string,string>").alias("f"))
     tried = tried.withColumn("missing", missing_fields({n: F.col("f")[n] for n in required}))
     outcome = tried.groupBy("platform", "attempt").agg(
         *[F.max(F.array_contains("missing", n)).alias(f"_no_{n}") for n in required]

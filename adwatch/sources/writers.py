@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +23,7 @@ def write_log(entries: DataFrame, path: str) -> None:
 
 
 def append_log(entries: DataFrame, path: str) -> None:
-    """Continue every chain of an existing log. A repeated call appends again: call it once per set of entries."""
+    """Continue every chain of an existing log, whose entries are read for their heads. A repeated call appends again; see ``commit_log``."""
     spark = entries.sparkSession
     written = read_log(spark, path)
     heads = written.groupBy("chain").agg(F.max_by("entry_hash", "seq").alias("entry_hash"), F.max("seq").alias("_top"))
@@ -30,6 +34,75 @@ def append_log(entries: DataFrame, path: str) -> None:
     sealed.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
+def commit_log(entries: DataFrame, path: str, batch_id: str, attempts: int = 20) -> bool:
+    """Append a batch of entries to a log with a commit table; false when the batch is in it already.
+
+    A commit is one small file: the batch, the folder of its entries, and the last hash and number of every chain that it
+    went on with. Chains continue from the commits, so entries written earlier are never read. A commit is published by one
+    rename to the next version's name, which fails where another writer was first: then the batch is sealed anew behind it.
+    Entries of a failed attempt lie in a folder that no commit names, so no reader sees them.
+    """
+    spark = entries.sparkSession
+    for _ in range(attempts):
+        commits, version, held = _commits(spark, path), 0, None
+        if commits is not None:
+            if not commits.where(F.col("batch_id") == batch_id).isEmpty():
+                return False
+            version = commits.agg(F.max("version").alias("v")).first()["v"] + 1
+            held = commits.where("chain IS NOT NULL").groupBy("chain").agg(F.max_by("entry_hash", "version").alias("entry_hash"), F.max("top").alias("_top"))
+        moved = entries if held is None else entries.join(held.select("chain", "_top"), "chain", "left").withColumn(
+            "seq", F.col("seq") + F.coalesce(F.col("_top") + 1, F.lit(0))).drop("_top")
+        folder = f"entries/{uuid.uuid4().hex}"
+        sealed = seal_entries(with_canonical(moved), heads=held).drop("canonical")
+        sealed.write.option("ignoreNullFields", False).json(f"{path}/{folder}")
+        stored = spark.read.schema(f"chain string, {schema.AUDIT}").json(f"{path}/{folder}")
+        tips = stored.groupBy("chain").agg(F.max_by("entry_hash", "seq").alias("entry_hash"), F.max("seq").alias("top"))
+        marked = spark.range(1).select(F.lit(None).cast("string").alias("chain"), F.lit(None).cast("string").alias("entry_hash"), F.lit(None).cast("long").alias("top"))
+        named = tips.unionByName(marked).withColumn("batch_id", F.lit(batch_id)).withColumn("folder", F.lit(folder)).withColumn("version", F.lit(version).cast("long"))
+        staged = f"{path}/staged/{uuid.uuid4().hex}"
+        named.coalesce(1).write.parquet(staged)
+        if _published(spark, staged, f"{path}/commits/{version:012d}.parquet"):
+            return True
+    raise RuntimeError(f"{path} was written by others {attempts} times in a row")
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("chain string, entry_hash string, top long, batch_id string, folder string, version long").parquet(f"{path}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _published(spark: SparkSession, staged: str, target: str) -> bool:
+    """Rename the one file of a staged folder; false where the target is there already."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    source, goal = hadoop.Path(staged), hadoop.Path(target)
+    store = source.getFileSystem(conf)
+    store.mkdirs(goal.getParent())
+    files = [f.getPath() for f in store.listStatus(source) if f.getPath().getName().endswith(".parquet")]
+    whole = store.makeQualified(files[0])
+    never_over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    never_over[0] = getattr(hadoop, "Options$Rename").NONE
+    try:
+        hadoop.FileContext.getFileContext(whole.toUri(), conf).rename(whole, store.makeQualified(goal), never_over)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of all commits, with their canonical text."""
+    commits = _commits(spark, path)
+    folders = [] if commits is None else [r["folder"] for r in commits.select("folder", "version").distinct().orderBy("version").collect()]  # a row per commit
+    reader = spark.read.schema(f"chain string, {schema.AUDIT}")
+    return with_canonical(reader.json([f"{path}/{f}" for f in folders]) if folders else spark.createDataFrame([], f"chain string, {schema.AUDIT}"))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """A log written here, with its canonical text."""
     return with_canonical(spark.read.schema(f"chain string, {schema.AUDIT}").json(path))

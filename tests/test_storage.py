@@ -62,6 +62,51 @@ def test_written_logs_continue(spark, folder):
     assert {r.chain: r.entry_hash for r in A.chain_heads(log).collect()}["c"] == whole[-1]["entry_hash"]
 
 
+def test_commit_table(spark, folder):
+    """A repeated batch leaves one copy, old entries are not read, a lost race seals behind the winner, leftovers stay unseen."""
+    def rows(*chains):
+        made = [(c, i, None, i, "a", f"x{i}", '{"n":1}', "t") for c in chains for i in range(4)]
+        return spark.createDataFrame(made, "chain string, seq long, run_id long, listing_id long, actor string, action string, detail string, created_at string")
+
+    assert writers.read_committed(spark, folder).count() == 0
+    assert writers.commit_log(rows("c", "d"), folder, "one") and not writers.commit_log(rows("c", "d"), folder, "one")
+    first = writers._commits(spark, folder).where("folder IS NOT NULL").first()["folder"]
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{first}")
+    away = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/away")
+    store = hidden.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.rename(hidden, away)  # entries of the first batch can't be read now, and need not be
+    assert writers.commit_log(rows("c", "e"), folder, "two")
+    store.rename(away, hidden)
+    rows("z").write.json(f"{folder}/entries/leftover")
+    log = writers.read_committed(spark, folder)
+    assert {r.chain: (r.ok, r["count"]) for r in A.verify_chains(log).collect()} == {"c": (True, 8), "d": (True, 4), "e": (True, 4)}
+    real, lost = writers._published, []
+
+    def late(spark, staged, target):
+        if not lost:  # another writer takes the version first
+            lost.append(target)
+            real(spark, staged, f"{folder}/unused/x.parquet")
+            writers._published = real
+            assert writers.commit_log(rows("c"), folder, "other")
+            return False
+        return real(spark, staged, target)
+
+    writers._published = late
+    try:
+        assert writers.commit_log(rows("c"), folder, "three")
+    finally:
+        writers._published = real
+    log = writers.read_committed(spark, folder)
+    assert {r.chain: (r.ok, r["count"]) for r in A.verify_chains(log).collect()} == {"c": (True, 16), "d": (True, 4), "e": (True, 4)}
+    writers.write_json(rows("x"), f"{folder}/other.json")
+    spark.createDataFrame([(1,)], "a int").write.parquet(f"{folder}/staged/again")
+    assert not real(spark, f"{folder}/staged/again", f"{folder}/commits/{0:012d}.parquet")
+
+
+def test_seeds(spark):
+    assert readers.platform_seed(spark).count() > 0 and readers.selector_seed(spark).first()["status"] == "active"
+
+
 def test_rule_upsert_and_versions(spark, folder):
     old = spark.createDataFrame([("a", [1.0], "x"), ("b", [2.0], "y")], "rule_id string, embedding array<float>, title string")
     new = spark.createDataFrame([("b", [3.0], "z"), ("c", [4.0], "w")], old.schema)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from adwatch.functions.hashing import iso_stamp
 from adwatch.operators import audit as A
 from adwatch.operators import queue as Q
 from adwatch.session import settled
+from adwatch.sources import readers, writers
 from workload import query
 from workload import views as V
+from workload.streams import work_folder
 
 
 def _entries(spark, sf):
@@ -203,3 +206,50 @@ def audit_tail(spark, sf):
 @query("iso_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS stamp FROM events")
 def iso_stamps(spark, sf):
     return V.table(spark, sf, "events").select("event_id", iso_stamp(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
+@query("committed_log", f"WITH RECURSIVE {_SEALED} SELECT chain, seq, prev_hash, entry_hash FROM sealed")
+def committed_log(spark, sf):
+    """A log appended in three batches, one of them twice: each chain goes on where the commits say."""
+    root = work_folder(spark)
+    entries = _entries(spark, sf).drop("canonical")
+    first = Window.partitionBy("chain").orderBy("seq")
+    numbered = entries.withColumn("_n", F.row_number().over(first))
+    for batch, part in (("a", F.col("_n") == 1), ("b", F.col("_n") == 2), ("a", F.col("_n") == 1), ("c", F.col("_n") > 2)):
+        own = numbered.where(part).withColumn("seq", F.when(F.lit(batch == "c"), F.col("_n") - 3).otherwise(0).cast("long")).drop("_n")
+        writers.commit_log(own, root, batch)
+    stored = writers.read_committed(spark, root).select(F.col("chain").cast("long").alias("chain"), F.col("seq").alias("_at"), "prev_hash", "entry_hash")
+    names = numbered.select("chain", "seq", (F.col("_n") - 1).alias("_at"))
+    return stored.join(names, ["chain", "_at"]).drop("_at")
+
+
+@query("verify_files", """
+SELECT (conv_id % 7)::BIGINT AS part, count(*)::BIGINT AS entries, true AS ok, conv_id % 7 = 3 AS torn_ok FROM conversations GROUP BY 1, 4""".replace("conv_id % 7 = 3 AS torn_ok", "conv_id % 7 <> 3 AS torn_ok"))
+def verify_files(spark, sf):
+    """Logs as files of JSON lines, verified where they lie; then one of them again with a line that can't be read."""
+    root = work_folder(spark)
+    entries = _entries(spark, sf).withColumn("part", F.col("chain") % 7)
+    order = Window.partitionBy("part").orderBy("chain", "seq")
+    chained = entries.withColumn("seq", F.row_number().over(order).cast("long")).withColumn("chain", F.col("part"))
+    sealed = settled(A.seal_entries(chained))
+    fields = ["run_id", "listing_id", "actor", "action", "detail", "created_at", "prev_hash", "entry_hash"]
+    line = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    torn = F.when((F.col("part") == 3) & (F.col("seq") == 1), F.concat(line, F.lit("\n{torn"))).otherwise(line)
+    found = []
+    for name, text in (("ok", line), ("torn_ok", torn)):
+        lines = sealed.select("part", "seq", text.alias("value")).repartition(7, "part").sortWithinPartitions("part", "seq")
+        lines.select("value", "part").write.partitionBy("part").text(f"{root}/{name}")
+        _named(spark, f"{root}/{name}")
+        verdict = A.verify_logs(readers.read_sealed_logs(spark, f"{root}/{name}"))
+        part = F.regexp_extract("chain", r"part=(\d+)", 1).cast("long")
+        found.append(verdict.select(part.alias("part"), F.col("count").alias("entries"), F.col("ok").alias(name)))
+    return found[0].join(found[1].drop("entries"), "part")
+
+
+def _named(spark, folder: str) -> None:
+    """Log files end in ``.jsonl``: seven parts are renamed."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    store = jvm.Path(folder).getFileSystem(conf)
+    for part in [f.getPath() for f in store.listStatus(jvm.Path(folder)) if f.isDirectory()]:
+        for file in [f.getPath() for f in store.listStatus(part) if f.getPath().getName().endswith(".txt")]:
+            store.rename(file, jvm.Path(part, file.getName().replace(".txt", ".jsonl")))

@@ -8,6 +8,7 @@ from adwatch.functions.display import rules_prompt
 from adwatch.functions.hashing import rule_id
 from adwatch.functions.numbers import round_even
 from adwatch.operators import extract, retrieve
+from adwatch.sources import readers
 from adwatch.sources.writers import upsert_rules
 from workload import query
 from workload import views as V
@@ -100,3 +101,37 @@ def rule_upsert(spark, sf):
     stored = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("rule_id"), "embedding", "label")
     incoming = stored.where("label < 5").withColumn("label", F.col("label") + 100)
     return upsert_rules(stored, incoming).select("rule_id", "label")
+
+
+@query("rule_folder", """
+SELECT s_name AS title, 'cites' AS category, 'RS ' || s_suppkey AS source, 'Permis ' || s_nationkey || '.' AS text FROM supplier""")
+def rule_folder(spark, sf):
+    """Rule files written one a folder part, read back by name, and parsed; other files beside them are passed over."""
+    root = work_folder(spark)
+    _rule_files(spark, sf).select("value").repartition(4).write.option("lineSep", "\n\n").text(f"{root}/text")
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source = jvm.Path(f"{root}/text")
+    store = source.getFileSystem(conf)
+    for i, part in enumerate(f.getPath() for f in store.listStatus(source) if f.getPath().getName().endswith(".txt")):  # at most four
+        store.rename(part, jvm.Path(f"{root}/text/rules-{i}.md"))
+    return extract.markdown_rules(readers.read_rule_files(spark, f"{root}/text")).select("title", "category", "source", "text")
+
+
+@query("ads_with_rules", "WITH " + _RULES_SQL.replace(
+    "SELECT vec_id, rank::INTEGER AS rank, rule_id, printf('%.3f', c)::DOUBLE AS score FROM best WHERE rank <= 3",
+    """, named AS (SELECT vec_id, string_agg('L' || rule_id, ',' ORDER BY rank) AS refs, string_agg('L' || rule_id, ',' ORDER BY rank) FILTER (WHERE rank = 1) AS nearest FROM best WHERE rank <= 3 GROUP BY 1)
+SELECT e.vec_id, e.label, coalesce(refs, '') AS refs, coalesce(nearest, '') AS nearest FROM embeddings e LEFT JOIN named USING (vec_id)""").replace("rank <= 3), named", "rank <= 3)\n, named"))
+def ads_with_rules(spark, sf):
+    """Every ad with its nearest rules, by the exact search and by a retriever of one's own that keeps the nearest."""
+    from adwatch.plans import collect
+
+    rules = _label_rules(spark, sf).withColumn("title", F.concat(F.lit("L"), F.col("rule_id").cast("string")))
+    for name in ("category", "source", "text"):
+        rules = rules.withColumn(name, F.lit(name))
+    vectors = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("ad_id"), "embedding", "label")
+    search = lambda k: lambda asked, known, key: retrieve.retrieve_rules(asked, known, key, k, 0.2)
+    shown = lambda df, name: df.select("ad_id", F.coalesce(F.array_join("rag_refs", ","), F.lit("")).alias(name))
+    ads = vectors.select("ad_id", "label")
+    all_of, first = (collect.with_rules(ads, vectors.select("ad_id", "embedding"), rules, retriever=search(k)) for k in (3, 1))
+    both = ads.join(shown(all_of, "refs"), "ad_id").join(shown(first, "nearest"), "ad_id")
+    return both.withColumnRenamed("ad_id", "vec_id")
