@@ -64,7 +64,10 @@ def _met(lines: DataFrame, boilerplate: DataFrame) -> DataFrame:
     """The places of boilerplate lines. Hot lines, fewer than ``1 / HOT_SHARE``, are cut into parts."""
     limit = F.greatest(F.lit(HOT_PLACES), boilerplate.agg(F.sum("n_places") * HOT_SHARE).scalar())
     parts = F.ceil(F.col("n_places") / limit).cast("int")
-    hot = F.broadcast(boilerplate.where(F.col("n_places") > limit).select("line", parts.alias("_parts")))
+    often = boilerplate.where(F.col("n_places") > limit).select("line", parts.alias("_parts"))
+    if often.isEmpty():  # of a written table
+        return lines.join(boilerplate.select("line", "first"), "line")
+    hot = F.broadcast(often)
     dealt = lines.join(hot, "line", "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "key", "place"), F.col("_parts"))).otherwise(0).cast("int"))
     every = boilerplate.select("line", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
     return dealt.drop("_parts").join(every, ["line", "_part"]).drop("_part")

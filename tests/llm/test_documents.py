@@ -158,7 +158,7 @@ def line_rows(rng):
             (3, rows[3][1], "s3")]
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     rows = line_rows(random.Random(3))
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("line", F.lit(0))
     got = linededup.dedup(df, min_sites=6)
@@ -181,6 +181,8 @@ def test_line_dedup(spark):
     assert boiler == {"Share this page", "Only here"}  # on six sites and eight; "Terms of use" is on four
     assert Counter((r.doc_id, r.text, r.n_removed_lines) for r in got.collect()) == want
     assert got.columns == ["doc_id", "text", "source", "line", "n_removed_lines"]
+    monkeypatch.setattr(linededup, "HOT_PLACES", 3)  # hot lines are dealt over parts
+    assert Counter((r.doc_id, r.text, r.n_removed_lines) for r in linededup.dedup(df, min_sites=6).collect()) == want
     assert linededup.dedup(df.limit(0)).count() == 0
 
 
