@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,9 +20,12 @@ from adwatch.functions.display import compose_location
 from adwatch.functions.price import strict_price, structured_amount, tolerant_price
 from adwatch.functions.text import after_colon, fold, strip, unescape, unescape_text, visible_html
 from adwatch.operators.checks import identified, missing_fields
-from adwatch.operators.ordering import earliest
+from adwatch.operators.ordering import earliest, first_by_cells
 from adwatch.operators.skew import lookup_join
 
+CELL = 1_000  # pages, and places on a page, that are counted together
+
+
 @F.pandas_udf(T.StringType())
 def _pick_fields(html: pd.Series, selectors: pd.Series) -> pd.Series:
     """JSON object of selected texts, one page with its own selectors per row; a selector that is not understood raises."""
@@ -349,7 +352,8 @@ def capped_listing_links(
     ``pages`` is ``(run, page_no)`` of fetched result pages, ``cards`` is ``(run, page_no, position, link)``.
     A run stops at its first empty page after page 1. ``caps`` is ``(run, max_pages, max_listings)``, as
     :func:`cap_settings` reads them from the selectors of the run's platform: a run stops at ``max_pages`` and after
-    ``max_listings`` distinct links; 0, null, or no row mean no limit.
+    ``max_listings`` distinct links; 0, null, or no row mean no limit. Where a run reaches that number is told by
+    counts per page, so only links of that page are ranked, however many the run has.
     """
     filled = cards.groupBy(run, "page_no").agg(F.lit(True).alias("_filled"))
     stop = (
@@ -364,11 +368,9 @@ def capped_listing_links(
     limits = caps.select(run, F.nullif("max_pages", F.lit(0)).alias("_pages"), F.nullif("max_listings", F.lit(0)).alias("_ads"))
     within = lookup_join(open_cards, limits, [run], "left").where(F.col("_pages").isNull() | (F.col("page_no") <= F.col("_pages")))
     first = earliest(within, [run, "link"], ["page_no", "position"], ["page_no", "position", "_ads"])
-    free = first.where(F.col("_ads").isNull()).drop("_ads")
-    # runs of one cap are cut together, before their rows are shuffled whole
-    rank = F.row_number().over(Window.partitionBy(run).orderBy("page_no", "position", "link"))
-    cut = first.where(F.col("_ads").isNotNull()).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_ads"))
-    return free.unionByName(cut.drop("_ads", "_rank"))
+    page, position = F.col("page_no"), F.col("position")
+    cells = [F.floor(page / CELL), page, F.floor(position / CELL)]
+    return first_by_cells(first, [run], cells, ["page_no", "position", "link"], "_ads").drop("_ads")
 
 
 def cap_settings(selectors: Column, default_pages: int = 1, default_listings: int = 0) -> Column:

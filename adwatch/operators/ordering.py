@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adwatch.operators.skew import lookup_join
+from adwatch.session import settled
+
 
 def _rest(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None) -> list[str]:
     return list(columns) if columns is not None else [c for c in df.columns if c not in keys]
@@ -79,6 +82,38 @@ def with_previous(
     )
 
 
+def first_by_cells(df: DataFrame, keys: Sequence[str], cells: Sequence[Column], order: Sequence[str], limit: str) -> DataFrame:
+    """The first rows of every key in ``order``, as many as the key's ``limit`` says, without ranking any key whole.
+
+    ``cells`` are whole numbers from coarse to fine that never decrease along ``order`` (blocks of pages, pages, blocks of
+    positions). Rows are counted by cell; level by level the counts tell in which cell a key reaches its limit. Rows of
+    earlier cells stay, later ones go, and only the rows of that one cell are ranked. A window group holds the cells of
+    one level inside one cell of the level above, or the rows of one finest cell. ``limit`` is the same in all rows of a key:
+    null keeps all rows, 0 or less none. Rows with a null key have no limit. End ``order`` with a unique column.
+    """
+    keys, names = list(keys), [f"_cell{i}" for i in range(len(cells))]
+    numbers = [F.coalesce(c.cast("long"), F.lit(-(2**63))).alias(n) for c, n in zip(cells, names)]  # nulls come first in order
+    rows = settled(df.where(F.col(limit).isNull() | (F.col(limit) > 0)).select("*", *numbers))
+    limited = rows.where(F.col(limit).isNotNull())
+    left = settled(limited.groupBy(*keys, *names, F.col(limit).cast("long").alias("_need")).agg(F.count(F.lit(1)).alias("_n")))
+    edge = None
+    for i in range(len(names)):
+        path = names[: i + 1]
+        inside = left if edge is None else left.drop("_need").join(edge, [*keys, *names[:i]])
+        sums = inside.groupBy(*keys, *path, "_need").agg(F.sum("_n").alias("_n"))
+        reached = F.sum("_n").over(Window.partitionBy(*keys).orderBy(names[i]))
+        sums = sums.withColumn("_before", reached - F.col("_n"))
+        here = (F.col("_before") < F.col("_need")) & (F.col("_before") + F.col("_n") >= F.col("_need"))
+        edge = sums.where(here).select(*keys, *path, (F.col("_need") - F.col("_before")).alias("_need"))
+    edges = edge.select(*keys, F.struct(*names).alias("_edge"), "_need")
+    placed = settled(lookup_join(rows, edges, keys, "left").withColumn("_cell", F.struct(*names)))
+    extra = [*names, "_edge", "_need", "_cell"]
+    before = placed.where(F.col("_edge").isNull() | (F.col("_cell") < F.col("_edge"))).drop(*extra)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    last = placed.where(F.col("_cell") == F.col("_edge")).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_need"))
+    return before.unionByName(last.drop(*extra, "_rank"))
+
+
 def _changes(batch: pa.RecordBatch, keys: Sequence[str], last: list | None) -> np.ndarray:
     """Whether a row has the keys of the row before it; ``last`` holds the keys before the batch."""
     same = np.ones(batch.num_rows, bool)

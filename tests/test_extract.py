@@ -1,6 +1,7 @@
 """Extraction on small page tables."""
 
 import json
+import random
 
 import pytest
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from adwatch import fixed
 from adwatch.functions import markup as M
 from adwatch.operators import extract as X
+from adwatch.operators.ordering import first_by_cells
 from adwatch.plans import collect as C
 from adwatch.sources import readers
 
@@ -187,3 +189,23 @@ def test_unsupported_selectors_raise(selector):
 
     with pytest.raises(markup.UnsupportedSelector):
         list(markup.select(markup.parse(PAGE), selector))
+
+
+@pytest.mark.parametrize("cell", [2, 7, 1_000])
+def test_first_rows_by_cells(spark, cell):
+    """One run with most links, ties, nulls, limits of all kinds: as many rows as a rank of whole runs keeps."""
+    draw = random.Random(cell)
+    limits = {0: 430, 1: 3, 2: None, 3: 0, 4: 10_000, 5: 20, None: 2}
+    runs = [0] * 900 + [draw.choice([1, 2, 3, 4, 5, None]) for _ in range(400)]
+    rows = [(r, draw.choice([None, *range(1, 9)]), draw.choice([None, *range(30)]), i, limits[r]) for i, r in enumerate(runs)]
+    df = spark.createDataFrame(rows, "run_id int, page_no int, position int, link int, most int")
+    cells = [F.floor(F.col("page_no") / cell), F.col("page_no"), F.floor(F.col("position") / cell)]
+    got = first_by_cells(df, ["run_id"], cells, ["page_no", "position", "link"], "most")
+    assert got.columns == df.columns
+    wanted = set()
+    for run, most in limits.items():
+        ranked = sorted((r for r in rows if r[0] == run), key=lambda r: tuple(-1 if v is None else v for v in r[1:4]))
+        wanted |= set(ranked if run is None else ranked[:most])
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(wanted) and set(found) == wanted
+    assert first_by_cells(df.limit(0), ["run_id"], cells, ["link"], "most").count() == 0
