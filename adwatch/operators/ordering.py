@@ -15,7 +15,6 @@ from operator import and_
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,9 +138,10 @@ def previous_by_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], c
         raise ValueError("a distributed scan needs spark.sql.exchange.reuse")
     dealt = df.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, *order).sortWithinPartitions(*keys, *order)
     names, kept = list(carried), dealt.schema.fields
-    extra = T.StructType.fromDDL("has_previous boolean, position long, _part int, _lead boolean")
+    dealt = dealt.withColumn("_part", F.spark_partition_id())  # a task's own number moves where the result is part of a union
+    extra = T.StructType.fromDDL("has_previous boolean, position long, _lead boolean")
     before = [T.StructField(f"_b{i}", dealt.schema[c].dataType) for i, c in enumerate(names)]
-    inner = T.StructType([*kept, *before, *extra.fields])
+    inner = T.StructType([*dealt.schema.fields, *before, *extra.fields])
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Each batch with: same key as before, place in the key's rows of this range, row of the range's first key."""
@@ -159,7 +159,7 @@ def previous_by_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], c
                 yield batch, same, place, leading
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), None
+        held = None
         for batch, same, place, leading in passed(batches):
             mask, shifted = pa.array(same), []
             for i, name in enumerate(names):
@@ -167,8 +167,7 @@ def previous_by_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], c
                 head = pa.nulls(1, column.type) if held is None else held[i]
                 shifted.append(pc.if_else(mask, pa.concat_arrays([head, column.slice(0, len(column) - 1)]), pa.nulls(len(column), column.type)))
             held = [pa.concat_arrays([batch.column(n).slice(batch.num_rows - 1)]) for n in names]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, *shifted, mask, pa.array(place), pa.array(np.full(n, part, np.int32)), pa.array(leading)], names=inner.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *shifted, mask, pa.array(place), pa.array(leading)], names=inner.names)
 
     ends = T.StructType([T.StructField("_part", T.IntegerType()),
                          *[T.StructField(f"_{at}{i}", dealt.schema[k].dataType) for at in "fl" for i, k in enumerate(keys)],
@@ -177,11 +176,11 @@ def previous_by_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], c
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = None
         for batch, same, place, leading in passed(batches):
-            first = first or [batch.column(k).slice(0, 1) for k in keys]
+            first = first or [batch.column(k).slice(0, 1) for k in ("_part", *keys)]
             end = batch.num_rows - 1
             row = [*first, *[batch.column(c).slice(end) for c in (*keys, *names)], pa.array([int(place[-1]) + 1]), pa.array([bool(leading[-1])])]
         if first:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *row], names=ends.names)
+            yield pa.RecordBatch.from_arrays(row, names=ends.names)
 
     across = Window.orderBy("_part")  # one row per range
     same_key = reduce(and_, [F.col(f"_f{i}").eqNullSafe(F.lag(f"_l{i}").over(across)) for i in range(len(keys))])
