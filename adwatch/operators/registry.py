@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adwatch import fixed
-from adwatch.operators.ordering import earliest, latest
+from adwatch.operators.ordering import earliest, latest, previous_by_scan
+from adwatch.operators.skew import lookup_join
+from adwatch.session import settled
 
 MODEL_KEY = ("agent", "model_name", "prompt_version", "prompt_hash")
 
@@ -102,67 +104,54 @@ def run_state(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return begun.join(closed, "run_id", "left").withColumn("status", F.coalesce("status", F.lit("running")))
 
 
-def extractor_states(versions: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Current status of every extractor version.
+def version_parts(versions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Mergeable state of extractor versions, one row per version: ``(version_id, platform, initial, first)``.
 
     ``versions`` is ``(version_id, platform, initial)``: ``initial`` marks versions active from the start.
     ``decisions`` is ``(decision_id, version_id, decision, decided_at, decided_by)`` with ``approve`` or ``reject``.
-    Only a pending version can be decided, so its first decision counts. An approval retires the version that was
-    active on the platform, at the time of that approval.
+    Only a pending version can be decided, so of its decisions the first is kept. A decision may come in an earlier
+    batch than its version: both halves may be null until they meet in :func:`merge_versions`.
     """
-    candidates = versions.where(~F.col("initial"))
-    first = earliest(
-        decisions.join(candidates.select("version_id", "platform"), "version_id"),
-        ["version_id"],
-        ["decided_at", "decision_id"],
-        ["platform", "decision", "decided_at", "decision_id", "decided_by"],
-    )
-    approved = first.where(F.col("decision") == "approve")
-    # Approvals are few per platform: one per version ever activated there.
-    newest = approved.groupBy("platform").agg(
-        F.max(F.struct("decided_at", "decision_id")).alias("_last"), F.min(F.struct("decided_at", "decision_id")).alias("_first")
-    )
-    decided = first.select("version_id", "decision", "decided_at", "decision_id", "decided_by")
-    joined = versions.join(decided, "version_id", "left").join(newest, "platform", "left")
-    own = F.struct("decided_at", "decision_id")
-    status = (
-        F.when(F.col("initial") & F.col("_last").isNull(), "active")
-        .when(F.col("initial"), "superseded")
-        .when(F.col("decision").isNull(), "pending")
-        .when(F.col("decision") == "reject", "rejected")
-        .when(own == F.col("_last"), "active")
-        .otherwise("superseded")
-    )
-    retired = _next_approval(approved)
-    return (
-        joined.withColumn("status", status)
-        .join(retired, "version_id", "left")
-        .select(
-            "version_id",
-            "platform",
-            "status",
-            F.when(F.col("status") == "superseded", F.when(F.col("initial"), F.col("_first")["decided_at"]).otherwise(F.col("_retired_at")))
-            .otherwise(F.col("decided_at"))
-            .alias("decided_at"),
-            "decided_by",
-        )
-    )
+    moment = F.struct("decided_at", "decision_id", "decision", "decided_by").alias("first")
+    taken = decisions.where(F.col("version_id").isNotNull()).select("version_id", moment)
+    halves = versions.select("version_id", "platform", "initial").unionByName(taken, allowMissingColumns=True)
+    return merge_versions(halves)
 
 
-def _next_approval(approved: DataFrame) -> DataFrame:
-    """For each approved version, when the next approval on its platform came.
+def merge_versions(states: DataFrame) -> DataFrame:
+    """One row per version from partial states; their order and grouping don't matter, and a repeated one changes nothing."""
+    return states.groupBy("version_id").agg(F.min("platform").alias("platform"), F.max("initial").alias("initial"), F.min("first").alias("first"))
 
-    Approvals read in descending order turn "next" into "previous", and days bound the window groups.
+
+def version_statuses(state: DataFrame) -> DataFrame:
+    """Current status of every version of a merged state.
+
+    An approval retires the version that was active on the platform, at the time of that approval. The approvals of a
+    platform are read backwards in one scan over sorted ranges: the row before is the approval that came next.
+    Approvals at the same time are ordered by their decision.
     """
-    from adwatch.operators.ordering import with_previous
+    known = settled(state.where(F.col("platform").isNotNull()))
+    first, shown = F.col("first"), ("version_id", "platform", "status", "decided_at", "decided_by")
+    own = (first["decided_at"].alias("decided_at"), first["decided_by"].alias("decided_by"))
+    candidates = known.where(~F.col("initial"))
+    open_ = candidates.where(first.isNull()).select("version_id", "platform", F.lit("pending").alias("status"), *own)
+    refused = candidates.where(first["decision"] == "reject").select("version_id", "platform", F.lit("rejected").alias("status"), *own)
+    approved = candidates.where(first["decision"] == "approve").select(
+        "version_id", "platform", *own, (-F.unix_micros(first["decided_at"].cast("timestamp"))).alias("_back"), (-first["decision_id"]).alias("_tie"))
+    chained = previous_by_scan(approved, ["platform"], ["_back", "_tie"], {"decided_at": "_next"})
+    retired = F.col("has_previous")
+    chained = chained.withColumn("status", F.when(retired, "superseded").otherwise("active")).withColumn(
+        "decided_at", F.when(retired, F.col("_next")).otherwise(F.col("decided_at")))
+    edges = approved.groupBy("platform").agg(F.min("decided_at").alias("decided_at"), F.lit("superseded").alias("status"))
+    seeds = known.where("initial").select("version_id", "platform", F.lit(None).cast("string").alias("decided_by"))
+    seeds = lookup_join(seeds, edges, ["platform"], "left").withColumn("status", F.coalesce("status", F.lit("active")))
+    parts = [part.select(*shown) for part in (open_, refused, chained, seeds)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
-    backwards = approved.select(
-        "platform", "version_id", "decided_at",
-        (-F.unix_micros(F.col("decided_at").cast("timestamp"))).alias("_back"), (-F.col("decision_id")).alias("_tie"),
-    )
-    day = F.floor(F.col("_back") / 86_400_000_000)
-    chained = with_previous(backwards, ["platform"], ["_back", "_tie"], day, {"decided_at": "_retired_at"})
-    return chained.select("version_id", "_retired_at")
+
+def extractor_states(versions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Current status of every extractor version; see :func:`version_parts` and :func:`version_statuses`."""
+    return version_statuses(version_parts(versions, decisions))
 
 
 def active_versions(states: DataFrame) -> DataFrame:

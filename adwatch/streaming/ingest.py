@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from adwatch.operators import identity as I
+from adwatch.operators import registry as R
 
 SIX_HOURS = "6 hours"
 
@@ -29,7 +30,7 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _put(df: DataFrame, path: str, batch_id: int) -> None:
+def _put(df: DataFrame, path: str, batch_id: int | str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch_id={batch_id}")
 
 
@@ -96,6 +97,26 @@ def ingest_observations(stream: DataFrame, root: str, checkpoint: str, every: st
     return _start(writer.option("checkpointLocation", checkpoint), every)
 
 
+def append_decisions(batch: DataFrame, batch_id: int | str, root: str, versions: DataFrame | None = None) -> None:
+    """Store the partial state that a batch of decisions (and of new versions) makes; nothing stored earlier is read.
+
+    A batch that runs twice overwrites itself, and merging a part twice would change nothing either.
+    """
+    fresh = batch.sparkSession.createDataFrame([], "version_id long, platform string, initial boolean") if versions is None else versions
+    _put(R.version_parts(fresh, batch), f"{root}/versions", batch_id)
+
+
+def ingest_decisions(stream: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Fold a stream of decisions on extractor versions into partial states, one per batch."""
+    writer = stream.writeStream.foreachBatch(lambda batch, batch_id: append_decisions(batch, batch_id, root))
+    return _start(writer.option("checkpointLocation", checkpoint), every)
+
+
+def version_states(spark: SparkSession, root: str) -> DataFrame:
+    """Current status of every version after all batches, equal to ``registry.extractor_states`` over all decisions."""
+    return R.version_statuses(R.merge_versions(spark.read.parquet(f"{root}/versions").drop("batch_id")))
+
+
 def append_stream(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append facts (scores, decisions, events) from a stream; the file sink writes each batch exactly once."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)

@@ -363,6 +363,47 @@ def test_extractor_decisions(spark):
     assert R.several_active(states).count() == 0 and [r.name for r in R.active_platforms(states).collect()] == ["p"]
 
 
+def test_version_states_merge(spark, folder):
+    """Parts in any cut and order, some twice, give what one fold gives; two approvals at one time follow their decision."""
+    from adwatch.streaming import ingest
+
+    draw = random.Random(5)
+    rows = [(i, f"p{i % 3}" if i < 60 else "hot", i % 20 == 0) for i in range(240)]
+    versions = spark.createDataFrame(rows, "version_id long, platform string, initial boolean")
+    made = [(i, draw.randrange(250), draw.choice(["approve", "reject"]), draw.randrange(1, 40), f"b{i}") for i in range(300)]
+    made += [(900, 3, "approve", 39, "x"), (901, 6, "approve", 39, "y"), (902, None, "approve", 1, "z")]
+    schema = "decision_id long, version_id long, decision string, t long, decided_by string"
+
+    def taken(some):
+        return spark.createDataFrame(some, schema).withColumn("decided_at", F.timestamp_seconds("t")).drop("t")
+
+    first = {}
+    for n, version, decision, t, who in made:
+        if version is not None and (version not in first or (t, n) < first[version][:2]):
+            first[version] = (t, n, decision, who)
+    wanted = {}
+    for version, platform, initial in rows:
+        line = sorted(first[v][:2] for v, p, seed in rows if p == platform and not seed and v in first and first[v][2] == "approve")
+        t, n, decision, who = first.get(version, (None,) * 4)
+        if initial:
+            wanted[version] = ("superseded", line[0][0], None) if line else ("active", None, None)
+        elif decision == "approve":
+            later = [m for m in line if m > (t, n)]
+            wanted[version] = ("superseded", later[0][0], who) if later else ("active", t, who)
+        else:
+            wanted[version] = ("pending", None, None) if decision is None else ("rejected", t, who)
+
+    def shown(states):
+        return {r.version_id: (r.status, r.s, r.decided_by) for r in states.select("*", F.unix_timestamp("decided_at").alias("s")).collect()}
+
+    assert shown(R.extractor_states(versions, taken(made))) == wanted
+    ingest.append_decisions(taken(made[150:]), 0, folder)  # before the versions, and later decisions first
+    for _ in range(2):
+        ingest.append_decisions(taken(made[:200]), 1, folder, versions)
+    assert shown(ingest.version_states(spark, folder)) == wanted
+    assert R.extractor_states(versions.limit(0), taken(made)).count() == 0
+
+
 def test_null_safe_dimension(spark):
     keys = "agent string, model_name string, prompt_version string, prompt_hash string"
     known = spark.createDataFrame([("a", "m", None, None, 7)], f"{keys}, model_version_id long")
@@ -412,6 +453,8 @@ def test_previous_row_by_scan(spark, parts):
         for i, (s, v, w) in enumerate(seen):
             want[key, s] = (v, w, *(seen[i - 1][1:] if i else (None, None)), i > 0, i)
     assert {(r.k, r.s): tuple(r)[2:] for r in got.collect()} == want
+    both = df.limit(0).selectExpr("*", "NULL AS before").unionByName(got.select("k", "s", "v", "w", "before"))  # tasks of a union are numbered anew
+    assert {(r.k, r.s): r.before for r in both.collect()} == {k: v[2] for k, v in want.items()}
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
     assert O.previous_by_scan(df.limit(0), ["k"], ["s"], {"v": "before"}, parts).collect() == []
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from adwatch.operators import checks
 from adwatch.operators import registry as R
+from adwatch.streaming import ingest
 from workload import query
 from workload import views as V
+from workload.streams import _arriving, work_folder
 
 # --- platforms ------------------------------------------------------------------------------------------------
 
@@ -136,7 +138,8 @@ def _version_id():
     return F.floor("value") * 1000 + F.col("user_id")
 
 
-def _states(spark, sf):
+def _versions(spark, sf):
+    """Versions, some active from the start, and the decisions on them."""
     events = V.table(spark, sf, "events")
     decision = F.when(F.col("event_type").isin("purchase", "click"), "approve").otherwise("reject")
     decisions = events.select(
@@ -149,7 +152,11 @@ def _states(spark, sf):
     seeds = V.table(spark, sf, "nation").select(
         (F.lit(-1) - F.col("n_nationkey").cast("long")).alias("version_id"), F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("platform"), F.lit(True).alias("initial")
     )
-    return R.extractor_states(candidates.unionByName(seeds), decisions)
+    return candidates.unionByName(seeds), decisions
+
+
+def _states(spark, sf):
+    return R.extractor_states(*_versions(spark, sf))
 
 
 @query("extractor_states", f"WITH {_STATE_SQL} SELECT version_id, platform, status, {V.stamp_sql('decided_at')} AS decided, decided_by FROM states")
@@ -157,6 +164,19 @@ def extractor_states(spark, sf):
     return _states(spark, sf).select("version_id", "platform", "status", V.stamp("decided_at").alias("decided"), "decided_by")
 
 
+@query("stream_versions", f"WITH {_STATE_SQL} SELECT version_id, platform, status, {V.stamp_sql('decided_at')} AS decided, decided_by FROM states")
+def stream_versions(spark, sf):
+    """Decisions arrive in batches, partly before their versions; one batch is stored twice."""
+    versions, decisions = _versions(spark, sf)
+    root = work_folder(spark)
+    stream = _arriving(spark, decisions.withColumn("seq", F.col("decision_id")), root)
+    ingest.ingest_decisions(stream.drop("seq"), root, f"{root}/checkpoint").awaitTermination()
+    early = decisions.where(F.col("decision") == "approve")
+    for _ in range(2):
+        ingest.append_decisions(early, "versions", root, versions)
+    return ingest.version_states(spark, root).select("version_id", "platform", "status", V.stamp("decided_at").alias("decided"), "decided_by")
+
+
 @query("active_platforms", f"WITH {_STATE_SQL} SELECT DISTINCT platform AS name FROM states WHERE status = 'active'")
 def active_platforms(spark, sf):
     return R.active_platforms(_states(spark, sf))
