@@ -7,12 +7,13 @@ compaction folds old parts into a base; readers use the newest base plus the par
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from adwatch.operators import identity as I
 from adwatch.operators import registry as R
@@ -91,6 +92,53 @@ def batch_balance(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+class SeenAds(StatefulProcessor):
+    """Keeps in the stream's state store how often an ad was observed, and tells at every batch whether it is new."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._observed = handle.getValueState("observed", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        fresh = sum(row["n"] for row in rows)
+        before = self._observed.get()[0] if self._observed.exists() else 0
+        self._observed.update((before + fresh,))
+        yield Row(**dict(zip(I.KEY, key)), n=fresh, observation_count=before + fresh, is_new=before == 0)
+
+    def close(self) -> None:
+        pass
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows per key of every Arrow batch, so that an ad seen very often sends few rows to the task of its state."""
+    for batch in batches:
+        counts = pa.Table.from_batches([batch]).group_by(list(I.KEY)).aggregate([([], "count_all")])
+        yield from counts.rename_columns([*I.KEY, "n"]).to_batches()
+
+
+def tell_new_ads(stream: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Tell the new and the known ads of a batch when it arrives: ``arrivals`` under the batch's id.
+
+    A row per ad of the batch: how often the batch holds it, how often it was observed so far, and whether it is new. The
+    numbers come from keyed state that lies in the checkpoint with the batch, so nothing stored is merged or read, and a
+    batch that runs again after a restart starts from the state before it. A known ad stays known however old it is, so the
+    state has no watermark and holds one number per ad, in RocksDB (``session.SETTINGS``). Observations without an identity
+    are left out.
+    """
+    usable = stream.where(F.col("platform").isNotNull() & F.col("external_id").isNotNull() & (F.col("external_id") != ""))
+    counted = usable.select(*I.KEY).mapInArrow(_counted, "platform string, external_id string, n long")
+    told = counted.groupBy(*I.KEY).transformWithState(
+        SeenAds(), "platform string, external_id string, n long, observation_count long, is_new boolean", "Update", "None")
+    writer = told.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: _put(batch, f"{root}/arrivals", batch_id))
+    return _start(writer.option("checkpointLocation", checkpoint), every)
+
+
+def told_balance(spark: SparkSession, root: str) -> DataFrame:
+    """Per batch: observations, new ads and observations of known ads, as :func:`tell_new_ads` told them."""
+    inserted = F.count_if("is_new")
+    arrivals = spark.read.parquet(f"{root}/arrivals").groupBy("batch_id")
+    return arrivals.agg(F.sum("n").alias("total"), inserted.alias("inserted"), (F.sum("n") - inserted).alias("observed"))
+
+
 def ingest_observations(stream: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Run the upsert on a stream: once over what is there, or again and again (``every="6 hours"``)."""
     writer = stream.writeStream.foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, root))

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from adwatch import fixed, schema
@@ -198,3 +200,45 @@ def test_failed_ads_stay_open(spark, folder):
     assert sorted(r.id for r in spark.read.json(f"{folder}/e").collect()) == ["1", "2"]
     ingest.evaluate_rest(ads, f"{folder}/r", f"{folder}/e", score([2]))
     assert calls == [6, 2] and readers.read_results(spark, f"{folder}/r").count() == 5
+
+
+def test_new_ads_are_told_on_arrival(spark, folder, monkeypatch):
+    """Balances told from keyed state equal those of the fold over all batches, also where a batch fails and runs again."""
+    from adwatch.session import SETTINGS
+
+    for name, value in SETTINGS.items():
+        if "stateStore" in name:
+            spark.conf.set(name, value)
+    batches = [[("p", "a", 1), ("p", "a", 2), ("p", "b", 3), (None, "a", 4), ("p", None, 5), ("p", "", 6)], [("p", "a", 7), ("q", "a", 8)],
+               [("q", "a", 9)] * 40 + [("p", "é", 9), ("p", "b", 9)]]
+    frames = [observations(spark, [(*r, 0, "t") for r in b]).coalesce(1) for b in batches]
+    put, calls = ingest._put, []
+
+    def failing(df, path, batch_id):
+        put(df, path, batch_id)
+        calls.append(batch_id)
+        if calls == [0, 1]:
+            raise OSError("lost")
+
+    monkeypatch.setattr(ingest, "_put", failing)
+
+    def run():
+        stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        ingest.tell_new_ads(stream, folder, f"{folder}/ck").awaitTermination()
+
+    for f in frames[:2]:
+        f.write.mode("append").parquet(f"{folder}/in")
+    with pytest.raises(StreamingQueryException):
+        run()
+    frames[2].write.mode("append").parquet(f"{folder}/in")
+    run()
+    assert calls == [0, 1, 1, 2]
+    for i, f in enumerate(frames):
+        ingest.append_batch(f.where("platform IS NOT NULL"), i, f"{folder}/fold")
+
+    def shown(balance):
+        return {tuple(r) for r in balance.select("batch_id", "total", "inserted", "observed").collect()}
+
+    assert shown(ingest.told_balance(spark, folder)) == shown(ingest.batch_balance(spark, f"{folder}/fold")) == {(0, 3, 2, 1), (1, 2, 1, 1), (2, 42, 1, 41)}
+    told = spark.read.parquet(f"{folder}/arrivals").where("batch_id = 2")
+    assert {tuple(r) for r in told.drop("batch_id").collect()} == {("q", "a", 40, 41, False), ("p", "é", 1, 1, True), ("p", "b", 1, 2, False)}

@@ -56,6 +56,20 @@ def stream_balance(spark, sf):
     return balance.agg(*[F.sum(c).alias(c) for c in ("total", "inserted", "observed")])
 
 
+@query("stream_new_ads", V.ctes(V.OBSERVATIONS) + """
+SELECT platform, external_id, count(*)::BIGINT AS observations, 1::BIGINT AS times_new FROM observations WHERE external_id IS NOT NULL GROUP BY 1, 2""")
+def stream_new_ads(spark, sf):
+    """Every ad is told as new once, by the batch that holds it first, over two runs of the stream."""
+    root = work_folder(spark)
+    rows = known(spark, sf)
+    stream = _arriving(spark, rows.where("seq % 2 = 0"), root)
+    ingest.tell_new_ads(stream, root, f"{root}/checkpoint").awaitTermination()
+    rows.where("seq % 2 = 1").repartition(2).write.mode("append").parquet(f"{root}/landing")
+    ingest.tell_new_ads(stream, root, f"{root}/checkpoint").awaitTermination()
+    arrivals = spark.read.parquet(f"{root}/arrivals")
+    return arrivals.groupBy("platform", "external_id").agg(F.sum("n").alias("observations"), F.count_if("is_new").alias("times_new"))
+
+
 @query("stream_scores", V.ctes(V.SCORES) + "SELECT score_id, listing_id, suspicion_score::DOUBLE AS suspicion_score FROM scores")
 def stream_scores(spark, sf):
     root = work_folder(spark)
