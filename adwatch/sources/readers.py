@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adwatch import fixed, schema
+from adwatch.sources.elements import json_objects
 
 CORRUPT = "_corrupt_record"
 
@@ -16,6 +17,12 @@ def read_ads(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
     return spark.read.schema(schema.EVAL_AD).option("multiLine", multiline).json(path)
 
 
+def read_ad_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation ads of JSON arrays of any size: a file is read by as many tasks as it has splits."""
+    objects = json_objects(spark, path)
+    return objects.select(F.from_json("value", schema.EVAL_AD).alias("ad")).select("ad.*")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Ground truth: a JSON object keyed by ad id under ``labels``."""
     doc = spark.read.schema(f"labels map<string,{schema.EVAL_LABEL}>").option("multiLine", True).json(path)
@@ -40,9 +47,9 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results_object(spark: SparkSession, path: str) -> DataFrame:
-    """Earlier results as one JSON object keyed by ad id."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{schema.EVAL_RESULT}>").alias("r"))
-    return doc.select(F.explode("r").alias("id", "_r")).select("id", "_r.*")
+    """Earlier results as one JSON object keyed by ad id, read by as many tasks as the file has splits."""
+    objects = json_objects(spark, path)
+    return objects.select(F.col("key").alias("id"), F.from_json("value", schema.EVAL_RESULT).alias("_r")).select("id", "_r.*")
 
 
 def read_rule_files(spark: SparkSession, folder: str) -> DataFrame:

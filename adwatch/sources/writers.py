@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -113,6 +115,20 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Rows as JSON arrays, one array per file; every task writes its own."""
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array([lead + text])], names=["value"])
+                lead = ","
+        yield pa.record_batch([pa.array(["[]" if lead == "[" else "]"])], names=["value"])
+
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(bracketed, "value string")
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "static").text(path)
+
+
 def write_reports(headers: DataFrame, ads: DataFrame, path: str) -> None:
     """Reports by run: ``headers/run_id=N`` holds the document head, ``ads/run_id=N`` its ordered lines."""
     headers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{path}/headers")

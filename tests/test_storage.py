@@ -2,9 +2,10 @@
 
 import json
 import os
+import random
 
 import pytest
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import PythonException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from adwatch import fixed, schema
@@ -12,6 +13,7 @@ from adwatch.operators import audit as A
 from adwatch.operators import checks
 from adwatch.operators import identity as I
 from adwatch.sources import readers, writers
+from adwatch.sources.elements import json_objects
 from adwatch.streaming import ingest
 from test_operators import chained, sample
 
@@ -242,3 +244,39 @@ def test_new_ads_are_told_on_arrival(spark, folder, monkeypatch):
     assert shown(ingest.told_balance(spark, folder)) == shown(ingest.batch_balance(spark, f"{folder}/fold")) == {(0, 3, 2, 1), (1, 2, 1, 1), (2, 42, 1, 41)}
     told = spark.read.parquet(f"{folder}/arrivals").where("batch_id = 2")
     assert {tuple(r) for r in told.drop("batch_id").collect()} == {("q", "a", 40, 41, False), ("p", "é", 1, 1, True), ("p", "b", 1, 2, False)}
+
+
+@pytest.mark.parametrize("small_rows", [10_000, 3])
+def test_huge_json_is_read_by_many_tasks(spark, folder, small_rows):
+    """Objects over splits of some hundred bytes: strings with quotes, brackets and escapes, nested objects, one object over many splits."""
+    draw = random.Random(3)
+    signs = ["a", "é", '"', "\\", "{", "}", "[", "]", ",", ":", "\n", "}{", '\\"']
+    word = lambda most: "".join(draw.choice(signs) for _ in range(draw.randrange(most)))
+    ads = [{"id": i, "title": word(30), "x": {"y": [word(5), {"z": word(3_000 if i == 40 else 8)}]}} for i in range(150)] + [{}]
+    by_key = {f"{word(8)}{i}": ad for i, ad in enumerate(ads)}
+    os.makedirs(f"{folder}/mixed")
+    put(f"{folder}/array.json", json.dumps(ads, indent=1, ensure_ascii=False))
+    put(f"{folder}/object.json", json.dumps(by_key))
+    put(f"{folder}/mixed/plain.json", '[1, {"a": "x"}, "}", null, {"a": "y"}]')
+    put(f"{folder}/mixed/empty.json", "")
+    put(f"{folder}/mixed/none.json", "[]\n")
+    put(f"{folder}/deep.json", '{"labels": {"1": {"a": 1}, "2": {"a": 2}}}')
+    put(f"{folder}/bad.json", '[[{"a": 1}]]')
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("499", "0")):
+        spark.conf.set(n, v)
+    try:
+        read = lambda name, level=1: json_objects(spark, f"{folder}/{name}", level, small_rows)
+        assert spark.read.option("lineSep", "}").text(f"{folder}/array.json").rdd.getNumPartitions() > 20
+        plain = lambda rows: sorted(json.dumps(r, sort_keys=True) for r in rows)
+        found = read("array.json").collect()
+        assert plain(json.loads(r.value) for r in found) == plain(ads) and {r.key for r in found} == {None}
+        assert {r.key: json.loads(r.value) for r in read("object.json").collect()} == by_key
+        assert sorted(json.loads(r.value)["a"] for r in read("mixed").collect()) == ["x", "y"]
+        assert {r.key for r in read("deep.json", 2).collect()} == {"1", "2"}
+        with pytest.raises(PythonException, match="not an object"):
+            read("bad.json").collect()
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)

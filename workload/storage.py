@@ -23,6 +23,27 @@ def ads_files(spark, sf):
     return readers.read_ads(spark, f"{root}/ads", multiline=False).select("id", "title", "platform", "price")
 
 
+@query("array_files", "SELECT doc_id AS id, lang AS platform, '}{\"[' || text AS description, n_chars::BIGINT AS price FROM documents")
+def array_files(spark, sf):
+    """Evaluation ads as JSON arrays; texts hold quotes, brackets and line ends."""
+    root = work_folder(spark)
+    ads = V.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("platform"), F.concat(F.lit('}{"['), "text").alias("description"), F.col("n_chars").cast("long").alias("price"))
+    writers.write_json_arrays(ads, f"{root}/ads")
+    return readers.read_ad_arrays(spark, f"{root}/ads").select("id", "platform", "description", "price")
+
+
+@query("result_objects", "SELECT doc_id::VARCHAR AS id, toxic / 1.0::DOUBLE AS llm_score, quality = 1 AS kw_flag FROM labels")
+def result_objects(spark, sf):
+    """Earlier results as JSON objects of at most 1,000 ads, several to a file."""
+    root = work_folder(spark)
+    results = V.table(spark, sf, "labels").select(
+        "doc_id", F.col("doc_id").cast("string").alias("id"), F.struct(F.col("toxic").cast("double").alias("llm_score"), (F.col("quality") == 1).alias("kw_flag")).alias("r"))
+    objects = results.groupBy(F.floor(F.col("doc_id") / 1000).alias("_block")).agg(F.map_from_entries(F.collect_list(F.struct("id", "r"))).alias("m"))
+    objects.select(F.to_json("m").alias("value")).write.text(f"{root}/results")
+    return readers.read_results_object(spark, f"{root}/results").select("id", "llm_score", "kw_flag")
+
+
 @query("label_files", "SELECT doc_id::VARCHAR AS id, toxic = 1 AS suspect, CASE WHEN quality = 1 THEN 'facile' END AS difficulte FROM labels")
 def label_files(spark, sf):
     """Ground truth as JSON lines; absent fields are null."""
