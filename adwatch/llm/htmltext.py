@@ -31,7 +31,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -320,7 +319,7 @@ def extract(df: DataFrame, page: str = "html", url: str = "url", page_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Decide pages of a sorted range; those at its ends go to the places where ranges meet, with what they need."""
-        part = TaskContext.get().partitionId()
+        part = 0
         window: deque = deque()  # (values, blocks, page), up to 2 * REACH before the page that is decided and REACH after
         seen = 0
         out_rows: list[dict] = []
@@ -338,6 +337,8 @@ def extract(df: DataFrame, page: str = "html", url: str = "url", page_id: str =
 
         for batch in batches:
             columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*kept, page, "_host"]}
+            if batch.num_rows:  # the range's own number: a task's number moves where the result is part of a union
+                part = batch.column(batch.schema.get_field_index("_range"))[0].as_py()
             for n in range(batch.num_rows):
                 cut = blocks(columns[page][n])
                 window.append(({c: columns[c][n] for c in kept}, cut, known(columns["_host"][n], *cut)))
@@ -378,7 +379,8 @@ def extract(df: DataFrame, page: str = "html", url: str = "url", page_id: str =
                 done.append(item | {out: _text(item["_lines"], lost)})
         return pa.table([pa.array([d[f.name] for d in done], _arrow(f.dataType)) for f in schema.fields], names=schema.names)
 
-    held = dealt.select(*[f"`{f.name}`" for f in carried.fields], f"`{page}`", "_host", "_path", "_key", "_tie").mapInArrow(run, held_schema)
+    held = dealt.select(*[f"`{f.name}`" for f in carried.fields], f"`{page}`", "_host", "_path", "_key", "_tie", F.spark_partition_id().alias("_range")).mapInArrow(
+        run, held_schema)
     inner = held.where("_meet IS NULL").select(*schema.names)
     return inner.unionAll(held.where("_meet IS NOT NULL").groupBy("_meet").applyInArrow(meet, schema))
 
