@@ -24,9 +24,10 @@ BLOCK_FLOATS = 1_000_000
 SHARD_FLOATS = 4_000_000
 CLUSTERS = 1_024
 FEW_CLUSTERS = 8
+#: Numbers of one product of queries and rules, or of the rows that a batch of queries sends to clusters, at one time.
+CELLS = 1_000_000
 #: Places to which a cosine is rounded before it is compared, so that the order of a sum's terms decides nothing.
 PLACES = 12
-CELLS = 4_000_000
 
 
 def _matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,12 +40,20 @@ def _matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[fine] / length[fine, None], kept[fine]
 
 
+def _slices(batch: pa.RecordBatch | pa.Table, width: int) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Parts of a batch that make at most ``CELLS`` numbers at ``width`` a row, one row at least: a task holds no more at once."""
+    step = max(1, CELLS // max(1, width))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def _hits(queries: np.ndarray, rules: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, rule and cosine of the ``k`` best per query; equal cosines keep rule order."""
     found = []
     step = max(1, CELLS // max(1, len(rules)))
     for at in range(0, len(queries), step):
-        cosine = np.round(queries[at:at + step] @ rules.T, PLACES)
+        cosine = queries[at:at + step] @ rules.T
+        np.round(cosine, PLACES, out=cosine)
         row, rule = np.nonzero(cosine >= threshold)
         value = cosine[row, rule]
         order = np.lexsort((rule, -value, row))
@@ -135,7 +144,7 @@ def cluster_rules(known: DataFrame, dim: int, clusters: int) -> tuple[DataFrame,
     schema = T.StructType([T.StructField("_cluster", T.IntegerType()), T.StructField("_angle", T.DoubleType()), known.schema["rule_id"], known.schema["_v"]])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (own for whole in batches for own in _slices(whole, max(dim, len(centers)))):
             rows, kept = _matrix(batch.column("_v"), dim)
             if len(rows):
                 angles = _unit_angles(rows, centers)
@@ -176,7 +185,7 @@ def route_queries(
     bounded = "_bound" in asked.columns
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (own for whole in batches for own in _slices(whole, dim * max(1, len(listed)))):  # a row may go to every cluster
             rows, kept = _matrix(batch.column("_q"), dim)
             if len(rows) and len(listed):
                 angles = _unit_angles(rows, centers[listed])
@@ -249,10 +258,12 @@ def _met(routed: DataFrame, table: Clusters, query_id: str, k: int, threshold: f
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("rule_id").combine_chunks()
         rules, usable = _matrix(right.column("_v").combine_chunks(), dim)
-        rows, kept = _matrix(left.column("_q").combine_chunks(), dim)
         rule_ids = right.column("rule_id").combine_chunks().take(pa.array(usable))
-        ids = left.column(query_id).combine_chunks()
-        return pa.Table.from_batches([_batch(schema.names, ids, rule_ids, _hits(rows, rules, k, threshold), kept)])
+        found = []
+        for own in [*_slices(left, max(dim, len(rules)))] or [left]:  # the queries lie in memory once, as they came
+            rows, kept = _matrix(own.column("_q").combine_chunks(), dim)
+            found.append(_batch(schema.names, own.column(query_id).combine_chunks(), rule_ids, _hits(rows, rules, k, threshold), kept))
+        return pa.Table.from_batches(found)
 
     keys = ("_cluster", "_part", "_shard")
     return spread.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(meet, schema)
