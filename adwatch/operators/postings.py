@@ -30,6 +30,9 @@ from adwatch.operators.skew import spread_join
 BLOCK = 1_000
 #: Terms of one prefix that meet a block together.
 CHUNK = 1_000
+#: Rows (pairs of word and ad, or hits) and bytes of text that a task sorts: tables are dealt to more tasks as they grow.
+TASK_ROWS = 500_000
+TASK_BYTES = 4 << 20
 
 
 def _cut(block: int):
@@ -67,11 +70,16 @@ def _blocks(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([rows.column(0).chunk(0).take(pa.array(starts[:-1])), lists], names=["word", "keys"])
 
 
-def _posted(pairs: DataFrame, block: int) -> DataFrame:
-    """Posting blocks of (word, key) pairs in any order."""
+def _tasks(spark: SparkSession, size: int | None, each: int) -> int:
+    """Tasks for a table of ``size``, as many as the session's at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // each))
+
+
+def _posted(pairs: DataFrame, block: int, ranges: int) -> DataFrame:
+    """Posting blocks of (word, key) pairs in any order, sorted in so many ranges."""
     kind = pairs.schema["key"].dataType
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("keys", T.ArrayType(kind))])
-    return pairs.repartitionByRange("word", "key").sortWithinPartitions("word", "key").mapInArrow(_cut(block), schema)
+    return pairs.repartitionByRange(ranges, "word", "key").sortWithinPartitions("word", "key").mapInArrow(_cut(block), schema)
 
 
 def _pairs(texts: DataFrame) -> DataFrame:
@@ -89,7 +97,8 @@ def write_segment(ads: DataFrame, root: str, batch_id: int, key: str, title: str
     """
     _put(ads.select(F.col(key).alias("key"), search_body(title, description).alias("body")), f"{root}/texts/parts/batch_id={batch_id}")
     stored = ads.sparkSession.read.parquet(f"{root}/texts/parts/batch_id={batch_id}")
-    _put(_posted(_pairs(stored), block), f"{root}/words/parts/batch_id={batch_id}")
+    size = stored.agg(F.sum(F.octet_length("body"))).first()[0]
+    _put(_posted(_pairs(stored), block, _tasks(ads.sparkSession, size, TASK_BYTES)), f"{root}/words/parts/batch_id={batch_id}")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -127,10 +136,21 @@ class Index:
         """word, keys, batch_id: all posting blocks."""
         return self.parts["words"]
 
-    def current(self, rows: DataFrame) -> DataFrame:
-        """The rows (key, batch_id, ...) that no newer segment replaces."""
-        return rows.join(self.newest, F.col("key").eqNullSafe(F.col("_key")), "left").where(
-            F.col("_newest").isNull() | (F.col("_newest") <= F.col("batch_id"))).drop("_key", "_newest")
+    def current(self, rows: DataFrame, tasks: int | None = None) -> DataFrame:
+        """The rows (key, batch_id, ...) that no newer segment replaces; a large table is dealt to ``tasks`` by key."""
+        own = rows.withColumn("_own", F.struct("key"))  # equal also where the key is null
+        newest = self.newest.select(F.struct(F.col("_key").alias("key")).alias("_own"), "_newest")
+        return (own if tasks is None else own.repartition(tasks, "_own")).join(newest, "_own", "left").where(
+            F.col("_newest").isNull() | (F.col("_newest") <= F.col("batch_id"))).drop("_own", "_newest")
+
+    def hits(self, found: DataFrame, tasks: int | None = None) -> DataFrame:
+        """The distinct (key, term_id, term) of current hits (key, term_id, term, batch_id): a hit stands if its newest does."""
+        own = found.select(F.struct("key").alias("_own"), "term_id", "term", "batch_id")
+        own = own if tasks is None else own.repartition(tasks, "_own")
+        last = own.groupBy("_own", "term_id", "term").agg(F.max("batch_id").alias("batch_id"))
+        newest = self.newest.select(F.struct(F.col("_key").alias("key")).alias("_own"), "_newest")
+        return last.join(newest, "_own", "left").where(F.col("_newest").isNull() | (F.col("_newest") <= F.col("batch_id"))).select(
+            F.col("_own.key").alias("key"), "term_id", "term")
 
 
 def merge_segments(spark: SparkSession, root: str, upto: int, block: int = BLOCK) -> None:
@@ -138,9 +158,13 @@ def merge_segments(spark: SparkSession, root: str, upto: int, block: int = BLOCK
     index = Index(spark, root, upto)
     if index.done == upto:
         return
-    pairs = index.current(index.words.select("word", F.explode("keys").alias("key"), "batch_id")).select("word", "key")
-    _put(index.texts, f"{root}/texts/base/upto={upto}")
-    _put(_posted(pairs, block), f"{root}/words/base/upto={upto}")
+    n_pairs = index.words.agg(F.sum(F.size("keys"))).first()[0]
+    n_bytes = index.parts["texts"].agg(F.sum(F.octet_length("body"))).first()[0]
+    tasks = _tasks(spark, n_pairs, TASK_ROWS)
+    pairs = index.current(index.words.select("word", F.explode("keys").alias("key"), "batch_id"), tasks).select("word", "key")
+    texts = index.current(index.parts["texts"], _tasks(spark, n_bytes, 8 * TASK_BYTES)).select("key", "body")
+    _put(texts, f"{root}/texts/base/upto={upto}")
+    _put(_posted(pairs, block, tasks), f"{root}/words/base/upto={upto}")
     _put(spark.range(1), f"{root}/done/batch_id={upto}")
 
 
@@ -155,8 +179,7 @@ def search_index(spark: SparkSession, root: str, terms: DataFrame, upto: int | N
     worded = prepared.where(F.size("_tokens") > 0).select("term_id", "term", F.explode("_tokens").alias("prefix"))
     plain = prepared.where(F.size("_tokens") == 0).select("term_id", "term")
     listed = worded.limit(INLINE_TERMS + 1).collect()
-    by_word = _found_inline(index, worded, listed) if len(listed) <= INLINE_TERMS else _found_joined(index, worded)
-    by_word = index.current(by_word.distinct()).select("key", "term_id", "term").distinct()
+    by_word = index.hits(_found_inline(index, worded, listed)) if len(listed) <= INLINE_TERMS else joined_hits(index, worded)
     by_text = search_terms(index.texts, plain, "key", "body").select("key", "term_id", "term")
     return by_word.unionByName(by_text)
 
@@ -179,14 +202,21 @@ def _found_inline(index: Index, worded: DataFrame, listed: list) -> DataFrame:
     return met.select(F.explode("keys").alias("key"), "term_id", "term", "batch_id")
 
 
-def _found_joined(index: Index, worded: DataFrame) -> DataFrame:
+def joined_hits(index: Index, worded: DataFrame) -> DataFrame:
+    """The distinct current hits (key, term_id, term) of prefixes (term_id, term, prefix), by joins.
+
+    Hits are counted first, from the sizes of blocks and the numbers of terms, and met by tasks as their number asks for.
+    """
     chunk = F.pmod(F.xxhash64("term_id", "term"), F.col("chunks")).cast("int")
-    sized = worded.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    counted = worded.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    sized = counted.select("prefix", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     chunked = worded.join(sized, "prefix").withColumn("chunk", chunk).groupBy("prefix", "chunk").agg(F.collect_list(F.struct("term_id", "term")).alias("terms"))
     lengths = worded.agg(F.collect_set(F.length("prefix")).alias("n"))
     own = F.transform(F.filter("_lengths", lambda n: n <= F.length("word")), lambda n: F.left("word", n))
     blocks = index.words.withColumn("_lengths", lengths.scalar()).select("keys", "batch_id", F.explode(own).alias("prefix"))
-    used = spread_join(blocks, sized, ["prefix"], least_rows=10_000)
+    n_hits = blocks.groupBy("prefix").agg(F.sum(F.size("keys")).alias("k")).join(counted, "prefix").agg(F.sum(F.col("k") * F.col("n"))).first()[0]
+    tasks = _tasks(worded.sparkSession, n_hits, TASK_ROWS)
+    used = spread_join(blocks, sized, ["prefix"], least_rows=10_000, tasks=tasks)
     dealt = used.select("keys", "batch_id", "prefix", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    met = spread_join(dealt, chunked, ["prefix", "chunk"], least_rows=10_000).select("keys", "batch_id", F.inline("terms"))
-    return met.select(F.explode("keys").alias("key"), "term_id", "term", "batch_id")
+    met = spread_join(dealt, chunked, ["prefix", "chunk"], least_rows=10_000, tasks=tasks).select("keys", "batch_id", F.inline("terms"))
+    return index.hits(met.select(F.explode("keys").alias("key"), "term_id", "term", "batch_id"), tasks)

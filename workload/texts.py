@@ -108,8 +108,7 @@ def indexed_search_joined(spark, sf):
     terms = terms.where((F.length("term") >= 3) & ~F.col("term").isin(*fixed.SEARCH_STOPWORDS)).withColumn("term_id", F.xxhash64("term"))
     index = postings.Index(spark, _indexed(spark, sf))
     worded = postings.term_tokens(terms).select("term_id", "term", F.explode("_tokens").alias("prefix"))
-    hits = index.current(postings._found_joined(index, worded).distinct())
-    return hits.select(F.col("key").alias("doc_id"), "term").distinct()
+    return postings.joined_hits(index, worded).select(F.col("key").alias("doc_id"), "term")
 
 
 @query("first_hits", f"WITH {_TERMS_SQL} SELECT doc_id, min(term_id) AS term_id, arg_min(term, term_id) AS term FROM hits GROUP BY 1")
