@@ -49,8 +49,6 @@ HEAVY = 0.8
 #: Mean idf of an answer's words, as a share of that of its item's, below which it counts as common words.
 COMMON = 0.5
 SLAB = 512
-#: Words of a worker's table; beyond it the table starts afresh with the next batch.
-KNOWN_WORDS = 300_000
 STRIPPED = ".,;:!?\"'()[]{}«»„“”…*_-¡¿"
 
 
@@ -76,54 +74,43 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarr
     return codes[codes >= 0], kept[np.asarray(lists.offsets)], words, hashed
 
 
-class Words:
-    """Numbers of the words that a task has met: as they stand (-1 for punctuation alone) and bare, with hashes of the bare ones."""
-
-    def __init__(self):
-        self.written: dict[str, int] = {}
-        self.bare: dict[str, int] = {}
-        self.hashed = np.empty(0, np.uint64)
-
-    def of(self, written: list[str]) -> np.ndarray:
-        import xxhash
-
-        if len(self.written) > KNOWN_WORDS:
-            self.__init__()
-        get, new = self.written.get, []
-        codes = np.fromiter([get(w, -2) for w in written], np.int64, len(written))
-        for i in np.flatnonzero(codes == -2).tolist():
-            b = written[i].lower().strip(STRIPPED)
-            if b and b not in self.bare:
-                new.append(xxhash.xxh3_64_intdigest(b))
-                self.bare[b] = len(self.bare)
-            codes[i] = self.written[written[i]] = self.bare[b] if b else -1
-        if new:
-            self.hashed = np.r_[self.hashed, np.array(new, np.uint64)]
-        return codes
-
-    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all bare words and the ends of the texts; words of punctuation are left out."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        codes = self.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(coded.indices)] if len(coded) else np.empty(0, np.int64)
-        kept = np.r_[0, np.cumsum(codes >= 0)]
-        return codes[codes >= 0], kept[np.asarray(lists.offsets)]
+def bare_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Codes of all words, ends per text, and the bare words by code; words of punctuation are left out.
+
+    Distinct words beyond ASCII get Python's lower case as one string, in which a line feed ends each.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    lowered = pc.ascii_lower(coded.dictionary)
+    other = pc.invert(pc.string_is_ascii(lowered))
+    odd = lowered.filter(other)
+    if len(odd):
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(odd)], odd), pa.scalar("\n", odd.type))[0].as_py().lower()
+        lowered = pc.replace_with_mask(lowered, other, pc.split_pattern(pa.array([joined], lowered.type), "\n").flatten())
+    bare = pc.utf8_trim(lowered, STRIPPED).dictionary_encode()
+    numbers = np.where(np.asarray(pc.binary_length(bare.dictionary)) > 0, np.arange(len(bare.dictionary)), -1)
+    codes = numbers[np.asarray(bare.indices)][np.asarray(coded.indices)] if len(coded) else np.empty(0, np.int64)
+    kept = np.r_[0, np.cumsum(codes >= 0)]
+    return codes[codes >= 0], kept[np.asarray(lists.offsets)], bare.dictionary
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's part of the sketch of document frequencies."""
     import zstandard
+    from xxhash import xxh3_64_intdigest
 
-    counts, any_rows, words = np.zeros(SKETCH_BINS, np.int64), False, Words()
+    counts, any_rows = np.zeros(SKETCH_BINS, np.int64), False
     for batch in batches:
         any_rows = True
-        codes, ends = words.tokens(batch.column(0))
+        codes, ends, words = bare_codes(batch.column(0))
         if len(codes):
-            owner, size = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), len(words.bare)
-            once = np.bincount(np.asarray(pc.unique(pa.array(owner * size + codes))) % size, minlength=size)  # documents by word
-            np.add.at(counts, (words.hashed & np.uint64(SKETCH_BINS - 1)).astype(np.int64), once)
+            once = np.zeros(len(words), np.int64)  # documents by word
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                once[codes[a:b]] += 1  # repeats of a word in a text count once: numpy adds one for each place, not for each index
+            hashed = np.fromiter(map(xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), np.uint64, len(words))
+            np.add.at(counts, (hashed & np.uint64(SKETCH_BINS - 1)).astype(np.int64), once)
     if any_rows:
         pack, parts = zstandard.ZstdCompressor(level=1), SKETCH_BINS // PART_BINS
         yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array([TaskContext.get().partitionId() % 256] * parts, pa.int32()),
@@ -230,24 +217,18 @@ def _candidate_rows(shared):
     """Segments that can hold enough of some item of a block, as sparse rows of unit length with their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, words = shared.value, Words()
+        blocks = shared.value
+        listed = [pa.array(list(items.words), pa.large_string()) for items in blocks]
         looked = [Heavy(items) for items in blocks]
         wide = [np.unique(np.concatenate([a for a, s in zip(i.answers, i.several) if s] or [np.empty(0, np.int64)])) for i in blocks]
-        local: list[np.ndarray] = []
-        listed = words.bare
         for batch in batches:
-            codes, ends = words.tokens(batch.column(2))
-            if listed is not words.bare:
-                listed, local = words.bare, []
+            codes, ends, words = bare_codes(batch.column(2))
             if not len(codes):
                 continue
-            have = len(local[0]) if local else 0
-            fresh = list(listed)[have:] if have < len(listed) else []
-            more = [np.fromiter((i.words.get(w, -1) for w in fresh), np.int64, len(fresh)) for i in blocks]
-            local = [np.r_[a, b] for a, b in zip(local, more)] if local else more
             doc_ids, ties = batch.column(0), batch.column(1)
             for number, (items, heavy) in enumerate(zip(blocks, looked)):
-                feature, rows, seen = local[number][codes], [], set()
+                own_words = pc.fill_null(pc.index_in(words, value_set=listed[number]), -1)
+                feature, rows, seen = np.asarray(own_words).astype(np.int64)[codes], [], set()
                 begins = heavy.segments(feature, ends)
                 owners = np.searchsorted(ends, begins, "right") - 1
                 for a, d in zip(begins.tolist(), owners.tolist()):
