@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adwatch.llm.common import settle, tidy
@@ -282,7 +282,7 @@ def _possible(percent: int):
 
 
 def _further(percent: int, most: int):
-    """From long lists in order of key: for every node its ``most`` nearest possible partners in other components.
+    """From lists whose rows stand together: for every node its ``most`` nearest possible partners in other components.
 
     A list's nodes are held with 160 bytes each. A row without nodes says that some node has more partners than ``most``.
     """
@@ -307,6 +307,9 @@ def _further(percent: int, most: int):
                     cut = True
                     partners = partners[np.lexsort((node[partners], differ[row][partners]))[:most]]
                 found += [(min(node[i], node[j]), max(node[i], node[j])) for j in partners.tolist()]
+                if len(found) >= 20_000:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+                    found = []
         if cut:
             found.append((None, None))
         if found:
@@ -412,8 +415,9 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
         # lists whose nodes are not yet of one component; a node that no link has reached is its own
         roots = reached.select(F.split_part("node", F.lit(":"), F.lit(2)).cast("long").alias("node"), F.xxhash64("root").alias("root"))
         marked = sketched.join(roots.dropDuplicates(["node"]), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        undone = marked.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        order = marked.join(undone, "key", "left_semi").repartition("key").sortWithinPartitions("key", "node")
+        # the window deals whole lists: Spark may drop a repartition behind a join on the same key, and then deal parts of lists
+        whole = Window.partitionBy("key")
+        order = marked.withColumn("x", F.min("root").over(whole)).withColumn("y", F.max("root").over(whole)).where("x <> y")
         found = settle(order.select("key", "node", "size", "root", "bits").mapInArrow(tidy(_further(percent, most)), "a long, b long"))
         waiting = not found.where("a IS NULL").isEmpty()
         fresh = settle(found.where("a IS NOT NULL").distinct().join(tested, ["a", "b"], "left_anti"))

@@ -238,6 +238,29 @@ def test_ngram_join(spark, monkeypatch, list_all, words, percent):
     assert ngramjoin.link(df.limit(0)).count() == 0
 
 
+def test_ngram_join_of_large_groups(spark, monkeypatch):
+    """Lists reach their tasks whole, also where Spark broadcasts a table while it runs and reads shuffled rows by their writer."""
+    monkeypatch.setattr(ngramjoin, "LIST_ALL", 2)
+    rng = random.Random(5)
+    base, rows = prose(rng, 60).split(" "), []
+    for i in range(500):  # more changes than a link allows for most, so that few pairs link
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(len(own))] = f"n{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.link(df, words=4, percent=85).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_components(rows, 4, 85)
+
+
 def test_boundary_follows_cost():
     assert ngramjoin.boundary({30: 100}, 5.0, 85) >= 0
     assert ngramjoin.boundary({5: 10, 10: 10}, 1000.0, 85) > ngramjoin.boundary({20: 1000, 24: 1000}, 0.0, 85)
